@@ -85,7 +85,7 @@ FROM {orders} o LEFT JOIN (SELECT title_id, CAST(sum(sector_count) AS BIGINT) AS
     ),
     "attempts": (
         ("events",),
-        """SELECT user_id AS disc_id, event_id AS seq, event_type AS handler, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE 1.0 + event_id % 5 END AS elapsed_secs,
+        """SELECT user_id AS disc_id, event_id AS seq, event_type AS handler, CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE 1 + event_id % 5 END AS DOUBLE) AS elapsed_secs,
   (event_id % 11) * 2048 AS recovered_bytes FROM {events}""",
     ),
     "cells": (
