@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from reelspark.llm.common import read, text_or_empty
 #: Distinct words whose ids are looked up as a literal; all other words are folded where they stand.
 COMMON = 1 << 17
 NONE = (1 << 31) - 1
-PAIR_BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 
 
 def default_ranks() -> str:
@@ -35,65 +36,73 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankMap:
-    """Literals of one vocabulary: the id of each byte, the rank of each pair of pieces whose union is a piece (a
-    pair's rank is the union's id), the bytes of each id and its four-byte form. Their size is that of the vocabulary."""
+    """Literals of one vocabulary: the rank of each piece, by the piece's bytes as Latin-1 text in hash buckets; the bytes of
+    each id and its four-byte form, as hex. Their size is that of the vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        pairs: list[dict[str, list[int]]] = [{"k": [], "v": []} for _ in range(PAIR_BUCKETS)]
+        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
         for piece, rank in ranks.items():
-            for k in range(1, len(piece)):
-                a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
-                if a is not None and b is not None:
-                    held = pairs[self._bucket(a, b)]
-                    held["k"].append((a << 20) + b)
-                    held["v"].append(rank)
-        literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+            text = piece.decode("latin-1")
+            buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
         top = max(ranks.values(), default=-1) + 1
         by_id = [""] * top
         for piece, rank in ranks.items():
             by_id[rank] = piece.hex()
-        self.bytes = literal([ranks.get(bytes([b]), -1) for b in range(256)], "array<int>")
-        self.pairs = literal(pairs, "array<struct<k:array<bigint>,v:array<int>>>")
+        literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+        self.ranks = literal(buckets, "array<map<string,int>>")
         self.pieces = literal(by_id, "array<string>")
         self.packed = literal([k.to_bytes(4, "little").hex() for k in range(top)], "array<string>")
 
-    @staticmethod
-    def _bucket(a, b):
-        return (a * 40503 + b * 9973) % PAIR_BUCKETS
-
-    def rank(self, a: Column, b: Column) -> Column:
-        a, b = a.cast("long"), b.cast("long")
-        found = F.transform(F.array(self.pairs[self._bucket(a, b).cast("int")]), lambda held: F.get(held["v"], (F.array_position(held["k"], a * F.lit(1 << 20) + b) - 1).cast("int")))
-        return F.coalesce(found[0], F.lit(NONE))
-
-    def fold(self, word: Column) -> Column:
-        """Ids of one word: while neighbours have a rank, the leftmost pair of the lowest rank becomes one piece."""
-        let = lambda value, body: F.transform(F.array(value), body)[0]
-        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        ids = F.transform(F.filter(chars, lambda c: F.length(c) > 0), lambda c: self.bytes[F.ascii(c)])
-
-        def start(ids: Column) -> Column:
-            n = F.size(ids)
-            ranks = F.zip_with(F.slice(ids, 1, F.greatest(n - 1, F.lit(0))), F.slice(ids, 2, F.greatest(n - 1, F.lit(0))), self.rank)
-            return F.struct(ids.alias("ids"), ranks.alias("ranks"), F.coalesce(F.array_min(ranks), F.lit(NONE)).alias("least"))
-
-        def merge(acc: Column, p: Column) -> Column:
-            ids, ranks, new = acc["ids"], acc["ranks"], acc["least"]
-            n = F.size(ids)
-            none = F.array().cast("array<int>")
-            left = F.when(p > 1, F.array(self.rank(ids[p - 2], new))).otherwise(none)
-            right = F.when(p < n - 1, F.array(self.rank(new, ids[p + 1]))).otherwise(none)
-            merged = F.concat(F.slice(ids, 1, p - 1), F.array(new), F.slice(ids, p + 2, n))
+    def fold(self, words: Column) -> Column:
+        """Ids of each word of an array."""
+        return let(self.ranks, lambda ranks: F.transform(words, lambda word: _fold(word, ranks)))
+
+
+def let(value: Column, body) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _rank(table: Column, piece: Column) -> Column:
+    return F.get(table, (F.crc32(F.encode(piece, "UTF-8")) % BUCKETS).cast("int"))[piece]
+
+
+def _fold(word: Column, table: Column) -> Column:
+    """Ids of one word: while two neighbours together have a rank, the leftmost pair of the lowest rank becomes one piece."""
+    rank = lambda a, b: F.coalesce(_rank(table, F.concat(a, b)), F.lit(NONE))
+    chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+    none = F.array().cast("array<int>")
+
+    def state(parts: Column, ranks: Column) -> Column:
+        return F.struct(parts.alias("parts"), ranks.alias("ranks"), F.coalesce(F.array_min(ranks), F.lit(NONE)).alias("least"))
+
+    def start(parts: Column) -> Column:
+        n = F.greatest(F.size(parts) - 1, F.lit(0))
+        return let(F.zip_with(F.slice(parts, 1, n), F.slice(parts, 2, n), rank), lambda ranks: state(parts, ranks))
+
+    def merge(acc: Column, p: Column) -> Column:
+        parts, ranks = acc["parts"], acc["ranks"]
+        n = F.size(parts)
+
+        def around(new: Column) -> Column:
+            left = F.when(p > 1, F.array(rank(F.get(parts, p - 2), new))).otherwise(none)
+            right = F.when(p < n - 1, F.array(rank(new, F.get(parts, p + 1)))).otherwise(none)
+            merged = F.concat(F.slice(parts, 1, p - 1), F.array(new), F.slice(parts, p + 2, n))
             ranked = F.concat(F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n))
-            return let(F.struct(merged.alias("ids"), ranked.alias("ranks")), lambda s: F.struct(s["ids"].alias("ids"), s["ranks"].alias("ranks"), F.coalesce(F.array_min(s["ranks"]), F.lit(NONE)).alias("least")))
+            return let(ranked, lambda r: state(merged, r))
+
+        return let(F.concat(F.get(parts, p - 1), F.get(parts, p)), around)
+
+    def first_least(acc: Column) -> Column:
+        return F.get(F.filter(F.sequence(F.lit(1), F.size(acc["ranks"])), lambda i: F.get(acc["ranks"], i - 1) == acc["least"]), F.lit(0))
 
-        def step(acc: Column, _: Column) -> Column:
-            return F.when(acc["least"] == NONE, acc).otherwise(let(F.array_position(acc["ranks"], acc["least"]).cast("int"), lambda p: merge(acc, p)))
+    def step(acc: Column, _: Column) -> Column:
+        return F.when(acc["least"] == NONE, acc).otherwise(let(first_least(acc), lambda p: merge(acc, p)))
 
-        def folded(ids: Column) -> Column:
-            return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(ids)), start(ids), step, lambda acc: acc["ids"]))
+    def folded(parts: Column) -> Column:
+        return F.when(F.size(parts) < 2, parts).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(parts)), start(parts), step, lambda acc: acc["parts"]))
 
-        return let(ids, folded)
+    return F.transform(let(F.filter(chars, lambda c: c != ""), folded), lambda piece: _rank(table, piece))
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -105,12 +114,13 @@ def common_words(docs: DataFrame, rank_map: RankMap, pattern: str, size: int) ->
     counted = docs.select(F.explode(words_of(text_or_empty("text"), pattern)).alias("word")).groupBy("word").count()
     top = counted.orderBy(F.desc("count"), "word").limit(size).repartition(docs.sparkSession.sparkContext.defaultParallelism)
     n = max(1, size // 2)
-    rows = top.select("word", rank_map.fold(F.col("word")).alias("ids"), F.pmod(F.xxhash64("word"), F.lit(n)).cast("int").alias("bucket")).collect()
+    folded = top.groupBy(F.pmod(F.xxhash64("word"), F.lit(n)).cast("int").alias("bucket")).agg(F.collect_list("word").alias("k"))
+    rows = folded.select("bucket", "k", rank_map.fold(F.col("k")).alias("v")).collect()
     if not rows:
         return None
     buckets: list[dict[str, list[int]]] = [{} for _ in range(n)]
     for r in rows:
-        buckets[r["bucket"]][r["word"]] = r["ids"]
+        buckets[r["bucket"]] = dict(zip(r["k"], r["v"]))
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<int>>>"), n
 
 
@@ -121,26 +131,28 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
     rank_map = RankMap(read_ranks(ranks_path or default_ranks()))
     pattern = pattern or default_pattern()
     known = common_words(docs, rank_map, pattern, common)
+    words = words_of(text_or_empty("text"), pattern)
+    if known is None:
+        return docs.select("doc_id", F.flatten(rank_map.fold(words)).alias("ids"))
+    buckets, n = known
 
-    def ids(word: Column) -> Column:
-        if known is None:
-            return rank_map.fold(word)
-        buckets, n = known
-        return F.coalesce(buckets[F.pmod(F.xxhash64(word), F.lit(n)).cast("int")][word], rank_map.fold(word))
+    def ids(known: Column, ranks: Column) -> Column:
+        held = lambda w: F.get(known, F.pmod(F.xxhash64(w), F.lit(n)).cast("int"))[w]
+        return F.transform(words, lambda w: F.coalesce(held(w), _fold(w, ranks)))
 
-    text = text_or_empty("text")
-    return docs.select("doc_id", F.flatten(F.transform(words_of(text, pattern), ids)).alias("ids"))
+    whole = let(buckets, lambda known: let(rank_map.ranks, lambda ranks: ids(known, ranks)))
+    return docs.select("doc_id", F.flatten(whole).alias("ids"))
 
 
 def decode(ids: Column, rank_map: RankMap) -> Column:
     """The bytes of ids: their pieces, concatenated."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: rank_map.pieces[i]), ""))
+    return F.unhex(F.array_join(let(rank_map.pieces, lambda pieces: F.transform(ids, lambda i: F.get(pieces, i))), ""))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode(read(spark, sf_dir, "documents"))
     rank_map = RankMap(read_ranks(default_ranks()))
-    packed = F.unhex(F.array_join(F.transform("ids", lambda i: rank_map.packed[i]), ""))
+    packed = F.unhex(F.array_join(let(rank_map.packed, lambda four: F.transform("ids", lambda i: F.get(four, i))), ""))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed, 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), rank_map), 256).alias("decoded_sha256"))
 
 
