@@ -30,6 +30,11 @@ MIGRANTS = 128
 # tokens
 
 
+WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space that does not part words one by one: runs, kinds other than space and newline, white space at the end.
+_RUNS = re.compile(r"[ \n][ \n]|[\x09\x0b-\x0d\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n]\Z")
+
+
 @lru_cache
 def word_pattern() -> re.Pattern:
     """The split before the merges, with the letter, number and white space classes spelt out: the same matches as
@@ -45,39 +50,67 @@ def word_pattern() -> re.Pattern:
         return "".join(out)
 
     letter, number = ranges("L"), ranges("N")
-    white = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    white = WHITE
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+")
 
 
-class WordIds(dict):
-    """Token ids of a word as little-endian unsigned 32-bit integers, kept for as many words as the limit allows."""
+class _Memo(dict):
+    """Token ids as little-endian unsigned 32-bit integers, kept for as many texts as the limit allows."""
+
+    def __init__(self, make, limit: int = 600_000):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        self[text] = out = self.make(text)
+        return out
+
+
+class TextIds:
+    """Token ids of texts by a rank file. Words are parted by the pattern and encoded once each as long as they are
+    kept. In a text whose white space is single spaces and newlines, a space starts the next word and a
+    newline stands alone, so such a text is cut there and whole stretches between are looked up."""
 
-    def __init__(self, ranks_path: str, limit: int = 600_000):
+    def __init__(self, ranks_path: str):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.limit = limit
+        piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        split = word_pattern().findall
 
-    def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.piece(word.encode("utf-8", "surrogatepass")))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = out = ids.tobytes()
-        return out
+        def ids(word: str) -> bytes:
+            found = array("I", piece(word.encode("utf-8", "surrogatepass")))
+            if sys.byteorder == "big":
+                found.byteswap()
+            return found.tobytes()
+
+        self.words = words = _Memo(ids)
+        self.split = split
+        self.plain = _Memo(lambda text: b"".join([words[w] for w in split(text)]))
+        self.spaced = _Memo(lambda text: b"".join([words[w] for w in split(" " + text)]))
+
+    def __call__(self, text: str) -> bytes:
+        if _RUNS.search(text):
+            return b"".join([self.words[w] for w in self.split(text)])
+        out, newline = [], self.words["\n"]
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            out += (newline, self.plain[head])
+            out.extend(map(self.spaced.__getitem__, rest))
+        return b"".join(out[1:])
 
 
-_words: dict[str, WordIds] = {}
+_texts: dict[str, TextIds] = {}
 
 
-def word_ids(ranks_path: str) -> WordIds:
+def text_ids(ranks_path: str) -> TextIds:
     """One per Python worker, for all tasks that it runs."""
-    if ranks_path not in _words:
-        _words[ranks_path] = WordIds(ranks_path)
-    return _words[ranks_path]
+    if ranks_path not in _texts:
+        _texts[ranks_path] = TextIds(ranks_path)
+    return _texts[ranks_path]
 
 
 def default_ranks() -> str:
@@ -96,11 +129,11 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None
     ranks = ranks_path or default_ranks()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, memo = word_pattern().findall, word_ids(ranks)
+        encode = text_ids(ranks)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                blob = b"".join([memo[w] for w in split(text)]) + end_id.to_bytes(4, "little")
+                blob = encode(text) + end_id.to_bytes(4, "little")
                 n = len(blob) // 4
                 first = n - capacity * ((n - 1) // capacity)
                 start, length = 0, first
