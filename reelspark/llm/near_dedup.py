@@ -111,23 +111,28 @@ def _children(node: Column, tokens: Column, percent: int) -> Column:
 
 
 def candidate_links(classes: DataFrame, percent: int, trees: int = TREES, levels: int = LEVELS, node: int = NODE) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b; b is the smaller id) of a written table of classes (rep, tokens, small), and the nodes (node, rep, n) that
+    """Candidate pairs (a, b, same; b is the smaller id, same the equal tokens) of a written table of classes (rep, tokens, small), and the nodes (node, rep, n) that
     are still large below the last level.
 
-    A node of up to `node` documents is compared exhaustively by its minwise tokens. A larger one links each document to
-    the node's smallest id and branches. Single documents end at once."""
+    A node of up to `node` documents is compared exhaustively by its minwise tokens. In a larger one each document is compared to
+    the node's smallest id, and the node branches. Single documents end at once."""
     least = least_estimate(percent)
 
-    @F.pandas_udf("array<struct<a:long,b:long>>")
+    @F.pandas_udf("array<struct<a:long,b:long,same:int>>")
     def alike(ids: pd.Series, small: pd.Series) -> pd.Series:
         out = []
         for held, tokens in zip(ids, small):
             m = np.frombuffer(b"".join(tokens), np.uint8).reshape(len(held), TOKENS)
-            same = (m[:, None, :] == m[None, :, :]).sum(2) >= least * TOKENS
-            x, y = np.nonzero(np.triu(same, 1))
-            out.append([{"a": max(held[i], held[j]), "b": min(held[i], held[j])} for i, j in zip(x, y)])
+            same = np.triu((m[:, None, :] == m[None, :, :]).sum(2), 1)
+            x, y = np.nonzero(same >= least * TOKENS)
+            out.append([{"a": max(held[i], held[j]), "b": min(held[i], held[j]), "same": int(same[i, j])} for i, j in zip(x, y)])
         return pd.Series(out)
 
+    @F.pandas_udf("int")
+    def same_tokens(x: pd.Series, y: pd.Series) -> pd.Series:
+        read = lambda c: np.frombuffer(b"".join(c), np.uint8).reshape(len(c), TOKENS)
+        return pd.Series((read(x) == read(y)).sum(1), dtype="int32")
+
     roots = F.array(*[F.xxhash64(F.lit(f"tree {t}"), F.col("tokens")[t % TOKENS]) for t in range(trees)])
     members = classes.select("rep", F.explode(roots).alias("node"))
     found, rest = [], None
@@ -136,9 +141,12 @@ def candidate_links(classes: DataFrame, percent: int, trees: int = TREES, levels
         at = saved(members.join(sizes, "node"), f"level{level}")
         few = at.filter(F.col("n") <= node).select("node", "rep").join(classes.select("rep", "small"), "rep")
         grouped = few.groupBy("node").agg(F.collect_list(F.struct("rep", "small")).alias("m"))
-        pairs = grouped.select(F.explode(alike("m.rep", "m.small")).alias("p")).select("p.a", "p.b")
+        pairs = grouped.select(F.explode(alike("m.rep", "m.small")).alias("p")).select("p.a", "p.b", "p.same")
         many = at.filter(F.col("n") > node)
-        found += [pairs, many.filter(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))]
+        small = lambda key, name: classes.select(F.col("rep").alias(key), F.col("small").alias(name))
+        hubs = many.filter(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        hubs = hubs.join(small("a", "x"), "a").join(small("b", "y"), "b").select("a", "b", same_tokens("x", "y").alias("same"))
+        found += [pairs, hubs.filter(F.col("same") >= least * TOKENS)]
         rest = many.select("node", "rep", "n")
         if many.isEmpty():
             break
@@ -217,7 +225,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, trees: int = TREES, levels: i
     are linked to those of the same words only. Documents of equal sets form a class that acts as one. Rows that repeat a
     doc_id are one document per distinct set. A null doc_id has a null component and is kept. An empty table gives an empty result.
 
-    Every document's least-id candidate is confirmed first; of the other candidates only those between components. Texts
+    Of every document the closest candidate and the smallest likely one are confirmed first; of the others only those between components. Texts
     of candidates are shuffled, others never after the semi join that picks them.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
@@ -227,7 +235,9 @@ def near_dedup(docs: DataFrame, percent: int = 85, trees: int = TREES, levels: i
     candidates, rest = candidate_links(classes, percent, trees, levels, node)
     involved = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     texts = saved(base.join(involved, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("text").alias("text")), "texts")
-    star = candidates.groupBy("a").agg(F.min("b").alias("b"))
+    likely = F.when(F.col("same") >= percent / 100 * TOKENS, F.col("b"))
+    best = candidates.groupBy("a").agg(F.min(likely).alias("hub"), F.max_by("b", F.struct("same", (-F.col("b")).alias("low"))).alias("closest"))
+    star = best.select("a", F.explode(F.array_distinct(F.array_compact(F.array("hub", "closest")))).alias("b"))
     links = saved(linked(star, texts, percent), "links")
     labels = components(links)
     side = lambda c: labels.select(F.col("rep").alias(c), F.col("label").alias(f"{c}_label"))
