@@ -64,13 +64,13 @@ def let(value: Column, body) -> Column:
 
 
 def _rank(table: Column, piece: Column) -> Column:
-    return F.get(table, (F.crc32(F.encode(piece, "UTF-8")) % BUCKETS).cast("int"))[piece]
+    return F.get(table, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int"))[piece]
 
 
 def _fold(word: Column, table: Column) -> Column:
     """Ids of one word: while two neighbours together have a rank, the leftmost pair of the lowest rank becomes one piece."""
     rank = lambda a, b: F.coalesce(_rank(table, F.concat(a, b)), F.lit(NONE))
-    chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+    chars = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
     none = F.array().cast("array<int>")
 
     def state(parts: Column, ranks: Column) -> Column:
