@@ -328,6 +328,12 @@ def test_bigram_counts_match_brute_force(spark):
     assert got == {k: (n, goal[k]) for k, n in want.items()}
 
 
+def test_ids_forget_further_words_at_the_limit():
+    ids = lm_scoring._Ids(["a", "b"], limit=10)
+    assert [ids[w] for w in ["a", *map(str, range(50)), "b", "a"]][::51] == [ids["a"], ids["b"]]
+    assert len(ids) <= 11 and ids["a"] != ids["b"] != ids["zzzz"]
+
+
 def test_license_scan_matches_brute_force(spark):
     rng = random.Random(6)
     lines = [*licenses.TEMPLATES.values(), "licensed under the apache license version 2.0", "Released under the MIT license today.", "mit", ""]
