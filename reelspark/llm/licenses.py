@@ -91,4 +91,23 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_license_scan": op4_license_scan}
-ORACLE: dict[str, str] = {}
+
+
+def _bigrams_sql(text: str) -> str:
+    words = rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+(?:\.[\p{{N}}]+)*')"
+    return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+
+
+_VALUES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(TEMPLATES.items()))
+ORACLE = {
+    "op4_license_scan": f"""
+WITH t(name, text) AS (VALUES {_VALUES}), tb AS (SELECT name, {_bigrams_sql("text")} AS b FROM t),
+l AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+s AS (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM l),
+b AS (SELECT r, k, {_bigrams_sql("line")} AS b FROM s),
+d AS (SELECT r, k, name, 2.0 * len(list_intersect(b.b, tb.b)) / (len(b.b) + len(tb.b)) AS dice FROM b, tb WHERE len(b.b) BETWEEN 1 AND 60),
+best AS (SELECT r, k, arg_min(name, (-dice, name)) AS name, max(dice) AS dice FROM d WHERE dice >= {THRESHOLD} GROUP BY r, k),
+g AS (SELECT r, count(*) AS n, max(dice) AS dice, string_agg(k || ':' || name, ',' ORDER BY k) AS told FROM best GROUP BY r)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_segments, coalesce(n, 0) AS n_licenses, CAST(coalesce(dice, 0.0) AS DOUBLE) AS best_dice, coalesce(told, '') AS licenses FROM l LEFT JOIN g USING (r)
+"""
+}
