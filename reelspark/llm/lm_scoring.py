@@ -1,7 +1,10 @@
-"""LM scoring by cross-entropy difference: bigram models of a target and of all documents over one vocabulary."""
+"""LM scoring by cross-entropy difference: bigram models of a target and of all documents over the words of all."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +14,8 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.common import read, saved, text_or_empty
 
-#: Words with an id of their own; every other word counts as one of the shapes below, so that the models have a fixed size.
-VOCABULARY = 4000
+#: Words of a chunk of texts: bounds the memory of a task.
+CHUNK = 1_000_000
 #: Shapes of further words: has a digit, has a mark inside, is all capitals, is capitalised, by length up to four or more.
 SHAPES = 10
 #: Weight of a context against its backoff, as so many further occurrences.
@@ -44,28 +47,9 @@ class _Ids(dict):
         return out
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words of all documents (ties: by the word), at most `size`. Each task counts its own words first."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
-        held: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                held.update(text.split())
-            if len(held) > 300_000:
-                yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-                held.clear()
-        yield pd.DataFrame({"word": pd.Series(list(held), dtype=object), "n": np.array(list(held.values()), np.int64)})
-
-    counted = docs.select(text_or_empty("text").alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
-
-
 def count_bigrams(docs: DataFrame, words: list[str]) -> DataFrame:
     """first, second, background, target: how often id `second` follows id `first` in all texts and in those of the target.
-    docs: text, target (boolean). Each task sums its own counts; there are at most (size + 1) squared pairs."""
+    docs: text, target (boolean). Each task sums its own counts. For a given list of words; the scores count all words, see Chunk."""
     n = 1 + SHAPES + len(words)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,58 +80,182 @@ def count_bigrams(docs: DataFrame, words: list[str]) -> DataFrame:
     return counted.groupBy("first", "second").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def loss_differences(counts: DataFrame, size: int, prior: float = PRIOR) -> np.ndarray:
-    """Matrix by (first, second): target loss less background loss of a token, in nats. Both models have the same
-    vocabulary and smoothing: a bigram's probability leans on the word's, that on the uniform one. Rows are made
-    where the counts are; only the finished matrix, of a size fixed by the vocabulary, reaches the driver."""
-    single = counts.groupBy("second").agg(F.sum("background").alias("b"), F.sum("target").alias("t")).collect()
-    b, t = np.zeros(size), np.zeros(size)
-    for r in single:
-        b[r["second"]], t[r["second"]] = r["b"], r["t"]
-    p_b, p_t = (b + 1) / (b.sum() + size), (t + 1) / (t.sum() + size)
-
-    def row(key, rows: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((2, size))
-        out[0, rows["second"]], out[1, rows["second"]] = rows["background"], rows["target"]
-        back = (out[0] + prior * p_b) / (out[0].sum() + prior)
-        goal = (out[1] + prior * p_t) / (out[1].sum() + prior)
-        return pd.DataFrame({"first": [key[0]], "line": [(np.log(back) - np.log(goal)).astype(np.float16).tobytes()]})
-
-    matrix = np.tile((np.log(p_b) - np.log(p_t)).astype(np.float16), (size, 1))
-    for r in counts.groupBy("first").applyInPandas(row, "first int, line binary").toLocalIterator():
-        matrix[r["first"]] = np.frombuffer(r["line"], np.float16)
-    return matrix
-
-
-def score_documents(docs: DataFrame, words: list[str], matrix: np.ndarray) -> DataFrame:
-    """doc_id, n_words, score: mean over a text's words of target loss less background loss; lower is nearer the target.
-    A text without words has the score 0."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(matrix)  # (1 + SHAPES + VOCABULARY) squared floats at most
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, table = _Ids(words), shared.value
+TEXTS = "chunk long, ids binary, known binary, hashes array<long>, sizes binary, goal binary, words binary"
+COUNTS = "chunk long, bucket int, keys binary, background binary, target binary"
+SCORES = "doc_id long, n_words long, score double"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return zlib.compress(x.tobytes(), 1)
+
+
+def _unpacked(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), kind)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Chunk:
+    """Words, contexts and bigrams of some texts, each distinct one with a key of 62 bits and its kind in the lowest two.
+
+    words: local ids of all words in order, START (0) is none of them; hashes: 64 bits of each local id. Keys are ordered
+    by bucket, the same on each run."""
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, hashes: np.ndarray, buckets: int):
+        n = len(hashes)
+        before = np.empty_like(words)
+        before[1:] = words[:-1]
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+        self.words, self.before, self.n = words, before, n
+        codes, self.at = np.unique(before * n + words, return_inverse=True)
+        self.first, self.second = codes // n, codes % n
+        pairs = _mixed(_mixed(hashes[self.first]) + hashes[self.second])
+        keys = np.concatenate([(h << np.uint64(2)) | np.uint64(kind) for kind, h in enumerate((hashes[1:], hashes, pairs))])
+        bucket = ((keys >> np.uint64(2)) % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.keys, self.bucket = keys[self.order], bucket[self.order]
+
+    def counts(self, held: np.ndarray) -> np.ndarray:
+        """How often each key occurs among the words held (a mask), in the keys' order."""
+        count = lambda x, n: np.bincount(x[held], minlength=n)
+        return np.concatenate([count(self.words, self.n)[1:], count(self.before, self.n), count(self.at, len(self.first))])[self.order]
+
+    def spread(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals in the keys' order, told apart: of each bigram's second word, first word as a context, and of the bigram."""
+        out = np.empty(len(totals))
+        out[self.order] = totals
+        return out[self.second - 1], out[self.n - 1 + self.first], out[2 * self.n - 1 :]
+
+
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def chunk_texts(docs: DataFrame, limit: int = CHUNK) -> DataFrame:
+    """Chunks of texts of about `limit` words, see TEXTS: doc_id, words and target of each text, local ids of all words in
+    order, hashes of the local ids. docs: doc_id, text, target (boolean)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: dict[str, int] = {"": START}
+        held: list[tuple] = []
+        total = 0
+
+        def made() -> pd.DataFrame:
+            docs_held, words, goal = zip(*held)
+            hashes = np.fromiter(map(_hash, ids), np.uint64, len(ids)).view(np.int64)
+            sizes = np.array([len(w) for w in words], np.int64)
+            row = (uuid.uuid4().int >> 65, _packed(np.array([d or 0 for d in docs_held], np.int64)), _packed(np.array([d is not None for d in docs_held])), hashes, _packed(sizes), _packed(np.array(goal, bool)), _packed(np.concatenate(words)))
+            held.clear()
+            ids.clear()
+            ids[""] = START
+            return pd.DataFrame([row], columns=_names(TEXTS))
+
         for batch in batches:
-            sizes, means = [], []
-            for text in batch["text"]:
+            for doc, text, target in zip(batch["doc_id"], batch["text"], batch["target"]):
                 parts = text.split()
-                row = np.fromiter(map(ids.__getitem__, parts), np.int64, len(parts))
-                sizes.append(len(parts))
-                means.append(float(table[np.concatenate([[START], row[:-1]]), row].mean(dtype=np.float64)) if parts else 0.0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": np.array(sizes, np.int64), "score": np.array(means)})
+                for w in parts:
+                    if w not in ids:
+                        ids[w] = len(ids)
+                held.append((None if doc == "" else int(doc), np.fromiter(map(ids.__getitem__, parts), np.uint32, len(parts)), bool(target)))
+                total += len(parts)
+                if total >= limit or len(held) >= limit:
+                    yield made()
+                    total = 0
+        if held:
+            yield made()
+
+    return docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("doc_id"), "text", "target").mapInPandas(work, TEXTS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInPandas(score, "doc_id long, n_words long, score double")
 
+def _chunk(row, buckets: int) -> Chunk:
+    return Chunk(_unpacked(row["sizes"], np.int64), _unpacked(row["words"], np.uint32).astype(np.int64), np.asarray(row["hashes"], np.int64).view(np.uint64), buckets)
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY) -> DataFrame:
+
+def chunk_counts(chunks: DataFrame, buckets: int) -> DataFrame:
+    """For each chunk and bucket the keys that fall to it and their counts, in all texts and in those of the target."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                chunk = _chunk(row, buckets)
+                goal = np.repeat(_unpacked(row["goal"], bool), _unpacked(row["sizes"], np.int64))
+                back, aim = chunk.counts(np.ones(len(goal), bool)).astype(np.uint32), chunk.counts(goal).astype(np.uint32)
+                cuts = np.flatnonzero(np.diff(chunk.bucket, prepend=-1))
+                rows = [
+                    (row["chunk"], int(chunk.bucket[lo]), chunk.keys[lo:hi].tobytes(), _packed(back[lo:hi]), _packed(aim[lo:hi]))
+                    for lo, hi in zip(cuts, [*cuts[1:], len(chunk.keys)])
+                ]
+                yield pd.DataFrame(rows, columns=_names(COUNTS))
+
+    return chunks.mapInPandas(work, COUNTS)
+
+
+def total_counts(counts: DataFrame) -> DataFrame:
+    """counts without the keys, each count summed over all chunks."""
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(x, np.uint64) for x in rows["keys"]]
+        _, at = np.unique(np.concatenate(parts), return_inverse=True)
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        for k in ("background", "target"):
+            sums = np.bincount(at, weights=np.concatenate([_unpacked(x, np.uint32) for x in rows[k]])).astype(np.int64)
+            rows[k] = [_packed(x) for x in np.split(sums[at], cuts)]
+        return rows.drop(columns="keys")
+
+    return counts.groupBy("bucket").applyInPandas(total, "chunk long, bucket int, background binary, target binary")
+
+
+def score_chunks(chunks: DataFrame, totals: DataFrame, buckets: int, prior: float = PRIOR) -> DataFrame:
+    """doc_id, n_words, score: mean over a text's words of target loss less background loss, in nats; lower is nearer the
+    target. Both models have the same vocabulary and smoothing: a bigram's probability leans on the word's, that on the
+    uniform one. A text without words has the score 0."""
+    size = chunks.select(F.explode("hashes").alias("h")).distinct().count() - 1  # START is no word
+
+    @F.pandas_udf("struct<background:long,target:long>")
+    def length(sizes: pd.Series, goal: pd.Series) -> pd.DataFrame:
+        rows = [(n.sum(), n[_unpacked(g, bool)].sum()) for n, g in zip((_unpacked(x, np.int64) for x in sizes), goal)]
+        return pd.DataFrame(rows, columns=["background", "target"])
+
+    n = chunks.select(length("sizes", "goal").alias("n")).agg(F.sum("n.background").alias("background"), F.sum("n.target").alias("target")).first()
+    words = {k: n[k] or 0 for k in ("background", "target")}
+
+    def score(key, texts: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        texts, sums = texts.iloc[0], sums.sort_values("bucket")
+        chunk, sizes, losses = _chunk(texts, buckets), _unpacked(texts["sizes"], np.int64), []
+        for k, total in words.items():
+            word, context, pair = chunk.spread(np.concatenate([_unpacked(x, np.int64) for x in sums[k]]))
+            losses.append(np.log((pair + prior * (word + 1) / (total + size)) / (context + prior)))
+        by_word = (losses[0] - losses[1])[chunk.at]
+        means = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=by_word, minlength=len(sizes)) / np.maximum(sizes, 1)
+        ids = pd.arrays.IntegerArray(_unpacked(texts["ids"], np.int64).copy(), ~_unpacked(texts["known"], bool))
+        return pd.DataFrame({"doc_id": ids, "n_words": sizes, "score": means})
+
+    return chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInPandas(score, SCORES)
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Scores of all documents against a target: the documents whose doc_id is in targets. Null texts count as empty; repeated
     rows are counted and scored each; ids of targets may repeat; without any target the models agree and every score
-    comes from smoothing alone. All words and bigrams of all documents are counted."""
-    words = vocabulary(docs, size)
+    comes from smoothing alone.
+
+    Every distinct word, context and bigram of all documents has counts of its own, under a key of 62 bits. Texts are held
+    in chunks of bounded size; a chunk sends each of its keys once to the key's bucket, where counts are summed, and
+    gets the sums back, so a frequent bigram is one row of a chunk. The driver gets three numbers."""
     marked = targets.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_target")).distinct()
     rows = docs.select("doc_id", text_or_empty("text").alias("text")).join(marked, F.col("doc_id") == F.col("_target"), "left")
-    counts = saved(count_bigrams(rows.select("text", F.col("_target").isNotNull().alias("target")), words), "bigrams")
-    return score_documents(docs, words, loss_differences(counts, 1 + SHAPES + len(words)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, min(4 * parts, 1024))
+    chunks = saved(chunk_texts(rows.select("doc_id", "text", F.col("_target").isNotNull().alias("target")), chunk), "chunks")
+    return score_chunks(chunks, total_counts(chunk_counts(chunks, buckets)), buckets)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

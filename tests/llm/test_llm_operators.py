@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -311,6 +312,43 @@ def test_lm_scoring_prefers_the_target(spark):
     assert lm_scoring.cross_entropy_difference(d.filter("doc_id < 0"), d.select("doc_id")).count() == 0
 
 
+def test_lm_scores_match_brute_force_over_all_words(spark):
+    """Words beyond the most frequent 4,000, of equal shape, are told apart; small chunks exchange their counts."""
+    rng = random.Random(14)
+    common = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(common) for _ in range(20)]
+    texts += [" ".join(rng.choice(common[:5] + [f"{kind}{k}" for k in range(20)]) for _ in range(30)) for kind in ("rare", "seld") for _ in range(12)]
+    texts += [None, "", " \n", "\U0001f600 日本 x", texts[25]]
+    goal = set(range(20, 29))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words = [(t or "").split() for t in texts]
+    counts = []
+    for held in (range(len(texts)), goal):
+        word, context, pair = (collections.Counter() for _ in range(3))
+        for i in held:
+            for a, b in zip([None, *words[i]], words[i]):
+                word[b] += 1
+                context[a] += 1
+                pair[a, b] += 1
+        counts.append((word, context, pair, sum(word.values())))
+    size = len(counts[0][0])
+
+    def loss(k, a, b):
+        word, context, pair, total = counts[k]
+        return -math.log((pair[a, b] + lm_scoring.PRIOR * (word[b] + 1) / (total + size)) / (context[a] + lm_scoring.PRIOR))
+
+    targets = d.filter(F.col("doc_id").isin(sorted(goal))).select("doc_id")
+    for chunk in (40, lm_scoring.CHUNK):
+        got = by_id(lm_scoring.cross_entropy_difference(d, targets, chunk))
+        assert len(got) == len(texts)
+        for i, w in enumerate(words):
+            want = sum(loss(1, a, b) - loss(0, a, b) for a, b in zip([None, *w], w)) / max(len(w), 1)
+            assert got[i]["n_words"] == len(w) and abs(got[i]["score"] - want) < 1e-9
+    odd = spark.createDataFrame([(None, "a b"), ((1 << 60) + 1, "b a")], "doc_id long, text string").coalesce(1)
+    assert set(by_id(lm_scoring.cross_entropy_difference(odd, targets))) == {None, (1 << 60) + 1}
+    assert max(got[i]["score"] for i in range(20, 32)) < min(got[i]["score"] for i in range(32, 44))
+
+
 def test_bigram_counts_match_brute_force(spark):
     texts = ["a b a b c", "b a", "", None, "zz a"]
     d = spark.createDataFrame([(t, i == 0) for i, t in enumerate(texts)], "text string, target boolean").fillna("", ["text"])
