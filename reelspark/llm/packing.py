@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import math
 import random
 import re
@@ -119,17 +120,44 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens() -> dict[str, int]:
+    """Id of each token that the vocabulary's JSON adds beside the merges; texts are split at them before all else."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    odd = [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if odd:
+        raise ValueError(f"tokens that take in or need what stands around them: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
+def encoder(ranks_path: str, added: dict[str, int]):
+    """Text to ids; added tokens in it have their own ids, what stands between them is encoded part by part."""
+    plain = text_ids(ranks_path)
+    if not added:
+        return plain
+    held = {t: k.to_bytes(4, "little") for t, k in added.items()}
+    split = re.compile("(" + "|".join(re.escape(t) for t in sorted(held, key=len, reverse=True)) + ")").split
+
+    def encode(text: str) -> bytes:
+        parts = split(text)
+        return plain(text) if len(parts) == 1 else b"".join([held[p] if k % 2 else plain(p) for k, p in enumerate(parts)])
+
+    return encode
+
+
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, end_id: int = 0) -> DataFrame:
+def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, end_id: int = 0, added: dict[str, int] | None = None) -> DataFrame:
     """Token pieces of each document: its ids and then end_id; longer ones are cut into pieces of the capacity, the first
     piece taking the rest. Texts are read whole; null counts as empty, whose only token is end_id. A null doc_id
-    stays null; repeated rows have pieces of their own."""
+    stays null; repeated rows have pieces of their own. Without `added`, the text of an added token is encoded as any other."""
     ranks = ranks_path or default_ranks()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = text_ids(ranks)
+        encode = encoder(ranks, added or {})
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
@@ -314,19 +342,19 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAN
     return shared.unionByName(whole.select(*columns, F.lit(0).cast("long").alias("offset")))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, island: int = ISLAND) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, island: int = ISLAND, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. An empty table gives an
     empty result; see cut_pieces for nulls, empty texts and repeated rows."""
-    return pack_pieces(saved(cut_pieces(docs, capacity, ranks_path), "pieces"), capacity, island)
+    return pack_pieces(saved(cut_pieces(docs, capacity, ranks_path, added=added), "pieces"), capacity, island)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"))
+    return pack_documents(read(spark, sf_dir, "documents"), added=added_tokens())
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the pieces of all documents and their places in sequences."""
-    return pack_documents(docs)
+    return pack_documents(docs, added=added_tokens())
 
 
 QUERIES = {"op9_best_fit_packing": op9_best_fit_packing}

@@ -218,6 +218,26 @@ def test_packing(docs, texts):
     assert packing.pack_documents(empty(docs)).count() == 0
 
 
+def test_packing_queries_give_added_tokens_their_ids(spark, tmp_path):
+    """The query and the pipeline's stage, against the library as it is called without further settings."""
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(17)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f" {end}\n{end}x ", "<|endoftext|", "plain", None, "word " * 3000 + end + " tail" * 2000]
+    texts += ["".join(rng.choice([end, " ", "\n", "a", "日", "<|", "'s", "  "]) for _ in range(rng.randrange(12))) for _ in range(100)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    assert 50256 in library.encode(texts[0], add_special_tokens=False).ids
+    for made in (packing.op9_best_fit_packing(spark, str(tmp_path)), packing.stage_packing(spark, d, str(tmp_path))):
+        seen = collections.Counter()
+        for r in made.collect():
+            ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [0]
+            held = ids[r["start"] : r["start"] + r["length"]]
+            assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(held)}I", *held)) and len(held) == r["length"]
+            seen[r["doc_id"]] += len(held)
+        assert seen == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_text_ids_match_the_library():
     enc, ids, rng = encoding(), packing.text_ids(packing.default_ranks()), random.Random(2)
     alphabet = " \n\t\xa0a'stéZ1²!. 　\x1c\x85  \n<|endoftext|>日"
