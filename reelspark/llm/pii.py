@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,14 @@ TOKEN = r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{8,}+"
 #: Gazetteer and context words, looked for in the characters before a candidate.
 CUES = ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "access key", "bearer", "ssn", "passport", "iban", "account", "license no", "customer no", "user id")
 LOCAL_CUES = r"(?i)(?:" + "|".join(CUES) + r")[\"'\x20]*[:=]?[\"'\x20]*$"
+#: What leads to a value: a cue as a word of its own, then quotes, blanks and a sign of assignment, if any.
+LEAD = r"(?<![A-Za-z0-9])(?=[TSPABILCUtspabilcu])(?i:" + "|".join(CUES) + r")(?![A-Za-z0-9_])[\"'\x20\t]*+[:=]?[\"'\x20\t]*+"
+#: The value: what the quotes hold; groups of capitals and digits, parted by single blanks or dashes; else all up to white space.
+VALUE = (
+    r"(?:(?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')"
+    r"|(?=[A-Z\x20-]*+[0-9])[A-Z0-9]++(?![A-Za-z_])(?:[\x20-][A-Z0-9]++(?![A-Za-z_]))*+(?![^\s\"',;.:!?)])"
+    r"|[^\s\"',;]*[^\s\"',;.:!?)])"
+)
 CONTEXT = 32
 ADDED = ("account", "secret")
 LABELERS = ("shape_hex", "shape_long", "gazetteer", "assigned", "plain_number", "word_like")
@@ -77,26 +86,41 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.coalesce(plain(v), F.array().cast("array<struct<start:int,end:int>>")) for k, v in found.items()}
 
 
+def _shape(match: Column) -> dict[str, Column]:
+    return {
+        "length": F.least(F.length(match), F.lit(48)),
+        "letters": F.length(match) - F.length(_digits(match)),
+        "hex": match.rlike("^[0-9a-fA-F]+$"),
+    }
+
+
 def candidate_spans(text: Column) -> Column:
-    """Words that may be personal or secret, with the features that labelers and classifier read."""
+    """Words that may be personal or secret and values that follow a cue, with the features that labelers and classifier
+    read, by start. The shape of a value is that of its letters, digits and marks without blanks and dashes."""
     def fields(match: Column, left: Column) -> dict[str, Column]:
         near = F.right(left, F.lit(CONTEXT))
-        return {
-            "length": F.least(F.length(match), F.lit(48)),
-            "letters": F.length(match) - F.length(_digits(match)),
-            "hex": match.rlike("^[0-9a-fA-F]+$"),
-            "cue": near.rlike(LOCAL_CUES),
-            "assigned": near.rlike("[:=][\"'\\x20]*$"),
-        }
+        return {**_shape(match), "cue": near.rlike(LOCAL_CUES), "assigned": near.rlike("[:=][\"'\\x20]*$")}
+
+    def value(s: Column) -> Column:
+        lead = F.regexp_extract(s["match"], "^" + LEAD, 0)
+        match = F.substring(s["match"], F.length(lead) + 1, F.length(s["match"]))
+        shape = _shape(F.regexp_replace(match, r"[\x20-]", ""))
+        named = {"start": s["start"] + F.length(lead), "end": s["end"], "match": match, **shape, "cue": F.lit(True), "assigned": lead.rlike("[:=]")}
+        return F.struct(*[v.alias(k) for k, v in named.items()])
 
     kind = "array<struct<start:int,end:int,match:string,length:int,letters:int,hex:boolean,cue:boolean,assigned:boolean>>"
-    return F.coalesce(F.when(text.rlike("[0-9]"), _spans(text, TOKEN, F.lit(True), fields)), F.array().cast(kind))
+    words = F.coalesce(F.when(text.rlike("[0-9]"), _spans(text, TOKEN, F.lit(True), fields)), F.array().cast(kind))
+    values = F.when(text.rlike(LEAD), F.transform(_spans(text, LEAD + VALUE, F.lit(True)), value))
+    both = lambda v: F.array_sort(F.concat(words, F.filter(v, lambda c: ~F.exists(words, lambda w: (w["start"] == c["start"]) & (w["end"] == c["end"])))))
+    return F.when(values.isNull(), words).otherwise(both(values.cast(kind)))
 
 
 def labeler_votes(c: Column) -> dict[str, Column]:
-    """Each labeler's vote on a candidate: 1 personal or secret, -1 not, 0 no vote."""
+    """Each labeler's vote on a candidate: 1 personal or secret, -1 not, 0 no vote. None votes against what is
+    assigned to a cue for its shape: numbers may be short there, and passwords words."""
     pure = c["letters"] == 0
-    vote = lambda yes, no=F.lit(False): F.when(yes, 1).when(no, -1).otherwise(0)
+    told = c["cue"] & c["assigned"]
+    vote = lambda yes, no=F.lit(False): F.when(yes, 1).when(no & ~told, -1).otherwise(0)
     return {
         "shape_hex": vote(c["hex"] & (c["letters"] > 0) & (c["length"] >= 20), ~c["hex"] & (c["length"] < 12)),
         "shape_long": vote(c["length"] >= 24, c["length"] < 10),
@@ -132,7 +156,7 @@ def fit_reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int =
     return prior, tables, post
 
 
-FEATURES = ("one", "long", "mid", "mixed", "hex", "cue", "assigned", "cue_or_assigned_long")
+FEATURES = ("one", "long", "mid", "mixed", "hex", "cue", "assigned", "cue_or_assigned_long", "cue_and_assigned")
 
 
 def feature_columns(c: Column) -> dict[str, Column]:
@@ -146,20 +170,30 @@ def feature_columns(c: Column) -> dict[str, Column]:
         "cue": as_int(c["cue"]),
         "assigned": as_int(c["assigned"]),
         "cue_or_assigned_long": as_int((c["cue"] | c["assigned"]) & (c["length"] >= 12)),
+        "cue_and_assigned": as_int(c["cue"] & c["assigned"]),
     }
 
 
-def fit_classifier(rows: list[tuple[tuple[int, ...], float, int]], rounds: int = 400, rate: float = 0.8, decay: float = 1e-3) -> list[float]:
-    """Logistic regression on counted feature patterns with soft targets; at most 2 ** len(FEATURES) rows."""
-    weights, total = [0.0] * len(FEATURES), sum(n for _, _, n in rows) or 1
+def fit_classifier(rows: list[tuple[tuple[int, ...], float, int]], rounds: int = 40, decay: float = 1.0) -> list[float]:
+    """Logistic regression on counted feature patterns with soft targets, by Newton's steps, so that patterns of few
+    candidates are fit too; at most 2 ** len(FEATURES) rows."""
+    weights = np.zeros(len(FEATURES))
+    if not rows:
+        return weights.tolist()
+    x, target, n = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((n * (np.logaddexp(0, z) - target * z)).sum() + decay * (w @ w) / 2)
+
     for _ in range(rounds):
-        slope = [decay * w for w in weights]
-        for x, target, n in rows:
-            p = 1 / (1 + math.exp(-max(-30, min(30, sum(w * v for w, v in zip(weights, x))))))
-            for k, v in enumerate(x):
-                slope[k] += (p - target) * v * n / total
-        weights = [w - rate * s for w, s in zip(weights, slope)]
-    return weights
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        slope = x.T @ (n * (p - target)) + decay * weights
+        step, size = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + decay * np.eye(len(weights)), slope), 1.0
+        while size > 1e-6 and loss(weights - size * step) > loss(weights):
+            size /= 2
+        weights = weights - size * step
+    return weights.tolist()
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -168,7 +202,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
 
     Base kinds are always in the result. Other candidates that overlap no base span are voted on by the labelers; their reliabilities
     come from expectation-maximisation over all candidates, a logistic span classifier is trained on the
-    posteriors, and candidates that it scores at the threshold or above are added. A null text counts as empty;
+    posteriors, and candidates that it scores at the threshold or above are added, but for those inside another. A null text counts as empty;
     empty texts and tables have no spans; repeated rows are kept, each with its spans. Texts are read once and whole;
     the spans are written and the counted vote and feature patterns (a bounded number) reach the driver.
     """
@@ -205,7 +239,10 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
         return F.transform(spans, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
     kinds = [of_kind(k, k) for k in BASE]
-    added = F.filter("cand", accepted)
+    taken = F.filter("cand", accepted)
+    holds = lambda a, b: (a["start"] <= b["start"]) & (a["end"] >= b["end"]) & (a["end"] - a["start"] > b["end"] - b["start"])
+    found = found.withColumn("cand", taken)
+    added = F.filter("cand", lambda c: ~F.exists("cand", lambda o: holds(o, c)))
     kinds += [of_kind("account", F.filter(added, lambda c: c["letters"] == 0)), of_kind("secret", F.filter(added, lambda c: c["letters"] > 0))]
     return found.select(*kept, F.concat(*kinds).alias("spans"))
 

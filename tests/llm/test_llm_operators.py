@@ -157,6 +157,28 @@ def test_pii_base(spark):
     assert pii.find_pii(d.filter("doc_id < 0")).count() == 0
 
 
+def test_pii_values_after_cues(spark):
+    """Values with blanks and dashes or without a digit are found and masked; words that merely follow a cue are not."""
+    rng = random.Random(19)
+    cued = {
+        "my ssn: 123-45-6789, thanks": "123-45-6789",
+        "iban: GB82 WEST 1234 5698 7654 32 The rest": "GB82 WEST 1234 5698 7654 32",
+        'password = "correcthorsebattery"': "correcthorsebattery",
+        "passwd: 'correct horse'": "correct horse",
+        "api_key=abcdefghijkl.": "abcdefghijkl",
+        "account: 12345": "12345",
+        'token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"': "9b0b3c6a43eb78aa99cbd7049c572391524f37a8",
+    }
+    free = ["the secret garden is open", "on account of rain", "a token effort", "passport control", "tokenize this: now"]
+    texts = [f"{prose(rng, 20)} {t} {prose(rng, 5)}" for t in [*cued, *free]] + [prose(rng, 200) for _ in range(30)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(pii.find_pii(d))
+    for i, t in enumerate(texts):
+        assert [t[s["start"] : s["end"]] for s in got[i]["spans"]] == ([list(cued.values())[i]] if i < len(cued) else []), t
+    for r in pii.stage_pii(spark, d, "").collect():
+        assert not any(v in r["text"] for v in cued.values())
+
+
 def test_pii_stage_masks(spark):
     d = spark.createDataFrame([(1, "mail a@b.cd now", "en", "s", 15), (2, None, "en", "s", 0), (3, "plain", None, "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in pii.stage_pii(spark, d, "").collect()}
