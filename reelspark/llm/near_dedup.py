@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import read, saved, text_or_empty
+from reelspark.llm.common import flagged, read, saved, text_or_empty, without
 
 WORDS = 5
 #: Minwise tokens of a document; trees; levels of a tree; size up to which a node is compared exhaustively.
-TOKENS, TREES, LEVELS, NODE = 64, 12, 6, 48
+TOKENS, TREES, LEVELS, NODE = 64, 12, 6, 2048
 #: Standard deviations by which an estimate may lie below the threshold and still be confirmed on full sets.
 MARGIN = 4.0
-BLOCK = 256
+#: Documents and shingles of a block on average; a task holds two blocks of a node at once.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _rng = np.random.default_rng(20240301)
-_MULTIPLIERS = _rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
+_MULTIPLIERS = (_rng.integers(1, 1 << 31, TOKENS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_SHIFTS = _rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32)[:, None]
+_STRETCH = 2048
 
 
 class _WordHashes(dict):
@@ -65,35 +67,43 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def minwise(found: np.ndarray) -> np.ndarray:
-    """The minwise token of each permutation, as 32 bits."""
-    least = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(found), 4096):
-        part = found[start : start + 4096]
-        least = np.minimum(least, (part[None, :] * _MULTIPLIERS[:, None] + _SHIFTS[:, None]).min(1))
-    return (_mixed(least) >> np.uint64(32)).astype(np.uint32)
+    """The minwise token of each permutation of the shingles' upper halves, as 32 bits."""
+    x = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(TOKENS, np.iinfo(np.uint32).max, np.uint32)
+    for start in range(0, len(x), _STRETCH):
+        y = x[None, start : start + _STRETCH] * _MULTIPLIERS
+        y += _SHIFTS
+        np.minimum(least, y.min(1), out=least)
+    return least
 
 
-SIGNATURE = "doc_id long, n_shingles long, set_hash string, tokens array<int>, small binary"
+def set_hash(found: np.ndarray) -> bytes:
+    import xxhash
 
+    return xxhash.xxh3_128_digest(found.tobytes())
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """Of each row: the size of its set, a 128-bit hash of the set (null without words), its minwise tokens and these cut to a byte each."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+SIGNATURE = "doc_id long, n_shingles long, set_hash binary, tokens binary"
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+
+
+def signatures(base: DataFrame) -> DataFrame:
+    """Of each row (doc_id, text): the size of its set, a 128-bit hash of the set and its minwise tokens, 32 bits each. Hash
+    and tokens are null for a text without words; repeated rows and null ids stay."""
 
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 found = shingles(text)
-                if not len(found):
-                    rows.append((doc, 0, None, None, None))
-                    continue
-                tokens = minwise(found)
-                rows.append((doc, len(found), xxhash.xxh3_128_hexdigest(found.tobytes()), tokens.view(np.int32), (tokens & 255).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_hash", "tokens", "small"]).astype({"doc_id": "Int64"})
+                held = (set_hash(found), minwise(found).tobytes()) if len(found) else (None, None)
+                rows.append((doc, len(found), *held))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_hash", "tokens"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInPandas(sign, SIGNATURE)
+    return base.mapInPandas(sign, SIGNATURE)
 
 
 def least_estimate(percent: int) -> float:
@@ -101,119 +111,241 @@ def least_estimate(percent: int) -> float:
     return s - MARGIN * (s * (1 - s) / TOKENS) ** 0.5
 
 
+def _token(tokens: Column, at: Column) -> Column:
+    return F.substring(tokens, at * 4 + 1, F.lit(4))
+
+
 def _children(node: Column, tokens: Column, percent: int) -> Column:
     """Node keys below a node: one token chosen by the node, and with the probability 1 / similarity - 1 a second."""
     first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(TOKENS)).cast("int")
     second = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(TOKENS)).cast("int")
-    key = lambda at: F.xxhash64(node, at, tokens[at])
+    key = lambda at: F.xxhash64(node, at, _token(tokens, at))
     twice = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(10_000)) < int(10_000 * (100 / percent - 1))
     return F.when(twice & (first != second), F.array(key(first), key(second))).otherwise(F.array(key(first)))
 
 
-def candidate_links(classes: DataFrame, percent: int, trees: int = TREES, levels: int = LEVELS, node: int = NODE) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b, same; b is the smaller id, same the equal tokens) of a written table of classes (rep, tokens, small), and the nodes (node, rep, n) that
-    are still large below the last level.
+# comparing the documents of nodes
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key, from rows sorted by keys."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for batch in batches:
+        if batch.empty:
+            continue
+        k = batch[keys].to_numpy(np.int64)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1), len(batch)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if last is not None and tuple(k[lo]) != last:
+                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                held = []
+            last = tuple(k[lo])
+            held.append(batch.iloc[lo:hi])
+    if held:
+        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
+
+GROUP = ["node", "i", "j"]
+
+
+def _by_group(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+    """work on all rows of each node and pair of blocks, in one task that streams through the groups dealt to it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
+        for group in _groups(batches, GROUP):
+            made = work(group)
+            if made is not None and len(made):
+                out.append(made)
+                held += len(made)
+            if held >= 10_000:
+                yield pd.concat(out, ignore_index=True)
+                out, held = [], 0
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(run, schema)
+
+
+def _candidates(rows: pd.DataFrame, least: float, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places x, y of pairs whose estimate reaches `least`, and their equal tokens, the most alike first. Left out are pairs of one label,
+    pairs inside a block of a group of two, and pairs that meet in the root of an earlier tree which is compared whole."""
+    t = np.frombuffer(b"".join(rows["tokens"]), np.uint32).reshape(len(rows), TOKENS)
+    small = t.astype(np.uint8)
+    label, block = rows["label"].to_numpy(), rows["block"].to_numpy()
+    at, tree = rows["at"].to_numpy(), int(rows["tree"].iloc[0])
+    two, pivot = rows["i"].iloc[0] != rows["j"].iloc[0], int(rows["pivot"].iloc[0])
+    held = np.flatnonzero(rows["cls"].to_numpy() == pivot)[:1] if pivot >= 0 else range(len(rows) - 1)
+    xs, ys, sames = [], [], []
+    for k in held:
+        lo = 0 if pivot >= 0 else k + 1
+        same = (small[lo:] == small[k]).sum(1)
+        hit = np.flatnonzero((same >= least * TOKENS) & (label[lo:] != label[k])) + lo
+        if two and pivot < 0:
+            hit = hit[block[hit] != block[k]]
+        xs.append(np.full(len(hit), k))
+        ys.append(hit)
+        sames.append(same[hit - lo])
+    if not xs:
+        return (np.zeros(0, np.int64),) * 3
+    x, y, same = np.concatenate(xs), np.concatenate(ys), np.concatenate(sames)
+    if len(x):
+        earlier = ((t[x, :tree] == t[y, :tree]) & ((at[x][:, None] >> np.arange(tree)) & 1).astype(bool)).any(1)
+        order = np.argsort(-same[~earlier], kind="stable")
+        x, y, same = x[~earlier][order], y[~earlier][order], same[~earlier][order]
+    return x, y, same
+
+
+#: pivot: the class that all others of the group are compared to, or -1; at: trees whose root holds the class and is compared whole, as bits.
+MEMBER = "node long, i int, j int, block int, tree int, pivot long, cls long, label long, at long, tokens binary"
+
+
+def _involved(groups: DataFrame, percent: int, trees: int) -> DataFrame:
+    """Those members that some candidate pair of their group needs."""
+    least = least_estimate(percent)
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame | None:
+        x, y, _ = _candidates(rows, least, trees)
+        return rows.iloc[np.union1d(x, y)] if len(x) else None
+
+    return _by_group(groups, work, MEMBER)
+
 
-    A node of up to `node` documents is compared exhaustively by its minwise tokens. In a larger one each document is compared to
-    the node's smallest id, and the node branches. Single documents end at once."""
+def _confirmed(groups: DataFrame, percent: int, trees: int) -> DataFrame:
+    """Links (a, b) of classes whose full sets have 100 * intersection >= percent * union, of each group as many as join what is linked in it.
+    groups: MEMBER and shingles."""
     least = least_estimate(percent)
 
-    @F.pandas_udf("array<struct<a:long,b:long,same:int>>")
-    def alike(ids: pd.Series, small: pd.Series) -> pd.Series:
-        out = []
-        for held, tokens in zip(ids, small):
-            m = np.frombuffer(b"".join(tokens), np.uint8).reshape(len(held), TOKENS)
-            same = np.triu((m[:, None, :] == m[None, :, :]).sum(2), 1)
-            x, y = np.nonzero(same >= least * TOKENS)
-            out.append([{"a": max(held[i], held[j]), "b": min(held[i], held[j]), "same": int(same[i, j])} for i, j in zip(x, y)])
-        return pd.Series(out)
-
-    @F.pandas_udf("int")
-    def same_tokens(x: pd.Series, y: pd.Series) -> pd.Series:
-        read = lambda c: np.frombuffer(b"".join(c), np.uint8).reshape(len(c), TOKENS)
-        return pd.Series((read(x) == read(y)).sum(1), dtype="int32")
-
-    roots = F.array(*[F.xxhash64(F.lit(f"tree {t}"), F.col("tokens")[t % TOKENS]) for t in range(trees)])
-    members = classes.select("rep", F.explode(roots).alias("node"))
-    found, rest = [], None
-    for level in range(levels):
-        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
-        at = saved(members.join(sizes, "node"), f"level{level}")
-        few = at.filter(F.col("n") <= node).select("node", "rep").join(classes.select("rep", "small"), "rep")
-        grouped = few.groupBy("node").agg(F.collect_list(F.struct("rep", "small")).alias("m"))
-        pairs = grouped.select(F.explode(alike("m.rep", "m.small")).alias("p")).select("p.a", "p.b", "p.same")
-        many = at.filter(F.col("n") > node)
-        small = lambda key, name: classes.select(F.col("rep").alias(key), F.col("small").alias(name))
-        hubs = many.filter(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        hubs = hubs.join(small("a", "x"), "a").join(small("b", "y"), "b").select("a", "b", same_tokens("x", "y").alias("same"))
-        found += [pairs, hubs.filter(F.col("same") >= least * TOKENS)]
-        rest = many.select("node", "rep", "n")
-        if many.isEmpty():
-            break
-        members = many.select("node", "rep").join(classes.select("rep", "tokens"), "rep").select("rep", F.explode(_children(F.col("node"), F.col("tokens"), percent)).alias("node"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    return saved(pairs.distinct(), "candidates"), rest
-
-
-def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union. texts: rep, text."""
-
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, other = None, None
+    def work(rows: pd.DataFrame) -> pd.DataFrame | None:
+        x, y, _ = _candidates(rows, least, trees)
+        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
+        root = list(range(len(rows)))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        kept = []
+        for p, q in zip(x.tolist(), y.tolist()):
+            a, b = find(p), find(q)
+            n, m = len(sets[p]), len(sets[q])
+            if a != b and 100 * min(n, m) >= percent * max(n, m):
+                common = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                if 100 * common >= percent * (n + m - common):
+                    root[a] = b
+                    kept.append((p, q))
+        if not kept:
+            return None
+        cls = rows["cls"].to_numpy()
+        p, q = np.array(kept).T
+        return pd.DataFrame({"a": cls[p], "b": cls[q]})
+
+    return _by_group(groups, work, "a long, b long")
+
+
+def _full_sets(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set_hash and shingles of the wanted sets (doc_id, set_hash), from texts: of the corpus only rows whose id may be wanted leave
+    the scan, and only their sets are shuffled."""
+    mark = "maybe"
+    some = flagged(base, [F.col("doc_id")], wanted, [F.col("doc_id")], mark).filter(mark).select("text")
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            held = []
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"]):
-                if b != last:  # rows come sorted by b
-                    last, other = b, shingles(y)
-                mine = shingles(x)
-                common = len(mine) + len(other) - len(np.union1d(mine, other))
-                held.append(100 * common >= percent * (len(mine) + len(other) - common))
-            yield batch.loc[np.array(held, bool), ["a", "b"]]
-
-    with_x = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
-    both = with_x.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(confirm, "a long, b long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """rep and label of every end of a written table of links (a, b): label is the smallest id reachable. Labels spread along
-    links and jump along labels until none changes; each round is written."""
+            found = [shingles(t) for t in batch["text"]]
+            yield pd.DataFrame([(set_hash(f), f.tobytes()) for f in found if len(f)], columns=["set_hash", "shingles"])
+
+    encoded = some.mapInPandas(encode, "set_hash binary, shingles binary")
+    named = flagged(encoded, [F.col("set_hash")], wanted, [F.col("set_hash")], mark).filter(mark).drop(mark)
+    return named.groupBy("set_hash").agg(F.first("shingles").alias("shingles"))
+
+
+def components(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """cls and label of every end of a written table of links (a, b): label is the id and class of the smallest doc_id reachable, a
+    struct. ids: cls, doc_id. Labels spread along links and jump along labels until none changes; each round is written."""
     ends = links.select("a", "b").union(links.select("b", "a"))
-    labels = saved(ends.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    mine = ends.select(F.col("a").alias("cls")).distinct().join(ids, "cls").select("cls", F.struct("doc_id", "cls").alias("label"))
+    labels = saved(mine, "labels")
     while True:
-        heard = ends.join(labels.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("label").alias("heard"))
-        spread = labels.join(heard, "rep").select("rep", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        jump = spread.select(F.col("rep").alias("label"), F.col("label").alias("further"))
-        new = saved(spread.join(jump, "label", "left").select("rep", "old", F.least("label", "further").alias("label")), "labels")
-        labels = new.select("rep", "label")
+        heard = ends.join(labels.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("label").alias("heard"))
+        spread = labels.join(heard, "cls").select("cls", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        jump = spread.select(F.col("cls").alias("_to"), F.col("label").alias("further"))
+        new = spread.join(jump, F.col("label.cls") == F.col("_to"), "left").select("cls", "old", F.coalesce(F.least("label", "further"), "label").alias("label"))
+        new = saved(new, "labels")
+        labels = new.select("cls", "label")
         if new.filter("label != old").isEmpty():
             return labels
 
 
-def cross_pairs(rest: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs inside nodes that stayed large, between documents not yet in one component. The node is cut into blocks,
-    and every pair of blocks is a group of its own, so none holds more than two blocks."""
-    least = least_estimate(percent)
-    tagged = rest.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = tagged.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("node")
-    m = tagged.join(mixed, "node").join(classes.select("rep", "small"), "rep")
-    m = m.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    m = m.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "rep", "label", "small", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep").reset_index(drop=True)
-        t = np.frombuffer(b"".join(rows["small"]), np.uint8).reshape(len(rows), TOKENS)
-        label, rep = rows["label"].to_numpy(), rows["rep"].to_numpy()
-        a, b = [], []
-        for k in range(1, len(rows)):
-            hit = np.flatnonzero(((t[:k] == t[k]).sum(1) >= least * TOKENS) & (label[:k] != label[k]))
-            a += [rep[k]] * len(hit)
-            b += rep[hit].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return m.groupBy("node", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+def _blocks(members: DataFrame) -> DataFrame:
+    """members (node, tree, cls, n, total and more) dealt to pairs of blocks of their node: rows of each pair (i, j), i <= j."""
+    count = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    m = members.withColumn("_count", count).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("_count")).cast("int"))
+    m = m.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+    return m.withColumn("i", F.least("block", "_k")).withColumn("j", F.greatest("block", "_k")).withColumn("pivot", F.lit(-1).cast("long"))
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """members (node, tree, cls, n, total, first) dealt to groups of a block's size, the node's first class in each."""
+    count = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("cls"), count).cast("int")
+    places = F.when(F.col("cls") == F.col("first"), F.sequence(F.lit(0), count - 1)).otherwise(F.array(own))
+    m = members.withColumn("i", F.explode(places)).withColumn("j", F.col("i"))
+    return m.withColumn("block", F.col("i")).withColumn("pivot", F.col("first"))
+
+
+def find_links(base: DataFrame, classes: DataFrame, percent: int, trees: int = TREES, levels: int = LEVELS, node: int = NODE) -> DataFrame:
+    """Links (a, b) between classes (cls, doc_id, n_shingles, set_hash, tokens; a written table), enough that what is linked is joined.
+
+    Each of the trees has a root for each value of one token. A node of up to `node` classes is compared exhaustively: pairs by their minwise
+    tokens, and those that may reach the threshold on full sets, inside the task that holds the node or two blocks of it. Of a larger node all are compared to
+    its first class, then it branches; nodes whose classes are all joined by then end. Those still large at the last level are compared in
+    blocks, whatever their size."""
+    if trees > TOKENS:
+        raise ValueError("a tree needs a token of its own")
+    roots = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(f"tree {t}"), F.substring("tokens", 4 * t + 1, 4)).alias("node")) for t in range(trees)])
+    members = classes.select("cls", "n_shingles", F.explode(roots).alias("r")).select("cls", "n_shingles", "r.tree", "r.node")
+    ids = classes.select("cls", "doc_id")
+    links = labels = at_roots = None
+
+    def confirm(groups: DataFrame) -> DataFrame:
+        rows = saved(_involved(groups.select(*[c.split()[0] for c in MEMBER.split(", ")]), percent, trees), "involved")
+        wanted = rows.select("cls").distinct().join(classes.select("cls", "doc_id", "set_hash"), "cls")
+        wanted = saved(wanted, "wanted")
+        sets = wanted.join(_full_sets(base, wanted), "set_hash").select("cls", "shingles")
+        return saved(_confirmed(rows.join(sets, "cls"), percent, trees), "links")
+
+    for level in range(levels):
+        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("cls").alias("first")).filter("n > 1")
+        at = saved(members.join(sizes, "node"), f"level{level}")
+        if at_roots is None:
+            bit = F.when(F.col("n") <= node, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tree"))).otherwise(F.lit(0).cast("long"))
+            at_roots = saved(at.groupBy("cls").agg(F.bit_or(bit).alias("at")), "roots")
+        some = flagged(classes.select("cls", "tokens"), [F.col("cls")], at_roots, [F.col("cls")], "maybe").filter("maybe").drop("maybe")
+        known = some.join(at_roots, "cls")
+        tagged = at.join(known, "cls")
+        tagged = tagged.join(labels.select("cls", F.col("label.cls").alias("label")), "cls", "left") if labels is not None else tagged.withColumn("label", F.col("cls"))
+        tagged = tagged.withColumn("label", F.coalesce("label", "cls"))
+        many = F.col("n") > node
+        groups = _blocks(tagged.filter(~many))
+        large = not at.filter(many).isEmpty()
+        if large:
+            groups = groups.unionByName(_stars(tagged.filter(many)), allowMissingColumns=True)
+        new = confirm(groups)
+        links = new if links is None else saved(links.union(new), "links")
+        if not large:
+            return links
+        labels = components(links, ids)
+        held = at.filter(many).join(labels.select("cls", F.col("label.cls").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        mixed = held.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("node")
+        rest = saved(held.join(mixed, "node"), "rest")
+        if rest.isEmpty():
+            return links
+        deeper = rest.join(classes.select("cls", "tokens"), "cls")
+        members = deeper.select("cls", "n_shingles", F.lit(trees).alias("tree"), F.explode(_children(F.col("node"), F.col("tokens"), percent)).alias("node"))
+    return saved(links.union(confirm(_blocks(rest.join(classes.select("cls", "tokens"), "cls").join(at_roots, "cls")))), "links")
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, trees: int = TREES, levels: int = LEVELS, node: int = NODE) -> DataFrame:
@@ -225,37 +357,19 @@ def near_dedup(docs: DataFrame, percent: int = 85, trees: int = TREES, levels: i
     are linked to those of the same words only. Documents of equal sets form a class that acts as one. Rows that repeat a
     doc_id are one document per distinct set. A null doc_id has a null component and is kept. An empty table gives an empty result.
 
-    Of every document the closest candidate and the smallest likely one are confirmed first; of the others only those between components. Texts
-    of candidates are shuffled, others never after the semi join that picks them.
+    Texts are not shuffled; sets are, of those documents that have a candidate.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    base = _base(docs)
     signed = saved(signatures(base), "signatures")
-    by_set = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("small").alias("small"))
-    classes = saved(by_set, "classes")
-    candidates, rest = candidate_links(classes, percent, trees, levels, node)
-    involved = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = saved(base.join(involved, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("text").alias("text")), "texts")
-    likely = F.when(F.col("same") >= percent / 100 * TOKENS, F.col("b"))
-    best = candidates.groupBy("a").agg(F.min(likely).alias("hub"), F.max_by("b", F.struct("same", (-F.col("b")).alias("low"))).alias("closest"))
-    star = best.select("a", F.explode(F.array_distinct(F.array_compact(F.array("hub", "closest")))).alias("b"))
-    links = saved(linked(star, texts, percent), "links")
-    labels = components(links)
-    side = lambda c: labels.select(F.col("rep").alias(c), F.col("label").alias(f"{c}_label"))
-    more = candidates.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    apart = more.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
-    if rest is not None and not rest.isEmpty():
-        apart = apart.union(cross_pairs(rest, classes, labels, percent)).distinct()
-    apart = saved(apart, "apart")
-    if not apart.isEmpty():
-        needed = apart.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(texts, "rep", "left_anti")
-        if not needed.isEmpty():
-            late = base.join(needed, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("text").alias("text"))
-            texts = texts.union(saved(late, "texts"))
-        links = saved(links.union(linked(apart, texts, percent)), "links")
-        labels = components(links)
-    of_set = classes.select("set_hash", "rep").join(labels, "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(of_set, "set_hash", "left")
-    component = F.coalesce("component", "doc_id")
+    known = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
+    by_set = known.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
+    classes = saved(by_set.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    links = find_links(base, classes, percent, trees, levels, node)
+    labels = components(links, classes.select("cls", "doc_id"))
+    of_class = labels.select("cls", F.col("label.doc_id").alias("component")).filter(F.col("component").isNotNull())
+    grown = classes.select("cls", "set_hash", "doc_id").join(of_class, "cls", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component"))
+    out = signed.select("doc_id", "n_shingles", "set_hash").join(grown, "set_hash", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
@@ -264,9 +378,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group stays, at a similarity of 0.8."""
-    kept = near_dedup(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """Pipeline stage: one document of each near-duplicate group stays, at a similarity of 0.8. Nulls, empty and repeated
+    texts as in near_dedup; of rows that repeat a doc_id all stay if one of them does. An empty table stays empty, all columns stay."""
+    found = saved(near_dedup(docs, percent=80), "near")
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id")
+    return without(docs, [F.col("doc_id").cast("long")], gone, [F.col("doc_id")])
 
 
 QUERIES = {"op3_near_dedup": op3_near_dedup}
