@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import WHITE, read, saved, text_or_empty
+from reelspark.llm.common import WHITE, read, saved, text_or_empty, without
 
 
 def normalised(text: Column) -> Column:
     return F.translate(text, WHITE, "")
 
 
+def _hashed(docs: DataFrame, content_hash: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
+    whole = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).select("doc_id", F.length("text").cast("long").alias("n"), normalised(F.col("text")).alias("norm"))
+    return whole.withColumn("h", content_hash(F.col("norm")))
+
+
 def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -26,8 +31,7 @@ def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md
     Spark compares its bytes and copies collapse before the shuffle; only digests are joined back. Texts that
     share a content hash and differ are grouped by the text itself.
     """
-    whole = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).select("doc_id", F.length("text").cast("long").alias("n"), normalised(F.col("text")).alias("norm"))
-    whole = whole.withColumn("h", content_hash(F.col("norm")))
+    whole = _hashed(docs, content_hash, id_col, text_col)
     light = saved(whole.select("doc_id", "n", "h", F.sha2("norm", 256).alias("text_sha256")), "exact")
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
     texts = whole.groupBy("h", "norm").agg(F.count("*").alias("rows")).groupBy("h").agg(F.count("*").alias("texts"))
@@ -48,9 +52,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows that exact_dedup keeps, with the columns they came with."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept.dropDuplicates(), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """Pipeline stage: the rows that exact_dedup keeps, with the columns they came with; nulls, ties, repeated rows and empty
+    tables as there. Of the texts only those that may be dropped are shuffled once more."""
+    gone = saved(exact_dedup(docs).filter("NOT kept").select("doc_id", "text_sha256"), "gone")
+    digest = F.sha2(normalised(text_or_empty("text")), 256)
+    return without(docs, [F.col("doc_id"), digest], gone, [F.col("doc_id"), F.col("text_sha256")])
 
 
 QUERIES = {"op5_exact_dedup": op5_exact_dedup}

@@ -19,7 +19,6 @@ MARGIN = 4.0
 #: Documents and shingles of a block on average; a task holds two blocks of a node at once.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _rng = np.random.default_rng(20240301)
 _MULTIPLIERS = (_rng.integers(1, 1 << 31, TOKENS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -27,21 +26,60 @@ _SHIFTS = _rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32)[:, None]
 _STRETCH = 2048
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, kept for as many words as fit the limit."""
+#: Hashing of words: a number for each byte (a capital has its small letter's), times a power by its place. White space has none.
+_BYTES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BASE = 0x9E3779B97F4A7C15
+_PIECE = 1 << 20
 
-    limit = 1_000_000
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+class _Powers:
+    """Powers of the base and of its inverse, modulo 2 ** 64, as many as were asked for so far."""
 
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
 
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            run = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]))
+            self.up, self.down = run(_BASE), run(pow(_BASE, -1, 1 << 64))
+        return self.up[:n], self.down[:n]
 
-_hashes = _WordHashes()
+
+_powers = _Powers()
+
+
+def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+    """data cut at white space, so that a piece is about _PIECE bytes, and longer only where a word is."""
+    start = 0
+    while len(data) - start > _PIECE:
+        cut = start + _PIECE
+        while cut < len(data):
+            gap = np.flatnonzero(_SPACES[data[cut : cut + _PIECE]])
+            if len(gap):
+                cut += int(gap[0])
+                break
+            cut += _PIECE
+        yield data[start:cut]
+        start = cut
+    if start < len(data):
+        yield data[start:]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word, the same for A-Z and a-z. Words are parted by ASCII white space only."""
+    out = [np.zeros(0, np.uint64)]
+    for b in _pieces(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)):
+        space = _SPACES[b]
+        edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        up, down = _powers.of(len(b) + 1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTES[b] * up[:-1], out=sums[1:])
+        out.append((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return out[-1] if len(out) == 2 else np.concatenate(out)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,17 +91,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `words` words; of the whole sequence where there are fewer; none
     without words. A-Z are lower-cased, words are parted by ASCII white space only."""
-    parts = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, parts), np.uint64, len(parts))
+    h = _mixed(word_hashes(text))
+    if not len(h):
+        return h
     n = len(h)
     if n < words:
         return _mixed((h * _POWERS[:n]).sum(keepdims=True) + np.uint64(n))
     out = np.zeros(n - words + 1, np.uint64)
     for k in range(words):
         out += h[k : n - words + 1 + k] * _POWERS[k]
-    return np.unique(_mixed(out))
+    out = np.sort(_mixed(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def minwise(found: np.ndarray) -> np.ndarray:

@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import read, text_or_empty
+from reelspark.llm.common import fresh, read, text_or_empty
 
 #: Bytes of a passage; a text's last passage may be shorter.
 PASSAGE = 1024
 #: Labelled rows that a model is fit on at most, those with the smallest hash of their id.
 SAMPLE = 4000
-#: Bytes of text worked on at once inside a task.
-SLICE = 2_000_000
+#: Bytes of texts and passages worked on at once inside a task.
+SLICE, PASSAGES = 1_000_000, 512
 BIGRAMS, TRIGRAMS, HIDDEN = 96, 2048, 24
 
 
@@ -50,15 +50,20 @@ N_FEATURES = N_CLASSES + BIGRAMS + 6
 
 
 def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage, and the number of passages of each text (one at least)."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    counts = np.maximum(1, -(-sizes // PASSAGE))
-    n = int(counts.sum())
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    first = np.repeat(np.cumsum(counts) - counts, sizes)
-    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    passage = first + (np.arange(len(data)) - starts) // PASSAGE
-    length = np.bincount(passage, minlength=n).astype(np.float64)
+    """Features of every passage, and the number of passages of each text (one at least). Passages are worked on some
+    hundred at a time, however many or long the texts are."""
+    counts = np.array([max(1, -(-len(t) // PASSAGE)) for t in texts], np.int64)
+    held = [t[k : k + PASSAGE] for t in texts for k in range(0, max(len(t), 1), PASSAGE)]
+    made = [_features(held[k : k + PASSAGES]) for k in range(0, len(held), PASSAGES)]
+    return np.vstack(made) if made else np.zeros((0, N_FEATURES), np.float32), counts
+
+
+def _features(passages: list[bytes]) -> np.ndarray:
+    n = len(passages)
+    sizes = np.array([len(p) for p in passages], np.int64)
+    data = np.frombuffer(b"".join(passages), np.uint8)
+    passage = np.repeat(np.arange(n), sizes)
+    length = sizes.astype(np.float64)
     safe = np.maximum(length, 1)[:, None]
     kinds = CLASSES[data]
     share = np.bincount(passage * N_CLASSES + kinds, minlength=n * N_CLASSES).reshape(n, N_CLASSES) / safe
@@ -74,7 +79,7 @@ def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     peak = np.sqrt((tri.astype(np.float64) ** 2).sum(1)) / total
     words = share[:, 4] + share[:, 5]
     extra = np.stack([distinct, peak, tri.max(1, initial=0) / total, words, np.log1p(length) / 8, share[:, 7:].sum(1)], 1)
-    return np.hstack([np.sqrt(share), np.sqrt(bi), extra]).astype(np.float32), counts
+    return np.hstack([np.sqrt(share), np.sqrt(bi), extra]).astype(np.float32)
 
 
 def _slices(sizes: list[int], limit: int = SLICE) -> Iterator[slice]:
@@ -129,10 +134,10 @@ def train(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs:
     return m | {"mean": mean, "std": std}
 
 
-def score_texts(m: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
+def score_texts(m: dict[str, np.ndarray], texts: list[str]) -> np.ndarray:
     out = []
     for part in _slices([len(t) for t in texts]):
-        f, counts = passage_features(texts[part])
+        f, counts = passage_features([t.encode("utf-8", "replace") for t in texts[part]])
         x = np.clip((f - m["mean"]) / m["std"], -6, 6).astype(np.float32)
         out.append(_forward(m, x, np.cumsum(counts) - counts, counts)[-1])
     return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
@@ -162,20 +167,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
     return train(np.vstack(parts), np.array([len(p) for p in parts]), y)
 
 
-def score_quality(docs: DataFrame, model: dict[str, np.ndarray] | None, carry: list[str] | None = None) -> DataFrame:
-    """carry (doc_id unless given) and score, 0 to 1: how likely a text is of label 1. Only the text is an input;
-    null counts as empty, which has one empty passage. Without a model every score is 0.5."""
-    carry = carry or ["doc_id"]
-    kept = docs.select(F.struct(*carry).alias("row"), text_or_empty("text").alias("text"))
+def with_score(docs: DataFrame, model: dict[str, np.ndarray] | None, name: str) -> DataFrame:
+    """docs with a column `name`, 0 to 1: how likely the text is of label 1. Only the text is an input;
+    null counts as empty, which has one empty passage; repeated rows are scored each. Without a model every score is 0.5."""
     if model is None:
-        return kept.select("row.*", F.lit(0.5).alias("score"))
+        return docs.withColumn(name, F.lit(0.5))
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series(score_texts(model, [t.encode("utf-8", "replace") for t in batch]))
+            yield pd.Series(score_texts(model, batch.tolist()))
 
-    return kept.select("row.*", score("text").alias("score"))
+    return docs.withColumn(name, score(text_or_empty("text")))
+
+
+def score_quality(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
+    """doc_id and score of every row, see with_score."""
+    return with_score(docs.select("doc_id", "text"), model, "score").select("doc_id", "score")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,10 +194,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
-    model = fit(docs, read(spark, sf_dir, "labels"))
-    scored = score_quality(docs.withColumn("_row", F.struct(*docs.columns)), model, ["_row"])
-    return scored.filter(F.col("score") >= 0.3).select("_row.*")
+    """Pipeline stage: documents that the classifier rejects go; all columns stay. Null and empty texts are scored as any
+    other, repeated rows stay or go together, an empty table stays empty."""
+    name = fresh(docs, "_score")
+    return with_score(docs, fit(docs, read(spark, sf_dir, "labels")), name).filter(F.col(name) >= 0.3).drop(name)
 
 
 QUERIES = {"op10_quality": op10_quality}
