@@ -13,8 +13,12 @@ from reelspark.llm.common import read, text_or_empty
 
 #: Distinct words whose ids are looked up as a literal; all other words are folded where they stand.
 COMMON = 1 << 17
-NONE = (1 << 31) - 1
-BUCKETS = 1 << 15
+#: Buckets of the table of pairs.
+BUCKETS = 1 << 17
+#: While words are folded an id is the character of the code point FIRST + id; these sort as the ids do.
+FIRST = 0x10000
+#: What a bucket and each of its entries begin with, and what parts a word from its ids there; they sort after all ids.
+MARK, PART = chr(0x10FFFE), chr(0x10FFFD)
 
 
 def default_ranks() -> str:
@@ -36,26 +40,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankMap:
-    """Literals of one vocabulary: the rank of each piece, by the piece's bytes as Latin-1 text in hash buckets; the bytes of
-    each id and its four-byte form, as hex. Their size is that of the vocabulary."""
+    """Literals of one vocabulary: the character of each byte's id; the pairs that merge, each as the two characters and that of the
+    id they merge to, between MARKs in hash buckets of one string each; the bytes of each id and its four-byte form, as hex. Their size is that of the vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for piece, rank in ranks.items():
-            text = piece.decode("latin-1")
-            buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
+        char = {piece: chr(FIRST + rank) for piece, rank in ranks.items()}
+        buckets = [MARK] * BUCKETS
+        for piece in ranks:
+            for k in range(1, len(piece)):
+                if piece[:k] in char and piece[k:] in char:
+                    pair = char[piece[:k]] + char[piece[k:]]
+                    buckets[zlib.crc32(pair.encode()) % BUCKETS] += pair + char[piece] + MARK
         top = max(ranks.values(), default=-1) + 1
         by_id = [""] * top
         for piece, rank in ranks.items():
             by_id[rank] = piece.hex()
         literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
-        self.ranks = literal(buckets, "array<map<string,int>>")
+        self.single = "".join(char[bytes([k])] for k in range(256))
+        self.pairs = literal(buckets, "array<string>")
         self.pieces = literal(by_id, "array<string>")
         self.packed = literal([k.to_bytes(4, "little").hex() for k in range(top)], "array<string>")
 
     def fold(self, words: Column) -> Column:
-        """Ids of each word of an array."""
-        return let(self.ranks, lambda ranks: F.transform(words, lambda word: _fold(word, ranks)))
+        """Ids of each word of an array, as a string of characters."""
+        return let(self.pairs, lambda pairs: F.transform(words, lambda word: _fold(word, self.single, pairs)))
 
 
 def let(value: Column, body) -> Column:
@@ -63,46 +71,44 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _rank(table: Column, piece: Column) -> Column:
-    return F.get(table, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int"))[piece]
-
-
-def _fold(word: Column, table: Column) -> Column:
-    """Ids of one word: while two neighbours together have a rank, the leftmost pair of the lowest rank becomes one piece."""
-    rank = lambda a, b: F.coalesce(_rank(table, F.concat(a, b)), F.lit(NONE))
-    chars = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
-    none = F.array().cast("array<int>")
-
-    def state(parts: Column, ranks: Column) -> Column:
-        return F.struct(parts.alias("parts"), ranks.alias("ranks"), F.coalesce(F.array_min(ranks), F.lit(NONE)).alias("least"))
+def _fold(word: Column, single: str, pairs: Column) -> Column:
+    """Ids of one word as characters: while two neighbours merge, the leftmost pair of the lowest id becomes that id."""
 
-    def start(parts: Column) -> Column:
-        n = F.greatest(F.size(parts) - 1, F.lit(0))
-        return let(F.zip_with(F.slice(parts, 1, n), F.slice(parts, 2, n), rank), lambda ranks: state(parts, ranks))
+    def merged(pair: Column) -> Column:
+        """What two neighbours merge to, or MARK: what follows the pair in its bucket, else the bucket's first character."""
+        held = F.get(pairs, (F.crc32(pair.cast("binary")) % BUCKETS).cast("int"))
+        return F.substring(F.call_function("substring_index", held, F.concat(F.lit(MARK), pair), F.lit(-1)), 1, 1)
 
-    def merge(acc: Column, p: Column) -> Column:
+    def merge(acc: Column, least: Column) -> Column:
         parts, ranks = acc["parts"], acc["ranks"]
-        n = F.size(parts)
 
-        def around(new: Column) -> Column:
-            left = F.when(p > 1, F.array(rank(F.get(parts, p - 2), new))).otherwise(none)
-            right = F.when(p < n - 1, F.array(rank(new, F.get(parts, p + 1)))).otherwise(none)
-            merged = F.concat(F.slice(parts, 1, p - 1), F.array(new), F.slice(parts, p + 2, n))
-            ranked = F.concat(F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n))
-            return let(ranked, lambda r: state(merged, r))
+        def at(p: Column) -> Column:
+            n = F.length(parts)
+            left = F.when(p > 1, merged(F.concat(F.substring(parts, p - 1, F.lit(1)), least))).otherwise("")
+            right = F.when(p < n - 1, merged(F.concat(least, F.substring(parts, p + 2, F.lit(1))))).otherwise("")
+            return F.struct(
+                F.concat(F.substring(parts, F.lit(1), p - 1), least, F.substring(parts, p + 2, n)).alias("parts"),
+                F.concat(F.substring(ranks, F.lit(1), p - 2), left, right, F.substring(ranks, p + 2, n)).alias("ranks"),
+            )
 
-        return let(F.concat(F.get(parts, p - 1), F.get(parts, p)), around)
-
-    def first_least(acc: Column) -> Column:
-        return F.get(F.filter(F.sequence(F.lit(1), F.size(acc["ranks"])), lambda i: F.get(acc["ranks"], i - 1) == acc["least"]), F.lit(0))
+        return let(F.instr(ranks, least), at)
 
     def step(acc: Column, _: Column) -> Column:
-        return F.when(acc["least"] == NONE, acc).otherwise(let(first_least(acc), lambda p: merge(acc, p)))
+        return let(F.array_min(F.split(acc["ranks"], "")), lambda least: F.when(least == MARK, acc).otherwise(merge(acc, least)))
 
     def folded(parts: Column) -> Column:
-        return F.when(F.size(parts) < 2, parts).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(parts)), start(parts), step, lambda acc: acc["parts"]))
+        n = F.length(parts)
+        pairs_of = F.transform(F.sequence(F.lit(1), n - 1), lambda i: merged(F.substring(parts, i, F.lit(2))))
+        start = F.struct(parts.alias("parts"), F.array_join(pairs_of, "").alias("ranks"))
+        return F.when(n < 2, parts).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step, lambda acc: acc["parts"]))
+
+    latin = "".join(map(chr, range(256)))
+    return let(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), latin, single), folded)
 
-    return F.transform(let(F.filter(chars, lambda c: c != ""), folded), lambda piece: _rank(table, piece))
+
+def ids_of(chars: Column) -> Column:
+    """Array of int of ids given as characters."""
+    return F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), lambda c: F.ascii(c) - FIRST)
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -110,38 +116,51 @@ def words_of(text: Column, pattern: str) -> Column:
 
 
 def common_words(docs: DataFrame, rank_map: RankMap, pattern: str, size: int) -> tuple[Column, int] | None:
-    """The ids of the most frequent words of all documents, as a literal of `size` words at most in hash buckets."""
+    """The ids of the most frequent words of all documents, as a literal of `size` words at most: each as word, PART and ids, between
+    MARKs in hash buckets of one string each. Words of over 64 bytes or with one of these marks stay out."""
     counted = docs.select(F.explode(words_of(text_or_empty("text"), pattern)).alias("word")).groupBy("word").count()
-    top = counted.orderBy(F.desc("count"), "word").limit(size).repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    n = max(1, size // 2)
-    folded = top.groupBy(F.pmod(F.xxhash64("word"), F.lit(n)).cast("int").alias("bucket")).agg(F.collect_list("word").alias("k"))
-    rows = folded.select("bucket", "k", rank_map.fold(F.col("k")).alias("v")).collect()
+    plain = counted.filter((F.octet_length("word") <= 64) & ~F.contains("word", F.lit(MARK)) & ~F.contains("word", F.lit(PART)))
+    top = plain.orderBy(F.desc("count"), "word").limit(size).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    n = max(1, size)
+    entries = F.collect_list("word").alias("k")
+    folded = top.groupBy(F.pmod(F.xxhash64("word"), F.lit(n)).cast("int").alias("bucket")).agg(entries)
+    joined = F.array_join(F.zip_with("k", rank_map.fold(F.col("k")), lambda w, ids: F.concat(w, F.lit(PART), ids, F.lit(MARK))), "")
+    rows = folded.select("bucket", F.concat(F.lit(MARK), joined).alias("held")).collect()
     if not rows:
         return None
-    buckets: list[dict[str, list[int]]] = [{} for _ in range(n)]
+    buckets = [MARK] * n
     for r in rows:
-        buckets[r["bucket"]] = dict(zip(r["k"], r["v"]))
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<int>>>"), n
+        buckets[r["bucket"]] = r["held"]
+    return F.from_json(F.lit(json.dumps(buckets)), "array<string>"), n
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, common: int = COMMON) -> DataFrame:
-    """doc_id and ids (array of int) of every text, as a byte-level BPE encoder without special tokens gives them;
-    null counts as empty, an empty text has no ids, repeated rows are encoded each. Documents are not shuffled:
-    only words are, to count the distinct ones; the most frequent are folded once and looked up, others folded in place."""
-    rank_map = RankMap(read_ranks(ranks_path or default_ranks()))
+def encode_chars(docs: DataFrame, rank_map: RankMap, pattern: str | None = None, common: int = COMMON) -> DataFrame:
+    """doc_id and chars of every text: its ids as characters, see encode."""
     pattern = pattern or default_pattern()
     known = common_words(docs, rank_map, pattern, common)
     words = words_of(text_or_empty("text"), pattern)
     if known is None:
-        return docs.select("doc_id", F.flatten(rank_map.fold(words)).alias("ids"))
+        return docs.select("doc_id", F.array_join(rank_map.fold(words), "").alias("chars"))
     buckets, n = known
 
-    def ids(known: Column, ranks: Column) -> Column:
-        held = lambda w: F.get(known, F.pmod(F.xxhash64(w), F.lit(n)).cast("int"))[w]
-        return F.transform(words, lambda w: F.coalesce(held(w), _fold(w, ranks)))
+    def found(w: Column, held: Column, pairs: Column) -> Column:
+        after = F.call_function("substring_index", held, F.concat(F.lit(MARK), w, F.lit(PART)), F.lit(-1))
+        # the ids up to the next entry; nothing where the word is not held, as a bucket begins with MARK
+        return let(F.substring_index(after, MARK, 1), lambda ids: F.when(ids != "", ids).otherwise(_fold(w, rank_map.single, pairs)))
+
+    def ids(known: Column, pairs: Column) -> Column:
+        return F.transform(words, lambda w: found(w, F.get(known, F.pmod(F.xxhash64(w), F.lit(n)).cast("int")), pairs))
+
+    whole = let(buckets, lambda known: let(rank_map.pairs, lambda pairs: ids(known, pairs)))
+    return docs.select("doc_id", F.array_join(whole, "").alias("chars"))
 
-    whole = let(buckets, lambda known: let(rank_map.ranks, lambda ranks: ids(known, ranks)))
-    return docs.select("doc_id", F.flatten(whole).alias("ids"))
+
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, common: int = COMMON) -> DataFrame:
+    """doc_id and ids (array of int) of every text, as a byte-level BPE encoder without special tokens gives them;
+    null counts as empty, an empty text has no ids, repeated rows are encoded each, an empty table gives an empty result. Documents are not
+    shuffled: only words are, to count the distinct ones; the most frequent are folded once and looked up, others folded in place."""
+    rank_map = RankMap(read_ranks(ranks_path or default_ranks()))
+    return encode_chars(docs, rank_map, pattern, common).select("doc_id", ids_of(F.col("chars")).alias("ids"))
 
 
 def decode(ids: Column, rank_map: RankMap) -> Column:
@@ -150,8 +169,8 @@ def decode(ids: Column, rank_map: RankMap) -> Column:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(read(spark, sf_dir, "documents"))
     rank_map = RankMap(read_ranks(default_ranks()))
+    encoded = encode_chars(read(spark, sf_dir, "documents"), rank_map).select("doc_id", ids_of(F.col("chars")).alias("ids"))
     packed = F.unhex(F.array_join(let(rank_map.packed, lambda four: F.transform("ids", lambda i: F.get(four, i))), ""))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed, 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), rank_map), 256).alias("decoded_sha256"))
 
