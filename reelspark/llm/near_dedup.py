@@ -206,57 +206,53 @@ def _by_group(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame | Non
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(run, schema)
 
 
-def _candidates(rows: pd.DataFrame, least: float, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places x, y of pairs whose estimate reaches `least`, and their equal tokens, the most alike first. Left out are pairs of one label,
+def _candidates(rows: pd.DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places x, y of pairs whose estimate reaches `least`, the most alike first. Left out are pairs of one label,
     pairs inside a block of a group of two, and pairs that meet in the root of an earlier tree which is compared whole."""
     t = np.frombuffer(b"".join(rows["tokens"]), np.uint32).reshape(len(rows), TOKENS)
     small = t.astype(np.uint8)
     label, block = rows["label"].to_numpy(), rows["block"].to_numpy()
-    at, tree = rows["at"].to_numpy(), int(rows["tree"].iloc[0])
-    two, pivot = rows["i"].iloc[0] != rows["j"].iloc[0], int(rows["pivot"].iloc[0])
+    tree, pivot = int(rows["tree"].iloc[0]), int(rows["pivot"].iloc[0])
+    whole = ((rows["at"].to_numpy()[:, None] >> np.arange(tree)) & 1).astype(bool)
+    two = rows["i"].iloc[0] != rows["j"].iloc[0]
     held = np.flatnonzero(rows["cls"].to_numpy() == pivot)[:1] if pivot >= 0 else range(len(rows) - 1)
-    xs, ys, sames = [], [], []
+    found = [np.zeros((3, 0), np.int32)]
     for k in held:
         lo = 0 if pivot >= 0 else k + 1
-        same = (small[lo:] == small[k]).sum(1)
+        same = (small[lo:] == small[k]).sum(1, dtype=np.int32)
         hit = np.flatnonzero((same >= least * TOKENS) & (label[lo:] != label[k])) + lo
         if two and pivot < 0:
             hit = hit[block[hit] != block[k]]
-        xs.append(np.full(len(hit), k))
-        ys.append(hit)
-        sames.append(same[hit - lo])
-    if not xs:
-        return (np.zeros(0, np.int64),) * 3
-    x, y, same = np.concatenate(xs), np.concatenate(ys), np.concatenate(sames)
-    if len(x):
-        earlier = ((t[x, :tree] == t[y, :tree]) & ((at[x][:, None] >> np.arange(tree)) & 1).astype(bool)).any(1)
-        order = np.argsort(-same[~earlier], kind="stable")
-        x, y, same = x[~earlier][order], y[~earlier][order], same[~earlier][order]
-    return x, y, same
+        if len(hit):
+            hit = hit[~((t[hit, :tree] == t[k, :tree]) & whole[hit]).any(1)]
+            found.append(np.stack([np.full(len(hit), k, np.int32), hit.astype(np.int32), same[hit - lo]]))
+    x, y, same = np.concatenate(found, axis=1)
+    order = np.argsort(-same, kind="stable")
+    return x[order], y[order]
 
 
 #: pivot: the class that all others of the group are compared to, or -1; at: trees whose root holds the class and is compared whole, as bits.
 MEMBER = "node long, i int, j int, block int, tree int, pivot long, cls long, label long, at long, tokens binary"
 
 
-def _involved(groups: DataFrame, percent: int, trees: int) -> DataFrame:
+def _involved(groups: DataFrame, percent: int) -> DataFrame:
     """Those members that some candidate pair of their group needs."""
     least = least_estimate(percent)
 
     def work(rows: pd.DataFrame) -> pd.DataFrame | None:
-        x, y, _ = _candidates(rows, least, trees)
+        x, y = _candidates(rows, least)
         return rows.iloc[np.union1d(x, y)] if len(x) else None
 
     return _by_group(groups, work, MEMBER)
 
 
-def _confirmed(groups: DataFrame, percent: int, trees: int) -> DataFrame:
+def _confirmed(groups: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of classes whose full sets have 100 * intersection >= percent * union, of each group as many as join what is linked in it.
     groups: MEMBER and shingles."""
     least = least_estimate(percent)
 
     def work(rows: pd.DataFrame) -> pd.DataFrame | None:
-        x, y, _ = _candidates(rows, least, trees)
+        x, y = _candidates(rows, least)
         sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
         root = list(range(len(rows)))
 
@@ -267,7 +263,7 @@ def _confirmed(groups: DataFrame, percent: int, trees: int) -> DataFrame:
             return k
 
         kept = []
-        for p, q in zip(x.tolist(), y.tolist()):
+        for p, q in zip(map(int, x), map(int, y)):
             a, b = find(p), find(q)
             n, m = len(sets[p]), len(sets[q])
             if a != b and 100 * min(n, m) >= percent * max(n, m):
@@ -349,11 +345,11 @@ def find_links(base: DataFrame, classes: DataFrame, percent: int, trees: int = T
     links = labels = at_roots = None
 
     def confirm(groups: DataFrame) -> DataFrame:
-        rows = saved(_involved(groups.select(*[c.split()[0] for c in MEMBER.split(", ")]), percent, trees), "involved")
+        rows = saved(_involved(groups.select(*[c.split()[0] for c in MEMBER.split(", ")]), percent), "involved")
         wanted = rows.select("cls").distinct().join(classes.select("cls", "doc_id", "set_hash"), "cls")
         wanted = saved(wanted, "wanted")
         sets = wanted.join(_full_sets(base, wanted), "set_hash").select("cls", "shingles")
-        return saved(_confirmed(rows.join(sets, "cls"), percent, trees), "links")
+        return saved(_confirmed(rows.join(sets, "cls"), percent), "links")
 
     for level in range(levels):
         sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("cls").alias("first")).filter("n > 1")

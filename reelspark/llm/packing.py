@@ -58,7 +58,7 @@ def word_pattern() -> re.Pattern:
 class _Memo(dict):
     """Token ids as little-endian unsigned 32-bit integers, kept for as many texts as the limit allows."""
 
-    def __init__(self, make, limit: int = 600_000):
+    def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -88,10 +88,10 @@ class TextIds:
                 found.byteswap()
             return found.tobytes()
 
-        self.words = words = _Memo(ids)
+        self.words = words = _Memo(ids, 150_000)
         self.split = split
-        self.plain = _Memo(lambda text: b"".join([words[w] for w in split(text)]))
-        self.spaced = _Memo(lambda text: b"".join([words[w] for w in split(" " + text)]))
+        self.plain = _Memo(lambda text: b"".join([words[w] for w in split(text)]), 100_000)
+        self.spaced = _Memo(lambda text: b"".join([words[w] for w in split(" " + text)]), 400_000)
 
     def __call__(self, text: str) -> bytes:
         if _RUNS.search(text):
