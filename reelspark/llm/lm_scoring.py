@@ -12,76 +12,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import read, saved, text_or_empty
+from reelspark.llm.common import flagged, read, saved, text_or_empty
 
 #: Words of a chunk of texts: bounds the memory of a task.
-CHUNK = 1_000_000
-#: Shapes of further words: has a digit, has a mark inside, is all capitals, is capitalised, by length up to four or more.
-SHAPES = 10
+CHUNK = 2_000_000
 #: Weight of a context against its backoff, as so many further occurrences.
 PRIOR = 20.0
 START = 0
 
 
-def shape(word: str) -> int:
-    if any(c.isdigit() for c in word):
-        return 0
-    if not word.isalpha() and not word.rstrip(".,;:!?").isalpha():
-        return 1 if word.isascii() and not any(c.isalpha() for c in word) else 2
-    kind = 3 if word.isupper() and len(word) > 1 else 5 if word[:1].isupper() else 7
-    return kind + (len(word) > 4)
-
-
-class _Ids(dict):
-    """Ids of words: 0 starts a text, then the shapes, then the vocabulary; shapes of further words are kept up to a limit."""
-
-    def __init__(self, words: list[str], limit: int = 500_000):
-        super().__init__({w: 1 + SHAPES + k for k, w in enumerate(words)})
-        self.words, self.limit = words, limit
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-            self.__init__(self.words, self.limit)
-        self[word] = out = 1 + shape(word)
-        return out
-
-
-def count_bigrams(docs: DataFrame, words: list[str]) -> DataFrame:
-    """first, second, background, target: how often id `second` follows id `first` in all texts and in those of the target.
-    docs: text, target (boolean). Each task sums its own counts. For a given list of words; the scores count all words, see Chunk."""
-    n = 1 + SHAPES + len(words)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _Ids(words)
-        total = {False: np.zeros(0, np.int64), True: np.zeros(0, np.int64)}
-        sums = {False: np.zeros(0, np.int64), True: np.zeros(0, np.int64)}
-
-        def fold(kind: bool, codes: list[np.ndarray]) -> None:
-            if codes:
-                new, counts = np.unique(np.concatenate(codes), return_counts=True)
-                both = np.concatenate([total[kind], new])
-                total[kind], at = np.unique(both, return_inverse=True)
-                sums[kind] = np.bincount(at, weights=np.concatenate([sums[kind], counts]), minlength=len(total[kind])).astype(np.int64)
-
-        for batch in batches:
-            held: dict[bool, list[np.ndarray]] = {False: [], True: []}
-            for text, target in zip(batch["text"], batch["target"]):
-                parts = text.split()
-                if parts:
-                    row = np.fromiter(map(ids.__getitem__, parts), np.int64, len(parts))
-                    held[bool(target)].append(np.concatenate([[START], row[:-1]]) * n + row)
-            for kind in held:
-                fold(kind, held[kind])
-        for kind in (False, True):
-            yield pd.DataFrame({"first": (total[kind] // n).astype(np.int32), "second": (total[kind] % n).astype(np.int32), "background": sums[kind], "target": sums[kind] * int(kind)})
-
-    counted = docs.select("text", "target").mapInPandas(count, "first int, second int, background long, target long")
-    return counted.groupBy("first", "second").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-TEXTS = "chunk long, ids binary, known binary, hashes array<long>, sizes binary, goal binary, words binary"
-COUNTS = "chunk long, bucket int, keys binary, background binary, target binary"
+TEXTS = "chunk long, ids binary, known binary, hashes array<long>, sizes binary, words binary"
+COUNTS = "bucket int, goal boolean, chunk long, word_keys binary, pair_keys binary, words binary, ends binary, pairs binary"
+TOTALS = "chunk long, bucket int, words binary, goal_words binary, ends binary, goal_ends binary, pairs binary, goal_pairs binary"
 SCORES = "doc_id long, n_words long, score double"
 
 
@@ -90,11 +32,22 @@ def _names(schema: str) -> list[str]:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
+    """Numbers by planes of their bytes, of which the high ones are mostly 0."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
 
 
 def _unpacked(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
+    kind = np.dtype(kind)
+    planes = np.frombuffer(zlib.decompress(x), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -104,36 +57,39 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket, and the last one's end, lies in sorted keys: buckets are equal ranges of a key's upper 24 bits."""
+    bucket = ((keys >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
 class Chunk:
-    """Words, contexts and bigrams of some texts, each distinct one with a key of 62 bits and its kind in the lowest two.
+    """Words and bigrams of some texts, each distinct one with a key of 64 bits, both in the order of their keys.
 
-    words: local ids of all words in order, START (0) is none of them; hashes: 64 bits of each local id. Keys are ordered
-    by bucket, the same on each run."""
+    words: local ids of all words in order, START (0) is none of them; hashes: 64 bits of each local id. A text's first word
+    follows START; how often a word is a context is how often it occurs less how often it ends a text."""
 
-    def __init__(self, sizes: np.ndarray, words: np.ndarray, hashes: np.ndarray, buckets: int):
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, hashes: np.ndarray):
         n = len(hashes)
         before = np.empty_like(words)
         before[1:] = words[:-1]
         before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
-        self.words, self.before, self.n = words, before, n
-        codes, self.at = np.unique(before * n + words, return_inverse=True)
+        ends = words[(np.cumsum(sizes) - 1)[sizes > 0]]
+        codes, self.at, counts = np.unique(before * n + words, return_inverse=True, return_counts=True)
         self.first, self.second = codes // n, codes % n
         pairs = _mixed(_mixed(hashes[self.first]) + hashes[self.second])
-        keys = np.concatenate([(h << np.uint64(2)) | np.uint64(kind) for kind, h in enumerate((hashes[1:], hashes, pairs))])
-        bucket = ((keys >> np.uint64(2)) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.keys, self.bucket = keys[self.order], bucket[self.order]
-
-    def counts(self, held: np.ndarray) -> np.ndarray:
-        """How often each key occurs among the words held (a mask), in the keys' order."""
-        count = lambda x, n: np.bincount(x[held], minlength=n)
-        return np.concatenate([count(self.words, self.n)[1:], count(self.before, self.n), count(self.at, len(self.first))])[self.order]
+        self.word_order, self.pair_order = np.argsort(hashes[1:]), np.argsort(pairs)
+        self.word_keys, self.pair_keys = hashes[1:][self.word_order], pairs[self.pair_order]
+        count = lambda x: np.bincount(x, minlength=n)[1:][self.word_order].astype(np.uint32)
+        self.words, self.ends, self.pairs = count(words), count(ends), counts[self.pair_order].astype(np.uint32)
 
-    def spread(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spread(self, words: np.ndarray, ends: np.ndarray, pairs: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Totals in the keys' order, told apart: of each bigram's second word, first word as a context, and of the bigram."""
-        out = np.empty(len(totals))
-        out[self.order] = totals
-        return out[self.second - 1], out[self.n - 1 + self.first], out[2 * self.n - 1 :]
+        word, context, pair = np.empty(len(words) + 1), np.empty(len(words) + 1), np.empty(len(pairs))
+        word[0], context[0] = 0, texts
+        word[1:][self.word_order], context[1:][self.word_order] = words, words - ends
+        pair[self.pair_order] = pairs
+        return word[self.second], context[self.first], pair
 
 
 def _hash(word: str) -> int:
@@ -141,8 +97,8 @@ def _hash(word: str) -> int:
 
 
 def chunk_texts(docs: DataFrame, limit: int = CHUNK) -> DataFrame:
-    """Chunks of texts of about `limit` words, see TEXTS: doc_id, words and target of each text, local ids of all words in
-    order, hashes of the local ids. docs: doc_id, text, target (boolean)."""
+    """Chunks of texts of about `limit` words, see TEXTS: doc_id and words of each text, local ids of all words in
+    order, hashes of the local ids. docs: doc_id, text."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: dict[str, int] = {"": START}
@@ -150,22 +106,22 @@ def chunk_texts(docs: DataFrame, limit: int = CHUNK) -> DataFrame:
         total = 0
 
         def made() -> pd.DataFrame:
-            docs_held, words, goal = zip(*held)
+            docs_held, words = zip(*held)
             hashes = np.fromiter(map(_hash, ids), np.uint64, len(ids)).view(np.int64)
             sizes = np.array([len(w) for w in words], np.int64)
-            row = (uuid.uuid4().int >> 65, _packed(np.array([d or 0 for d in docs_held], np.int64)), _packed(np.array([d is not None for d in docs_held])), hashes, _packed(sizes), _packed(np.array(goal, bool)), _packed(np.concatenate(words)))
+            row = (uuid.uuid4().int >> 65, _packed(np.array([d or 0 for d in docs_held], np.int64)), _packed(np.array([d is not None for d in docs_held])), hashes, _packed(sizes), _packed(np.concatenate(words)))
             held.clear()
             ids.clear()
             ids[""] = START
             return pd.DataFrame([row], columns=_names(TEXTS))
 
         for batch in batches:
-            for doc, text, target in zip(batch["doc_id"], batch["text"], batch["target"]):
+            for doc, text in zip(batch["doc_id"], batch["text"]):
                 parts = text.split()
                 for w in parts:
                     if w not in ids:
                         ids[w] = len(ids)
-                held.append((None if doc == "" else int(doc), np.fromiter(map(ids.__getitem__, parts), np.uint32, len(parts)), bool(target)))
+                held.append((None if doc == "" else int(doc), np.fromiter(map(ids.__getitem__, parts), np.uint32, len(parts))))
                 total += len(parts)
                 if total >= limit or len(held) >= limit:
                     yield made()
@@ -173,66 +129,75 @@ def chunk_texts(docs: DataFrame, limit: int = CHUNK) -> DataFrame:
         if held:
             yield made()
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("doc_id"), "text", "target").mapInPandas(work, TEXTS)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("doc_id"), "text").mapInPandas(work, TEXTS)
 
 
-def _chunk(row, buckets: int) -> Chunk:
-    return Chunk(_unpacked(row["sizes"], np.int64), _unpacked(row["words"], np.uint32).astype(np.int64), np.asarray(row["hashes"], np.int64).view(np.uint64), buckets)
+def _chunk(row) -> Chunk:
+    return Chunk(_unpacked(row["sizes"], np.int64), _unpacked(row["words"], np.uint32).astype(np.int64), np.asarray(row["hashes"], np.int64).view(np.uint64))
 
 
-def chunk_counts(chunks: DataFrame, buckets: int) -> DataFrame:
-    """For each chunk and bucket the keys that fall to it and their counts, in all texts and in those of the target."""
+def chunk_counts(chunks: DataFrame, buckets: int, goal: bool) -> DataFrame:
+    """For each chunk and bucket the keys that fall to it and their counts, see COUNTS."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
-                chunk = _chunk(row, buckets)
-                goal = np.repeat(_unpacked(row["goal"], bool), _unpacked(row["sizes"], np.int64))
-                back, aim = chunk.counts(np.ones(len(goal), bool)).astype(np.uint32), chunk.counts(goal).astype(np.uint32)
-                cuts = np.flatnonzero(np.diff(chunk.bucket, prepend=-1))
+                c = _chunk(row)
+                w, p = _cuts(c.word_keys, buckets), _cuts(c.pair_keys, buckets)
                 rows = [
-                    (row["chunk"], int(chunk.bucket[lo]), chunk.keys[lo:hi].tobytes(), _packed(back[lo:hi]), _packed(aim[lo:hi]))
-                    for lo, hi in zip(cuts, [*cuts[1:], len(chunk.keys)])
-                ]
+                    (b, goal, row["chunk"], _packed_keys(c.word_keys[wl:wh]), _packed_keys(c.pair_keys[pl:ph]), _packed(c.words[wl:wh]), _packed(c.ends[wl:wh]), _packed(c.pairs[pl:ph]))
+                    for b, (wl, wh, pl, ph) in enumerate(zip(w, w[1:], p, p[1:])) if wh > wl or ph > pl
+                ]
                 yield pd.DataFrame(rows, columns=_names(COUNTS))
 
     return chunks.mapInPandas(work, COUNTS)
 
 
 def total_counts(counts: DataFrame) -> DataFrame:
-    """counts without the keys, each count summed over all chunks."""
+    """For each chunk of all texts and bucket, in the order of its keys there, the counts summed over the chunks of all texts and
+    over those of the target, see TOTALS."""
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, np.uint64) for x in rows["keys"]]
-        _, at = np.unique(np.concatenate(parts), return_inverse=True)
-        cuts = np.cumsum([len(p) for p in parts])[:-1]
-        for k in ("background", "target"):
-            sums = np.bincount(at, weights=np.concatenate([_unpacked(x, np.uint32) for x in rows[k]])).astype(np.int64)
-            rows[k] = [_packed(x) for x in np.split(sums[at], cuts)]
-        return rows.drop(columns="keys")
+        goal = rows["goal"].to_numpy()
+        out = rows.loc[~goal, ["chunk", "bucket"]].copy()
+        for keys, names in (("word_keys", ("words", "ends")), ("pair_keys", ("pairs",))):
+            parts = [_unpacked_keys(x) for x in rows[keys]]
+            sizes = np.array([len(p) for p in parts])
+            _, at = np.unique(np.concatenate(parts), return_inverse=True)
+            aim = np.repeat(goal, sizes)
+            for name in names:
+                found = np.concatenate([_unpacked(x, np.uint32) for x in rows[name]])
+                for prefix, own in (("", ~aim), ("goal_", aim)):
+                    sums = np.bincount(at, weights=found * own).astype(np.int64)[at[~aim]]
+                    out[prefix + name] = [_packed(x) for x in np.split(sums, np.cumsum(sizes[~goal])[:-1])] if len(out) else []
+        return out[_names(TOTALS)]
 
-    return counts.groupBy("bucket").applyInPandas(total, "chunk long, bucket int, background binary, target binary")
+    return counts.groupBy("bucket").applyInPandas(total, TOTALS)
 
 
-def score_chunks(chunks: DataFrame, totals: DataFrame, buckets: int, prior: float = PRIOR) -> DataFrame:
-    """doc_id, n_words, score: mean over a text's words of target loss less background loss, in nats; lower is nearer the
-    target. Both models have the same vocabulary and smoothing: a bigram's probability leans on the word's, that on the
-    uniform one. A text without words has the score 0."""
-    size = chunks.select(F.explode("hashes").alias("h")).distinct().count() - 1  # START is no word
+def _lengths(chunks: DataFrame) -> tuple[int, int]:
+    """Words and texts that have any, of all chunks."""
+
+    @F.pandas_udf("struct<words:long,texts:long>")
+    def length(sizes: pd.Series) -> pd.DataFrame:
+        rows = [(n.sum(), (n > 0).sum()) for n in (_unpacked(x, np.int64) for x in sizes)]
+        return pd.DataFrame(rows, columns=["words", "texts"])
 
-    @F.pandas_udf("struct<background:long,target:long>")
-    def length(sizes: pd.Series, goal: pd.Series) -> pd.DataFrame:
-        rows = [(n.sum(), n[_unpacked(g, bool)].sum()) for n, g in zip((_unpacked(x, np.int64) for x in sizes), goal)]
-        return pd.DataFrame(rows, columns=["background", "target"])
+    n = chunks.select(length("sizes").alias("n")).agg(F.sum("n.words").alias("words"), F.sum("n.texts").alias("texts")).first()
+    return n["words"] or 0, n["texts"] or 0
 
-    n = chunks.select(length("sizes", "goal").alias("n")).agg(F.sum("n.background").alias("background"), F.sum("n.target").alias("target")).first()
-    words = {k: n[k] or 0 for k in ("background", "target")}
+
+def score_chunks(chunks: DataFrame, totals: DataFrame, size: int, lengths: tuple[int, int], goal_lengths: tuple[int, int], prior: float = PRIOR) -> DataFrame:
+    """doc_id, n_words, score: mean over a text's words of target loss less background loss, in nats; lower is nearer the
+    target. Both models have the same vocabulary of `size` words and smoothing: a bigram's probability leans on the word's, that on the
+    uniform one. A text without words has the score 0."""
 
     def score(key, texts: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
         texts, sums = texts.iloc[0], sums.sort_values("bucket")
-        chunk, sizes, losses = _chunk(texts, buckets), _unpacked(texts["sizes"], np.int64), []
-        for k, total in words.items():
-            word, context, pair = chunk.spread(np.concatenate([_unpacked(x, np.int64) for x in sums[k]]))
+        chunk, sizes, losses = _chunk(texts), _unpacked(texts["sizes"], np.int64), []
+        for prefix, (total, count) in (("", lengths), ("goal_", goal_lengths)):
+            held = [np.concatenate([np.zeros(0, np.int64), *(_unpacked(x, np.int64) for x in sums[prefix + k])]) for k in ("words", "ends", "pairs")]
+            word, context, pair = chunk.spread(*held, count)
             losses.append(np.log((pair + prior * (word + 1) / (total + size)) / (context + prior)))
         by_word = (losses[0] - losses[1])[chunk.at]
         means = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=by_word, minlength=len(sizes)) / np.maximum(sizes, 1)
@@ -245,17 +210,22 @@ def score_chunks(chunks: DataFrame, totals: DataFrame, buckets: int, prior: floa
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Scores of all documents against a target: the documents whose doc_id is in targets. Null texts count as empty; repeated
     rows are counted and scored each; ids of targets may repeat; without any target the models agree and every score
-    comes from smoothing alone.
+    comes from smoothing alone; an empty table gives an empty result.
 
-    Every distinct word, context and bigram of all documents has counts of its own, under a key of 62 bits. Texts are held
+    Every distinct word and bigram of all documents has counts of its own, under a key of 64 bits. Texts are held
     in chunks of bounded size; a chunk sends each of its keys once to the key's bucket, where counts are summed, and
-    gets the sums back, so a frequent bigram is one row of a chunk. The driver gets three numbers."""
-    marked = targets.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_target")).distinct()
-    rows = docs.select("doc_id", text_or_empty("text").alias("text")).join(marked, F.col("doc_id") == F.col("_target"), "left")
+    gets the sums back, so a frequent bigram is one row of a chunk. Of the texts only those that may be in the target are shuffled. The driver
+    gets five numbers."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    marked = targets.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, min(4 * parts, 1024))
-    chunks = saved(chunk_texts(rows.select("doc_id", "text", F.col("_target").isNotNull().alias("target")), chunk), "chunks")
-    return score_chunks(chunks, total_counts(chunk_counts(chunks, buckets)), buckets)
+    likely = flagged(rows, [F.col("doc_id")], marked, [F.col("doc_id")], "maybe").filter("maybe").drop("maybe")
+    chunks = saved(chunk_texts(rows, chunk), "chunks")
+    goal = saved(chunk_texts(likely.join(marked, "doc_id", "left_semi"), chunk), "goal")
+    totals = total_counts(chunk_counts(chunks, buckets, False).unionByName(chunk_counts(goal, buckets, True)))
+    size = max(chunks.select(F.explode("hashes").alias("h")).distinct().count() - 1, 0)  # START is no word
+    return score_chunks(chunks, totals, size, _lengths(chunks), _lengths(goal))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,29 +391,6 @@ def test_lm_scores_match_brute_force_over_all_words(spark):
     assert max(got[i]["score"] for i in range(20, 32)) < min(got[i]["score"] for i in range(32, 44))
 
 
-def test_bigram_counts_match_brute_force(spark):
-    texts = ["a b a b c", "b a", "", None, "zz a"]
-    d = spark.createDataFrame([(t, i == 0) for i, t in enumerate(texts)], "text string, target boolean").fillna("", ["text"])
-    words = ["a", "b"]
-    ids = lm_scoring._Ids(words)
-    want = collections.Counter()
-    goal = collections.Counter()
-    for i, t in enumerate(texts):
-        last = 0
-        for w in (t or "").split():
-            want[last, ids[w]] += 1
-            goal[last, ids[w]] += i == 0
-            last = ids[w]
-    got = {(r["first"], r["second"]): (r["background"], r["target"]) for r in lm_scoring.count_bigrams(d, words).collect()}
-    assert got == {k: (n, goal[k]) for k, n in want.items()}
-
-
-def test_ids_forget_further_words_at_the_limit():
-    ids = lm_scoring._Ids(["a", "b"], limit=10)
-    assert [ids[w] for w in ["a", *map(str, range(50)), "b", "a"]][::51] == [ids["a"], ids["b"]]
-    assert len(ids) <= 11 and ids["a"] != ids["b"] != ids["zzzz"]
-
-
 def test_license_scan_matches_brute_force(spark):
     rng = random.Random(6)
     lines = [*licenses.TEMPLATES.values(), "licensed under the apache license version 2.0", "Released under the MIT license today.", "mit", ""]
