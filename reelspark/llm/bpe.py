@@ -14,9 +14,9 @@ from reelspark.llm.common import read, text_or_empty
 #: Distinct words whose ids are looked up as a literal; all other words are folded where they stand.
 COMMON = 1 << 17
 #: Buckets of the table of pairs.
-BUCKETS = 1 << 17
-#: While words are folded an id is the character of the code point FIRST + id; these sort as the ids do.
-FIRST = 0x10000
+BUCKETS = 1 << 15
+#: While words are folded an id is the character of that code point; these sort as the ids do. Code points from here on are none.
+LAST = 0xD800
 #: What a bucket and each of its entries begin with, and what parts a word from its ids there; they sort after all ids.
 MARK, PART = chr(0x10FFFE), chr(0x10FFFD)
 
@@ -41,10 +41,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class RankMap:
     """Literals of one vocabulary: the character of each byte's id; the pairs that merge, each as the two characters and that of the
-    id they merge to, between MARKs in hash buckets of one string each; the bytes of each id and its four-byte form, as hex. Their size is that of the vocabulary."""
+    id they merge to, between MARKs in hash buckets of one string each; the bytes of each id, as Latin-1 text. Their size is that of the vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        char = {piece: chr(FIRST + rank) for piece, rank in ranks.items()}
+        char = {piece: chr(rank) for piece, rank in ranks.items()}
         buckets = [MARK] * BUCKETS
         for piece in ranks:
             for k in range(1, len(piece)):
@@ -52,14 +52,15 @@ class RankMap:
                     pair = char[piece[:k]] + char[piece[k:]]
                     buckets[zlib.crc32(pair.encode()) % BUCKETS] += pair + char[piece] + MARK
         top = max(ranks.values(), default=-1) + 1
+        if top > LAST:
+            raise ValueError(f"ids of {LAST} and more")
         by_id = [""] * top
         for piece, rank in ranks.items():
-            by_id[rank] = piece.hex()
+            by_id[rank] = piece.decode("latin-1")
         literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
         self.single = "".join(char[bytes([k])] for k in range(256))
         self.pairs = literal(buckets, "array<string>")
         self.pieces = literal(by_id, "array<string>")
-        self.packed = literal([k.to_bytes(4, "little").hex() for k in range(top)], "array<string>")
 
     def fold(self, words: Column) -> Column:
         """Ids of each word of an array, as a string of characters."""
@@ -106,9 +107,19 @@ def _fold(word: Column, single: str, pairs: Column) -> Column:
     return let(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), latin, single), folded)
 
 
+def _each(chars: Column) -> Column:
+    return F.slice(F.split(chars, ""), 1, F.length(chars))
+
+
 def ids_of(chars: Column) -> Column:
     """Array of int of ids given as characters."""
-    return F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), lambda c: F.ascii(c) - FIRST)
+    return F.transform(_each(chars), F.ascii)
+
+
+def packed_ids(chars: Column) -> Column:
+    """Ids given as characters, as little-endian unsigned 32-bit integers: the code points of the text turned round, and their bytes turned round."""
+    big = F.decode(F.encode(F.reverse(chars), "UTF-32"), "ISO-8859-1")
+    return F.encode(F.reverse(big), "ISO-8859-1")
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -121,7 +132,7 @@ def common_words(docs: DataFrame, rank_map: RankMap, pattern: str, size: int) ->
     counted = docs.select(F.explode(words_of(text_or_empty("text"), pattern)).alias("word")).groupBy("word").count()
     plain = counted.filter((F.octet_length("word") <= 64) & ~F.contains("word", F.lit(MARK)) & ~F.contains("word", F.lit(PART)))
     top = plain.orderBy(F.desc("count"), "word").limit(size).repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    n = max(1, size)
+    n = max(1, size // 2)
     entries = F.collect_list("word").alias("k")
     folded = top.groupBy(F.pmod(F.xxhash64("word"), F.lit(n)).cast("int").alias("bucket")).agg(entries)
     joined = F.array_join(F.zip_with("k", rank_map.fold(F.col("k")), lambda w, ids: F.concat(w, F.lit(PART), ids, F.lit(MARK))), "")
@@ -163,16 +174,16 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
     return encode_chars(docs, rank_map, pattern, common).select("doc_id", ids_of(F.col("chars")).alias("ids"))
 
 
-def decode(ids: Column, rank_map: RankMap) -> Column:
-    """The bytes of ids: their pieces, concatenated."""
-    return F.unhex(F.array_join(let(rank_map.pieces, lambda pieces: F.transform(ids, lambda i: F.get(pieces, i))), ""))
+def decode(chars: Column, rank_map: RankMap) -> Column:
+    """The bytes of ids given as characters: their pieces, concatenated."""
+    return F.encode(F.array_join(let(rank_map.pieces, lambda pieces: F.transform(_each(chars), lambda c: F.get(pieces, F.ascii(c)))), ""), "ISO-8859-1")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank_map = RankMap(read_ranks(default_ranks()))
-    encoded = encode_chars(read(spark, sf_dir, "documents"), rank_map).select("doc_id", ids_of(F.col("chars")).alias("ids"))
-    packed = F.unhex(F.array_join(let(rank_map.packed, lambda four: F.transform("ids", lambda i: F.get(four, i))), ""))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed, 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), rank_map), 256).alias("decoded_sha256"))
+    encoded = encode_chars(read(spark, sf_dir, "documents"), rank_map)
+    chars = F.col("chars")
+    return encoded.select("doc_id", F.length(chars).cast("long").alias("n_tokens"), F.sha2(packed_ids(chars), 256).alias("ids_sha256"), F.sha2(decode(chars, rank_map), 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op8_byte_bpe": op8_byte_bpe}

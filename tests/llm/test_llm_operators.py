@@ -202,15 +202,26 @@ def encoding():
 @pytest.mark.parametrize("common", [0, 50])
 def test_bpe_round_trip(docs, texts, common):
     enc, rank_map = encoding(), bpe.RankMap(bpe.read_ranks(bpe.default_ranks()))
-    encoded = bpe.encode(docs.filter("doc_id % 3 = 0 OR doc_id > 50").filter("length(coalesce(text, '')) < 9000"), common=common)
-    rows = encoded.select("doc_id", "ids", bpe.decode(F.col("ids"), rank_map).alias("back")).collect()
-    assert len(rows) > 20
+    rows = bpe.encode_chars(docs, rank_map, common=common).select("doc_id", bpe.ids_of(F.col("chars")).alias("ids"), bpe.packed_ids(F.col("chars")).alias("packed"), bpe.decode(F.col("chars"), rank_map).alias("back")).collect()
+    assert len(rows) == len(texts)
     for r in rows:
         t = texts[r["doc_id"]] or ""
-        assert r["ids"] == enc.encode_ordinary(t)
+        want = enc.encode_ordinary(t)
+        assert r["ids"] == want and bytes(r["packed"]) == struct.pack(f"<{len(want)}I", *want)
         assert bytes(r["back"]) == t.encode()
 
 
+def test_bpe_long_words_marks_and_repeats(spark):
+    """A text of 100,000 characters, words of 2,000, the characters that part entries, repeated rows and a null id."""
+    enc, rng = encoding(), random.Random(31)
+    long = "".join(rng.choice("abcdefgh tion") for _ in range(100_000))
+    texts = [long, "x" * 2000, "9" * 2000, bpe.MARK + "a" + bpe.PART, "\x00 \x01\ufffd", "same", "same", None]
+    d = spark.createDataFrame([(i if i != 6 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(d, common=100).collect()}
+    assert all(got[i if i != 6 else None] == enc.encode_ordinary(t or "") for i, t in enumerate(texts))
+    assert bpe.encode(d.filter("doc_id < 0")).count() == 0
+
+
 def test_packing(docs, texts):
     Tokenizer = pytest.importorskip("tokenizers").Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
