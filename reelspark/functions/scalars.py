@@ -31,6 +31,14 @@ LANGUAGES = (
 CODEC_ALIASES = {"MLP": "TrueHD", "AC3": "Dolby Digital", "AC": "Dolby Digital", "DDL": "Dolby Digital Plus", "WAV": "PCM", "ATMOS": "Dolby Atmos"}
 
 
+#: Names that audio codecs go by, and layouts as channels before and behind the dot.
+AUDIO_BRANDS = {
+    "TrueHD": "Dolby TrueHD", "AC-3": "Dolby Digital", "EAC-3": "Dolby Digital Plus", "DTS-HD MA": "DTS-HD Master Audio", "DTS-HD HR": "DTS-HD High Resolution",
+    "DTS": "DTS", "LPCM": "LPCM", "AAC": "AAC", "MP2": "MPEG Audio", "MP3": "MP3", "FLAC": "FLAC", "Opus": "Opus",
+}
+LAYOUTS = {"mono": "1.0", "stereo": "2.0", "2.1": "2.1", "4.0": "4.0", "5.0": "5.0", "5.1": "5.1", "6.1": "6.1", "7.1": "7.1"}
+
+
 def mapped(value: Column, table: dict, default=None) -> Column:
     out = None
     for k, v in table.items():
@@ -173,6 +181,46 @@ def codec_alias(code: Column) -> Column:
     return F.coalesce(mapped(F.upper(code), CODEC_ALIASES), code)
 
 
+def codec_hint_consistent(hint: Column, codec_name: Column) -> Column:
+    """whether a label's hint names the stream's codec, an extension that it carries, or no codec at all."""
+    h = F.lower(hint)
+    says = lambda *words: h.rlike("|".join(w.replace("+", r"\+") for w in words))
+    truehd, plus = says("truehd", "true hd"), says("ac-3+", "ac3+", "e-ac-3", "eac-3", "eac3", "digital plus", "dd+")
+    ac3 = ~plus & says("ac-3", "ac3", "dolby digital")
+    master, high = says("master audio", "hd ma"), says("high resolution", "hd hr")
+    dts, pcm, atmos, dts_x = ~master & ~high & says("dts"), says("pcm"), says("atmos"), says("dts:x", "dts-x", "dtsx")
+    family = truehd | plus | ac3 | master | high | dts | pcm
+    named = (
+        F.when(codec_name == "TrueHD", truehd | atmos).when(codec_name == "EAC-3", plus | atmos).when(codec_name == "AC-3", ac3).when(codec_name == "DTS-HD MA", master | dts_x)
+        .when(codec_name == "DTS-HD HR", high | dts_x).when(codec_name == "DTS", dts).when(codec_name == "LPCM", pcm).otherwise(True)
+    )
+    return F.when(family, named).otherwise(~atmos | codec_name.isin("TrueHD", "EAC-3"))
+
+
+def codec_hint_adds_detail(hint: Column) -> Column:
+    """whether a hint tells of sound objects, which codec names cannot."""
+    return F.lower(hint).rlike("atmos|dts:x|dts-x|dtsx")
+
+
+def audio_label(codec_name: Column, channel_layout: Column, atmos: Column | None = None) -> Column:
+    """brand of an audio codec with its layout; empty for other codecs, without the layout where that is unknown."""
+    brand, layout = mapped(codec_name, AUDIO_BRANDS), mapped(channel_layout, LAYOUTS)
+    if atmos is not None:
+        brand = F.when(atmos & codec_name.isin("TrueHD", "EAC-3"), F.concat(brand, F.lit(" Atmos"))).otherwise(brand)
+    return F.when(brand.isNull(), "").otherwise(F.concat_ws(" ", brand, layout))
+
+
+def video_label(codec_name: Column, width: Column, height: Column, interlaced: Column, hdr: Column, secondary: Column) -> Column:
+    """codec, size and HDR format of a video; of a secondary one only that it is the Dolby Vision layer."""
+    scan = F.when(interlaced, "i").otherwise("p")
+    size = (
+        F.when(width >= 7680, "8K").when(width >= 3840, "4K").when(width >= 1920, F.concat(F.lit("1080"), scan)).when(width >= 1280, "720p")
+        .when(height >= 576, F.concat(F.lit("576"), scan)).when(height >= 480, F.concat(F.lit("480"), scan))
+    )
+    whole = F.concat_ws(" ", codec_name, size, F.when(hdr != "SDR", hdr))
+    return F.when(secondary, F.when(hdr == "Dolby Vision", "Dolby Vision EL").otherwise("")).otherwise(whole)
+
+
 def progress_percent(done: Column, total: Column, empty: float) -> Column:
     """percentage, clamped; `empty` where the total is 0."""
     return F.when(total == 0, F.lit(empty)).otherwise(F.least(F.greatest(done * 100.0 / total, F.lit(0.0)), F.lit(100.0)))
@@ -199,9 +247,28 @@ def mask_string(text: Column) -> Column:
 
 
 def sanitized_component(name: Column) -> Column:
-    """a path component that a host file system takes: illegal marks as `_`, no dots or spaces at the end, device names marked."""
-    clean = F.regexp_replace(F.regexp_replace(name, r'[<>:"|?*\\\x00-\x1f]', "_"), r"[. ]+$", "")
-    return F.when(F.upper(clean).rlike(r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\..*)?$"), F.concat(F.lit("_"), clean)).otherwise(clean)
+    """a path component as a host file system takes it: without dots and spaces at its end, device names marked by `_`; null for `.`,
+    `..`, names with an illegal mark or control character, and those of which nothing is left."""
+    clean = F.regexp_replace(name, r"[. ]+$", "")
+    bad = name.isin(".", "..") | name.rlike(r'[<>:"|?*/\\\x00-\x1f]') | (clean == "")
+    device = F.upper(F.substring_index(clean, ".", 1)).rlike(r"^(CON|PRN|AUX|NUL|CONIN\$|CONOUT\$|CLOCK\$|COM[1-9]|LPT[1-9])$")
+    return F.when(~bad, F.when(device, F.concat(F.lit("_"), clean)).otherwise(clean))
+
+
+def sanitized_file_name(name: Column) -> Column:
+    """a file name with `_` for the marks that paths do not take."""
+    return F.regexp_replace(name, r'[/\\:*?"<>|]', "_")
+
+
+def vts_group(name: Column) -> Column:
+    """group of a DVD title set's file, as `VTS_01`; null for others."""
+    group = F.regexp_extract(F.upper(name), r"^VTS_([0-9]{2})(?:_|$)", 1)
+    return F.when(group != "", F.concat(F.lit("VTS_"), group))
+
+
+def is_title_vob(name: Column) -> Column:
+    """whether a file is a title's VOB, parts 1 to 9; part 0 is the menu."""
+    return F.upper(name).rlike(r"_[1-9](?:\.VOB)+$")
 
 
 def playlist_number(name: Column) -> Column:

@@ -27,7 +27,7 @@ def overlaid(spark, d):
 
 
 def slice_disc_damage(spark, d):
-    return R.disc_damage(view(spark, d, "range_log"), view(spark, d, "extents"), view(spark, d, "discs"))
+    return R.disc_damage(view(spark, d, "range_log"), view(spark, d, "extents"), view(spark, d, "titles"))
 
 
 def w2_merge_ranges(spark, d):
@@ -92,10 +92,13 @@ _HIT = """SELECT e.disc_id, e.title_id, CAST(sum(least((e.start_lba + e.sector_c
  FROM extents e JOIN bad b ON b.disc_id = e.disc_id AND e.start_lba * 2048 < b.pos + b.size AND b.pos < (e.start_lba + e.sector_count) * 2048 GROUP BY ALL"""
 _BOTH = with_views("range_log", "extents", "discs")
 ORACLE = {
-    "slice_disc_damage": _BOTH + OVERLAY + BAD + f""", stats AS ({_STATS}), hit AS ({_HIT}), per AS (SELECT disc_id, count(*) AS titles_hit, CAST(sum(bytes_bad) AS BIGINT) AS title_bytes_bad FROM hit GROUP BY disc_id)
-SELECT stats.*, CAST((bytes_unreadable + bytes_retryable) // 2048 AS BIGINT) AS bad_sectors, coalesce(titles_hit, 0) AS titles_hit, coalesce(title_bytes_bad, 0) AS title_bytes_bad,
- CASE WHEN bytes_unreadable + bytes_retryable < 2048 THEN 'clean' WHEN (bytes_unreadable + bytes_retryable) // 2048 >= 500 THEN 'serious' WHEN (bytes_unreadable + bytes_retryable) // 2048 >= 51 THEN 'moderate' ELSE 'cosmetic' END AS severity
-FROM stats LEFT JOIN per USING (disc_id)""",
+    "slice_disc_damage": with_views("range_log", "titles") + OVERLAY + BAD + f""", stats AS ({_STATS}), hit AS ({_HIT}),
+big AS (SELECT disc_id, title_id, size_bytes, duration_secs FROM titles QUALIFY row_number() OVER (PARTITION BY disc_id ORDER BY size_bytes DESC, duration_secs DESC, title_id) = 1),
+ms AS (SELECT h.disc_id, bytes_bad * duration_secs * 1000 / size_bytes AS ms FROM hit h JOIN big ON big.disc_id = h.disc_id AND big.title_id = h.title_id AND size_bytes > 0),
+per AS (SELECT disc_id, count(*) AS titles_hit, CAST(sum(bytes_bad) AS BIGINT) AS title_bytes_bad FROM hit GROUP BY disc_id),
+al AS (SELECT stats.*, CAST((bytes_unreadable + bytes_retryable) // 2048 AS BIGINT) AS bad_sectors, coalesce(titles_hit, 0) AS titles_hit, coalesce(title_bytes_bad, 0) AS title_bytes_bad, CAST(coalesce(ms, 0) AS DOUBLE) AS lost_ms
+ FROM stats LEFT JOIN per USING (disc_id) LEFT JOIN ms USING (disc_id))
+SELECT *, CASE WHEN bad_sectors = 0 THEN 'clean' WHEN bad_sectors >= 500 OR lost_ms >= 30000 THEN 'serious' WHEN bad_sectors >= 51 OR lost_ms >= 1000 THEN 'moderate' ELSE 'cosmetic' END AS severity FROM al""",
     "r1_overlay_ranges": LOG + OVERLAY + "SELECT disc_id, pos, size, status FROM ranges",
     "w1_coalesce_ranges": LOG + """, f AS (SELECT *, seq - row_number() OVER (PARTITION BY disc_id, status ORDER BY seq) AS g FROM range_log)
 SELECT disc_id, min(seq) * 2048 AS pos, CAST(count(*) * 2048 AS BIGINT) AS size, status FROM f GROUP BY disc_id, status, g""",
@@ -126,7 +129,7 @@ SELECT disc_id, pos, size, status, false AS overlap FROM e UNION ALL SELECT disc
 p AS (SELECT DISTINCT disc_id, pos // 2048 AS lba FROM range_log WHERE status = '-')
 SELECT p.disc_id, o.title_id, p.lba, CAST(arg_min(o.before + (p.lba - o.start_lba) * 2048, o.ord) AS BIGINT) AS "offset" FROM p JOIN o ON o.disc_id = p.disc_id AND p.lba >= o.start_lba AND p.lba < o.start_lba + o.sector_count GROUP BY ALL""",
     "f22_damage_severity": LOG + OVERLAY + f""", stats AS ({_STATS}), x AS (SELECT disc_id, bytes_unreadable // 2048 AS s, bytes_retryable // 100000 AS ms FROM stats)
-SELECT disc_id, CASE WHEN s = 0 AND ms = 0 THEN 'clean' WHEN s >= 500 OR ms >= 30000 THEN 'serious' WHEN s >= 51 OR ms >= 1000 THEN 'moderate' ELSE 'cosmetic' END AS severity FROM x""",
+SELECT disc_id, CASE WHEN s = 0 THEN 'clean' WHEN s >= 500 OR ms >= 30000 THEN 'serious' WHEN s >= 51 OR ms >= 1000 THEN 'moderate' ELSE 'cosmetic' END AS severity FROM x""",
     "t2_largest_ranges": LOG + OVERLAY + BAD + """SELECT disc_id, pos, size, status, CAST(row_number() OVER (PARTITION BY disc_id ORDER BY size DESC, pos) AS INT) AS rank, count(*) OVER (PARTITION BY disc_id) AS num_ranges, count(*) OVER (PARTITION BY disc_id) > 5 AS truncated FROM bad
 QUALIFY row_number() OVER (PARTITION BY disc_id ORDER BY size DESC, pos) <= 5""",
     "t4_patch_order": LOG + OVERLAY + BAD + "SELECT disc_id, pos, size, status, CAST(row_number() OVER (PARTITION BY disc_id ORDER BY pos DESC) AS INT) AS place FROM bad",

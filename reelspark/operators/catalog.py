@@ -63,11 +63,12 @@ def shift_chapters(chapters: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def chapters_from_marks(marks: DataFrame, play_items: DataFrame) -> DataFrame:
-    """Chapters of entry marks (type 1): play time of earlier items and the offset in their own, never negative."""
+    """Chapters of entry marks (type 1): play time of earlier items, none below 0, and the offset in their own; the sum is never negative."""
     before = W.partitionBy("title_id").orderBy("item_no").rowsBetween(W.unboundedPreceding, -1)
-    items = play_items.withColumn("_before", F.coalesce(F.sum(F.col("out_time") - F.col("in_time")).over(before), F.lit(0))).select("title_id", F.col("item_no").alias("play_item_ref"), "_before", "in_time")
+    plays = F.greatest(F.col("out_time") - F.col("in_time"), F.lit(0))
+    items = play_items.withColumn("_before", F.coalesce(F.sum(plays).over(before), F.lit(0))).select("title_id", F.col("item_no").alias("play_item_ref"), "_before", "in_time")
     at = marks.filter("mark_type = 1").join(items, ["title_id", "play_item_ref"])
-    time = (F.col("_before") + F.greatest(F.col("timestamp_45k") - F.col("in_time"), F.lit(0))) / CLOCK
+    time = F.greatest(F.col("_before") + F.col("timestamp_45k") - F.col("in_time"), F.lit(0)) / CLOCK
     n = F.row_number().over(W.partitionBy("title_id").orderBy("mark_no"))
     return at.select("title_id", n.alias("n"), time.alias("time_secs"), n.cast("string").alias("name"))
 
@@ -104,7 +105,7 @@ def canonical_title_order(titles: DataFrame, richness: DataFrame, capacity: Colu
 def audio_richness(streams: DataFrame) -> DataFrame:
     """A3: any lossless track, most channels (an unknown number as 0), number of tracks."""
     channels = F.when(F.col("audio_format").isin(1, 3, 6, 12), S.channel_count(F.col("audio_format"))).otherwise(0)
-    return streams.filter("kind = 'audio'").groupBy("title_id").agg(F.max(F.col("codec").isin("TrueHD", "DTS-HD MA", "LPCM", "FLAC")).alias("lossless"), F.max(channels).alias("max_channels"), F.count("*").alias("tracks"))
+    return streams.filter("kind = 'audio'").groupBy("title_id").agg(F.max(F.col("codec").isin("TrueHD", "DTS-HD MA", "DTS-HD HR", "LPCM", "FLAC")).alias("lossless"), F.max(channels).alias("max_channels"), F.count("*").alias("tracks"))
 
 
 def title_totals(extents: DataFrame, titles: DataFrame) -> DataFrame:
@@ -120,19 +121,27 @@ def default_tracks(streams: DataFrame) -> DataFrame:
 
 
 def container_fit(streams: DataFrame) -> DataFrame:
-    """Which streams an MP4 keeps, and why others go: the first primary HEVC or H.264 video, and AC-3 and DTS audio of all kinds."""
-    fits = (F.col("kind") == "video") & ~F.col("secondary") & F.col("codec").isin("HEVC", "H.264")
+    """Which streams an MP4 keeps, and why others go: the first HEVC or H.264 video that does not depend on another view
+    (column `dependent`, if there is one), and AC-3 and DTS audio of all kinds."""
+    dependent = F.col("dependent") if "dependent" in streams.columns else F.lit(False)
+    fits = (F.col("kind") == "video") & ~dependent & F.col("codec").isin("HEVC", "H.264")
     first = F.row_number().over(W.partitionBy("title_id", fits).orderBy("ord")) == 1
     sound = F.col("codec").isin("AC-3", "EAC-3", "DTS", "DTS-HD MA", "DTS-HD HR")
     reason = F.when(F.col("kind") == "subtitle", "BitmapSubtitle").when((F.col("kind") == "audio") & ~sound, "UnmappableAudio").when((F.col("kind") == "video") & ~(fits & first), "SecondaryVideo")
     return streams.select("title_id", "ord", "kind", "codec", reason.alias("reason"))
 
 
-def detect_disc_format(streams: DataFrame, titles: DataFrame) -> DataFrame:
-    """UHD where a 2160-line stream is in the first three titles of a disc, else BD."""
-    first = titles.withColumn("_p", F.row_number().over(W.partitionBy("disc_id").orderBy("playlist", "title_id"))).filter("_p <= 3").select("disc_id", "title_id")
-    uhd = first.join(streams.filter("kind = 'video'"), "title_id", "left").groupBy("disc_id").agg(F.max(F.coalesce(S.is_uhd(S.resolution(F.col("video_format"))), F.lit(False))).alias("_uhd"))
-    return uhd.select("disc_id", F.when(F.col("_uhd"), "UHD").otherwise("BD").alias("format"))
+def detect_disc_format(discs: DataFrame, streams: DataFrame, titles: DataFrame) -> DataFrame:
+    """Format of each disc (disc_id, trees: names of its root folders, generation or null): of a BDMV tree by the generation, 21 FMTS, 20 UHD, 10 BD; where
+    that is unknown, UHD if the first video of known size in its first three titles is one, else BD. Then HVDVD_TS and VIDEO_TS."""
+    resolution = S.resolution(F.col("video_format"))
+    first = titles.withColumn("_p", F.row_number().over(W.partitionBy("disc_id").orderBy("playlist", "title_id"))).filter("_p <= 3").select("disc_id", "title_id", "_p")
+    sized = first.join(streams.filter("kind = 'video'"), "title_id").filter(resolution != "unknown")
+    uhd = sized.groupBy("disc_id").agg(F.min_by(S.is_uhd(resolution), F.struct("_p", "ord")).alias("_uhd"))
+    tree = lambda name: F.array_contains("trees", name)
+    by_size = F.when(F.coalesce("_uhd", F.lit(False)), "UHD").otherwise("BD")
+    bd = F.when(F.col("generation") == 21, "FMTS").when(F.col("generation") == 20, "UHD").when(F.col("generation") == 10, "BD").otherwise(by_size)
+    return discs.join(uhd, "disc_id", "left").select("disc_id", F.when(tree("BDMV"), bd).when(tree("HVDVD_TS"), "HD DVD").when(tree("VIDEO_TS"), "DVD").otherwise("Unknown").alias("format"))
 
 
 def audit_streams(clip_streams: DataFrame, stn: DataFrame) -> DataFrame:
@@ -198,9 +207,31 @@ def append_orphans(labels: DataFrame, streams: DataFrame) -> DataFrame:
 
 
 def apply_labels(streams: DataFrame, labels: DataFrame) -> DataFrame:
-    """Streams with the label of their type and place in the title (1-based by type)."""
+    """Streams (title_id, ord, kind, codec, channels) with the first label (title_id, kind, number, language, name, purpose, qualifier,
+    codec_hint, variant, label_no) of their type and place in the title, 1-based by type.
+
+    Audio takes the purpose, and as label the variant in brackets and a descriptor: none for an empty hint, the hint itself where it agrees with
+    the stream's codec and says more than codecs can, else what codec and channels give. Without either, the name of a label of Normal
+    purpose. Subtitles take the qualifier; Forced sets forced. What has no label keeps purpose Normal, qualifier None and an empty label."""
     s = streams.withColumn("number", F.row_number().over(W.partitionBy("title_id", "kind").orderBy("ord")).cast("long"))
-    return s.join(labels, ["title_id", "kind", "number"], "left")
+    told = F.struct("name", "purpose", "qualifier", "codec_hint", "variant")
+    best = labels.groupBy("title_id", "kind", "number").agg(F.min_by(told, "label_no").alias("l"))
+    j = s.join(best, ["title_id", "kind", "number"], "left")
+    has, sound = F.col("l").isNotNull(), F.col("kind") == "audio"
+    text = lambda c: F.coalesce(F.col(f"l.{c}"), F.lit(""))
+    own = S.audio_label(F.col("codec"), F.col("channels"))
+    keeps = S.codec_hint_consistent(text("codec_hint"), F.col("codec")) & S.codec_hint_adds_detail(text("codec_hint"))
+    descriptor = F.when(text("codec_hint") == "", "").when(keeps, text("codec_hint")).otherwise(own)
+    variant = F.when(text("variant") != "", F.concat(F.lit("("), text("variant"), F.lit(")"))).otherwise("")
+    label = F.array_join(F.filter(F.array(variant, descriptor), lambda x: x != ""), " ")
+    named = F.when(label != "", label).when(text("purpose") == "Normal", text("name")).otherwise("")
+    return j.select(
+        *streams.columns, "number",
+        F.when(sound & has, text("purpose")).otherwise("Normal").alias("purpose"),
+        F.when((F.col("kind") == "subtitle") & has, text("qualifier")).otherwise("None").alias("qualifier"),
+        ((F.col("kind") == "subtitle") & has & (text("qualifier") == "Forced")).alias("forced"),
+        F.when(sound & has, named).otherwise("").alias("label"),
+    )
 
 
 def dedup_stn_labels(streams: DataFrame) -> DataFrame:
@@ -238,8 +269,9 @@ def extraction_rollup(report: DataFrame) -> DataFrame:
 
 
 def name_collisions(files: DataFrame) -> DataFrame:
-    """Host paths that two or more disc paths are written to."""
-    f = files.withColumn("host", F.array_join(F.transform(F.split("path", "/"), S.sanitized_component), "/"))
+    """Host paths that two or more disc paths are written to; a path with a component that no host takes is written nowhere."""
+    f = files.withColumn("_parts", F.transform(F.split("path", "/"), S.sanitized_component)).filter(~F.exists("_parts", lambda p: p.isNull()))
+    f = f.withColumn("host", F.array_join("_parts", "/"))
     return f.groupBy("disc_id", "host").agg(F.countDistinct("path").alias("paths")).filter("paths > 1")
 
 

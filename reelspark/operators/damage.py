@@ -11,18 +11,31 @@ from reelspark.operators import ranges as R
 
 
 def locate_ranges(bad: DataFrame, extents: DataFrame, titles: DataFrame, chapters: DataFrame, k: int = 50, width: int = R.BIN) -> DataFrame:
-    """Of each title the k bad parts that last longest, with place in the title, time and chapter, the number of all parts and whether some were left out."""
-    spans = R.extent_offsets(extents)
-    left = spans.select("disc_id", "title_id", "byte_offset", (F.col("start_lba") * R.SECTOR).alias("l_start"), ((F.col("start_lba") + F.col("sector_count")) * R.SECTOR).alias("l_end"))
-    right = bad.select("disc_id", F.col("pos").alias("r_start"), (F.col("pos") + F.col("size")).alias("r_end"))
-    start = F.greatest("l_start", "r_start")
-    hit = R.overlap_join(left, right, "disc_id", width).select("title_id", F.floor(start / R.SECTOR).alias("lba"), (F.least("l_end", "r_end") - start).alias("bytes"), (F.col("byte_offset") + start - F.col("l_start")).alias("offset"))
-    timed = hit.join(titles.select("title_id", "duration_secs", "size_bytes"), "title_id").withColumn("duration_ms", F.floor(F.col("bytes") / F.col("size_bytes") * F.col("duration_secs") * 1000))
-    chapter = C.chapter_at(hit.select("title_id", "offset").distinct(), titles, chapters).select("title_id", "offset", "chapter")
-    w = W.partitionBy("title_id").orderBy(F.desc("duration_ms"), "offset", "lba", "bytes")
-    n = F.count("*").over(W.partitionBy("title_id"))
-    top = timed.withColumn("rank", F.row_number().over(w)).withColumn("num_ranges", n).filter(F.col("rank") <= k)
-    return top.join(chapter, ["title_id", "offset"], "left").select("title_id", "rank", "lba", "bytes", "offset", "duration_ms", "chapter", "num_ranges", (F.col("num_ranges") > k).alias("truncated"))
+    """For each title the k bad ranges of its disc that last longest at its rate, whole and wherever they lie: first sector and
+    sectors, play time in ms, chapter and time where the first sector is in the title (null outside, or without chapters or bytes). Besides, of the
+    title: all ranges of the disc, how many are left out, the longest's play time, and the time at risk, that of the bytes of its extents in bad ranges.
+
+    Ranges last as their sizes, at whatever rate, so the k largest of a disc are picked once, not for each title."""
+    by_size = W.partitionBy("disc_id").orderBy(F.desc("size"), "pos")
+    by_pos = W.partitionBy("disc_id").orderBy("pos", F.desc("size"))
+    ranked = bad.select("disc_id", "pos", "size", F.row_number().over(by_size).alias("_by_size"), F.row_number().over(by_pos).alias("_by_pos"), F.count("*").over(W.partitionBy("disc_id")).alias("num_ranges"))
+    top = ranked.filter((F.col("_by_size") <= k) | (F.col("_by_pos") <= k))
+    rate = F.when(F.col("duration_secs") > 0, F.col("size_bytes") / F.col("duration_secs")).otherwise(0.0)
+    t = titles.select("disc_id", "title_id", rate.alias("_rate")).join(top, "disc_id")
+    t = t.withColumn("rank", F.when(F.col("_rate") > 0, F.col("_by_size")).otherwise(F.col("_by_pos"))).filter(F.col("rank") <= k)
+    ms = lambda n: F.when(F.col("_rate") > 0, n / F.col("_rate") * 1000).otherwise(0.0)
+    t = t.withColumn("lba", F.floor(F.col("pos") / R.SECTOR)).withColumn("count", F.floor(F.col("size") / R.SECTOR)).withColumn("duration_ms", ms(F.col("size")))
+    place = R.locate_lba(t.select("disc_id", "lba").distinct(), extents, width=max(1, width // R.SECTOR)).select("title_id", "lba", "offset")
+    timed = C.chapter_at(place.select("title_id", "offset").distinct(), titles, chapters).filter("chapter IS NOT NULL")
+    found = place.join(timed, ["title_id", "offset"]).select("title_id", "lba", "chapter", F.col("time_secs").alias("time_offset_secs"))
+    risk = R.bytes_bad_in_title(extents, bad, width=width).select("title_id", "bytes_bad")
+    out = t.join(found, ["title_id", "lba"], "left").join(risk, "title_id", "left")
+    at_risk = F.when(F.col("_rate") > 0, F.coalesce("bytes_bad", F.lit(0)) * 1000.0 / F.col("_rate")).otherwise(0.0)
+    largest = F.max("duration_ms").over(W.partitionBy("title_id"))
+    return out.select(
+        "title_id", "rank", "lba", "count", "duration_ms", "chapter", "time_offset_secs", "num_ranges", F.greatest(F.col("num_ranges") - k, F.lit(0)).alias("truncated"),
+        largest.alias("largest_gap_ms"), at_risk.alias("main_at_risk_ms"),
+    )
 
 
 def flag_recovered(pictures: DataFrame, bad: DataFrame, key: str = "title_id", width: int = R.BIN) -> DataFrame:
@@ -56,8 +69,12 @@ def small_file_ranges(files: DataFrame, file_extents: DataFrame, most: int = 50_
 
 
 def select_pids(packets: DataFrame, pids: DataFrame) -> DataFrame:
-    """Packets of the selected pids."""
-    return packets.join(pids.select("pid").distinct(), "pid", "left_semi")
+    """Packets of the selected pids; where the table tells them, a packet without the sync byte or of the reserved adaptation code 0 goes, and one of
+    adaptation alone carries no payload."""
+    kept = packets.join(pids.select("pid").distinct(), "pid", "left_semi")
+    if "sync" in packets.columns:
+        kept = kept.filter("sync")
+    return kept.filter("afc <> 0").withColumn("has_payload", F.col("afc") != 2) if "afc" in packets.columns else kept
 
 
 def error_predicates(status: Column, key: Column) -> dict[str, Column]:
@@ -65,6 +82,19 @@ def error_predicates(status: Column, key: Column) -> dict[str, Column]:
     return {"transport": status == 0xFF, "bridge": ~status.isin(0, 2, 0xFF), "marginal": (status == 2) & key.isin(0, 1, 2, 3, 11)}
 
 
-def cicp(measured: Column, hdr: Column) -> Column:
-    """transfer code: PQ and HLG override, then what was measured, else BT.709."""
-    return F.when(hdr.isin("HDR10", "HDR10+", "DolbyVision"), 16).when(hdr == "HLG", 18).otherwise(F.coalesce(measured, F.lit(1)))
+#: Code points of matrix, transfer and primaries by colour space; a limited range is 1.
+CICP = {"bt2020": (9, 16, 9), "bt709": (1, 1, 1), "bt470bg": (5, 5, 5), "smpte170m": (6, 6, 6)}
+
+
+def cicp(measured: Column, color_space: Column, hdr: Column) -> Column:
+    """matrix, transfer, primaries and range: what was measured (a struct), else by the colour space, 2 where it is unknown, with the
+    transfer of the HDR format, 16 for PQ and 18 for HLG."""
+    def by_space(k: int) -> Column:
+        out = F.lit(2)
+        for name, codes in CICP.items():
+            out = F.when(color_space == name, codes[k]).otherwise(out)
+        return out
+
+    transfer = F.when(hdr.isin("HDR10", "HDR10+", "DolbyVision"), 16).when(hdr == "HLG", 18).otherwise(by_space(1))
+    fallback = F.struct(by_space(0).alias("matrix"), transfer.alias("transfer"), by_space(2).alias("primaries"), F.lit(1).alias("range"))
+    return F.when(measured.isNotNull(), measured.cast("struct<matrix:int,transfer:int,primaries:int,range:int>")).otherwise(fallback)

@@ -6,16 +6,21 @@ Ranges are rows of a key (a disc, a title), pos, size and often status: `?` not
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelspark.operators.ordered import in_order
+
 RETRYABLE = ("*", "/")
 PENDING = ("?", "*", "/")
 LOST = ("*", "/", "-")
 SECTOR = 2048
-#: Width of the bins of interval joins, in the unit of the positions.
-BIN = 1 << 20
+#: Narrowest bins of interval joins, in the unit of the positions; each further width is that many times wider.
+BIN, WIDER, WIDTHS = 1 << 20, 64, 4
 
 
 def coalesce_ranges(ranges: DataFrame, key: str = "disc_id") -> DataFrame:
@@ -41,32 +46,95 @@ def extent_offsets(extents: DataFrame, key: str = "title_id") -> DataFrame:
     return extents.withColumn("byte_offset", F.coalesce(F.sum("sector_count").over(before), F.lit(0)) * SECTOR)
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width)))
+def _placed(side: DataFrame, start: str, end: str, width: int, own: tuple[str, ...], low: str) -> DataFrame:
+    """Rows of a side at the width that its interval fits and at all wider ones, by the bins that it touches there: in the
+    roles `own` at the first, in the role `low` at the others."""
+    size = F.col(end) - F.col(start)
+    level = F.lit(WIDTHS - 1)
+    for k in range(WIDTHS - 2, -1, -1):
+        level = F.when(size <= width * WIDER**k, k).otherwise(level)
+    at = lambda k, x: F.floor(x / (width * WIDER**k))
+    bins = lambda k: F.transform(F.sequence(at(k, F.col(start)), at(k, F.col(end) - 1)), lambda b: b)
+    places = []
+    for k in range(WIDTHS):
+        roles = F.when(F.col("_level") == k, F.array(*[F.lit(r) for r in own])).when(F.col("_level") < k, F.array(F.lit(low))).otherwise(F.array().cast("array<string>"))
+        places.append(F.flatten(F.transform(roles, lambda r, k=k: F.transform(bins(k), lambda b: F.struct(F.lit(k).alias("k"), b.alias("bin"), r.alias("role"))))))
+    placed = side.filter(size > 0).withColumn("_level", level).withColumn("_place", F.explode(F.flatten(F.array(*places))))
+    return placed.select("*", F.col("_place.k").alias("_k"), F.col("_place.bin").alias("_bin"), F.col("_place.role").alias("_role")).drop("_level", "_place")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int = BIN) -> DataFrame:
     """Pairs of rows of one key whose [l_start, l_end) and [r_start, r_end) overlap, with l_ and r_ columns as given.
 
-    Both sides are dealt to bins of the width, and a pair is kept in the bin of its later start only, so the join is an
-    equi-join on key and bin that spreads a large key over its bins."""
-    a = left.filter("l_end > l_start").withColumn("_bin", _bins(F.col("l_start"), F.col("l_end"), width))
-    b = right.filter("r_end > r_start").withColumn("_bin", _bins(F.col("r_start"), F.col("r_end"), width))
-    both = a.join(b, [key, "_bin"]).filter((F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")))
-    return both.filter(F.floor(F.greatest("l_start", "r_start") / width) == F.col("_bin")).drop("_bin")
+    Bins have several widths, and an interval lies in a bin or two of the narrowest that holds it, so a whole disc is one row and not one
+    a bin. Two intervals meet at the wider one's width: both fitting it, or one fitting it and the other narrower, told apart by the role, so that
+    narrow ones never meet in wide bins. A pair is kept in the bin of its later start. The join is an equi-join on key, width, bin and role."""
+    a = _placed(left, "l_start", "l_end", width, ("both", "left"), "right")
+    b = _placed(right, "r_start", "r_end", width, ("both", "right"), "left")
+    both = a.join(b, [key, "_k", "_bin", "_role"]).filter((F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")))
+    later = F.greatest("l_start", "r_start")
+    here = F.lit(False)
+    for k in range(WIDTHS):
+        here = F.when(F.col("_k") == k, F.floor(later / (width * WIDER**k)) == F.col("_bin")).otherwise(here)
+    return both.filter(here).drop("_k", "_bin", "_role")
+
+
+class _Overlay:
+    """The records open at a position, the latest first, and the range that is being made."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[int, int, str]] = []
+        self.at = 0
+        self.run: list | None = None
+        self.out: list[tuple[int, int, str]] = []
+
+    def forward(self, to: int | None) -> None:
+        while self.open and (to is None or self.at < to):
+            _, end, status = self.open[0]
+            if end <= self.at:
+                heapq.heappop(self.open)
+                continue
+            stop = end if to is None else min(end, to)
+            if self.run and self.run[1] == self.at and self.run[2] == status:
+                self.run[1] = stop
+            else:
+                self.close()
+                self.run = [self.at, stop, status]
+            self.at = stop
+
+    def close(self) -> None:
+        if self.run:
+            self.out.append((self.run[0], self.run[1] - self.run[0], self.run[2]))
+        self.run = None
+
+    def taken(self, key: str, value) -> pd.DataFrame:
+        out = pd.DataFrame(self.out, columns=["pos", "size", "status"])
+        out.insert(0, key, value)
+        self.out = []
+        return out
+
+
+def overlay_ranges(log: DataFrame, key: str = "disc_id") -> DataFrame:
+    """Replays a log of (pos, size, status) in the order of seq: the latest record wins wherever records overlap; then W1.
 
+    One sweep by position over each disc's records: of the records open at a place the latest gives its status. Ties of seq go to
+    the smaller end, then status."""
 
-def overlay_ranges(log: DataFrame, key: str = "disc_id", width: int = BIN) -> DataFrame:
-    """Replays a log of (pos, size, status) in the order of seq: the latest record wins wherever records overlap; then W1.
+    def step(state: _Overlay, rows: pd.DataFrame) -> pd.DataFrame:
+        for pos, size, seq, status in zip(rows["pos"].tolist(), rows["size"].tolist(), rows["seq"].tolist(), rows["status"].tolist()):
+            state.forward(pos)
+            state.at = max(state.at, pos)
+            heapq.heappush(state.open, (-seq, pos + size, status))
+        return state.taken(key, rows[key].iloc[0])
+
+    def end(state: _Overlay, held: tuple) -> pd.DataFrame:
+        state.forward(None)
+        state.close()
+        return state.taken(key, held[0])
 
-    The records' ends cut each disc into segments; a segment takes the status of the last record that covers it."""
-    log = log.filter("size > 0")
-    points = log.select(key, F.explode(F.array("pos", F.col("pos") + F.col("size"))).alias("at")).distinct()
-    cut = points.withColumn("to", F.lead("at").over(W.partitionBy(key).orderBy("at"))).filter("to IS NOT NULL")
-    segments = cut.select(key, F.col("at").alias("l_start"), F.col("to").alias("l_end"))
-    records = log.select(key, F.col("pos").alias("r_start"), (F.col("pos") + F.col("size")).alias("r_end"), "seq", "status")
-    last = overlap_join(segments, records, key, width).groupBy(key, "l_start", "l_end").agg(F.max_by("status", "seq").alias("status"))
-    return coalesce_ranges(last.select(key, F.col("l_start").alias("pos"), (F.col("l_end") - F.col("l_start")).alias("size"), "status"), key)
+    kind = log.schema[key].dataType.simpleString()
+    rows = log.filter("size > 0").select(key, F.col("pos").cast("long").alias("pos"), F.col("size").cast("long").alias("size"), "seq", "status")
+    return in_order(rows, [key], ["pos", "seq"], f"{key} {kind}, pos long, size long, status string", _Overlay, step, end)
 
 
 def subtract_ranges(bad: DataFrame, recovered: DataFrame, key: str = "disc_id") -> DataFrame:
@@ -148,7 +216,7 @@ def locate_lba(points: DataFrame, extents: DataFrame, key: str = "disc_id", widt
 
 def damage_severity(bad_sectors: Column, lost_ms: Column) -> Column:
     """clean, cosmetic, moderate or serious, by bad sectors and lost time."""
-    return F.when((bad_sectors == 0) & (lost_ms == 0), "clean").when((bad_sectors >= 500) | (lost_ms >= 30_000), "serious").when((bad_sectors >= 51) | (lost_ms >= 1000), "moderate").otherwise("cosmetic")
+    return F.when(bad_sectors == 0, "clean").when((bad_sectors >= 500) | (lost_ms >= 30_000), "serious").when((bad_sectors >= 51) | (lost_ms >= 1000), "moderate").otherwise("cosmetic")
 
 
 def largest_ranges(ranges: DataFrame, k: int = 50, key: str = "disc_id") -> DataFrame:
@@ -164,11 +232,15 @@ def patch_order(ranges: DataFrame, key: str = "disc_id") -> DataFrame:
     return ranges_with(ranges, LOST).withColumn("place", F.row_number().over(w))
 
 
-def disc_damage(log: DataFrame, extents: DataFrame, discs: DataFrame) -> DataFrame:
-    """How bad is each disc, and how many of its titles are hit: R1, A1, J5 and F22 on the discs' logs."""
+def disc_damage(log: DataFrame, extents: DataFrame, titles: DataFrame) -> DataFrame:
+    """How bad is each disc, and how many of its titles are hit: R1, A1, J5 and F22 on the discs' logs. lost_ms is the play time of
+    what is lost of the main title, the disc's largest."""
     ranges = overlay_ranges(log)
     bad = ranges_with(ranges, LOST)
-    hit = bytes_bad_in_title(extents, bad).groupBy("disc_id").agg(F.count("*").alias("titles_hit"), F.sum("bytes_bad").alias("title_bytes_bad"))
+    hits = bytes_bad_in_title(extents, bad)
+    main = titles.groupBy("disc_id").agg(F.max_by(F.struct("title_id", "size_bytes", "duration_secs"), F.struct("size_bytes", "duration_secs", (-F.col("title_id")).alias("low"))).alias("m"))
+    lost = hits.join(main, "disc_id").withColumn("_ms", F.when((F.col("title_id") == F.col("m.title_id")) & (F.col("m.size_bytes") > 0), F.col("bytes_bad") * F.col("m.duration_secs") * 1000 / F.col("m.size_bytes")))
+    hit = lost.groupBy("disc_id").agg(F.count("*").alias("titles_hit"), F.sum("bytes_bad").alias("title_bytes_bad"), F.max("_ms").alias("lost_ms"))
     stats = range_stats(ranges).withColumn("bad_sectors", ((F.col("bytes_unreadable") + F.col("bytes_retryable")) / SECTOR).cast("long"))
-    out = stats.join(hit, "disc_id", "left").fillna(0, ["titles_hit", "title_bytes_bad"])
-    return out.withColumn("severity", damage_severity(F.col("bad_sectors"), F.lit(0)))
+    out = stats.join(hit, "disc_id", "left").fillna(0, ["titles_hit", "title_bytes_bad", "lost_ms"])
+    return out.withColumn("severity", damage_severity(F.col("bad_sectors"), F.col("lost_ms")))
