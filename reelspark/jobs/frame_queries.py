@@ -59,6 +59,7 @@ QUERIES = {
     "w9_display_index": lambda s, d: O.display_index(frames(s, d)),
     "w11_monotonic_ts": lambda s, d: O.monotonic_ts(frames(s, d), video()).select("title_id", "track", "idx", "ts"),
     "w12_timeline_continuity": lambda s, d: O.timeline_continuity(frames(s, d), video()),
+    "w10_rebuild_pts": lambda s, d: O.rebuild_pts(frames(s, d), F.when(F.col("size") % 3 == 0, F.col("pts_ns"))),
     "w17_poison_point": lambda s, d: O.poison_point(units(s, d), 5),
     "w18_display_durations": lambda s, d: O.display_durations(display_sets(s, d)).select("title_id", "track", "idx", "duration_ns"),
     "w19_sample_durations": lambda s, d: O.sample_durations(frames(s, d)).select("title_id", "track", "idx", "sample_duration"),
@@ -67,7 +68,7 @@ QUERIES = {
     "w22_cluster_frames": lambda s, d: O.cluster_frames(frames(s, d), video()),
     "w23_audio_delays": lambda s, d: O.audio_delays(frames(s, d), F.col("track") != 0, video()),
     "w30_rebase_to_first_video": lambda s, d: O.rebase_to_first_video(frames(s, d), video()).select("title_id", "track", "idx", "ts"),
-    "a4_track_bitrate": lambda s, d: O.track_bitrate(frames(s, d)),
+    "a4_track_bitrate": lambda s, d: O.track_bitrate(frames(s, d), view(s, d, "titles").filter("title_id % 2 = 0"), video()),
     "a7_drop_tally": lambda s, d: O.drop_tally(units(s, d)),
     "a11_detect_rate": lambda s, d: O.detect_rate(frames(s, d)),
     "j3_clip_time_extents": j3,
@@ -92,8 +93,12 @@ _UNITS = ", u AS (SELECT title_id, track, idx, ctype <> 'I' AS dropped, size % 4
 _ERR = """, n AS (SELECT *, row_number() OVER (PARTITION BY disc_id ORDER BY seq) AS i FROM read_log), e AS (SELECT *, CASE WHEN lag(i) OVER w IS NULL OR i - lag(i) OVER w - 1 >= 16 THEN 1 ELSE 0 END AS opens FROM n WHERE NOT ok WINDOW w AS (PARTITION BY disc_id ORDER BY seq)),
 z AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY disc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS zone FROM e)"""
 _EV = """, fine AS (SELECT user_id AS clip_no, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS n, event_id % 2048 AS pts, event_id % 131072 AS spn FROM events)"""
-_RATES = " ".join(f"WHEN abs(1e9 / gap - {n}.0 / {d}) < 0.5 THEN {{}}".replace("{}", str(n)) for n, d in O.RATES)
-_DENS = " ".join(f"WHEN abs(1e9 / gap - {n}.0 / {d}) < 0.5 THEN {d}" for n, d in O.RATES)
+_RATES = " ".join(f"WHEN abs(1e9 / gap - {k}) < 0.5 THEN {n}" for n, _, k in O.RATES)
+_DENS = " ".join(f"WHEN abs(1e9 / gap - {k}) < 0.5 THEN {d}" for _, d, k in O.RATES)
+#: The detected rate of each track; whole ticks of non-negative times.
+_RATE = f""", sg AS (SELECT *, pts_ns - lag(pts_ns) OVER (PARTITION BY title_id, track ORDER BY pts_ns, idx) AS gap FROM frames), pg AS (SELECT *, row_number() OVER (PARTITION BY title_id, track ORDER BY gap, idx) - 1 AS i, count(*) OVER (PARTITION BY title_id, track) AS n FROM sg WHERE gap > 0),
+mg AS (SELECT DISTINCT f.title_id, f.track, p.gap FROM frames f LEFT JOIN pg p ON p.title_id = f.title_id AND p.track = f.track AND p.i = p.n // 2),
+rate AS (SELECT title_id, track, CAST(CASE {_RATES} ELSE 90000 END AS BIGINT) AS num, CAST(CASE {_DENS} WHEN gap IS NOT NULL THEN greatest(gap * 9 // 100000, 1) ELSE 3003 END AS BIGINT) AS den FROM mg)"""
 _W6 = """, c AS (SELECT *, discontinuity_flag OR coalesce(cc <> (lag(cc) OVER w + 1) % 16 AND cc <> lag(cc) OVER w, false) AS gap FROM ts_packets WINDOW w AS (PARTITION BY file_id, pid ORDER BY rec_no))"""
 ORACLE = {
     "p6_picture_type": FR + "SELECT title_id, track, idx, CASE WHEN ctype IN ('I', 'P', 'B') THEN ctype WHEN keyframe THEN 'I' ELSE 'P' END AS picture_type, keyframe AS random_access FROM frames",
@@ -108,17 +113,45 @@ SELECT q.title_id, q.track, q.idx, CAST(gop AS BIGINT) AS gop, CAST(CASE WHEN b
     "w11_monotonic_ts": FR + f", n AS (SELECT *, row_number() OVER ({_T}) AS p FROM frames) SELECT title_id, track, idx, CASE WHEN track = 0 THEN pts_ns ELSE p + max(pts_ns - p) OVER ({_T} ROWS UNBOUNDED PRECEDING) END AS ts FROM n",
     "w17_poison_point": FR + _UNITS + f", v AS (SELECT *, count(*) OVER ({_T} ROWS UNBOUNDED PRECEDING) AS seen, count(*) FILTER (dropped AND verified) OVER ({_T} ROWS UNBOUNDED PRECEDING) AS bad FROM u) SELECT title_id, track, min(idx) AS poison_idx FROM v WHERE dropped AND verified AND seen >= 5 AND bad * 2 > seen GROUP BY ALL",
     "w18_display_durations": FR + f", s AS (SELECT title_id, track, idx, CASE WHEN size % 5 <> 0 THEN pts_ns END AS pts_ns, ctype = 'P' AS is_clear FROM frames), x AS (SELECT *, lead(pts_ns) OVER ({_T}) AS n FROM s) SELECT title_id, track, idx, CASE WHEN n IS NOT NULL AND pts_ns IS NOT NULL THEN greatest(n - pts_ns, 0) END AS duration_ns FROM x WHERE NOT is_clear",
-    "w19_sample_durations": FR + f", x AS (SELECT *, greatest(CAST(trunc((lead(pts_ns) OVER ({_T}) - pts_ns) * 90000 / 1e9) AS BIGINT), 0) AS d, lead(idx) OVER ({_T}) AS more FROM frames), y AS (SELECT *, CASE WHEN more IS NOT NULL THEN d END AS e FROM x) SELECT title_id, track, idx, CAST(coalesce(e, lag(e) OVER ({_T}), 3000) AS BIGINT) AS sample_duration FROM y",
+    "w10_rebuild_pts": FR + _GOP + """, p AS (SELECT *, place // 600 AS part, CAST(ctype = 'B' AS INT) AS b, CASE WHEN size % 3 = 0 THEN pts_ns END AS e FROM h),
+q AS (SELECT *, sum(b) OVER w - b AS bb, sum(1 - b) OVER w - (1 - b) AS ab, sum(b) OVER (PARTITION BY title_id, track, gop, part) AS tb FROM p WINDOW w AS (PARTITION BY title_id, track, gop, part ORDER BY idx ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT title_id, track, idx, coalesce(lead(bb) OVER (PARTITION BY title_id, track, gop, part ORDER BY idx), tb) AS nb FROM q WHERE b = 0),
+d AS (SELECT q.*, CASE WHEN b = 0 THEN ab + nb ELSE bb + greatest(ab - 1, 0) END AS di FROM q LEFT JOIN a USING (title_id, track, idx)),
+n AS (SELECT title_id, track, gop, part, count(*) AS n, arg_min(e, idx) FILTER (e IS NOT NULL) AS e, arg_min(di, idx) FILTER (e IS NOT NULL) AS di FROM d GROUP BY ALL),
+k AS (SELECT *, row_number() OVER w AS k, lead(e) OVER w - e AS span FROM n WINDOW w AS (PARTITION BY title_id, track ORDER BY gop, part)),
+c AS (SELECT title_id, track, min(k) AS k1, arg_min(greatest(span // n, 1), k) AS dur1 FROM k WHERE span > 0 GROUP BY ALL),
+t AS (SELECT k.*, CASE WHEN k.k >= c.k1 THEN dur1 ELSE 41708333 END AS dur FROM k LEFT JOIN c USING (title_id, track)),
+u AS (SELECT *, coalesce(sum(n * dur) OVER (PARTITION BY title_id, track ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+l AS (SELECT *, (SELECT arg_max(v.e - v.di * v.dur - v.before, v.k) FROM u v WHERE v.title_id = u.title_id AND v.track = u.track AND v.k <= u.k AND v.e IS NOT NULL) AS lead FROM u)
+SELECT d.title_id, d.track, d.idx, CAST(coalesce(l.lead, 0) + l.before + d.di * l.dur AS BIGINT) AS pts_ns, CAST(l.dur AS BIGINT) AS duration_ns FROM d JOIN l USING (title_id, track, gop, part)""",
+    "w12_timeline_continuity": "WITH RECURSIVE" + FR[4:] + """, n AS (SELECT title_id, idx, pts_ns, track = 0 AS p, row_number() OVER (PARTITION BY title_id ORDER BY idx) AS i FROM frames),
+r AS (SELECT title_id, idx, i, pts_ns AS ts, CAST(0 AS BIGINT) AS off, CAST(NULL AS BIGINT) AS prev, CASE WHEN p THEN pts_ns END AS high, 0 AS epoch FROM n WHERE i = 1
+UNION ALL SELECT n.title_id, n.idx, n.i,
+ CASE WHEN n.p AND n.pts_ns + r.off < r.high - 3000000000 THEN r.high + 1000000 WHEN NOT n.p AND r.prev IS NOT NULL AND n.pts_ns + r.off > r.high + 3000000000 AND n.pts_ns + r.prev BETWEEN r.high - 3000000000 AND r.high THEN n.pts_ns + r.prev ELSE n.pts_ns + r.off END,
+ CASE WHEN n.p AND n.pts_ns + r.off < r.high - 3000000000 THEN r.high + 1000000 - n.pts_ns ELSE r.off END, CASE WHEN n.p AND n.pts_ns + r.off < r.high - 3000000000 THEN r.off ELSE r.prev END,
+ CASE WHEN NOT n.p THEN r.high WHEN r.high IS NULL THEN n.pts_ns + r.off WHEN n.pts_ns + r.off < r.high - 3000000000 THEN r.high + 1000000 ELSE greatest(r.high, n.pts_ns + r.off) END,
+ CASE WHEN n.p AND n.pts_ns + r.off < r.high - 3000000000 THEN r.epoch + 1 ELSE r.epoch END FROM r JOIN n ON n.title_id = r.title_id AND n.i = r.i + 1)
+SELECT title_id, idx, ts, CAST(epoch AS INT) AS epoch FROM r""",
+    "w19_sample_durations": FR + f", t AS (SELECT *, pts_ns * 90000 // 1000000000 AS t FROM frames), x AS (SELECT *, greatest(lead(t) OVER ({_T}) - t, 0) AS d, lead(idx) OVER ({_T}) AS more FROM t), y AS (SELECT *, CASE WHEN more IS NOT NULL THEN d END AS e FROM x) SELECT title_id, track, idx, CAST(coalesce(e, lag(e) OVER ({_T}), 3000) AS BIGINT) AS sample_duration FROM y",
     "w20_run_length": FR + ", x AS (SELECT *, row_number() OVER (PARTITION BY title_id, track ORDER BY idx) - row_number() OVER (PARTITION BY title_id, track, ctype ORDER BY idx) AS g FROM frames) SELECT title_id, track, min(idx) AS first, ctype AS value, count(*) AS count FROM x GROUP BY title_id, track, ctype, g",
-    "w21_composition_offsets": FR + f"SELECT title_id, track, idx, CAST(trunc((pts_ns - min(pts_ns) OVER (PARTITION BY title_id, track)) * 90000 / 1e9) AS BIGINT) - (row_number() OVER ({_T}) - 1) * 3003 AS \"offset\" FROM frames",
+    "w21_composition_offsets": FR + _RATE + f", x AS (SELECT *, pts_ns - min(pts_ns) OVER (PARTITION BY title_id, track) AS f, row_number() OVER ({_T}) - 1 AS i FROM frames) SELECT title_id, track, idx, CAST((f // 1000000000) * num + (f % 1000000000) * num // 1000000000 - i * den AS BIGINT) AS \"offset\" FROM x JOIN rate USING (title_id, track)",
     "w23_audio_delays": FR + """, a AS (SELECT title_id, track, arg_min(pts_ns, idx) AS a FROM frames WHERE track <> 0 GROUP BY ALL), v AS (SELECT title_id, arg_min(pts_ns, idx) AS v FROM frames WHERE track = 0 GROUP BY ALL)
 SELECT title_id, track, CAST(sign(a - v) * ((abs(a - v) + 500000) // 1000000) AS BIGINT) AS delay_ms FROM a JOIN v USING (title_id)""",
     "w30_rebase_to_first_video": FR + ", v AS (SELECT title_id, arg_min(pts_ns, idx) AS v FROM frames WHERE track = 0 GROUP BY ALL) SELECT title_id, track, idx, pts_ns - v AS ts FROM frames JOIN v USING (title_id)",
-    "a4_track_bitrate": FR + "SELECT title_id, track, CAST(sum(size) AS BIGINT) AS bytes, CASE WHEN max(pts_ns) > min(pts_ns) AND sum(size) > 0 THEN CAST(round(sum(size) * 8 / ((max(pts_ns) - min(pts_ns)) / 1e9)) AS BIGINT) END AS bitrate FROM frames GROUP BY ALL",
+    "a4_track_bitrate": with_views("frames", "titles") + """, s AS (SELECT title_id, min(idx) AS i, arg_min(pts_ns // 100000, idx) AS t FROM frames WHERE keyframe AND track = 0 GROUP BY ALL),
+f AS (SELECT f.title_id, track, size, greatest(pts_ns // 100000 - t, 0) AS fin FROM frames f JOIN s ON s.title_id = f.title_id AND f.idx >= s.i), m AS (SELECT title_id, max(fin) AS fin FROM f GROUP BY ALL),
+g AS (SELECT title_id, track, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY ALL), d AS (SELECT title_id, duration_secs FROM titles WHERE title_id % 2 = 0),
+x AS (SELECT g.*, CASE WHEN duration_secs > 0 THEN duration_secs ELSE fin * 100000 / 1e9 END AS secs FROM g JOIN m USING (title_id) LEFT JOIN d USING (title_id))
+SELECT title_id, track, bytes, CASE WHEN secs > 0 AND bytes > 0 THEN CAST(round(bytes * 8.0 / secs) AS BIGINT) END AS bitrate FROM x""",
     "a7_drop_tally": FR + _UNITS + "SELECT title_id, track, count(*) FILTER (NOT dropped) AS kept, count(*) FILTER (dropped) AS dropped, count(*) FILTER (dropped AND verified) AS verified, CAST(coalesce(sum(greatest(duration_ns, 0)) FILTER (dropped), 0) AS BIGINT) AS dropped_ns FROM u GROUP BY ALL",
-    "a11_detect_rate": FR + f""", s AS (SELECT *, pts_ns - lag(pts_ns) OVER (PARTITION BY title_id, track ORDER BY pts_ns, idx) AS gap FROM frames), p AS (SELECT *, row_number() OVER (PARTITION BY title_id, track ORDER BY gap, idx) - 1 AS i, count(*) OVER (PARTITION BY title_id, track) AS n FROM s WHERE gap > 0),
-m AS (SELECT DISTINCT f.title_id, f.track, p.gap FROM frames f LEFT JOIN p ON p.title_id = f.title_id AND p.track = f.track AND p.i = p.n // 2)
-SELECT title_id, track, CAST(CASE {_RATES} ELSE 90000 END AS BIGINT) AS num, CAST(CASE {_DENS} WHEN gap IS NOT NULL THEN gap * 9 // 100000 ELSE 3003 END AS BIGINT) AS den FROM m""",
+    "a11_detect_rate": FR + _RATE + "SELECT * FROM rate",
+    "w22_cluster_frames": "WITH RECURSIVE" + FR[4:] + """, b AS (SELECT title_id, min(idx) AS i0, arg_min(pts_ns // 100000, idx) AS base FROM frames WHERE track = 0 AND keyframe GROUP BY ALL),
+n AS (SELECT f.title_id, idx, track, track = 0 AND keyframe AS k, greatest(pts_ns // 100000 - base, 0) AS t, row_number() OVER (PARTITION BY f.title_id ORDER BY idx) AS i FROM frames f JOIN b ON b.title_id = f.title_id AND idx >= i0),
+w AS (SELECT *, row_number() OVER (PARTITION BY title_id, track ORDER BY idx) AS p FROM n), m AS (SELECT title_id, idx, i, k, CASE WHEN track = 0 THEN t ELSE p + max(t - p) OVER (PARTITION BY title_id, track ORDER BY idx ROWS UNBOUNDED PRECEDING) END AS t FROM w),
+r AS (SELECT title_id, idx, i, t, t AS start, 0 AS cluster FROM m WHERE i = 1
+UNION ALL SELECT m.title_id, m.idx, m.i, m.t, CASE WHEN (m.k AND m.t - r.start >= 20000) OR m.t - r.start NOT BETWEEN -32768 AND 32767 THEN m.t ELSE r.start END, CASE WHEN (m.k AND m.t - r.start >= 20000) OR m.t - r.start NOT BETWEEN -32768 AND 32767 THEN r.cluster + 1 ELSE r.cluster END
+FROM r JOIN m ON m.title_id = r.title_id AND m.i = r.i + 1)
+SELECT title_id, idx, CAST(cluster AS INT) AS cluster, CAST(t AS BIGINT) AS tick FROM r""",
     "j3_clip_time_extents": with_views("ep_map") + """, g AS (SELECT clip_no, min(pts) AS lo, max(pts) AS hi FROM ep_map GROUP BY clip_no), c AS (SELECT clip_no, CAST(k AS BIGINT) AS ord, lo + k * 1000 - 500 AS i, hi - k * 90000 + 400 AS o FROM g, range(3) t(k)),
 x AS (SELECT *, coalesce((SELECT arg_max(spn, pts) FROM ep_map e WHERE e.clip_no = c.clip_no AND pts <= i), (SELECT arg_min(spn, pts) FROM ep_map e WHERE e.clip_no = c.clip_no)) AS a,
  coalesce((SELECT arg_min(spn, pts) FROM ep_map e WHERE e.clip_no = c.clip_no AND pts >= o), (SELECT arg_max(spn, pts) + 1 FROM ep_map e WHERE e.clip_no = c.clip_no)) AS b FROM c)

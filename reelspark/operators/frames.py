@@ -1,7 +1,7 @@
 """Ordered analytics over frames, packets and read logs: gates, display order, timelines, rates, damage windows.
 
 Windows are partitioned by title, track, file or disc, and read narrow columns only. Sequential rules are written as
-running sums and maxima wherever such a form exists; the two that have none run per title on narrow columns.
+running sums and maxima wherever such a form exists; the two that have none stream through a sorted shuffle of narrow columns.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelspark.operators.ordered import in_order
+
 VIDEO = 0
 #: Sense keys of a wedged drive, by family.
 HARDWARE, ILLEGAL_REQUEST = 4, 5
@@ -79,30 +81,60 @@ BACK, STEP = 3 * SECOND, 1_000_000
 CLUSTER, REACH = 20_000, 32_767
 
 
-def _continue_timeline(rows: pd.DataFrame) -> pd.DataFrame:
-    back, step = BACK, STEP
-    rows = rows.sort_values("idx")
-    out, offset, previous, high, epoch = [], 0, None, None, 0
-    for pts, primary in zip(rows["pts_ns"].tolist(), rows["primary"].tolist()):
-        at = pts + offset
+class Timeline:
+    """Offset, the offset before it, the frontier of the primary track and the epoch."""
+
+    def __init__(self, offset: int = 0, previous: int | None = None, high: int | None = None, epoch: int = 0) -> None:
+        self.offset, self.previous, self.high, self.epoch = offset, previous, high, epoch
+
+    def place(self, pts: int, primary: bool) -> tuple[int, int]:
+        """Time and epoch of the next frame."""
+        at, high = pts + self.offset, self.high
         if primary:
-            if high is not None and at < high - back:
-                previous, offset, epoch = offset, high + step - pts, epoch + 1
-                at = high + step
-            high = at if high is None else max(high, at)
-        elif high is not None and previous is not None and at > high + back:
-            older = pts + previous
-            if high - back <= older <= high:
-                at = older
-        out.append((at, epoch))
-    return rows.assign(ts=[a for a, _ in out], epoch=[e for _, e in out])[["title_id", "idx", "ts", "epoch"]]
+            if high is not None and at < high - BACK:
+                self.previous, self.offset, self.epoch = self.offset, high + STEP - pts, self.epoch + 1
+                at = high + STEP
+            self.high = at if high is None else max(high, at)
+        elif high is not None and self.previous is not None and at > high + BACK and high - BACK <= pts + self.previous <= high:
+            at = pts + self.previous
+        return at, self.epoch
 
 
 def timeline_continuity(frames: DataFrame, primary: Column) -> DataFrame:
     """The primary track drives; where it falls more than 3 s back a new epoch follows 1 ms after the last. Other tracks
-    ride along; a straggler of the old epoch is placed with the old offset. One title's narrow columns are one group."""
+    ride along; a straggler of the old epoch is placed with the old offset. Titles stream through their tasks, a few numbers held."""
+
+    def step(state: Timeline, rows: pd.DataFrame) -> pd.DataFrame:
+        placed = [state.place(p, k) for p, k in zip(rows["pts_ns"].tolist(), rows["primary"].tolist())]
+        return pd.DataFrame({"title_id": rows["title_id"].to_numpy(), "idx": rows["idx"].to_numpy(), "ts": [t for t, _ in placed], "epoch": [e for _, e in placed]})
+
     narrow = frames.select("title_id", "idx", "pts_ns", primary.alias("primary"))
-    return narrow.groupBy("title_id").applyInPandas(_continue_timeline, "title_id long, idx long, ts long, epoch int")
+    return in_order(narrow, ["title_id"], ["idx"], "title_id long, idx long, ts long, epoch int", Timeline, step)
+
+
+#: Length of a frame at 24,000 / 1,001 a second, for groups that nothing else times.
+FILM_FRAME = 1_001_000_000 // 24
+
+
+def rebuild_pts(frames: DataFrame, explicit: Column) -> DataFrame:
+    """Time and duration of each frame where only some have an explicit time (null elsewhere), by its display position.
+
+    A GOP's anchor is its first frame in coded order that has a time. The first two neighbouring GOPs with anchors in rising order give the
+    duration, the time between by the first one's frames, from that GOP on; before it film's. A GOP starts where its anchor says, else where the last one ends."""
+    keys = ["title_id", "track"]
+    f = gop_groups(frames.withColumn("_explicit", explicit)).join(display_index(frames).select(*keys, "idx", "display"), [*keys, "idx"])
+    g = f.groupBy(*keys, "gop", "part").agg(F.count("*").alias("n"), F.min_by(F.struct("_explicit", "display"), F.when(F.col("_explicit").isNotNull(), F.col("idx"))).alias("a"))
+    w = W.partitionBy(*keys).orderBy("gop", "part")
+    g = g.withColumn("_k", F.row_number().over(w)).withColumn("_span", F.lead("a._explicit").over(w) - F.col("a._explicit"))
+    first = F.min(F.when(F.col("_span") > 0, F.struct("_k", F.greatest(_div(F.col("_span"), F.col("n")), F.lit(1)).alias("dur")))).over(W.partitionBy(*keys))
+    g = g.withColumn("_first", first)
+    g = g.withColumn("dur", F.when(F.col("_k") >= F.col("_first._k"), F.col("_first.dur")).otherwise(FILM_FRAME))
+    length = F.coalesce(F.sum(F.col("n") * F.col("dur")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    g = g.withColumn("_before", length)
+    lead = F.when(F.col("a._explicit").isNotNull(), F.col("a._explicit") - F.col("a.display") * F.col("dur") - F.col("_before"))
+    g = g.withColumn("origin", F.coalesce(F.last(lead, ignorenulls=True).over(_sofar(w)), F.lit(0)) + F.col("_before"))
+    out = f.join(g.select(*keys, "gop", "part", "origin", "dur"), [*keys, "gop", "part"])
+    return out.select(*keys, "idx", (F.col("origin") + F.col("display") * F.col("dur")).alias("pts_ns"), F.col("dur").alias("duration_ns"))
 
 
 def display_durations(sets: DataFrame) -> DataFrame:
@@ -113,12 +145,22 @@ def display_durations(sets: DataFrame) -> DataFrame:
     return s.filter(~F.col("is_clear"))
 
 
+def _div(a: Column, b: Column | int) -> Column:
+    """Whole quotient, cut towards zero."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
+def _ticks(ns: Column, timescale: Column | int) -> Column:
+    """Nanoseconds in ticks, cut towards zero, without leaving 64 bits on the way."""
+    return _div(ns, SECOND) * timescale + _div((ns % SECOND) * timescale, SECOND)
+
+
 def sample_durations(frames: DataFrame, timescale: int = 90_000) -> DataFrame:
     """Ticks to the next frame, none negative; the last repeats, a lone frame lasts a thirtieth of a second."""
     w = _track()
-    delta = F.greatest(((F.lead("pts_ns").over(w) - F.col("pts_ns")) * timescale / SECOND).cast("long"), F.lit(0))
-    f = frames.withColumn("_delta", F.when(F.lead("pts_ns").over(w).isNotNull(), delta))
-    return f.withColumn("sample_duration", F.coalesce("_delta", F.lag("_delta").over(w), F.lit(timescale // 30))).drop("_delta")
+    f = frames.withColumn("_tick", _ticks(F.col("pts_ns"), timescale))
+    f = f.withColumn("_delta", F.greatest(F.lead("_tick").over(w) - F.col("_tick"), F.when(F.lead("_tick").over(w).isNotNull(), 0)))
+    return f.withColumn("sample_duration", F.coalesce("_delta", F.lag("_delta").over(w), F.lit(timescale // 30))).drop("_delta", "_tick")
 
 
 def run_length(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -129,36 +171,52 @@ def run_length(rows: DataFrame, keys: list[str], order: str, value: str) -> Data
     return r.groupBy(*keys, "_run").agg(F.min(order).alias("first"), F.first(value).alias("value"), F.count("*").alias("count")).drop("_run")
 
 
-def composition_offsets(frames: DataFrame, sample: int = 3003, timescale: int = 90_000) -> DataFrame:
-    """Presentation tick less decode tick, decode ticks a sample apart in coded order."""
+def composition_offsets(frames: DataFrame) -> DataFrame:
+    """Presentation tick less decode tick, decode ticks a sample apart in coded order, at the track's detected rate."""
     low = F.min("pts_ns").over(W.partitionBy("title_id", "track"))
-    ticks = ((F.col("pts_ns") - low) * timescale / SECOND).cast("long")
-    return frames.withColumn("offset", ticks - (F.row_number().over(_track()) - 1) * sample)
-
-
-def _cluster(rows: pd.DataFrame) -> pd.DataFrame:
-    most, reach = CLUSTER, REACH
-    rows = rows.sort_values("idx")
-    base = start = None
-    cluster, kept = -1, []
-    for i, (tick, key, primary) in enumerate(zip(rows["tick"].tolist(), rows["keyframe"].tolist(), rows["primary"].tolist())):
-        if base is None:
-            if not (key and primary):
-                continue
-            base = tick
-        tick -= base
-        if start is None or (key and primary and tick - start >= most) or not -reach - 1 <= tick - start <= reach:
-            cluster, start = cluster + 1, tick
-        kept.append((i, cluster, tick))
-    out = rows.iloc[[i for i, _, _ in kept]]
-    return out.assign(cluster=[c for _, c, _ in kept], tick=[t for _, _, t in kept])[["title_id", "idx", "cluster", "tick"]]
-
-
-def cluster_frames(frames: DataFrame, primary: Column, tick_ns: int = 100_000) -> DataFrame:
+    f = frames.withColumn("_place", F.row_number().over(_track()) - 1).withColumn("_from", F.col("pts_ns") - low).join(detect_rate(frames), ["title_id", "track"])
+    return f.withColumn("offset", _ticks(F.col("_from"), F.col("num")) - F.col("_place") * F.col("den")).drop("_place", "_from", "num", "den")
+
+
+class _Clusters:
+    """The first key frame's tick, the open cluster's and its number, the last tick of each track."""
+
+    def __init__(self) -> None:
+        self.base: int | None = None
+        self.start = self.cluster = 0
+        self.last: dict[int, int] = {}
+
+    def place(self, track: int, tick: int, key: bool, video: bool) -> tuple[int, int] | None:
+        """Cluster and tick of the next frame; key: a key frame of the primary video; none before the first of these."""
+        first = self.base is None
+        if first:
+            if not key:
+                return None
+            self.base = tick
+        tick = max(tick - self.base, 0)
+        if not video and track in self.last:
+            tick = max(tick, self.last[track] + 1)
+        if not first and ((key and tick - self.start >= CLUSTER) or not -REACH - 1 <= tick - self.start <= REACH):
+            self.cluster, self.start = self.cluster + 1, tick
+        elif first:
+            self.start = tick
+        self.last[track] = tick
+        return self.cluster, tick
+
+
+def cluster_frames(frames: DataFrame, primary: Column, video: Column | None = None, tick_ns: int = 100_000) -> DataFrame:
     """Clusters from the first primary key frame on: a new one at a key frame 20,000 ticks or more after its start,
-    or where a frame's tick would leave 16 bits. A cluster's first row is its cue."""
-    narrow = frames.select("title_id", "idx", F.floor(F.col("pts_ns") / tick_ns).alias("tick"), "keyframe", primary.alias("primary"))
-    return narrow.groupBy("title_id").applyInPandas(_cluster, "title_id long, idx long, cluster int, tick long")
+    or where a frame's tick would leave 16 bits. Ticks count from that first frame, none below 0, and rise in tracks other than video (all but the
+    primary one, unless told). A cluster's first row is its cue. Titles stream through their tasks, a few numbers held."""
+
+    def step(state: _Clusters, rows: pd.DataFrame) -> pd.DataFrame:
+        placed = [state.place(*x) for x in zip(*(rows[c].tolist() for c in ("track", "tick", "key", "video")))]
+        kept = [i for i, p in enumerate(placed) if p]
+        out = rows.iloc[kept]
+        return pd.DataFrame({"title_id": out["title_id"].to_numpy(), "idx": out["idx"].to_numpy(), "cluster": [placed[i][0] for i in kept], "tick": [placed[i][1] for i in kept]}).astype({"cluster": "int32", "tick": "int64"})
+
+    narrow = frames.select("title_id", "idx", "track", _div(F.col("pts_ns"), tick_ns).alias("tick"), (F.col("keyframe") & primary).alias("key"), (primary if video is None else video).alias("video"))
+    return in_order(narrow, ["title_id"], ["idx"], "title_id long, idx long, cluster int, tick long", _Clusters, step)
 
 
 def audio_delays(frames: DataFrame, audio: Column, video: Column) -> DataFrame:
@@ -176,26 +234,35 @@ def rebase_to_first_video(frames: DataFrame, video: Column) -> DataFrame:
     return frames.join(origin, "title_id").withColumn("ts", F.col("pts_ns") - F.col("_origin")).drop("_origin")
 
 
-def track_bitrate(frames: DataFrame) -> DataFrame:
-    """A4: bits a second over the track's span of times; null without bytes or span."""
-    g = frames.groupBy("title_id", "track").agg(F.sum("size").alias("bytes"), (F.max("pts_ns") - F.min("pts_ns")).alias("span_ns"))
-    rate = F.round(F.col("bytes") * 8 / (F.col("span_ns") / SECOND)).cast("long")
-    return g.select("title_id", "track", "bytes", F.when((F.col("span_ns") > 0) & (F.col("bytes") > 0), rate).alias("bitrate"))
+def track_bitrate(frames: DataFrame, titles: DataFrame, primary: Column, tick_ns: int = 100_000) -> DataFrame:
+    """A4: bits a second of each track's frames from the title's first primary key frame on. The time is the one that the title declares
+    (titles: title_id, duration_secs), else the end of its last frame; null without time or bytes. Frames may have a duration_ns."""
+    start = frames.filter(F.col("keyframe") & primary).groupBy("title_id").agg(F.min(F.struct("idx", _div(F.col("pts_ns"), tick_ns).alias("tick"))).alias("_s"))
+    f = frames.join(start, "title_id").filter(F.col("idx") >= F.col("_s.idx"))
+    lasts = F.coalesce(F.greatest(_div(F.col("duration_ns"), tick_ns), F.lit(1)), F.lit(0)) if "duration_ns" in frames.columns else F.lit(0)
+    f = f.withColumn("_end", F.greatest(_div(F.col("pts_ns"), tick_ns) - F.col("_s.tick"), F.lit(0)) + lasts)
+    g = f.groupBy("title_id", "track").agg(F.sum("size").alias("bytes"), F.max("_end").alias("_end"))
+    g = g.withColumn("_end", F.max("_end").over(W.partitionBy("title_id"))).join(titles.select("title_id", "duration_secs"), "title_id", "left")
+    seconds = F.when(F.col("duration_secs") > 0, F.col("duration_secs")).otherwise(F.col("_end") * tick_ns / SECOND)
+    g = g.withColumn("_secs", seconds)
+    return g.select("title_id", "track", "bytes", F.when((F.col("_secs") > 0) & (F.col("bytes") > 0), F.round(F.col("bytes") * 8.0 / F.col("_secs")).cast("long")).alias("bitrate"))
 
 
-#: The standard rates, as numerator and denominator.
-RATES = ((24000, 1001), (24, 1), (25, 1), (30000, 1001), (30, 1), (50, 1), (60000, 1001), (60, 1))
+#: The standard rates, as numerator, denominator and the number that they are known by.
+RATES = ((24000, 1001, 23.976), (24, 1, 24.0), (25, 1, 25.0), (30000, 1001, 29.97), (30, 1, 30.0), (50, 1, 50.0), (60000, 1001, 59.94), (60, 1, 60.0))
 
 
 def detect_rate(frames: DataFrame) -> DataFrame:
-    """The upper median of positive gaps between sorted times, as a standard rate within half a frame a second, else in 90 kHz."""
+    """The upper median of positive gaps between sorted times, as the first standard rate within half a frame a second, else in 90 kHz, one tick at least."""
     w = W.partitionBy("title_id", "track").orderBy("pts_ns", "idx")
     d = frames.withColumn("_gap", F.col("pts_ns") - F.lag("pts_ns").over(w))
     every = frames.groupBy("title_id", "track").agg(F.count("*").alias("frames"))
     d = d.filter("_gap > 0").withColumn("_place", F.row_number().over(W.partitionBy("title_id", "track").orderBy("_gap", "idx")) - 1).withColumn("_n", F.count("*").over(W.partitionBy("title_id", "track")))
     mid = d.filter(F.col("_place") == F.floor(F.col("_n") / 2)).select("title_id", "track", F.col("_gap").alias("gap"))
     fps = F.lit(float(SECOND)) / F.col("gap")
-    snapped = F.coalesce(*[F.when(F.abs(fps - n / d) < 0.5, F.struct(F.lit(n).cast("long").alias("num"), F.lit(d).cast("long").alias("den"))) for n, d in RATES], F.when(F.col("gap").isNotNull(), F.struct(F.lit(90_000).cast("long").alias("num"), F.floor(F.col("gap") * 9 / 100_000).alias("den"))), F.struct(F.lit(90_000).cast("long").alias("num"), F.lit(3003).cast("long").alias("den")))
+    pair = lambda n, d: F.struct((n if isinstance(n, Column) else F.lit(n)).cast("long").alias("num"), (d if isinstance(d, Column) else F.lit(d)).cast("long").alias("den"))
+    own = pair(90_000, F.greatest(_ticks(F.col("gap"), 90_000), F.lit(1)))
+    snapped = F.coalesce(*[F.when(F.abs(fps - known) < 0.5, pair(n, d)) for n, d, known in RATES], F.when(F.col("gap").isNotNull(), own), pair(90_000, 3003))
     return every.join(mid, ["title_id", "track"], "left").withColumn("_r", snapped).select("title_id", "track", F.col("_r.num").alias("num"), F.col("_r.den").alias("den"))
 
 
@@ -333,11 +400,14 @@ def pass_summary(log: DataFrame) -> DataFrame:
 
 
 def ewma_scores(attempts: DataFrame) -> DataFrame:
-    """Score of each handler: half the attempt's bytes a second and half the score so far, seeded by the first timed attempt."""
-    timed = attempts.filter("elapsed_secs > 0").groupBy("disc_id", "handler").agg(F.array_sort(F.collect_list(F.struct("seq", (F.col("recovered_bytes") / F.col("elapsed_secs")).alias("x")))).alias("a"))
-    score = F.aggregate(F.slice("a", 2, F.size("a")), F.col("a")[0]["x"], lambda acc, v: acc * 0.5 + v["x"] * 0.5)
+    """Score of each handler: half the attempt's bytes a second and half the score so far, seeded by the first timed attempt;
+    0 where none is timed. Written as the sum of the attempts' rates by their weights, so no handler's attempts are gathered."""
+    w = W.partitionBy("disc_id", "handler")
+    timed = attempts.filter("elapsed_secs > 0").withColumn("_i", F.row_number().over(w.orderBy("seq"))).withColumn("_n", F.count("*").over(w))
+    weight = F.pow(F.lit(0.5), F.col("_n") - F.col("_i") + F.when(F.col("_i") == 1, 0).otherwise(1))
+    score = timed.groupBy("disc_id", "handler").agg(F.sum(F.col("recovered_bytes") / F.col("elapsed_secs") * weight).alias("score"))
     every = attempts.select("disc_id", "handler").distinct()
-    return every.join(timed.select("disc_id", "handler", score.alias("score")), ["disc_id", "handler"], "left").fillna(0.0, ["score"])
+    return every.join(score, ["disc_id", "handler"], "left").fillna(0.0, ["score"])
 
 
 def handler_totals(attempts: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reelspark.operators.frames import BACK, STEP
+from reelspark.operators.frames import Timeline
 
 
 def stream_event_counts(events: DataFrame, width: str = "1 minute", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -97,18 +97,11 @@ def stream_timeline(frames: DataFrame, primary: Column) -> DataFrame:
 
     def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _ordered(batches, "idx")
-        offset, previous, high, epoch = state.get if state.exists else (0, None, None, 0)
+        held = Timeline(*state.get) if state.exists else Timeline()
         out = []
         for idx, pts, drives in zip(rows["idx"].tolist(), rows["pts_ns"].tolist(), rows["primary"].tolist()):
-            at = pts + offset
-            if drives:
-                if high is not None and at < high - BACK:
-                    previous, offset, epoch, at = offset, high + STEP - pts, epoch + 1, high + STEP
-                high = at if high is None else max(high, at)
-            elif high is not None and previous is not None and at > high + BACK and high - BACK <= pts + previous <= high:
-                at = pts + previous
-            out.append((key[0], idx, at, epoch))
-        state.update((offset, previous, high, epoch))
+            out.append((key[0], idx, *held.place(pts, drives)))
+        state.update((held.offset, held.previous, held.high, held.epoch))
         yield pd.DataFrame(out, columns=["title_id", "idx", "ts", "epoch"])
 
     narrow = frames.select("title_id", "idx", "pts_ns", primary.alias("primary"))
