@@ -53,13 +53,14 @@ def _placed(side: DataFrame, start: str, end: str, width: int, own: tuple[str, .
     level = F.lit(WIDTHS - 1)
     for k in range(WIDTHS - 2, -1, -1):
         level = F.when(size <= width * WIDER**k, k).otherwise(level)
-    at = lambda k, x: F.floor(x / (width * WIDER**k))
-    bins = lambda k: F.transform(F.sequence(at(k, F.col(start)), at(k, F.col(end) - 1)), lambda b: b)
-    places = []
-    for k in range(WIDTHS):
+
+    def places(k: int) -> Column:
+        at = lambda x: F.floor(x / (width * WIDER**k))
         roles = F.when(F.col("_level") == k, F.array(*[F.lit(r) for r in own])).when(F.col("_level") < k, F.array(F.lit(low))).otherwise(F.array().cast("array<string>"))
-        places.append(F.flatten(F.transform(roles, lambda r, k=k: F.transform(bins(k), lambda b: F.struct(F.lit(k).alias("k"), b.alias("bin"), r.alias("role"))))))
-    placed = side.filter(size > 0).withColumn("_level", level).withColumn("_place", F.explode(F.flatten(F.array(*places))))
+        bins = F.sequence(at(F.col(start)), at(F.col(end) - 1))
+        return F.flatten(F.transform(roles, lambda r: F.transform(bins, lambda b: F.struct(F.lit(k).alias("k"), b.alias("bin"), r.alias("role")))))
+
+    placed = side.filter(size > 0).withColumn("_level", level).withColumn("_place", F.explode(F.flatten(F.array(*map(places, range(WIDTHS))))))
     return placed.select("*", F.col("_place.k").alias("_k"), F.col("_place.bin").alias("_bin"), F.col("_place.role").alias("_role")).drop("_level", "_place")
 
 

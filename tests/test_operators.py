@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import scalars as S
 from reelspark.operators import catalog as C
+from reelspark.operators import damage as D
 from reelspark.operators import frames as O
 from reelspark.operators import ranges as R
 
@@ -42,11 +43,31 @@ def replay(rows):
     return sorted(map(tuple, out))
 
 
-@pytest.mark.parametrize("width", [7, 1 << 20])
-def test_overlay_equals_replay(spark, width):
-    rng = random.Random(width)
+@pytest.mark.parametrize("seed", [7, 8])
+def test_overlay_equals_replay(spark, seed):
+    rng = random.Random(seed)
     rows = [(d, i, rng.randrange(90), rng.randrange(0, 25), rng.choice("+-*/?")) for d in range(3) for i in range(40)]
-    assert tuples(R.overlay_ranges(ranges(spark, rows), width=width), "disc_id", "pos", "size", "status") == replay(rows)
+    assert tuples(R.overlay_ranges(ranges(spark, rows)), "disc_id", "pos", "size", "status") == replay(rows)
+
+
+def test_whole_disc_ranges_and_many_passes(spark):
+    """Each disc begins with one range over all of it, then ten passes; intervals of all sizes meet once, and rows stay linear."""
+    size, rng = 50_000_000_000, random.Random(3)
+    rows = [(d, 0, 0, size, "?") for d in range(3)]
+    rows += [(d, 1 + k * 1000 + i, rng.randrange(size // 2048) * 2048, 2048 * rng.choice([1, 50, 40_000, 9_000_000]), rng.choice("+-*/")) for d in range(3) for k in range(10) for i in range(20)]
+    made = R.overlay_ranges(ranges(spark, rows)).collect()
+    assert len(made) <= 2 * len(rows)
+    for d in range(3):
+        own = sorted((r["pos"], r["size"], r["status"]) for r in made if r["disc_id"] == d)
+        assert own[0][0] == 0 and all(a[0] + a[1] == b[0] and a[2] != b[2] for a, b in zip(own, own[1:]))
+        for pos, n, status in own:
+            at = pos + n // 2
+            assert status == max((r for r in rows if r[0] == d and r[2] <= at < r[2] + r[3]), key=lambda r: r[1])[4]
+    left = spark.createDataFrame([(d, p, p + n, i) for i, (d, _, p, n, _) in enumerate(rows)], "disc_id long, l_start long, l_end long, i long")
+    right = left.select("disc_id", F.col("l_start").alias("r_start"), F.col("l_end").alias("r_end"), F.col("i").alias("j"))
+    assert R._placed(left, "l_start", "l_end", R.BIN, ("both", "left"), "right").count() <= 10 * len(rows)
+    got = sorted((r["i"], r["j"]) for r in R.overlap_join(left, right, "disc_id").collect())
+    assert got == [(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if a[0] == b[0] and a[2] < b[2] + b[3] and b[2] < a[2] + a[3]]
 
 
 def test_overlay_cases(spark):
@@ -81,9 +102,9 @@ def test_bad_range_between_extents_counts_nothing(spark):
 
 
 def test_severity(spark):
-    rows = [(0, 0), (1, 0), (51, 0), (500, 0), (1, 1000), (1, 30_000)]
+    rows = [(0, 0), (0, 40_000), (1, 5), (50, 999), (51, 0), (500, 0), (10, 1000), (10, 30_000)]
     got = spark.createDataFrame(rows, "b long, ms long").select(R.damage_severity(F.col("b"), F.col("ms")).alias("s"))
-    assert [r["s"] for r in got.collect()] == ["clean", "cosmetic", "moderate", "serious", "moderate", "serious"]
+    assert [r["s"] for r in got.collect()] == ["clean", "clean", "cosmetic", "cosmetic", "moderate", "serious", "moderate", "serious"]
 
 
 def frames(spark, rows):
@@ -165,6 +186,45 @@ def test_titles_rank_oversize_last(spark):
     assert got == {3: 1, 2: 2, 1: 3}
 
 
+def test_paths_that_no_host_takes(spark):
+    names = ["..", ".", "a:b", "x\\y", "t\x01", "q?", " . ", "Clock$.cfg", "lpt9", "com0", "CONIN$", "ok. ", "a.b"]
+    got = [r["s"] for r in spark.createDataFrame([(n,) for n in names], "n string").select(S.sanitized_component(F.col("n")).alias("s")).collect()]
+    assert got == [None] * 7 + ["_Clock$.cfg", "_lpt9", "com0", "_CONIN$", "ok", "a.b"]
+
+
+def test_colour_codes(spark):
+    rows = [(None, "bt2020", "SDR"), (None, "bt709", "HDR10"), (None, "bt709", "HLG"), (None, "x", "SDR"), (14, "bt2020", "HDR10"), (None, "bt470bg", "SDR"), (None, "smpte170m", "SDR")]
+    m = F.when(F.col("t").isNotNull(), F.struct(F.lit(9).alias("matrix"), F.col("t").alias("transfer"), F.lit(9).alias("primaries"), F.lit(0).alias("range")))
+    got = [tuple(r["c"]) for r in spark.createDataFrame(rows, "t int, space string, hdr string").select(D.cicp(m, F.col("space"), F.col("hdr")).alias("c")).collect()]
+    assert got == [(9, 16, 9, 1), (1, 16, 1, 1), (1, 18, 1, 1), (2, 2, 2, 1), (9, 14, 9, 0), (5, 5, 5, 1), (6, 6, 6, 1)]
+
+
+def test_chapter_before_its_item(spark):
+    items = spark.createDataFrame([(1, 0, 0, 450_000), (1, 1, 90_000, 540_000), (1, 2, 900, 100)], "title_id long, item_no long, in_time long, out_time long")
+    marks = spark.createDataFrame([(1, 0, 1, 1, 45_000), (1, 1, 1, 0, 0), (1, 2, 2, 0, 9), (1, 3, 1, 9, 9), (1, 4, 1, 2, 900)], "title_id long, mark_no long, mark_type long, play_item_ref long, timestamp_45k long")
+    assert [(r["n"], r["time_secs"]) for r in C.chapters_from_marks(marks, items).orderBy("n").collect()] == [(1, 9.0), (2, 0.0), (3, 20.0)]
+
+
+def test_labels_apply(spark):
+    streams = spark.createDataFrame([(1, k, kind, codec, ch) for k, (kind, codec, ch) in enumerate([("audio", "TrueHD", "7.1"), ("audio", "AC-3", "stereo"), ("subtitle", "PGS", None), ("audio", "DTS-HD MA", "5.1"), ("audio", "EAC-3", "unknown"), ("audio", "DTS", "5.1")])], "title_id long, ord long, kind string, codec string, channels string")
+    rows = [
+        (1, "audio", 1, 1, "n", "Normal", "None", "Dolby Atmos", ""), (1, "audio", 1, 2, "later", "Normal", "None", "", ""), (1, "audio", 2, 1, "n", "Commentary", "None", "TrueHD 5.1", "Canadian"),
+        (1, "subtitle", 1, 1, "n", "Normal", "Forced", "", ""), (1, "audio", 3, 1, "n", "Normal", "None", "DTS:X", ""), (1, "audio", 4, 1, "Main", "Normal", "None", "", ""), (1, "audio", 5, 1, "n", "Score", "None", "", ""),
+    ]
+    labels = spark.createDataFrame(rows, "title_id long, kind string, number long, label_no int, name string, purpose string, qualifier string, codec_hint string, variant string")
+    got = [(r["label"], r["purpose"], r["qualifier"], r["forced"]) for r in C.apply_labels(streams, labels).orderBy("ord").collect()]
+    assert got == [("Dolby Atmos", "Normal", "None", False), ("(Canadian) Dolby Digital 2.0", "Commentary", "None", False), ("", "Normal", "Forced", True), ("DTS:X", "Normal", "None", False), ("Main", "Normal", "None", False), ("", "Score", "None", False)]
+
+
+def test_rebuilt_times(spark):
+    types, times = "IPBPBIPBB", {0: 1000, 5: 6000}
+    f = of_types(spark, types).withColumn("explicit", F.when(F.col("idx") == 0, 1000).when(F.col("idx") == 5, 6000))
+    got = [(r["pts_ns"], r["duration_ns"]) for r in O.rebuild_pts(f, F.col("explicit")).orderBy("idx").collect()]
+    assert times and got == [(1000 + k * 1000, 1000) for k in (0, 2, 1, 4, 3)] + [(6000 + k * 1000, 1000) for k in (0, 3, 1, 2)]
+    one = [r["pts_ns"] for r in O.rebuild_pts(of_types(spark, "IP"), F.lit(None).cast("long")).orderBy("idx").collect()]
+    assert one == [0, O.FILM_FRAME]
+
+
 def test_label_source_registry(spark):
     for name, confidence in (("first", 1), ("second", 1), ("third", 0)):
         C.register_label_source(name, lambda s, _, n=name, c=confidence: s.createDataFrame([(1, c, n)], "disc_id long, confidence int, name string"))
@@ -175,11 +235,11 @@ def test_scalars(spark):
     row = spark.range(1).select(
         S.language(F.lit("Englishman")).alias("a"), S.language(F.lit("Français, english")).alias("b"), S.parse_timecode(F.lit("01:02:03:30")).alias("t"),
         S.chapter_time(F.lit(3661.5)).alias("c"), S.bcd_to_secs(F.lit(0x01), F.lit(0x59), F.lit(0x2F), F.lit(0x40 | 0x10)).alias("bcd"),
-        S.sanitized_component(F.lit("con.txt")).alias("s"), S.sanitized_component(F.lit('a:b. ')).alias("s2"), S.ts_header(F.lit("47500110")).alias("h"),
+        S.sanitized_component(F.lit("con.txt")).alias("s"), S.sanitized_component(F.lit("a b. ")).alias("s2"), S.ts_header(F.lit("47500110")).alias("h"),
         S.qualifier(F.lit("cafésdh sdh")).alias("q"), S.duration_display(F.lit(7384.0)).alias("d"), S.playlist_number(F.lit("00042.mpls")).alias("p"),
     ).first()
     assert row["a"] is None and row["b"]["code"] == "eng" and row["t"] == 3723.5 and row["c"] == "01:01:01.500000000"
-    assert row["bcd"] == 3600 + 59 * 60 + 10 / 25 and row["s"] == "_con.txt" and row["s2"] == "a_b"
+    assert row["bcd"] == 3600 + 59 * 60 + 10 / 25 and row["s"] == "_con.txt" and row["s2"] == "a b"
     assert (row["h"]["sync"], row["h"]["pid"], row["h"]["pusi"], row["h"]["cc"]) == (True, 0x1001, True, 0) and row["q"] == "Sdh" and row["d"] == "2h 03m" and row["p"] == 42
 
 
