@@ -137,10 +137,105 @@ def pts_to_ns(pts: Column) -> Column:
     return ((pts * 100_000 + 4) / 9).cast("long")
 
 
+def _byte(digits: Column, i: int) -> Column:
+    return F.conv(F.substring(digits, 2 * i + 1, 2), 16, 10).cast("int")
+
+
 def ts_header(hex188: Column) -> Column:
-    """fields of a transport packet header given as hex: sync, pid, pusi, afc, cc."""
-    b = lambda i: F.conv(F.substring(hex188, 2 * i + 1, 2), 16, 10).cast("int")
-    return F.struct((b(0) == 0x47).alias("sync"), (b(1).bitwiseAND(F.lit(0x1F)) * 256 + b(2)).alias("pid"), (b(1).bitwiseAND(F.lit(0x40)) != 0).alias("pusi"), F.shiftright(b(3).bitwiseAND(F.lit(0x30)), 4).alias("afc"), b(3).bitwiseAND(F.lit(15)).alias("cc"))
+    """fields of a transport packet given as hex: sync, pid, pusi, afc, cc; where its payload begins, null where it has none or its adaptation is
+    too long; whether it tells of a discontinuity."""
+    b = lambda i: _byte(hex188, i)
+    afc = F.shiftright(b(3).bitwiseAND(F.lit(0x30)), 4)
+    offset = F.when(afc == 1, 4).when((afc == 3) & (b(4) < 183), 5 + b(4))
+    return F.struct(
+        (b(0) == 0x47).alias("sync"), (b(1).bitwiseAND(F.lit(0x1F)) * 256 + b(2)).alias("pid"), (b(1).bitwiseAND(F.lit(0x40)) != 0).alias("pusi"), afc.alias("afc"), b(3).bitwiseAND(F.lit(15)).alias("cc"),
+        offset.alias("payload_offset"), F.coalesce((afc == 3) & (b(4) > 0) & (b(5).bitwiseAND(F.lit(0x80)) != 0), F.lit(False)).alias("discontinuity"),
+    )
+
+
+def pes_time(digits: Column) -> Column:
+    """33 bits of five bytes given as hex; null without all three marker bits."""
+    b = lambda i: _byte(digits, i).cast("long")
+    marked = (b(0) % 2 == 1) & (b(2) % 2 == 1) & (b(4) % 2 == 1)
+    high = F.shiftright(b(0), 1).bitwiseAND(F.lit(7)) * (1 << 30) + b(1) * (1 << 22)
+    return F.when(marked, high + F.shiftright(b(2), 1) * (1 << 15) + b(3) * (1 << 7) + F.shiftright(b(4), 1))
+
+
+#: Ids of streams whose packets have no further header.
+PLAIN_STREAMS = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)
+
+
+def pes_header(digits: Column) -> Column:
+    """pts, dts and header length of a PES packet given as hex; length 0 where it is none, 6 for streams without further header. The length may
+    reach into the next packet."""
+    n, b = F.length(digits) / 2, lambda i: _byte(digits, i)
+    ours, plain = (n >= 9) & (F.substring(digits, 1, 6) == "000001"), b(3).isin(*PLAIN_STREAMS)
+    flags, more = F.shiftright(b(7), 6), b(8)
+    pts = F.when(ours & ~plain & (flags >= 2) & (more >= 5) & (n >= 14), pes_time(F.substring(digits, 19, 10)))
+    dts = F.when(ours & ~plain & (flags == 3) & (more >= 10) & (n >= 19), pes_time(F.substring(digits, 29, 10)))
+    return F.struct(pts.alias("pts"), dts.alias("dts"), F.when(~ours, 0).when(plain, 6).otherwise(9 + more).alias("header_len"))
+
+
+def field_order(frame_picture: Column, progressive_sequence: Column, progressive_frame: Column, top_field_first: Column) -> Column:
+    """progressive, or which field is shown first."""
+    fields = F.when(top_field_first, "tff").otherwise("bff")
+    return F.when(frame_picture & (progressive_sequence | progressive_frame), "progressive").otherwise(fields)
+
+
+def nb_fields(frame_picture: Column, progressive_sequence: Column, progressive_frame: Column, top_field_first: Column, repeat_first_field: Column) -> Column:
+    """field periods for which a picture is shown."""
+    shown = F.when(progressive_sequence, F.when(top_field_first, 6).otherwise(4)).when(progressive_frame, 3).otherwise(2)
+    return F.when(~frame_picture, 1).when(~repeat_first_field, 2).otherwise(shown)
+
+
+def display_set_is_forced(digits: Column) -> Column:
+    """whether a composition segment given as hex shows an object and its first is forced."""
+    return F.coalesce((_byte(digits, 0) == 0x16) & (_byte(digits, 13) > 0) & (_byte(digits, 17).bitwiseAND(F.lit(0x40)) != 0), F.lit(False))
+
+
+def dvd_audio_pid(sub_id: Column) -> Column:
+    """F32: pid of a DVD audio sub-stream; null for others."""
+    return F.when(sub_id.between(0x80, 0x8F) | sub_id.between(0xA0, 0xA7) | sub_id.between(0xC0, 0xC7), F.lit(0xBD00) + sub_id)
+
+
+def dvd_subtitle_pid(sub_id: Column) -> Column:
+    """F32: pid of a DVD subtitle sub-stream; null for others."""
+    return F.when(sub_id.between(0x20, 0x3F), sub_id)
+
+
+def dvd_audio_sub_id(codec_name: Column, place: Column) -> Column:
+    """F32: sub-stream of the audio at a place from 0, at most 7."""
+    first = F.when(codec_name == "AC-3", 0x80).when(codec_name == "DTS", 0x88).when(codec_name == "LPCM", 0xA0)
+    return first + F.least(place, F.lit(7))
+
+
+#: File extensions of elementary streams.
+EXTENSIONS = {"HEVC": "hevc", "H.264": "h264", "VC-1": "vc1", "MPEG-2": "m2v", "TrueHD": "thd", "DTS-HD MA": "dtshd", "DTS-HD HR": "dtshd", "DTS": "dts", "AC-3": "ac3", "EAC-3": "eac3", "LPCM": "pcm", "FLAC": "flac", "PGS": "sup"}
+
+
+def track_file(base: Column, place: Column, language_code: Column, codec_name: Column, delay_ms: Column) -> Column:
+    """name of a track's file: base, place, language and codec as far as known, the delay where there is one, the extension."""
+    delay = F.when(delay_ms != 0, F.format_string("DELAY %dms", delay_ms))
+    stem = F.concat_ws(" ", sanitized_file_name(base), F.format_string("t%02d", place), F.when(language_code != "", language_code), codec_name, delay)
+    return F.concat_ws(".", stem, mapped(codec_name, EXTENSIONS, "bin"))
+
+
+LANGUAGE_NAMES = {code: name.capitalize() for name, code in reversed(LANGUAGES) if name not in ("mandarin", "cantonese")}
+
+
+def normalized_language(text: Column) -> Column:
+    """code of a language named in the text, else the trimmed text in lower case."""
+    low = F.lower(F.trim(text))
+    return F.coalesce(language(low)["code"], low)
+
+
+def language_name(code: Column) -> Column:
+    """English name of a language code; empty where it is unknown."""
+    return mapped(code, LANGUAGE_NAMES, "")
+
+
+def is_sd(name: Column) -> Column:
+    return name.isin("480i", "480p", "576i", "576p")
 
 
 def source_position(byte: Column) -> Column:

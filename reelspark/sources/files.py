@@ -82,25 +82,29 @@ def validate_video_index(pictures: DataFrame) -> DataFrame:
 
 
 def export_chapters(chapters: DataFrame, fmt: str) -> DataFrame:
-    """title_id and text of its chapters, as `xml`, `ogm` or `vtt`; in VTT a chapter ends where the next begins, the last at its own start."""
+    """title_id and text of its chapters, as `xml`, `ogm` or `vtt`; in VTT a chapter ends where the next begins, the last at its
+    own start. In XML and OGM a chapter without a name has its number; times below 0 count as 0."""
     from reelspark.functions.scalars import chapter_time
 
     w = W.partitionBy("title_id").orderBy("n")
-    c = chapters.withColumn("at", chapter_time(F.col("time_secs"), 9 if fmt == "xml" else 3)).withColumn("end", F.coalesce(F.lead("at").over(w), F.col("at")))
-    name = F.col("name")
+    at = chapter_time(F.greatest(F.col("time_secs"), F.lit(0.0)), 9 if fmt == "xml" else 3)
+    c = chapters.withColumn("at", at).withColumn("end", F.coalesce(F.lead("at").over(w), F.col("at"))).withColumn("place", F.row_number().over(w))
+    given = F.coalesce("name", F.lit(""))
+    name = F.when(given == "", F.col("place").cast("string")).otherwise(given)
     for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         name = F.replace(name, F.lit(mark), F.lit(entity)) if fmt == "xml" else name
-    part = {
-        "xml": F.concat(F.lit("<ChapterAtom><ChapterTimeStart>"), "at", F.lit("</ChapterTimeStart><ChapterDisplay><ChapterString>"), name, F.lit("</ChapterString></ChapterDisplay></ChapterAtom>")),
-        "ogm": F.concat(F.format_string("CHAPTER%02d=", "n"), "at", F.format_string("\nCHAPTER%02dNAME=", "n"), name),
-        "vtt": F.concat("at", F.lit(" --> "), "end", F.lit("\n"), name, F.lit("\n")),
+    lines = {
+        "xml": ("    <ChapterAtom>\n      <ChapterTimeStart>", "at", "</ChapterTimeStart>\n      <ChapterDisplay>\n        <ChapterString>", name, "</ChapterString>\n        <ChapterLanguage>und</ChapterLanguage>\n      </ChapterDisplay>\n    </ChapterAtom>\n"),
+        "ogm": (F.format_string("CHAPTER%02d=", "place"), "at", F.format_string("\nCHAPTER%02dNAME=", "place"), name, "\n"),
+        "vtt": (F.col("place").cast("string"), "\n", "at", " --> ", "end", "\nChapter ", given, "\n\n"),
     }[fmt]
-    head = {"xml": "<Chapters>", "ogm": "", "vtt": "WEBVTT\n"}[fmt]
-    g = c.withColumn("part", part).groupBy("title_id").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("l"))
-    lines = F.transform("l", lambda x: x["part"])
-    lines = F.concat(F.array(F.lit(head)), lines) if head else lines
-    lines = F.concat(lines, F.array(F.lit("</Chapters>"))) if fmt == "xml" else lines
-    return g.select("title_id", F.array_join(lines, "\n").alias("text"))
+    head, tail = {
+        "xml": ('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE Chapters SYSTEM "matroskachapters.dtd">\n<Chapters>\n  <EditionEntry>\n', "  </EditionEntry>\n</Chapters>\n"),
+        "ogm": ("", ""), "vtt": ("WEBVTT\n\n", ""),
+    }[fmt]
+    part = F.concat(*[(F.col(x) if x in ("at", "end") else F.lit(x)) if isinstance(x, str) else x for x in lines])
+    g = c.withColumn("part", part).groupBy("title_id").agg(F.array_sort(F.collect_list(F.struct("place", "part"))).alias("l"))
+    return g.select("title_id", F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["part"]), ""), F.lit(tail)).alias("text"))
 
 
 def title_json(titles: DataFrame, streams: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -112,19 +116,40 @@ def title_json(titles: DataFrame, streams: DataFrame, chapters: DataFrame) -> Da
 
 
 def read_source_packets(spark: SparkSession, path: str, length: int = 192) -> DataFrame:
-    """File, rec_no and bytes of fixed-length records, read whole file by file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    n = F.floor(F.length("content") / length)
-    return files.select(F.col("path").alias("file"), "content", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1))).alias("rec_no")).select("file", "rec_no", F.substring("content", (F.col("rec_no") * length + 1).cast("int"), F.lit(length)).alias("bytes"))
+    """File, rec_no and bytes of the fixed-length records of a file of any size: tasks read ranges of whole records, so a file is
+    never one row. The file's size must be a multiple of the length, as that of a stream file is."""
+    records = spark.sparkContext.newAPIHadoopFile(
+        path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(length)},
+    )
+    rows = spark.createDataFrame(records.map(lambda r: (r[0], bytearray(r[1]))), "rec_no long, bytes binary")
+    return rows.select(F.lit(path).alias("file"), "rec_no", "bytes")
 
 
 FRAME = "file string, idx long, track int, pts long, keyframe boolean, duration_ns long, data binary, error string"
 _HEAD = "<BqBQI"
 
 
-def read_frame_wire(spark: SparkSession, path: str, most: int = 256 << 20) -> DataFrame:
-    """Frames of wire files: track, time, key flag, duration (all ones: none), length, data, little-endian. A file that
-    ends inside a record, or a record over `most` bytes, ends with an error row."""
+MOST = 256 << 20
+
+
+def _little(value: Column, size: int) -> Column:
+    """The lowest `size` bytes of a whole number, the least first."""
+    digits = F.lpad(F.hex(value.cast("long")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(size)]))
+
+
+def frame_wire(frames: DataFrame, most: int = MOST) -> DataFrame:
+    """title_id, idx, wire and error of frames (title_id, idx, track, pts, keyframe, duration_ns, data): track, time, key flag, duration (all
+    ones: none), length and data, little-endian. A track above 255 or data of over `most` bytes is an error without a wire."""
+    error = F.when(F.col("track") > 255, "track").when(F.length("data") > most, "too long")
+    duration = F.when(F.col("duration_ns").isNull(), F.unhex(F.lit("F" * 16))).otherwise(_little(F.col("duration_ns"), 8))
+    wire = F.concat(_little(F.col("track"), 1), _little(F.col("pts"), 8), _little(F.col("keyframe").cast("int"), 1), duration, _little(F.length("data"), 4), F.col("data"))
+    return frames.select("title_id", "idx", F.when(error.isNull(), wire).alias("wire"), error.alias("error"))
+
+
+def parse_frame_wire(files: DataFrame, most: int = MOST) -> DataFrame:
+    """S8 on a table of path and content. A file that ends inside a record, or a record over `most` bytes, ends with an error row."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,4 +174,62 @@ def read_frame_wire(spark: SparkSession, path: str, most: int = 256 << 20) -> Da
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in FRAME.split(", ")], dtype=object)
                 yield out
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, FRAME)
+    return files.select("path", "content").mapInPandas(parse, FRAME)
+
+
+def read_frame_wire(spark: SparkSession, path: str, most: int = MOST) -> DataFrame:
+    """Frames of wire files, see parse_frame_wire."""
+    return parse_frame_wire(spark.read.format("binaryFile").load(path), most)
+
+
+MEDIA_STREAM = "type string, pid int, codec string, resolution string, frame_rate string, hdr string, color_space string, channels string, language string, sample_rate string, label string, secondary boolean, forced boolean, codec_private string"
+MEDIA_HEADER = "v int, title string, duration double, streams array<struct<" + ", ".join(f.replace(" ", ":", 1) for f in MEDIA_STREAM.split(", ")) + ">>"
+
+
+def parse_media_header(files: DataFrame, most: int = 10 << 20) -> DataFrame:
+    """S10 on a table of path and content: path, header and error. A file of another kind has neither; a cut mark, a newer version, JSON of
+    over `most` bytes or cut, and what is no such JSON are errors. Members that are left out have their defaults."""
+    whole = lambda start, size: F.conv(F.hex(F.substring(F.col("content"), start, size)), 16, 10).cast("long")
+    size = F.length("content")
+    f = files.select("path", "content", (F.substring("content", 1, 4) == F.lit(b"FMKV")).alias("ours"), whole(6, 1).alias("version"), whole(9, 4).alias("n"))
+    error = F.when(size < 8, "truncated").when(F.col("ours"), F.when(F.col("version") > 1, "version").when(size < 12, "truncated").when(F.col("n") > most, "too long").when(size < 12 + F.col("n"), "truncated"))
+    f = f.withColumn("error", error).withColumn("json", F.when(F.col("ours") & F.col("error").isNull(), F.substring("content", F.lit(13), F.col("n").cast("int")).cast("string")))
+    f = f.withColumn("h", F.from_json("json", MEDIA_HEADER))
+    empty = lambda s, c: F.coalesce(s[c], F.lit("")).alias(c)
+    text = ("resolution", "frame_rate", "hdr", "color_space", "channels", "language", "sample_rate", "label")
+    streams = F.transform("h.streams", lambda s: F.struct(s["type"].alias("type"), s["pid"].alias("pid"), s["codec"].alias("codec"), *[empty(s, c) for c in text], *[F.coalesce(s[c], F.lit(False)).alias(c) for c in ("secondary", "forced")], s["codec_private"].alias("codec_private")))
+    header = F.struct(F.col("h.v").alias("v"), F.coalesce("h.title", F.lit("")).alias("title"), F.coalesce("h.duration", F.lit(0.0)).alias("duration"), streams.alias("streams"))
+    wrong = F.col("json").isNotNull() & (F.col("h.v").isNull() | F.col("h.streams").isNull())
+    return f.select("path", F.when(F.col("json").isNotNull() & ~wrong, header).alias("header"), F.when(wrong, "json").otherwise(F.col("error")).alias("error"))
+
+
+def read_media_header(spark: SparkSession, path: str, most: int = 10 << 20) -> DataFrame:
+    return parse_media_header(spark.read.format("binaryFile").load(path), most)
+
+
+def disc_metadata(files: DataFrame) -> DataFrame:
+    """S16 on a table of path and content (text) of metadata files `bdmt_<lang>.xml`: path, lang, title, description, disc_no, discs. The title is that of
+    name, else title, else the table of contents; a description that looks like markup is dropped."""
+    lang = F.regexp_extract(F.lower("path"), r"bdmt_([a-z]{3})\.xml$", 1)
+    node = lambda path: F.trim(F.xpath_string("content", F.lit(path)))
+    local = lambda *names: "//" + "/".join(f"*[local-name()='{n}']" for n in names) + "/text()"
+    first = lambda *paths: F.coalesce(*[F.when(node(p) != "", node(p)) for p in paths])
+    about = first(local("description"))
+    title = first(local("title", "name"), local("name"), local("title"), local("tableOfContents", "titleName"))
+    return files.filter(lang != "").select("path", lang.alias("lang"), title.alias("title"), F.when(~about.startswith("<"), about).alias("description"), first(local("setNumber")).try_cast("int").alias("disc_no"), first(local("numSets")).try_cast("int").alias("discs"))
+
+
+def write_tracks(frames: DataFrame, path: str, kind: str | None = None, selection: list[int] | None = None) -> None:
+    """One folder for each title and track, its frames in order; of one kind or of selected tracks only."""
+    f = frames.filter(F.col("kind") == kind) if kind else frames
+    f = f.filter(F.col("track").isin(selection)) if selection is not None else f
+    f.repartition("title_id", "track").sortWithinPartitions("title_id", "track", "idx").write.partitionBy("title_id", "track").parquet(path)
+
+
+def count_sink(frames: DataFrame) -> tuple[int, int]:
+    """Frames and bytes that pass a sink which keeps nothing."""
+    from pyspark.sql import Observation
+
+    seen = Observation("count_sink")
+    frames.observe(seen, F.count("*").alias("frames"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).write.format("noop").mode("overwrite").save()
+    return seen.get["frames"], seen.get["bytes"]
