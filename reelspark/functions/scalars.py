@@ -116,12 +116,11 @@ def bcd_to_secs(hour: Column, minute: Column, second: Column, frame: Column) ->
     return _bcd(hour) * 3600 + _bcd(minute) * 60 + _bcd(second) + rest
 
 
-def parse_timecode(text: Column, tick_base: int = 60) -> Column:
-    """seconds of HH:MM:SS:FF or MM:SS:FF."""
-    p = F.transform(F.split(text, ":"), lambda x: x.try_cast("double"))
-    n = F.size(p)
-    value = F.when(n == 4, p[0] * 3600 + F.get(p, F.lit(1)) * 60 + F.get(p, F.lit(2)) + F.get(p, F.lit(3)) / tick_base).when(n == 3, p[0] * 60 + F.get(p, F.lit(1)) + F.get(p, F.lit(2)) / tick_base)
-    return value
+def parse_timecode(text: Column, tick_base: int | Column = 60) -> Column:
+    """seconds of HH:MM:SS:FF or MM:SS:FF, fields of digits only; null for others."""
+    p = F.transform(F.split(text, ":"), lambda x: F.when(F.trim(x).rlike(r"^\+?[0-9]{1,9}$"), F.trim(x).cast("double")))
+    n, at = F.size(p), lambda k: F.get(p, F.lit(k))
+    return F.when(n == 4, at(0) * 3600 + at(1) * 60 + at(2) + at(3) / tick_base).when(n == 3, at(0) * 60 + at(1) + at(2) / tick_base)
 
 
 def chapter_time(seconds: Column, digits: int = 9) -> Column:

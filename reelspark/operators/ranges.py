@@ -103,6 +103,9 @@ class _Overlay:
                 self.run = [self.at, stop, status]
             self.at = stop
 
+    def add(self, seq: int, end: int, status: str) -> None:
+        heapq.heappush(self.open, (-seq, end, status))
+
     def close(self) -> None:
         if self.run:
             self.out.append((self.run[0], self.run[1] - self.run[0], self.run[2]))
@@ -125,7 +128,7 @@ def overlay_ranges(log: DataFrame, key: str = "disc_id") -> DataFrame:
         for pos, size, seq, status in zip(rows["pos"].tolist(), rows["size"].tolist(), rows["seq"].tolist(), rows["status"].tolist()):
             state.forward(pos)
             state.at = max(state.at, pos)
-            heapq.heappush(state.open, (-seq, pos + size, status))
+            state.add(seq, pos + size, status)
         return state.taken(key, rows[key].iloc[0])
 
     def end(state: _Overlay, held: tuple) -> pd.DataFrame:

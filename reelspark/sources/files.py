@@ -58,13 +58,26 @@ def read_video_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return rows.filter("is_header").select("file", "section", F.col("line").alias("header")), pictures.select("file", "section", "line_no", "p.*")
 
 
+def picture_record() -> Column:
+    """The JSON record of a picture but for its number; unknown members are left out, not null."""
+    src = F.when(F.col("src_byte").isNotNull(), F.struct(F.floor(F.col("src_byte") / 2048).alias("sector"), (F.col("src_byte") % 2048).alias("byte")))
+    return F.to_json(F.struct(F.col("pts_ns").alias("pts"), F.col("ctype").alias("type"), F.col("keyframe").alias("key"), "size", src.alias("src")), {"ignoreNullFields": "true"})
+
+
 def video_index_lines(frames: DataFrame, primary: Column) -> DataFrame:
-    """title_id, n, line: a JSON record for each frame of the primary video; unknown members are left out, not null."""
+    """title_id, n, line: a JSON record for each frame of the primary video, numbered from 0 in coded order."""
     n = F.row_number().over(W.partitionBy("title_id").orderBy("idx")) - 1
-    src = F.when(F.col("src_byte").isNotNull(), F.struct(F.floor(F.col("src_byte") / 2048).alias("sector"), (F.col("src_byte") % 2048).alias("byte")))
     f = frames.filter(primary).withColumn("n", n)
-    record = F.to_json(F.struct("n", F.col("pts_ns").alias("pts"), F.col("ctype").alias("type"), F.col("keyframe").alias("key"), "size", src.alias("src")), {"ignoreNullFields": "true"})
-    return f.select("title_id", "n", record.alias("line"))
+    return f.select("title_id", "n", F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit(","), F.substring(picture_record(), 2, 1 << 30)).alias("line"))
+
+
+def video_index_headers(titles: DataFrame) -> DataFrame:
+    """title_id, n (-1, before all pictures) and line: the header of each title (title_id, codec, width, height, num, den, medium, path, title; playlist and
+    picture_count if known)."""
+    stream = F.struct("codec", "width", "height", F.array("num", "den").alias("frame_rate"))
+    source = F.struct("medium", "path", "title", F.lit(2048).alias("sector_size"), "playlist")
+    doc = F.struct(F.lit("fvi").alias("format"), F.lit(1).alias("fvi_version"), stream.alias("stream"), source.alias("source"), F.lit(1_000_000_000).alias("timescale"), "picture_count")
+    return titles.select("title_id", F.lit(-1).alias("n"), F.to_json(doc, {"ignoreNullFields": "true"}).alias("line"))
 
 
 def write_video_index(lines: DataFrame, path: str) -> None:

@@ -136,3 +136,49 @@ def stream_drop_tally(units: DataFrame, least: int = 200) -> DataFrame:
         yield pd.DataFrame({"title_id": [key[0]], "track": [key[1]], "kept": [int(kept)], "dropped": [int(dropped)], "verified": [int(verified)], "poisoned": [bool(poisoned)]})
 
     return units.groupBy("title_id", "track").applyInPandasWithState(tally, "title_id long, track long, kept long, dropped long, verified long, poisoned boolean", "kept long, dropped long, verified long, poisoned boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+def stream_range_map(log: DataFrame) -> DataFrame:
+    """G1: the map of each disc after every micro-batch that has records for it (disc_id, seq, pos, size, status): disc_id, version and the ranges' pos, size and
+    status as arrays. The state is the map so far; new records lie over it in the order of seq."""
+    from reelspark.operators.ranges import _Overlay
+
+    def lay(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = _ordered(batches, "seq")
+        version, *old = state.get if state.exists else (0, [], [], [])
+        held = [(p, -1, n, s) for p, n, s in zip(*old)]
+        new = [(p, k, n, s) for k, (p, n, s) in enumerate(zip(rows["pos"].tolist(), rows["size"].tolist(), rows["status"].tolist())) if n > 0]
+        over = _Overlay()
+        for pos, k, size, status in sorted(held + new):
+            over.forward(pos)
+            over.at = max(over.at, pos)
+            over.add(k, pos + size, status)
+        over.forward(None)
+        over.close()
+        pos, size, status = ([list(c) for c in zip(*over.out)] or [[], [], []])
+        state.update((version + 1, pos, size, status))
+        yield pd.DataFrame({"disc_id": [key[0]], "version": [version + 1], "pos": [pos], "size": [size], "status": [status]})
+
+    kind = "pos array<long>, size array<long>, status array<string>"
+    return log.groupBy("disc_id").applyInPandasWithState(lay, f"disc_id long, version long, {kind}", f"version long, {kind}", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_video_index(frames: DataFrame) -> DataFrame:
+    """N and record of each frame of the primary video (title_id, idx and what video_index_lines reads), in the order of idx; the state is each title's counter."""
+
+    def number(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = _ordered(batches, "idx")
+        start = state.get[0] if state.exists else 0
+        state.update((start + len(rows),))
+        yield pd.DataFrame({"title_id": key[0], "n": range(start, start + len(rows)), "record": rows["record"]})
+
+    from reelspark.sources.files import picture_record
+
+    narrow = frames.select("title_id", "idx", picture_record().alias("record"))
+    out = narrow.groupBy("title_id").applyInPandasWithState(number, "title_id long, n long, record string", "n long", "append", GroupStateTimeout.NoTimeout)
+    return out.select("title_id", "n", F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit(","), F.substring("record", 2, 1 << 30)).alias("line"))
+
+
+def on_progress(samples: DataFrame, callback, checkpoint: str):
+    """A query that calls callback(rows, batch number) with each micro-batch of samples."""
+    return samples.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
