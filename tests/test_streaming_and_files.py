@@ -5,8 +5,12 @@ import struct
 
 from pyspark.sql import functions as F
 
+from reelspark.operators import dvd as D
 from reelspark.operators import frames as O
+from reelspark.operators import packets as K
+from reelspark.operators import ranges as R
 from reelspark.sources import files
+from reelspark.sources import playlists as P
 from reelspark.streaming import stateful as G
 
 FRAME = "title_id long, track long, idx long, pts_ns long, keyframe boolean, discontinuity boolean"
@@ -86,15 +90,138 @@ def test_video_index_round_trip(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).count() == 8
 
 
-def test_chapters_packets_and_frames(spark, tmp_path):
-    c = spark.createDataFrame([(1, 1, 0.0, "a & b"), (1, 2, 61.5, "c")], "title_id long, n int, time_secs double, name string")
-    assert files.export_chapters(c, "vtt").first()["text"] == "WEBVTT\n\n00:00:00.000 --> 00:01:01.500\na & b\n\n00:01:01.500 --> 00:01:01.500\nc\n"
-    assert "a &amp; b" in files.export_chapters(c, "xml").first()["text"]
-    assert files.export_chapters(c, "ogm").first()["text"].startswith("CHAPTER01=00:00:00.000\nCHAPTER01NAME=a & b\n")
-    (tmp_path / "p.bin").write_bytes(bytes(192) + bytes([1]) * 192 + b"rest")
-    got = files.read_source_packets(spark, str(tmp_path / "p.bin")).orderBy("rec_no").collect()
-    assert [bytes(r["bytes"]) for r in got] == [bytes(192), bytes([1]) * 192]
+def test_chapter_texts(spark):
+    c = spark.createDataFrame([(1, 1, -1.0, "a & b"), (1, 2, 61.5, "")], "title_id long, n int, time_secs double, name string")
+    assert files.export_chapters(c, "vtt").first()["text"] == "WEBVTT\n\n1\n00:00:00.000 --> 00:01:01.500\nChapter a & b\n\n2\n00:01:01.500 --> 00:01:01.500\nChapter \n\n"
+    assert files.export_chapters(c, "ogm").first()["text"] == "CHAPTER01=00:00:00.000\nCHAPTER01NAME=a & b\nCHAPTER02=00:01:01.500\nCHAPTER02NAME=2\n"
+    xml = files.export_chapters(c, "xml").first()["text"].split("\n")
+    assert xml[:5] == ['<?xml version="1.0" encoding="UTF-8"?>', '<!DOCTYPE Chapters SYSTEM "matroskachapters.dtd">', "<Chapters>", "  <EditionEntry>", "    <ChapterAtom>"]
+    assert "        <ChapterString>a &amp; b</ChapterString>" in xml and "        <ChapterString>2</ChapterString>" in xml and xml[-4:] == ["    </ChapterAtom>", "  </EditionEntry>", "</Chapters>", ""]
+
+
+def test_packets_and_wire(spark, tmp_path):
+    body = b"".join(bytes([k]) * 192 for k in range(200))
+    (tmp_path / "p.bin").write_bytes(body)
+    got = files.read_source_packets(spark, str(tmp_path / "p.bin"))
+    assert {r["rec_no"]: bytes(r["bytes"]) for r in got.collect()} == {k: bytes([k]) * 192 for k in range(200)}
     head = struct.Struct("<BqBQI")
     (tmp_path / "f.bin").write_bytes(head.pack(1, -5, 1, (1 << 64) - 1, 2) + b"ab" + head.pack(2, 9, 0, 40, 0) + b"cut")
     got = files.read_frame_wire(spark, str(tmp_path / "f.bin")).orderBy("idx").collect()
     assert [(r["track"], r["pts"], r["duration_ns"], r["error"]) for r in got] == [(1, -5, None, None), (2, 9, 40, None), (None, None, None, "truncated header")]
+    rows = [(1, 0, 1, -5, True, None, bytearray(b"ab")), (1, 1, 256, 0, False, 3, bytearray(b""))]
+    w = files.frame_wire(spark.createDataFrame(rows, "title_id long, idx long, track int, pts long, keyframe boolean, duration_ns long, data binary")).orderBy("idx").collect()
+    assert bytes(w[0]["wire"]) == head.pack(1, -5, 1, (1 << 64) - 1, 2) + b"ab" and (w[1]["wire"], w[1]["error"]) == (None, "track")
+
+
+def entry(kind, pid, held):
+    """A stream entry of a kind with its attributes."""
+    body = bytes([kind]) + bytes({1: 0, 2: 2, 3: 1, 4: 1}[kind]) + struct.pack(">H", pid) + b"\0\0\0"
+    return bytes([len(body)]) + body + bytes([len(held)]) + held
+
+
+def test_playlist_bytes(spark):
+    streams = [entry(1, 0x1011, b"\x24\x81\x12"), entry(1, 0x1100, b"\x83\x61eng"), entry(1, 0x1101, b"\x90fra"), entry(3, 0x1200, b"\x90deu"), entry(1, 0x1400, b"\x91jpn"), entry(2, 0x1A00, b"\xa1\x31spa") + b"\x01\0\x07\0", entry(1, 0x1B00, b"\x1b\x62") + b"\0\0" + b"\x02\0ab", entry(4, 0x1015, b"\x24\x81\x30")]
+    counts = bytes([1, 2, 1, 1, 1, 1, 0, 1])
+    times = lambda a, b: struct.pack(">II", a, b)
+    first = b"00001M2TS" + b"\x01\0\0" + times(90, 45090) + bytes(12) + bytes(4) + counts + bytes(4) + b"".join(streams)
+    second = b"00002M2TS" + b"\x05\0\0" + times(7, 8)
+    item = lambda x: struct.pack(">H", len(x)) + x
+    body = bytes(6) + struct.pack(">HH", 4, 0) + item(first) + item(b"short") + item(second)
+    marks = bytes(4) + struct.pack(">H", 9) + struct.pack(">BBHIHI", 0, 1, 1, 55, 0xFFFF, 0) + b"cut"
+    data = b"MPLS0200" + struct.pack(">II", 40, 40 + len(body)) + bytes(24) + body + marks
+    got = P.parse_playlist(data)
+    assert [(i["clip_id"], i["in_time"], i["out_time"], i["connection_condition"]) for i in got["play_items"]] == [("00001", 90, 45090, 1), ("00002", 7, 8, 5)]
+    assert [(s["pid"], s["stream_type"], s["coding_type"], s["language"], s["secondary"]) for s in got["streams"]] == [
+        (0x1011, 1, 0x24, "", False), (0x1100, 2, 0x83, "eng", False), (0x1101, 2, 0x90, "fra", False), (0x1200, 3, 0x90, "deu", False),
+        (0x1A00, 5, 0xA1, "spa", True), (0x1B00, 6, 0x1B, "", True), (0x1015, 7, 0x24, "", True),
+    ]
+    assert (got["streams"][0]["video_format"], got["streams"][0]["dynamic_range"], got["streams"][0]["color_space"], got["streams"][1]["audio_format"]) == (8, 1, 2, 6)
+    assert [(m["mark_type"], m["play_item_ref"], m["timestamp_45k"]) for m in got["marks"]] == [(1, 1, 55)]
+    for n in range(0, len(data), 7):
+        P.parse_playlist(data[:n])  # nothing that is cut short raises
+    table = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"MPLX" + data[4:])), ("c", None), ("d", bytearray(data[:41]))], "path string, content binary")
+    read = {r["path"]: (r["error"], len(r["streams"]), len(r["marks"])) for r in P.parse_playlists(table).collect()}
+    assert read == {"a": (None, 7, 1), "b": ("no playlist", 0, 0), "c": ("no playlist", 0, 0), "d": ("cut short", 0, 0)}
+
+
+def test_clip_info_bytes():
+    program = bytes(5) + b"\1" + bytes(6) + b"\3\0" + struct.pack(">HB", 0x1011, 2) + b"\x1b\x62" + struct.pack(">HB", 0x1100, 5) + b"\x81\x61eng" + struct.pack(">HB", 0x1200, 4) + b"\x90fra"
+    stream = struct.pack(">I", 4 + 16) + struct.pack(">II", 0 << 14 | 5, 1 << 17) + struct.pack(">II", 1 << 14 | 6, 2 << 17) + struct.pack(">III", 3 << 17 | 9, 4 << 17 | 8, 5 << 17 | 7)
+    packed = (1 << 66 | 2 << 50 | 3 << 32 | 14).to_bytes(10, "big")
+    cpi = b"\0\1" + b"\0\1" + struct.pack(">H", 0x1011) + packed + stream
+    data = b"HDMV0200" + bytes(4) + struct.pack(">II", 60, 60 + len(program)) + bytes(36) + struct.pack(">I", 4242) + program + struct.pack(">I", len(cpi)) + cpi
+    got = P.parse_clip_info(data)
+    assert got["source_packets"] == 4242 and [(s["pid"], s["coding_type"], s["language"]) for s in got["streams"]] == [(0x1011, 0x1B, ""), (0x1100, 0x81, "eng"), (0x1200, 0x90, "fra")]
+    assert [(c["ref"], c["pts"], c["spn"]) for c in got["coarse"]] == [(0, 5, 1 << 17), (1, 6, 2 << 17)] and [(f["pts"], f["spn"]) for f in got["fine"]] == [(3, 9), (4, 8), (5, 7)]
+    assert P.parse_clip_info(b"HDMX" + data[4:])["error"] and all(P.parse_clip_info(data[:n]) for n in range(0, len(data), 5))
+
+
+def packet_rows(seed):
+    rng, rows, cc = random.Random(seed), [], {1: 0, 2: 0}
+    for rec in range(120):
+        pid = rng.choice([1, 2])
+        cc[pid] = (cc[pid] + (1 if rng.random() < 0.9 else 3)) % 16
+        start = rng.random() < 0.3
+        body = bytes([rec]) * rng.randrange(1, 6)
+        if start:
+            body = rng.choice([b"\0\0\1\xe0\0\0\x80\0\0" + body, b"\0\0\1\xe0\0\0\x80\0\4ab", b"bad"])
+        rows.append((1, pid, rec, start, cc[pid], rng.random() < 0.03, bytearray(body)))
+    return rows
+
+
+def test_units_in_batch_and_as_a_stream(spark, tmp_path):
+    schema = "file_id long, pid long, rec_no long, pusi boolean, cc int, discontinuity_flag boolean, payload binary"
+    rows = packet_rows(4)
+    key = lambda r: (r["pid"], r["first_rec"], r["discontinuity"], bytes(r["data"]))
+    want = sorted(map(key, K.assemble_pes(spark.createDataFrame(rows, schema)).collect()))
+    ends = [(1, pid, (1 << 63) - 1, False, 0, False, None) for pid in (1, 2)]
+    marked = [(*r, False) for r in rows] + [(*r, False) for r in ends]
+    got = streamed(spark, tmp_path, marked, schema + ", marker boolean", lambda r: r[2], lambda s: K.stream_demux(s.withColumn("payload", F.coalesce("payload", F.lit(b"")))))
+    # what ends a pid carries no payload and so is no packet of the unit
+    assert len(want) > 10 and sorted(map(key, got)) == want
+    split = [(1, 1, 0, True, 0, False, bytearray(b"\0\0\1\xe0\0\0\x80\0\4ab")), (1, 1, 1, False, 1, False, bytearray(b"cdXY")), (1, 8191, 2, False, 0, True, None), (1, 1, 3, False, 2, False, bytearray(b"lost")), (1, 1, 4, True, 3, False, bytearray(b"\0\0\1\xbf\0\0OK12"))]
+    assert [(r["data"], r["discontinuity"]) for r in K.assemble_pes(spark.createDataFrame(split[:2], schema)).collect()] == [(bytearray(b"XY"), False)]
+    assert [(r["data"], r["discontinuity"]) for r in K.assemble_pes(spark.createDataFrame(split, schema)).collect()] == [(bytearray(b"OK12"), True)]
+
+
+def test_stream_maps_indexes_counts(spark, tmp_path):
+    rng = random.Random(6)
+    schema = "disc_id long, seq long, pos long, size long, status string"
+    rows = [(d, i, rng.randrange(90), rng.randrange(0, 25), rng.choice("+-*/?")) for i in range(40) for d in range(2)]
+    got = {}
+    for r in sorted(streamed(spark, tmp_path / "a", rows, schema, lambda r: r[1], G.stream_range_map), key=lambda r: r["version"]):
+        got[r["disc_id"]] = list(zip(r["pos"], r["size"], r["status"]))
+    want = R.overlay_ranges(spark.createDataFrame(rows, schema)).collect()
+    assert {d: sorted((r["pos"], r["size"], r["status"]) for r in want if r["disc_id"] == d) for d in range(2)} == got
+    frames = [(t, 0, i, i * 10, i % 3 == 0, "I" if i % 3 == 0 else "P", 5, None if i == 1 else i * 3000) for t in range(2) for i in range(7)]
+    schema = "title_id long, track long, idx long, pts_ns long, keyframe boolean, ctype string, size long, src_byte long"
+    got = streamed(spark, tmp_path / "b", frames, schema, lambda r: r[2], G.stream_video_index)
+    want = files.video_index_lines(spark.createDataFrame(frames, schema), F.col("track") == 0).collect()
+    assert sorted((r["title_id"], r["n"], r["line"]) for r in got) == sorted(map(tuple, want))
+    units = [(1, 0, i, i % 2 == 0, i % 4 == 0, 1) for i in range(12)]
+    got = streamed(spark, tmp_path / "c", units, "title_id long, track long, idx long, dropped boolean, verified boolean, duration_ns long", lambda r: r[2], lambda s: G.stream_drop_tally(s, 4), "update")
+    assert max((r["kept"], r["dropped"], r["verified"]) for r in got) == (6, 6, 3)
+    sets = [(1, 0, True), (1, 0, True), (2, 0, True), (2, 0, False)]
+    got = streamed(spark, tmp_path / "d", sets, "title_id long, track long, forced boolean", lambda r: r[0], G.stream_forced, "complete", parts=1)
+    assert {r["title_id"]: r["forced"] for r in got} == {1: True, 2: False}
+    seen = []
+    source = spark.readStream.schema("title_id long, track long, forced boolean").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/d/in")
+    G.on_progress(source, lambda df, n: seen.append(df.count()), f"{tmp_path}/progress").awaitTermination(60)
+    assert sum(seen) == 4
+
+
+def test_tracks_count_and_header(spark, tmp_path):
+    f = spark.createDataFrame([(1, k % 2, i, "video" if k % 2 == 0 else "audio", 10) for i, k in enumerate(range(6))], "title_id long, track int, idx long, kind string, size long")
+    assert files.count_sink(f) == (6, 60)
+    files.write_tracks(f, f"{tmp_path}/t", kind="video")
+    assert [p.name for p in (tmp_path / "t" / "title_id=1").iterdir()] == ["track=0"]
+    text = b'{"v":1,"streams":[{"type":"video","pid":1,"codec":"hevc","more":2}]}'
+    cases = {"ok": b"FMKV\0\1\0\0" + struct.pack(">I", len(text)) + text, "new": b"FMKV\0\2\0\0", "cut": b"FMKV\0", "other": b"GIF89a\0\0\0", "short": b"FMKV\0\1\0\0" + struct.pack(">I", 99) + text, "big": b"FMKV\0\1\0\0" + struct.pack(">I", 11 << 20), "bad": b"FMKV\0\1\0\0" + struct.pack(">I", 2) + b"no"}
+    got = {r["path"]: (r["header"] and r["header"]["streams"][0]["codec"], r["error"]) for r in files.parse_media_header(spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "path string, content binary")).collect()}
+    assert got == {"ok": ("hevc", None), "new": (None, "version"), "cut": (None, "truncated"), "other": (None, None), "short": (None, "truncated"), "big": (None, "too long"), "bad": (None, "json")}
+
+
+def test_audio_remap(spark):
+    s = spark.createDataFrame([(1, 0, 0xBD80, 2), (1, 1, 0xBD81, 6), (1, 2, 0xBD82, 2), (2, 0, 0xBD80, 6)], "title_id long, ord long, pid int, channels int")
+    p = spark.createDataFrame([(1, 0x80, 6), (1, 0x81, 2), (1, 0x82, 2)], "title_id long, sub_id int, channels int")
+    assert [(r["title_id"], r["new_pid"]) for r in D.remap_audio(s, p).orderBy("title_id", "ord").collect()] == [(1, 0xBD81), (1, 0xBD80), (1, 0xBD82), (2, 0xBD80)]
