@@ -56,16 +56,22 @@ def word_pattern() -> re.Pattern:
 
 
 class _Memo(dict):
-    """Token ids as little-endian unsigned 32-bit integers, kept for as many texts as the limit allows."""
+    """Token ids as little-endian unsigned 32-bit integers, of at most `limit` texts: when half of them are new, those that
+    were not asked for since the last time go."""
 
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit = make, limit
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= self.limit:
+        out = self.old.get(text)
+        if out is None:
+            out = self.make(text)
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
             self.clear()
-        self[text] = out = self.make(text)
+        self[text] = out
         return out
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import read, saved, text_or_empty
+from reelspark.llm.common import fresh, read, saved, text_or_empty
 
 #: Base kinds: pattern of the match, in the order of the result. Each is the plain pattern with possessive runs
 #: and a left edge (a run's start or the previous match's end), which match the same spans without backtracking.
@@ -196,9 +196,9 @@ def fit_classifier(rows: list[tuple[tuple[int, ...], float, int]], rounds: int =
     return weights.tolist()
 
 
-def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """One row per input row: doc_id, spans (array of kind, start, end; code points, end exclusive), in the order
-    of the kinds email, ip, card, phone, account, secret, then of start; with carry, the whole input row as the struct `row`.
+    of the kinds email, ip, card, phone, account, secret, then of start; with carry, the whole input row as a struct of that name.
 
     Base kinds are always in the result. Other candidates that overlap no base span are voted on by the labelers; their reliabilities
     come from expectation-maximisation over all candidates, a logistic span classifier is trained on the
@@ -208,8 +208,8 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     """
     text = text_or_empty(text_col)
     base = base_spans(F.col("_text"))
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
-    kept = ["doc_id", "row"] if carry else ["doc_id"]
+    row = [F.struct(*docs.columns).alias(carry)] if carry else []
+    kept = ["doc_id", carry] if carry else ["doc_id"]
     found = docs.select(F.col(id_col).alias("doc_id"), *row, text.alias("_text")).select(*kept, *[v.alias(k) for k, v in base.items()], candidate_spans(F.col("_text")).alias("cand"))
     bases = F.concat(*BASE)
     free = F.filter("cand", lambda c: ~F.exists(bases, lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])))
@@ -271,12 +271,15 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents stay, personal data in their texts replaced by its kind; n_chars follows."""
-    found = find_pii(docs, carry=True)
-    out = {"text": F.when(F.col("row.text").isNotNull(), masked(F.col("row.text"), F.col("spans")))}
+    """Pipeline stage: all documents stay, personal data in their texts replaced by its kind; n_chars follows. A null text stays
+    null, empty and repeated texts stay, an empty table stays empty, all columns stay."""
+    row = fresh(docs, "_row")
+    found = find_pii(docs, carry=row)
+    text = F.col(row)["text"]
+    out = {"text": F.when(text.isNotNull(), masked(text, F.col("spans")))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.length(out["text"]).cast(docs.schema["n_chars"].dataType)
-    return found.select(*[out[c].alias(c) if c in out else F.col("row")[c].alias(c) for c in docs.columns])
+    return found.select(*[out[c].alias(c) if c in out else F.col(row)[c].alias(c) for c in docs.columns])
 
 
 QUERIES = {"op7_pii": op7_pii}

@@ -474,3 +474,80 @@ def test_pipeline_stages(spark, tmp_path):
     assert counts == [63, 62, 61, 61]
     assert docs.filter("text LIKE 'write to [email] %'").count() == 1
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+CLASHING = ("_kept_id", "_kept", "cls", "label", "maybe", "_maybe", "_word", "_bit", "_gone0", "h", "n", "cand", "row", "_text", "score", "_score", "chunk", "island", "bin", "place", "part", "text_sha256")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, ids that repeat with other texts, repeated rows, null, empty and long texts, and columns named as inside the operators."""
+    rng = random.Random(41)
+    a, b = prose(rng, 60), prose(rng, 60)
+    long = " ".join(rng.choice(WORDS) for _ in range(20_000))
+    rows = [(None, a), (None, None), (5, a), (5, b), (7, a + " tail"), (8, b + " tail"), (9, None), (9, None), (10, ""), (11, long), (12, "x@y.zz " + prose(rng, 30)), (12, "x@y.zz " + prose(rng, 30)), (13, "one"), (14, "one")]
+    rows += [(20 + k, prose(rng, 40)) for k in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    return d.withColumns({c: F.lit(c) for c in CLASHING} | {"n_chars": F.length("text").cast("long")}).cache()
+
+
+def operators(spark, labels):
+    """Every operator as a function of a table, and whether it gives one row for each of the table's."""
+    return {
+        "exact": (exact_dedup.exact_dedup, True), "near": (near_dedup.near_dedup, True), "prints": (lambda d: fingerprint.fingerprint_documents(d, parts=3), True),
+        "pii": (pii.find_pii, True), "bpe": (lambda d: bpe.encode(d, common=20), True), "packing": (packing.pack_documents, False), "licences": (licenses.scan_licenses, True),
+        "quality": (lambda d: quality.score_quality(d, quality.fit(d, labels)), True), "lm": (lambda d: lm_scoring.cross_entropy_difference(d, d.filter("doc_id < 10")), True),
+    }
+
+
+def test_odd_rows_through_every_operator(spark, odd):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20, 30)] + [(None, 1, 0), (20, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = odd.count()
+    for name, (op, each) in operators(spark, labels).items():
+        got = op(odd).collect()
+        assert (len(got) == rows) if each else {r["doc_id"] for r in got} == {r["doc_id"] for r in odd.collect()}, name
+        assert op(odd.filter("doc_id < 0")).count() == 0, name
+    turns = odd.select(F.col("doc_id").alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("user").alias("role"), "text", *CLASHING)
+    made = chat_format.parse(chat_format.format_chats(chat_format.conversation_events(turns))).collect()
+    assert sum(len(r["turns"]) for r in made) == rows and len(made) == odd.select("doc_id").distinct().count()
+    assert chat_format.format_chats(chat_format.conversation_events(turns.filter("conv_id < 0"))).count() == 0
+
+
+def test_odd_rows_through_every_stage(spark, odd, tmp_path):
+    spark.createDataFrame([(k, k % 2, 0) for k in range(20, 30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (quality.stage_quality, exact_dedup.stage_exact_dedup, near_dedup.stage_near_dedup, pii.stage_pii):
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns, stage
+        got = out.count()
+        assert 0 < got <= odd.count(), stage
+        assert stage(spark, odd.filter("doc_id < 0"), str(tmp_path)).count() == 0, stage
+    assert packing.stage_packing(spark, odd.filter("doc_id < 0"), str(tmp_path)).count() == 0
+    kept = exact_dedup.stage_exact_dedup(spark, odd, str(tmp_path)).groupBy("doc_id", "text").count().collect()
+    # of a null id and 5 with the same text 5 stays; of the two rows 9 both, as they are one id
+    assert {(r["doc_id"], r["text"] is None): r["count"] for r in kept if r["doc_id"] in (None, 9)} == {(9, True): 2}
+
+
+def test_near_dedup_of_repeated_ids(spark, odd):
+    """One id with two texts links to what is near either."""
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_dedup.near_dedup(odd).collect()}
+    assert got[7, 57] == 5 and got[8, 57] == 5 and got[None, 56] is None
+
+
+def test_near_dedup_recall_on_planted_pairs(spark):
+    """Pairs just over the threshold, in a crowd that shares a passage with all of them, so that nodes are large and branch."""
+    rng = random.Random(77)
+    shared = prose(rng, 12).split()
+    texts = []
+    for _ in range(150):
+        w = shared + prose(rng, 120).split()
+        v = list(w)
+        for at in rng.sample(range(20, 125), 2):
+            v[at] = "changed" + str(rng.randrange(10**6))
+        texts += [" ".join(w), " ".join(v)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, component = brute_components(texts, 85)
+    linked = [i for i in range(len(texts)) if component[i] != i]
+    got = by_id(near_dedup.near_dedup(d, 85, node=16))
+    assert len(linked) > 100
+    assert sum(got[i]["component_id"] == component[i] for i in linked) >= 0.98 * len(linked)
+    assert all(got[i]["component_id"] == i for i in range(len(texts)) if component[i] == i)
