@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from reelspark.llm.common import flagged, read, saved, text_or_empty
 
 #: Words of a chunk of texts: bounds the memory of a task.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Weight of a context against its backoff, as so many further occurrences.
 PRIOR = 20.0
 START = 0
 
 
-TEXTS = "chunk long, ids binary, known binary, hashes array<long>, sizes binary, words binary"
-COUNTS = "bucket int, goal boolean, chunk long, word_keys binary, pair_keys binary, words binary, ends binary, pairs binary"
+TEXTS = "chunk long, ids binary, known binary, hashes array<long>, sizes binary, goal binary, words binary"
+COUNTS = "bucket int, chunk long, word_keys binary, pair_keys binary, words binary, ends binary, pairs binary, goal_words binary, goal_ends binary, goal_pairs binary"
 TOTALS = "chunk long, bucket int, words binary, goal_words binary, ends binary, goal_ends binary, pairs binary, goal_pairs binary"
 SCORES = "doc_id long, n_words long, score double"
 
@@ -71,17 +71,29 @@ class Chunk:
 
     def __init__(self, sizes: np.ndarray, words: np.ndarray, hashes: np.ndarray):
         n = len(hashes)
-        before = np.empty_like(words)
-        before[1:] = words[:-1]
-        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+        codes = np.empty(len(words), np.int64)
+        codes[1:] = words[:-1]
+        codes[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+        codes *= n
+        codes += words
         ends = words[(np.cumsum(sizes) - 1)[sizes > 0]]
-        codes, self.at, counts = np.unique(before * n + words, return_inverse=True, return_counts=True)
-        self.first, self.second = codes // n, codes % n
+        codes, at, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        self.at, counts = at.astype(np.int32), counts.astype(np.uint32)
+        self.first, self.second = (codes // n).astype(np.int32), (codes % n).astype(np.int32)
+        del codes, at
         pairs = _mixed(_mixed(hashes[self.first]) + hashes[self.second])
-        self.word_order, self.pair_order = np.argsort(hashes[1:]), np.argsort(pairs)
+        self.word_order, self.pair_order = np.argsort(hashes[1:]).astype(np.int32), np.argsort(pairs).astype(np.int32)
         self.word_keys, self.pair_keys = hashes[1:][self.word_order], pairs[self.pair_order]
-        count = lambda x: np.bincount(x, minlength=n)[1:][self.word_order].astype(np.uint32)
-        self.words, self.ends, self.pairs = count(words), count(ends), counts[self.pair_order].astype(np.uint32)
+        self.words, self.ends, self.pairs = self.counted(words), self.counted(ends), counts[self.pair_order]
+
+    def counted(self, words: np.ndarray) -> np.ndarray:
+        return np.bincount(words, minlength=len(self.word_keys) + 1)[1:][self.word_order].astype(np.uint32)
+
+    def aimed(self, sizes: np.ndarray, words: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of words, ends and bigrams in the texts of the goal (a mask), in the keys' order."""
+        held, last = np.repeat(goal, sizes), (np.cumsum(sizes) - 1)[(sizes > 0) & goal]
+        pairs = np.bincount(self.at[held], minlength=len(self.pair_keys))[self.pair_order].astype(np.uint32)
+        return self.counted(words[held]), self.counted(words[last]), pairs
 
     def spread(self, words: np.ndarray, ends: np.ndarray, pairs: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Totals in the keys' order, told apart: of each bigram's second word, first word as a context, and of the bigram."""
@@ -97,8 +109,8 @@ def _hash(word: str) -> int:
 
 
 def chunk_texts(docs: DataFrame, limit: int = CHUNK) -> DataFrame:
-    """Chunks of texts of about `limit` words, see TEXTS: doc_id and words of each text, local ids of all words in
-    order, hashes of the local ids. docs: doc_id, text."""
+    """Chunks of texts of about `limit` words, see TEXTS: doc_id, words and target of each text, local ids of all words in
+    order, hashes of the local ids. docs: doc_id, text, target (boolean)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: dict[str, int] = {"": START}
@@ -106,22 +118,22 @@ def chunk_texts(docs: DataFrame, limit: int = CHUNK) -> DataFrame:
         total = 0
 
         def made() -> pd.DataFrame:
-            docs_held, words = zip(*held)
+            docs_held, words, goal = zip(*held)
             hashes = np.fromiter(map(_hash, ids), np.uint64, len(ids)).view(np.int64)
             sizes = np.array([len(w) for w in words], np.int64)
-            row = (uuid.uuid4().int >> 65, _packed(np.array([d or 0 for d in docs_held], np.int64)), _packed(np.array([d is not None for d in docs_held])), hashes, _packed(sizes), _packed(np.concatenate(words)))
+            row = (uuid.uuid4().int >> 65, _packed(np.array([d or 0 for d in docs_held], np.int64)), _packed(np.array([d is not None for d in docs_held])), hashes, _packed(sizes), _packed(np.array(goal, bool)), _packed(np.concatenate(words)))
             held.clear()
             ids.clear()
             ids[""] = START
             return pd.DataFrame([row], columns=_names(TEXTS))
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for doc, text, target in zip(batch["doc_id"], batch["text"], batch["target"]):
                 parts = text.split()
                 for w in parts:
                     if w not in ids:
                         ids[w] = len(ids)
-                held.append((None if doc == "" else int(doc), np.fromiter(map(ids.__getitem__, parts), np.uint32, len(parts))))
+                held.append((None if doc == "" else int(doc), np.fromiter(map(ids.__getitem__, parts), np.uint32, len(parts)), bool(target)))
                 total += len(parts)
                 if total >= limit or len(held) >= limit:
                     yield made()
@@ -129,65 +141,65 @@ def chunk_texts(docs: DataFrame, limit: int = CHUNK) -> DataFrame:
         if held:
             yield made()
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("doc_id"), "text").mapInPandas(work, TEXTS)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("doc_id"), "text", "target").mapInPandas(work, TEXTS)
 
 
 def _chunk(row) -> Chunk:
-    return Chunk(_unpacked(row["sizes"], np.int64), _unpacked(row["words"], np.uint32).astype(np.int64), np.asarray(row["hashes"], np.int64).view(np.uint64))
+    return Chunk(_unpacked(row["sizes"], np.int64), _unpacked(row["words"], np.uint32), np.asarray(row["hashes"], np.int64).view(np.uint64))
 
 
-def chunk_counts(chunks: DataFrame, buckets: int, goal: bool) -> DataFrame:
-    """For each chunk and bucket the keys that fall to it and their counts, see COUNTS."""
+def chunk_counts(chunks: DataFrame, buckets: int) -> DataFrame:
+    """For each chunk and bucket the keys that fall to it and their counts, in all texts and in those of the target, see COUNTS."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
                 c = _chunk(row)
+                aim = c.aimed(_unpacked(row["sizes"], np.int64), _unpacked(row["words"], np.uint32), _unpacked(row["goal"], bool))
                 w, p = _cuts(c.word_keys, buckets), _cuts(c.pair_keys, buckets)
-                rows = [
-                    (b, goal, row["chunk"], _packed_keys(c.word_keys[wl:wh]), _packed_keys(c.pair_keys[pl:ph]), _packed(c.words[wl:wh]), _packed(c.ends[wl:wh]), _packed(c.pairs[pl:ph]))
-                    for b, (wl, wh, pl, ph) in enumerate(zip(w, w[1:], p, p[1:])) if wh > wl or ph > pl
-                ]
+                rows = []
+                for b, (wl, wh, pl, ph) in enumerate(zip(w, w[1:], p, p[1:])):
+                    if wh > wl or ph > pl:
+                        held = [(c.words, wl, wh), (c.ends, wl, wh), (c.pairs, pl, ph), (aim[0], wl, wh), (aim[1], wl, wh), (aim[2], pl, ph)]
+                        rows.append((b, row["chunk"], _packed_keys(c.word_keys[wl:wh]), _packed_keys(c.pair_keys[pl:ph]), *[_packed(x[lo:hi]) for x, lo, hi in held]))
                 yield pd.DataFrame(rows, columns=_names(COUNTS))
 
     return chunks.mapInPandas(work, COUNTS)
 
 
 def total_counts(counts: DataFrame) -> DataFrame:
-    """For each chunk of all texts and bucket, in the order of its keys there, the counts summed over the chunks of all texts and
-    over those of the target, see TOTALS."""
+    """For each chunk and bucket, in the order of its keys there, the counts summed over all chunks, see TOTALS."""
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
-        goal = rows["goal"].to_numpy()
-        out = rows.loc[~goal, ["chunk", "bucket"]].copy()
-        for keys, names in (("word_keys", ("words", "ends")), ("pair_keys", ("pairs",))):
+        out = rows[["chunk", "bucket"]].copy()
+        for keys, names in (("word_keys", ("words", "ends", "goal_words", "goal_ends")), ("pair_keys", ("pairs", "goal_pairs"))):
             parts = [_unpacked_keys(x) for x in rows[keys]]
-            sizes = np.array([len(p) for p in parts])
-            _, at = np.unique(np.concatenate(parts), return_inverse=True)
-            aim = np.repeat(goal, sizes)
+            cuts = np.cumsum([len(p) for p in parts])[:-1]
+            at = np.unique(np.concatenate(parts), return_inverse=True)[1].astype(np.int32)
             for name in names:
                 found = np.concatenate([_unpacked(x, np.uint32) for x in rows[name]])
-                for prefix, own in (("", ~aim), ("goal_", aim)):
-                    sums = np.bincount(at, weights=found * own).astype(np.int64)[at[~aim]]
-                    out[prefix + name] = [_packed(x) for x in np.split(sums, np.cumsum(sizes[~goal])[:-1])] if len(out) else []
+                sums = np.bincount(at, weights=found).astype(np.int64)[at]
+                out[name] = [_packed(x) for x in np.split(sums, cuts)]
         return out[_names(TOTALS)]
 
     return counts.groupBy("bucket").applyInPandas(total, TOTALS)
 
 
-def _lengths(chunks: DataFrame) -> tuple[int, int]:
-    """Words and texts that have any, of all chunks."""
+def _lengths(chunks: DataFrame) -> list[tuple[int, int]]:
+    """Words and texts that have any, of all texts and of those of the target."""
 
-    @F.pandas_udf("struct<words:long,texts:long>")
-    def length(sizes: pd.Series) -> pd.DataFrame:
-        rows = [(n.sum(), (n > 0).sum()) for n in (_unpacked(x, np.int64) for x in sizes)]
-        return pd.DataFrame(rows, columns=["words", "texts"])
+    @F.pandas_udf("struct<words:long,texts:long,goal_words:long,goal_texts:long>")
+    def length(sizes: pd.Series, goal: pd.Series) -> pd.DataFrame:
+        held = [(_unpacked(n, np.int64), _unpacked(g, bool)) for n, g in zip(sizes, goal)]
+        rows = [(n.sum(), (n > 0).sum(), n[g].sum(), (n[g] > 0).sum()) for n, g in held]
+        return pd.DataFrame(rows, columns=["words", "texts", "goal_words", "goal_texts"])
 
-    n = chunks.select(length("sizes").alias("n")).agg(F.sum("n.words").alias("words"), F.sum("n.texts").alias("texts")).first()
-    return n["words"] or 0, n["texts"] or 0
+    sums = [F.sum(f"n.{c}").alias(c) for c in ("words", "texts", "goal_words", "goal_texts")]
+    n = [x or 0 for x in chunks.select(length("sizes", "goal").alias("n")).agg(*sums).first()]
+    return [(n[0], n[1]), (n[2], n[3])]
 
 
-def score_chunks(chunks: DataFrame, totals: DataFrame, size: int, lengths: tuple[int, int], goal_lengths: tuple[int, int], prior: float = PRIOR) -> DataFrame:
+def score_chunks(chunks: DataFrame, totals: DataFrame, size: int, lengths: list[tuple[int, int]], prior: float = PRIOR) -> DataFrame:
     """doc_id, n_words, score: mean over a text's words of target loss less background loss, in nats; lower is nearer the
     target. Both models have the same vocabulary of `size` words and smoothing: a bigram's probability leans on the word's, that on the
     uniform one. A text without words has the score 0."""
@@ -195,7 +207,7 @@ def score_chunks(chunks: DataFrame, totals: DataFrame, size: int, lengths: tuple
     def score(key, texts: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
         texts, sums = texts.iloc[0], sums.sort_values("bucket")
         chunk, sizes, losses = _chunk(texts), _unpacked(texts["sizes"], np.int64), []
-        for prefix, (total, count) in (("", lengths), ("goal_", goal_lengths)):
+        for prefix, (total, count) in zip(("", "goal_"), lengths):
             held = [np.concatenate([np.zeros(0, np.int64), *(_unpacked(x, np.int64) for x in sums[prefix + k])]) for k in ("words", "ends", "pairs")]
             word, context, pair = chunk.spread(*held, count)
             losses.append(np.log((pair + prior * (word + 1) / (total + size)) / (context + prior)))
@@ -214,18 +226,18 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, chunk: int = C
 
     Every distinct word and bigram of all documents has counts of its own, under a key of 64 bits. Texts are held
     in chunks of bounded size; a chunk sends each of its keys once to the key's bucket, where counts are summed, and
-    gets the sums back, so a frequent bigram is one row of a chunk. Of the texts only those that may be in the target are shuffled. The driver
-    gets five numbers."""
+    gets the sums back, so a frequent bigram is one row of a chunk. Texts that are surely not in the target are taken as they are read; only those that may be are
+    shuffled, to be told for sure. The driver gets five numbers."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     marked = targets.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, min(4 * parts, 1024))
-    likely = flagged(rows, [F.col("doc_id")], marked, [F.col("doc_id")], "maybe").filter("maybe").drop("maybe")
-    chunks = saved(chunk_texts(rows, chunk), "chunks")
-    goal = saved(chunk_texts(likely.join(marked, "doc_id", "left_semi"), chunk), "goal")
-    totals = total_counts(chunk_counts(chunks, buckets, False).unionByName(chunk_counts(goal, buckets, True)))
+    maybe = flagged(rows, [F.col("doc_id")], marked, [F.col("doc_id")], "maybe")
+    surely_not = maybe.filter("NOT maybe").select("doc_id", "text", F.lit(False).alias("target"))
+    told = maybe.filter("maybe").join(marked.withColumn("target", F.lit(True)), "doc_id", "left")
+    chunks = saved(chunk_texts(surely_not.unionByName(told.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))), chunk), "chunks")
     size = max(chunks.select(F.explode("hashes").alias("h")).distinct().count() - 1, 0)  # START is no word
-    return score_chunks(chunks, totals, size, _lengths(chunks), _lengths(goal))
+    return score_chunks(chunks, total_counts(chunk_counts(chunks, buckets)), size, _lengths(chunks))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
