@@ -51,7 +51,15 @@ def j4(s, d):
     return O.resolve_ep_map(coarse, fine)
 
 
+def f21(s, d):
+    v = F.col("seq")
+    status = F.element_at(F.array(*map(F.lit, (2, 2, 255, 8, 2))), (v % 5 + 1).cast("int"))
+    action = O.read_action(status, F.col("sense_key"), v % 7, v % 4, v % 18, v % 3, v % 2 == 0, v % 11 < 6)
+    return log(s, d).filter("NOT ok").select("disc_id", "seq", action.alias("action"))
+
+
 QUERIES = {
+    "f21_read_action": f21,
     "p6_picture_type": lambda s, d: O.picture_type(frames(s, d)),
     "p10_keyframe_start_gate": lambda s, d: O.keyframe_start_gate(frames(s, d), video()).select("title_id", "track", "idx"),
     "w7_resync_gate": lambda s, d: O.resync_gate(frames(s, d), video()).select("title_id", "track", "idx"),
@@ -101,6 +109,9 @@ mg AS (SELECT DISTINCT f.title_id, f.track, p.gap FROM frames f LEFT JOIN pg p O
 rate AS (SELECT title_id, track, CAST(CASE {_RATES} ELSE 90000 END AS BIGINT) AS num, CAST(CASE {_DENS} WHEN gap IS NOT NULL THEN greatest(gap * 9 // 100000, 1) ELSE 3003 END AS BIGINT) AS den FROM mg)"""
 _W6 = """, c AS (SELECT *, discontinuity_flag OR coalesce(cc <> (lag(cc) OVER w + 1) % 16 AND cc <> lag(cc) OVER w, false) AS gap FROM ts_packets WINDOW w AS (PARTITION BY file_id, pid ORDER BY rec_no))"""
 ORACLE = {
+    "f21_read_action": LG + """, x AS (SELECT *, CASE seq % 5 WHEN 2 THEN 255 WHEN 3 THEN 8 ELSE 2 END AS status, coalesce(sense_key, 0) AS k FROM read_log WHERE NOT ok)
+SELECT disc_id, seq, CASE WHEN status = 255 THEN 'abort' WHEN status = 8 AND seq % 7 < 5 THEN 'retry' WHEN k = 2 AND seq % 4 < 3 THEN 'retry' WHEN k IN (4, 5) AND seq % 18 + 1 >= 16 THEN 'abort' WHEN k IN (4, 5) THEN 'jump' WHEN k = 1 THEN 'skip'
+ WHEN k IN (3, 11) AND seq % 3 > 1 AND seq % 2 <> 0 AND seq % 11 < 6 THEN 'bisect' ELSE 'skip' END AS action FROM x""",
     "p6_picture_type": FR + "SELECT title_id, track, idx, CASE WHEN ctype IN ('I', 'P', 'B') THEN ctype WHEN keyframe THEN 'I' ELSE 'P' END AS picture_type, keyframe AS random_access FROM frames",
     "p10_keyframe_start_gate": FR + "SELECT title_id, track, idx FROM frames f WHERE track <> 0 OR EXISTS (SELECT 1 FROM frames k WHERE k.title_id = f.title_id AND k.track = f.track AND k.idx <= f.idx AND k.keyframe)",
     "w7_resync_gate": FR + """, x AS (SELECT f.title_id, f.track, f.idx, (SELECT max(k.idx) FROM frames k WHERE k.title_id = f.title_id AND k.track = f.track AND k.idx <= f.idx AND k.keyframe) AS k,

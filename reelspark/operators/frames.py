@@ -351,6 +351,21 @@ def sense_family(key: Column) -> Column:
     return F.when(key == 2, "NotReady").when(key == 3, "Medium").when(key == HARDWARE, "Hardware").when(key == ILLEGAL_REQUEST, "IllegalRequest").when(key.isNotNull(), "Other")
 
 
+#: How often a failing bridge and a drive that is not ready are tried again, and the wedge that is given up.
+BRIDGE_TRIES, READY_TRIES, WEDGE_LIMIT = 5, 3, 16
+
+
+def read_action(status: Column, key: Column, bridge_tries: Column, ready_tries: Column, wedges: Column, batch: Column, bisecting: Column, may_bisect: Column) -> Column:
+    """what follows a failed read, as far as the read itself and the counts before it tell: abort, retry, jump, bisect or skip. Whether a skip
+    grows to a jump is for the damage window (W13) to say."""
+    sense = F.coalesce(key, F.lit(0))
+    return (
+        F.when(status == 0xFF, "abort").when(~status.isin(0, 2) & (bridge_tries < BRIDGE_TRIES), "retry").when((sense == 2) & (ready_tries < READY_TRIES), "retry")
+        .when(sense.isin(HARDWARE, ILLEGAL_REQUEST), F.when(wedges + 1 >= WEDGE_LIMIT, "abort").otherwise("jump")).when(sense == 1, "skip")
+        .when(sense.isin(3, 11) & (batch > 1) & ~bisecting & may_bisect, "bisect").otherwise("skip")
+    )
+
+
 def is_wedge(key: Column) -> Column:
     return F.coalesce(key.isin(HARDWARE, ILLEGAL_REQUEST), F.lit(False))
 
