@@ -175,9 +175,9 @@ def runs_of(words: list) -> list[tuple[int, int, int]]:
     """Runs of a list of words."""
     if len(words) < LEAST_WORDS:
         return []
-    ids: dict = {}
+    ids = dict(zip(dict.fromkeys(words), range(len(words))))
     catchers = SquareCatchers()
-    catchers.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
+    catchers.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
     return catchers.runs()
 
 
