@@ -58,8 +58,20 @@ def f21(s, d):
     return log(s, d).filter("NOT ok").select("disc_id", "seq", action.alias("action"))
 
 
+def pass_log(s, d):
+    """The read log with the drive's status and reads inside bisections."""
+    v = F.col("seq")
+    return log(s, d).withColumn("status", F.when(v % 31 == 7, 255).when(v % 3 == 1, 8).otherwise(2)).withColumn("bisecting", v % 5 == 0)
+
+
+def decisions(patch):
+    return lambda s, d: O.read_decisions(pass_log(s, d), patch).select("disc_id", "seq", "action", "jump_sectors", F.col("rest_secs").cast("long").alias("rest_secs"), F.col("window_reads").cast("long").alias("window_reads"), F.col("bad_percent").cast("long").alias("bad_percent"), "opens_zone")
+
+
 QUERIES = {
     "f21_read_action": f21,
+    "f21_sweep_decisions": decisions(False),
+    "f21_patch_decisions": decisions(True),
     "p6_picture_type": lambda s, d: O.picture_type(frames(s, d)),
     "p10_keyframe_start_gate": lambda s, d: O.keyframe_start_gate(frames(s, d), video()).select("title_id", "track", "idx"),
     "w7_resync_gate": lambda s, d: O.resync_gate(frames(s, d), video()).select("title_id", "track", "idx"),
@@ -86,11 +98,11 @@ QUERIES = {
     "w5_continuity_gaps": lambda s, d: O.continuity_gaps(view(s, d, "ts_packets")).select("file_id", "pid", "rec_no", "gap"),
     "w6_unit_ids": lambda s, d: O.unit_ids(view(s, d, "ts_packets")),
     "f20_sense_family": lambda s, d: log(s, d).select("disc_id", "seq", O.sense_family(F.col("sense_key")).alias("family"), O.is_wedge(F.col("sense_key")).alias("wedge")),
-    "w13_damage_window": lambda s, d: O.damage_window(log(s, d)).select("disc_id", "seq", "bad_percent", "triggered"),
+    "w13_damage_window": lambda s, d: O.damage_window(pass_log(s, d)).select("disc_id", "seq", F.col("bad_percent").cast("long").alias("bad_percent"), "triggered"),
     "w14_damage_zones": lambda s, d: O.zone_extents(log(s, d)),
     "w15_wedge_transitions": lambda s, d: O.wedge_transitions(log(s, d)),
     "w16_wedge_streaks": lambda s, d: O.wedge_streaks(log(s, d), 2),
-    "a8_pass_summary": lambda s, d: O.pass_summary(log(s, d)),
+    "a8_pass_summary": lambda s, d: O.pass_summary(pass_log(s, d)),
     "w25_ewma_scores": lambda s, d: O.ewma_scores(view(s, d, "attempts")),
     "a12_handler_totals": lambda s, d: O.handler_totals(view(s, d, "attempts")),
 }
@@ -108,6 +120,30 @@ _RATE = f""", sg AS (SELECT *, pts_ns - lag(pts_ns) OVER (PARTITION BY title_id,
 mg AS (SELECT DISTINCT f.title_id, f.track, p.gap FROM frames f LEFT JOIN pg p ON p.title_id = f.title_id AND p.track = f.track AND p.i = p.n // 2),
 rate AS (SELECT title_id, track, CAST(CASE {_RATES} ELSE 90000 END AS BIGINT) AS num, CAST(CASE {_DENS} WHEN gap IS NOT NULL THEN greatest(gap * 9 // 100000, 1) ELSE 3003 END AS BIGINT) AS den FROM mg)"""
 _W6 = """, c AS (SELECT *, discontinuity_flag OR coalesce(cc <> (lag(cc) OVER w + 1) % 16 AND cc <> lag(cc) OVER w, false) AS gap FROM ts_packets WINDOW w AS (PARTITION BY file_id, pid ORDER BY rec_no))"""
+
+
+def _replay(patch: bool) -> str:
+    """A pass replayed read by read: r has a row for each read with the counters after it."""
+    return "WITH RECURSIVE" + LG[4:] + f""", x AS (SELECT disc_id, seq, ok, coalesce(sense_key, 0) AS k, CASE WHEN seq % 31 = 7 THEN 255 WHEN seq % 3 = 1 THEN 8 ELSE 2 END AS status, seq % 5 = 0 AS bis, sectors, row_number() OVER (PARTITION BY disc_id ORDER BY seq) AS i FROM read_log),
+r AS (SELECT DISTINCT disc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, false AS ok, CAST(0 AS BIGINT) AS cg, CAST(0 AS BIGINT) AS br, CAST(0 AS BIGINT) AS nr, CAST(0 AS BIGINT) AS wd, CAST([] AS BIGINT[]) AS win, CAST(1 AS BIGINT) AS mult, false AS inz, false AS opens, false AS rec, false AS pushed,
+ CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS pct, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS BIGINT) AS jump_sectors, CAST(NULL AS BIGINT) AS rest_secs FROM x
+UNION ALL SELECT disc_id, i, seq, ok, CASE WHEN ok THEN cg + 1 ELSE 0 END, CASE WHEN ok THEN 0 WHEN brr THEN br + 1 ELSE br END, CASE WHEN ok THEN 0 WHEN nrr THEN nr + 1 WHEN reach AND k <> 2 THEN 0 ELSE nr END, CASE WHEN ok THEN 0 WHEN wg THEN wd + 1 ELSE wd END,
+ win2, CASE WHEN out THEN 1 WHEN jump THEN least(mult * 2, 64) ELSE mult END, CASE WHEN out THEN false WHEN opens2 THEN true ELSE inz END, opens2, rec2, pushed2, CAST(len(win2) AS BIGINT), pct2,
+ CASE WHEN ok THEN NULL WHEN tr OR (wg AND wd >= 15) THEN 'abort' WHEN brr OR nrr THEN 'retry' WHEN wg OR jump THEN 'jump' WHEN bi THEN 'bisect' ELSE 'skip' END,
+ CASE WHEN wg AND wd < 15 THEN {64 if patch else 524288} WHEN jump THEN 1024 * sectors * mult END,
+ CASE WHEN brr THEN 15 WHEN nrr THEN 3 WHEN wg AND wd < 15 THEN 30 WHEN rec2 THEN 5 WHEN cnt THEN {"5" if patch else "CASE WHEN opens2 THEN 30 ELSE 5 END"} + CASE WHEN jump THEN 2 ELSE 0 END END
+ FROM (SELECT *, cnt AND ((len(win2) = 16 AND pct2 >= {6 if patch else 12}) OR {"false" if patch else "NOT bis"}) AS jump
+ FROM (SELECT *, CASE WHEN len(win2) = 0 THEN 0 ELSE CAST(list_sum(win2) AS BIGINT) * 100 // len(win2) END AS pct2
+ FROM (SELECT *, CASE WHEN NOT pushed2 THEN win WHEN len(win) = 16 THEN list_append(win[2:], CAST(NOT ok AS BIGINT)) ELSE list_append(win, CAST(NOT ok AS BIGINT)) END AS win2
+ FROM (SELECT *, ok OR (cnt AND NOT bis) AS pushed2, ok AND inz AND cg >= 15 AS out, NOT ok AND NOT inz AND NOT bis AS opens2
+ FROM (SELECT *, reach AND NOT nrr AND NOT wg AND NOT rec2 AND NOT bi AS cnt
+ FROM (SELECT *, reach AND k = 2 AND nr < 3 AS nrr, reach AND k IN (4, 5) AS wg, reach AND k = 1 AS rec2, reach AND k IN (3, 11) AND sectors > 1 AND NOT bis AND {"true" if patch else "false"} AS bi
+ FROM (SELECT *, NOT ok AND NOT tr AND NOT brr AS reach
+ FROM (SELECT r.disc_id, x.i, x.seq, x.ok, x.k, x.bis, x.sectors, r.cg, r.br, r.nr, r.wd, r.win, r.mult, r.inz, NOT x.ok AND x.status = 255 AS tr, NOT x.ok AND x.status NOT IN (0, 2, 255) AND r.br < 5 AS brr FROM r JOIN x ON x.disc_id = r.disc_id AND x.i = r.i + 1)))))))))
+"""
+
+
+_DECISIONS = "SELECT disc_id, seq, action, jump_sectors, rest_secs, held AS window_reads, pct AS bad_percent, opens AS opens_zone FROM r WHERE i > 0"
 ORACLE = {
     "f21_read_action": LG + """, x AS (SELECT *, CASE seq % 5 WHEN 2 THEN 255 WHEN 3 THEN 8 ELSE 2 END AS status, coalesce(sense_key, 0) AS k FROM read_log WHERE NOT ok)
 SELECT disc_id, seq, CASE WHEN status = 255 THEN 'abort' WHEN status = 8 AND seq % 7 < 5 THEN 'retry' WHEN k = 2 AND seq % 4 < 3 THEN 'retry' WHEN k IN (4, 5) AND seq % 18 + 1 >= 16 THEN 'abort' WHEN k IN (4, 5) THEN 'jump' WHEN k = 1 THEN 'skip'
@@ -176,11 +212,14 @@ SELECT r.title_id, r.t_ns, (SELECT arg_max(k.idx, (k.pts_ns, k.idx)) FROM k WHER
 g AS (SELECT file_id, pid, CAST(unit AS BIGINT) AS unit, count(*) AS packets, bool_or(gap AND NOT pusi) AS broken, bool_or(gap AND pusi) AS gap_at_start, min(rec_no) AS first_rec FROM u WHERE unit > 0 GROUP BY ALL)
 SELECT *, gap_at_start OR coalesce(lag(broken) OVER (PARTITION BY file_id, pid ORDER BY unit), false) AS discontinuity FROM g""",
     "f20_sense_family": LG + "SELECT disc_id, seq, CASE sense_key WHEN 2 THEN 'NotReady' WHEN 3 THEN 'Medium' WHEN 4 THEN 'Hardware' WHEN 5 THEN 'IllegalRequest' ELSE CASE WHEN sense_key IS NOT NULL THEN 'Other' END END AS family, coalesce(sense_key IN (4, 5), false) AS wedge FROM read_log",
-    "w13_damage_window": LG + "SELECT disc_id, seq, CAST(count(*) FILTER (NOT ok) OVER w * 100 // count(*) OVER w AS BIGINT) AS bad_percent, count(*) OVER w = 16 AND count(*) FILTER (NOT ok) OVER w * 100 // count(*) OVER w >= 12 AS triggered FROM read_log WINDOW w AS (PARTITION BY disc_id ORDER BY seq ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)",
+    "f21_sweep_decisions": _replay(False) + _DECISIONS,
+    "f21_patch_decisions": _replay(True) + _DECISIONS,
+    "w13_damage_window": _replay(False) + "SELECT disc_id, seq, pct AS bad_percent, held = 16 AND pct >= 12 AS triggered FROM r WHERE i > 0 AND pushed",
     "w14_damage_zones": LG + _ERR + "SELECT disc_id, zone, count(*) AS errors, min(lba) AS first_lba, max(lba + sectors) AS end_lba FROM z GROUP BY ALL",
     "w15_wedge_transitions": LG + _ERR + ", x AS (SELECT *, lag(sense_key IN (4, 5)) OVER (PARTITION BY disc_id, zone ORDER BY seq) AS was FROM z) SELECT disc_id, seq, zone, sense_key FROM x WHERE sense_key IN (4, 5) AND was = false",
     "w16_wedge_streaks": LG + ", x AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY disc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM read_log), y AS (SELECT *, count(*) FILTER (NOT ok AND sense_key IN (4, 5)) OVER (PARTITION BY disc_id, run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS streak FROM x) SELECT disc_id, seq, streak, streak >= 2 AS abort FROM y WHERE NOT ok",
-    "a8_pass_summary": LG + _ERR + ", m AS (SELECT disc_id, max(zone) AS zones FROM z GROUP BY ALL) SELECT r.disc_id, count(*) FILTER (ok) AS reads_ok, count(*) FILTER (NOT ok) AS errors, CAST(coalesce(any_value(zones), 0) AS BIGINT) AS zones_entered FROM read_log r LEFT JOIN m USING (disc_id) GROUP BY r.disc_id",
+    "a8_pass_summary": _replay(False) + """SELECT disc_id, count(*) FILTER (ok) AS reads_ok, count(*) FILTER (NOT ok) AS errors, count(*) FILTER (opens) AS zones_entered, count(*) FILTER (action = 'jump') AS jumps_taken,
+ count(*) FILTER (rec) AS marginal_recovered FROM r WHERE i > 0 GROUP BY disc_id""",
     "w25_ewma_scores": with_views("attempts") + """, t AS (SELECT disc_id, handler, recovered_bytes / elapsed_secs AS x, row_number() OVER (PARTITION BY disc_id, handler ORDER BY seq) AS i, count(*) OVER (PARTITION BY disc_id, handler) AS n FROM attempts WHERE elapsed_secs > 0),
 s AS (SELECT disc_id, handler, sum(x * CASE WHEN i = 1 THEN power(0.5, n - 1) ELSE power(0.5, n - i + 1) END) AS score FROM t GROUP BY ALL)
 SELECT a.disc_id, a.handler, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT disc_id, handler FROM attempts) a LEFT JOIN s USING (disc_id, handler)""",

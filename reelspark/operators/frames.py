@@ -374,11 +374,69 @@ def _disc():
     return W.partitionBy("disc_id").orderBy("seq")
 
 
-def damage_window(log: DataFrame, n: int = 16, percent: int = 12) -> DataFrame:
-    """Share of bad reads among the last n, in whole percent; only a full window triggers."""
-    w = _disc().rowsBetween(-(n - 1), 0)
-    bad, held = F.sum((~F.col("ok")).cast("long")).over(w), F.count("*").over(w)
-    return log.withColumn("bad_percent", F.floor(bad * 100 / held)).withColumn("triggered", (held == n) & (F.floor(bad * 100 / held) >= percent))
+#: Sectors of a jump by a batch's sector, the most that jumps in one zone grow by, and sectors jumped after a wedge in a sweep and in a patch.
+JUMP_SECTORS, JUMP_GROWTH, WEDGE_SWEEP, WEDGE_PATCH = 1024, 64, 524_288, 64
+#: Reads of the damage window, and the share of bad ones, in percent, from which a sweep and a patch jump.
+WINDOW, SWEEP_PERCENT, PATCH_PERCENT = 16, 12, 6
+#: Seconds of rest after a bridge's failure, a drive that is not ready, a wedge, any other failure, the first of a zone, and besides after a jump.
+REST_BRIDGE, REST_READY, REST_WEDGE, REST, REST_ZONE, REST_JUMP = 15, 3, 30, 5, 30, 2
+
+
+def read_decisions(log: DataFrame, patch: bool = False, n: int = WINDOW, percent: int | None = None) -> DataFrame:
+    """F21 over a whole pass: what follows each read of a log (disc_id, seq, ok, sense_key, sectors; status, 2 if none, and bisecting, false if none), with all counters
+    that earlier reads leave behind. A sweep jumps at every failed batch that counts; a patch bisects batches first, and jumps by its damage window only.
+
+    Adds action (null after a good read, else abort, retry, jump, bisect or skip), jump_sectors, rest_secs, in_window (whether the read is one of the damage window),
+    window_reads and bad_percent of the window after it, triggered, opens_zone, and recovered. Retries, wedges, recovered reads, batches to be bisected and failures inside a
+    bisection stay out of the window; good reads are always in it.
+
+    The counters are running sums in islands: since the last good read (bridge, wedges), since the last other failure (not ready), since the last n good reads in a row
+    (zones, and how far jumps have grown). Reads after an abort are taken as a log has them."""
+    optional = {"status": F.lit(2), "bisecting": F.lit(False)}
+    l = log.select("*", *[v.alias(c) for c, v in optional.items() if c not in log.columns])
+    w, yes = _sofar(_disc()), lambda c: c.cast("long")
+    failed, key, bisecting = ~F.col("ok"), F.coalesce("sense_key", F.lit(0)), F.coalesce("bisecting", F.lit(False))
+    status = F.coalesce("status", F.lit(2))
+    within = lambda *names: _sofar(W.partitionBy("disc_id", *names).orderBy("seq"))
+    l = l.withColumn("_good", F.sum(yes(F.col("ok"))).over(w)).withColumn("_failed", F.sum(yes(failed)).over(w))
+    transport, bridge = failed & (status == 0xFF), failed & ~status.isin(0, 2, 0xFF)
+    l = l.withColumn("_bridge", bridge & (F.sum(yes(bridge)).over(within("_good")) <= BRIDGE_TRIES))
+    l = l.withColumn("_reach", failed & ~transport & ~F.col("_bridge"))
+    l = l.withColumn("_else", F.sum(yes(F.col("_reach") & (key != 2))).over(within("_good")))
+    waits, wedge = F.col("_reach") & (key == 2), F.col("_reach") & key.isin(HARDWARE, ILLEGAL_REQUEST)
+    l = l.withColumn("_ready", waits & (F.sum(yes(waits)).over(within("_good", "_else")) <= READY_TRIES))
+    l = l.withColumn("_wedges", F.sum(yes(wedge)).over(within("_good"))).withColumn("recovered", F.col("_reach") & (key == 1))
+    bisect = F.col("_reach") & key.isin(3, 11) & (F.col("sectors") > 1) & ~bisecting & F.lit(patch)
+    l = l.withColumn("_counts", F.col("_reach") & ~F.col("_ready") & ~wedge & ~F.col("recovered") & ~bisect)
+    l = l.withColumn("in_window", F.col("ok") | (F.col("_counts") & ~bisecting))
+    l = l.withColumn("_place", F.sum(yes(F.col("in_window"))).over(w))
+    bad = F.sum(yes(F.col("in_window") & failed)).over(W.partitionBy("disc_id").orderBy("_place").rangeBetween(-(n - 1), 0))
+    l = l.withColumn("window_reads", F.least("_place", F.lit(n))).withColumn("bad_percent", F.when(F.col("window_reads") > 0, F.floor(bad * 100 / F.col("window_reads"))).otherwise(0))
+    l = l.withColumn("triggered", (F.col("window_reads") == n) & (F.col("bad_percent") >= (percent if percent is not None else PATCH_PERCENT if patch else SWEEP_PERCENT)))
+    l = l.withColumn("_jump", F.col("_counts") & (F.col("triggered") if patch else F.col("triggered") | ~bisecting))
+    # an epoch ends with the n-th good read in a row; its first failure outside a bisection opens its zone
+    clean = F.col("ok") & (F.sum(yes(F.col("ok"))).over(within("_failed")) == n)
+    l = l.withColumn("_clean", clean).withColumn("_epoch", F.sum(yes(F.col("_clean"))).over(w) - yes(F.col("_clean")))
+    outer = failed & ~bisecting
+    l = l.withColumn("opens_zone", outer & (F.sum(yes(outer)).over(within("_epoch")) == 1))
+    ends = F.col("_clean") & F.max("opens_zone").over(W.partitionBy("disc_id", "_epoch"))
+    l = l.withColumn("_ends", yes(ends)).withColumn("_grown", F.sum("_ends").over(w))
+    l = l.withColumn("_grown", F.sum(yes(F.col("_jump"))).over(within("_grown")) - 1)
+    far = F.lit(JUMP_SECTORS) * F.col("sectors") * F.least(F.pow(F.lit(2), F.least("_grown", F.lit(62))), F.lit(JUMP_GROWTH)).cast("long")
+    given_up = wedge & (F.col("_wedges") >= WEDGE_LIMIT)
+    action = (
+        F.when(transport | given_up, "abort").when(F.col("_bridge") | F.col("_ready"), "retry").when(wedge | F.col("_jump"), "jump").when(bisect, "bisect").when(failed, "skip")
+    )
+    entry = F.col("opens_zone") & F.lit(not patch)
+    rest = F.when(F.col("_bridge"), REST_BRIDGE).when(F.col("_ready"), REST_READY).when(wedge & ~given_up, REST_WEDGE).when(F.col("recovered"), REST).when(F.col("_counts"), F.when(entry, REST_ZONE).otherwise(REST) + F.when(F.col("_jump"), REST_JUMP).otherwise(0))
+    jump = F.when(wedge & ~given_up, WEDGE_PATCH if patch else WEDGE_SWEEP).when(F.col("_jump"), far)
+    l = l.withColumn("action", action).withColumn("jump_sectors", jump.cast("long")).withColumn("rest_secs", rest)
+    return l.select(*log.columns, "action", "jump_sectors", "rest_secs", "in_window", "window_reads", "bad_percent", "triggered", "opens_zone", "recovered")
+
+
+def damage_window(log: DataFrame, n: int = WINDOW, percent: int = SWEEP_PERCENT, patch: bool = False) -> DataFrame:
+    """Share of bad reads among the last n of the damage window, in whole percent, at each read that is one of it (see read_decisions); only a full window triggers."""
+    return read_decisions(log, patch, n, percent).filter("in_window").drop("action", "jump_sectors", "rest_secs", "in_window", "opens_zone", "recovered")
 
 
 def damage_zones(log: DataFrame, good: int = 16) -> DataFrame:
@@ -407,11 +465,13 @@ def wedge_streaks(log: DataFrame, abort: int = 16) -> DataFrame:
     return s.withColumn("streak", streak).filter(~F.col("ok")).select("disc_id", "seq", "streak", (F.col("streak") >= abort).alias("abort"))
 
 
-def pass_summary(log: DataFrame) -> DataFrame:
-    """Good reads, errors and zones of each disc."""
-    zones = damage_zones(log).groupBy("disc_id").agg(F.max("zone").alias("zones"))
-    g = log.groupBy("disc_id").agg(F.sum(F.col("ok").cast("long")).alias("reads_ok"), F.sum((~F.col("ok")).cast("long")).alias("errors"))
-    return g.join(zones, "disc_id", "left").select("disc_id", "reads_ok", "errors", F.coalesce("zones", F.lit(0)).alias("zones_entered"))
+def pass_summary(log: DataFrame, patch: bool = False) -> DataFrame:
+    """Good reads, errors, zones entered, jumps taken and recovered (marginal) reads of each disc's pass."""
+    n = lambda c: F.sum(c.cast("long"))
+    return read_decisions(log, patch).groupBy("disc_id").agg(
+        n(F.col("ok")).alias("reads_ok"), n(~F.col("ok")).alias("errors"), n(F.col("opens_zone")).alias("zones_entered"),
+        n(F.coalesce(F.col("action") == "jump", F.lit(False))).alias("jumps_taken"), n(F.col("recovered")).alias("marginal_recovered"),
+    )
 
 
 def ewma_scores(attempts: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Packets to PES units with their payload, in batch and as a stream, by one rule."""
+"""Packets to PES units with their payload: in batch by running sums, as a stream by the same rule packet by packet."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelspark.functions import scalars as S
-from reelspark.operators.ordered import in_order
 
 #: Bytes of a unit at most.
 MOST = 64 << 20
@@ -111,15 +111,39 @@ def _frame(file_id, pid, units: list[tuple]) -> pd.DataFrame:
 def assemble_pes(packets: DataFrame, most: int = MOST) -> DataFrame:
     """Units of packets (file_id, pid, rec_no, pusi, cc, discontinuity_flag, payload): a unit begins at each start packet, after its header, which may
     run into the next packets. A gap inside a unit drops it and flags the next one completed; a gap at a start flags the unit that starts. A start without a PES
-    header opens an empty unit; one that outgrows `most` bytes is dropped like a gap. The last unit of each pid is completed at the end."""
-
-    def step(held: Assembler, rows: pd.DataFrame) -> pd.DataFrame:
-        return _frame(rows["file_id"].iloc[0], rows["pid"].iloc[0], _taken(held, rows))
-
-    def end(held: Assembler, key: tuple) -> pd.DataFrame:
-        return _frame(*key, [u for u in [held.close()] if u])
-
-    return in_order(_rows(packets), ["file_id", "pid"], ["rec_no"], UNIT, lambda: Assembler(most=most), step, end)
+    header opens an empty unit; one that outgrows `most` bytes is dropped like a gap. The last unit of each pid is completed at the end.
+
+    All of it is running sums: starts so far number the units, bytes so far in a unit say what of a packet the header still takes and when the unit is too long, and losses so
+    far, held against those up to the last unit that was completed, say whether one is flagged. Payloads move once, by file and pid, and are joined unit by unit; those of dropped
+    units are left out before."""
+    pid, unit = ["file_id", "pid"], ["file_id", "pid", "unit"]
+    w = W.partitionBy(*pid).orderBy("rec_no")
+    before, sofar = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
+    last_cc = F.last(F.when(~F.col("marker"), F.col("cc")), ignorenulls=True).over(before)
+    gap = F.col("marker") | F.col("flagged") | F.coalesce((F.col("cc") != last_cc) & (F.col("cc") != (last_cc + 1) % 16), F.lit(False))
+    p = _rows(packets).withColumn("loss", gap).withColumn("unit", F.sum(F.col("pusi").cast("long")).over(sofar))
+    size = F.coalesce(F.length("payload"), F.lit(0)).cast("long")
+    inside = W.partitionBy(*unit).orderBy("rec_no")
+    p = p.withColumn("size", size).withColumn("head", F.first("header").over(inside))
+    # a header's bytes come off the unit's first packets; without one all of the first packet goes
+    seen = F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    skipped = F.when(F.col("pusi") & (F.col("head") == 0), F.col("size")).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), F.col("head") - seen)))
+    p = p.withColumn("skip", skipped)
+    p = p.withColumn("bytes", F.sum(F.col("size") - F.col("skip")).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    whole = W.partitionBy(*unit)
+    broken = F.max((F.col("loss") & ~F.col("pusi")) | (F.col("bytes") > most)).over(whole)
+    p = p.withColumn("done", (F.col("unit") > 0) & ~broken & (F.max("bytes").over(whole) > 0))
+    body = F.when(F.col("done"), F.expr("substring(payload, CAST(skip AS INT) + 1)"))
+    start = lambda c: F.max(F.when(F.col("pusi"), F.col(c))).alias(c)
+    u = p.withColumn("body", body).groupBy(*unit).agg(
+        F.min("rec_no").alias("first_rec"), start("pts"), start("dts"), F.bool_or("done").alias("done"), F.expr("listagg(body) WITHIN GROUP (ORDER BY rec_no)").alias("data"),
+        F.bool_or(F.col("loss") & F.col("pusi")).cast("int").alias("at_start"), F.bool_or((F.col("loss") & ~F.col("pusi")) | (F.col("bytes") > most)).cast("int").alias("in_unit"),
+    )
+    by_unit = W.partitionBy(*pid).orderBy("unit")
+    u = u.withColumn("losses", F.sum(F.col("at_start") + F.col("in_unit")).over(by_unit.rowsBetween(W.unboundedPreceding, 0)))
+    settled = F.coalesce(F.last(F.when(F.col("done"), F.col("losses")), ignorenulls=True).over(by_unit.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    u = u.withColumn("discontinuity", F.col("losses") > settled)
+    return u.filter("done").select("file_id", "pid", "first_rec", "pts", "dts", "discontinuity", "data")
 
 
 def stream_demux(packets: DataFrame, most: int = MOST) -> DataFrame:

@@ -10,14 +10,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelspark.sources.records import read_records, write_keyed
+from reelspark.sources.wire import FRAME, HEAD, HEAD_SIZE, NO_DURATION, read_wire
+
 HEX = r"^(0x)?[0-9a-fA-F]{1,16}$"
 LARGEST = (1 << 63) - 1
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, n, line of text files, in their order; one file is one row before it is split, so a file must be of a title's or disc's size."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+#: The part of a file that a reading task has, and a line's place in it.
+SPLIT = ["file", "split"]
+
+
+def _lines(spark: SparkSession, path: str, count: Column | None = None) -> DataFrame:
+    """file, n, line of text files of any size, n from 0; with `count` (of a line, 0 or 1) also `counted`, its sum up to the line.
+
+    Files are read by splits. A line's number is its place in its split and the lines of the file's splits before; so is the sum. Lines are numbered
+    inside a split, which is of a task's size at most; of whole files only a row a split is sorted."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line")
+    )
+    rows = rows.withColumn("_count", (F.lit(0) if count is None else count).cast("long"))
+    sums = rows.groupBy(*SPLIT).agg(F.count("*").alias("_lines"), F.sum("_count").alias("_counts"))
+    before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*SPLIT, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_lines", "_counts")])
+    inside = W.partitionBy(*SPLIT).orderBy("_id")
+    rows = rows.withColumn("_place", F.row_number().over(inside) - 1).withColumn("_sum", F.sum("_count").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    whole = rows.join(sums, SPLIT)
+    found = [F.col("file"), (F.col("_lines") + F.col("_place")).alias("n"), F.col("line")]
+    return whole.select(*found, *([] if count is None else [(F.col("_counts") + F.col("_sum")).alias("counted")]))
 
 
 def _number(field: Column) -> Column:
@@ -40,22 +60,21 @@ def read_range_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def write_range_map(ranges: DataFrame, path: str, key: str = "disc_id") -> None:
-    """S3: one folder per disc with its map as text: headers, then `pos size status` by position."""
-    line = F.format_string("0x%09x  0x%09x    %s", "pos", "size", "status")
-    text = ranges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
-    body = F.array_join(F.concat(F.array(F.lit("# Rescue map"), F.lit("# pos  size  status")), F.transform("l", lambda x: x["line"])), "\n")
-    text.select(key, body.alias("value")).repartition(key).write.partitionBy(key).text(path)
+    """S3: one file per disc with its map as text, `<key>=<disc>/map.txt`: headers, then `pos size status` by position. Lines stream to their file."""
+    line = F.format_string("0x%09x  0x%09x    %s\n", "pos", "size", "status")
+    write_keyed(ranges.select(key, "pos", line.alias("line")), path, key, ["pos"], "line", "map.txt", "# Rescue map\n# pos  size  status\n")
 
 
 PICTURE = "n long, pts long, dts long, type string, key boolean, size long, recovered boolean, src struct<sector:long,byte:long>"
 
 
 def read_video_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Headers and pictures of JSON Lines indexes; a header line starts a new section of its file; unknown members are ignored."""
-    rows = _lines(spark, path).filter("trim(line) <> ''").withColumn("is_header", F.get_json_object("line", "$.n").isNull())
-    rows = rows.withColumn("section", F.sum(F.col("is_header").cast("int")).over(W.partitionBy("file").orderBy("n")))
-    pictures = rows.filter("NOT is_header").select("file", "section", F.col("n").alias("line_no"), F.from_json("line", PICTURE).alias("p"))
-    return rows.filter("is_header").select("file", "section", F.col("line").alias("header")), pictures.select("file", "section", "line_no", "p.*")
+    """Headers and pictures of JSON Lines indexes; a header line starts a new section of its file; unknown members are ignored; blank lines are skipped."""
+    header = (F.trim("line") != "") & F.get_json_object("line", "$.n").isNull()
+    rows = _lines(spark, path, header).withColumnRenamed("counted", "section").filter("trim(line) <> ''")
+    is_header = F.get_json_object("line", "$.n").isNull()
+    pictures = rows.filter(~is_header).select("file", "section", F.col("n").alias("line_no"), F.from_json("line", PICTURE).alias("p"))
+    return rows.filter(is_header).select("file", "section", F.col("line").alias("header")), pictures.select("file", "section", "line_no", "p.*")
 
 
 def picture_record() -> Column:
@@ -81,9 +100,8 @@ def video_index_headers(titles: DataFrame) -> DataFrame:
 
 
 def write_video_index(lines: DataFrame, path: str) -> None:
-    """One folder per title, its records in coded order."""
-    whole = lines.groupBy("title_id").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
-    whole.select("title_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("value")).repartition("title_id").write.partitionBy("title_id").text(path)
+    """One file per title, `title_id=<title>/index.jsonl`, its records in coded order, each line streamed to its file."""
+    write_keyed(lines.withColumn("line", F.concat("line", F.lit("\n"))), path, "title_id", ["n"], "line", "index.jsonl")
 
 
 def validate_video_index(pictures: DataFrame) -> DataFrame:
@@ -128,19 +146,10 @@ def title_json(titles: DataFrame, streams: DataFrame, chapters: DataFrame) -> Da
     return t.select("title_id", F.to_json(F.struct("title_id", "playlist", "duration_secs", "size_bytes", "streams", "chapters")).alias("document"))
 
 
-def read_source_packets(spark: SparkSession, path: str, length: int = 192) -> DataFrame:
-    """File, rec_no and bytes of the fixed-length records of a file of any size: tasks read ranges of whole records, so a file is
-    never one row. The file's size must be a multiple of the length, as that of a stream file is."""
-    records = spark.sparkContext.newAPIHadoopFile(
-        path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
-        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(length)},
-    )
-    rows = spark.createDataFrame(records.map(lambda r: (r[0], bytearray(r[1]))), "rec_no long, bytes binary")
-    return rows.select(F.lit(path).alias("file"), "rec_no", "bytes")
-
-
-FRAME = "file string, idx long, track int, pts long, keyframe boolean, duration_ns long, data binary, error string"
-_HEAD = "<BqBQI"
+def read_source_packets(spark: SparkSession, path: str, length: int = 192, range_bytes: int = 64 << 20) -> DataFrame:
+    """File, rec_no, bytes and error of the fixed-length records of a file, or of every file of a folder, of any size: see records.FixedRecords. A part of a
+    record at a file's end is a row with the error `part`."""
+    return read_records(spark, path, length, range_bytes)
 
 
 MOST = 256 << 20
@@ -168,19 +177,18 @@ def parse_frame_wire(files: DataFrame, most: int = MOST) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
                 rows, at, error = [], 0, None
-                head = struct.calcsize(_HEAD)
                 while at < len(content) and error is None:
-                    if at + head > len(content):
+                    if at + HEAD_SIZE > len(content):
                         error = "truncated header"
                         break
-                    track, pts, key, duration, size = struct.unpack_from(_HEAD, content, at)
-                    at += head
+                    track, pts, key, duration, size = struct.unpack_from(HEAD, content, at)
+                    at += HEAD_SIZE
                     if size > most:
                         error = "too long"
                     elif at + size > len(content):
                         error = "truncated data"
                     else:
-                        rows.append((file, len(rows), track, pts, bool(key), None if duration == (1 << 64) - 1 else duration, content[at : at + size], None))
+                        rows.append((file, len(rows), track, pts, bool(key), None if duration == NO_DURATION else duration, content[at : at + size], None))
                         at += size
                 if error:
                     rows.append((file, len(rows), None, None, None, None, None, error))
@@ -190,9 +198,9 @@ def parse_frame_wire(files: DataFrame, most: int = MOST) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, FRAME)
 
 
-def read_frame_wire(spark: SparkSession, path: str, most: int = MOST) -> DataFrame:
-    """Frames of wire files, see parse_frame_wire."""
-    return parse_frame_wire(spark.read.format("binaryFile").load(path), most)
+def read_frame_wire(spark: SparkSession, path: str, most: int = MOST, range_bytes: int = 64 << 20) -> DataFrame:
+    """Frames of a wire file or of a folder's, of any size; rows as parse_frame_wire's. Ranges of a file are read by different tasks, see wire.read_wire."""
+    return read_wire(spark, path, most, range_bytes)
 
 
 MEDIA_STREAM = "type string, pid int, codec string, resolution string, frame_rate string, hdr string, color_space string, channels string, language string, sample_rate string, label string, secondary boolean, forced boolean, codec_private string"

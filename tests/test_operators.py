@@ -270,3 +270,42 @@ def test_queries_match_duckdb(spark):
         if got != want:
             wrong.append(name)
     assert not wrong
+
+
+def pass_of(spark, reads, patch=False):
+    """Decisions after reads: "." good, else a sense key, "T" transport, "B" bridge; a dash after it: inside a bisection."""
+    rows, seq = [], 0
+    for word in reads.split():
+        bisecting, c = word.endswith("-"), word.rstrip("-")
+        status = {"T": 255, "B": 8}.get(c, 2)
+        rows.append((1, seq, c == ".", None if c in ".TB" else int(c), status, bisecting, 32))
+        seq += 1
+    log = spark.createDataFrame(rows, "disc_id long, seq long, ok boolean, sense_key int, status int, bisecting boolean, sectors int")
+    return log, O.read_decisions(log, patch).orderBy("seq").collect()
+
+
+def test_read_decisions_of_a_sweep(spark):
+    told = lambda reads, *cols: [tuple(r[c] for c in cols) for r in pass_of(spark, reads)[1]]
+    # each failure that counts jumps, ever farther in one zone; the first rests longer
+    assert told("3 3 3", "action", "jump_sectors", "rest_secs") == [("jump", 32768, 32), ("jump", 65536, 7), ("jump", 131072, 7)]
+    assert [r[0] for r in told(" ".join(["3"] * 9), "jump_sectors")][-3:] == [32768 * 64] * 3
+    # sixteen good reads end the zone and the growth
+    assert told("3 3 " + ". " * 16 + "3", "jump_sectors", "opens_zone")[-1] == (32768, True)
+    assert told("3 3 " + ". " * 15 + "3", "jump_sectors", "opens_zone")[-1] == (131072, False)
+    # a drive that is not ready is tried thrice, a bridge five times; then they count
+    assert [r[0] for r in told("2 2 2 2 . 2", "action")] == ["retry"] * 3 + ["jump", None, "retry"]
+    assert [r[0] for r in told("B B B B B B", "action")] == ["retry"] * 5 + ["jump"]
+    assert [r[0] for r in told("2 2 3 2 2 2 2", "action")] == ["retry", "retry", "jump", "retry", "retry", "retry", "jump"]
+    # wedges, recovered and retried reads stay out of the window, and a wedge without end is given up
+    assert told("4 5 1 2 B T", "action", "window_reads", "jump_sectors") == [("jump", 0, 524288), ("jump", 0, 524288), ("skip", 0, None), ("retry", 0, None), ("retry", 0, None), ("abort", 0, None)]
+    assert [r[0] for r in told(" ".join(["4"] * 16), "action")] == ["jump"] * 15 + ["abort"]
+    assert told("3- 3- .", "action", "in_window", "window_reads", "opens_zone") == [("skip", False, 0, False), ("skip", False, 0, False), (None, True, 1, False)]
+
+
+def test_read_decisions_of_a_patch(spark):
+    log, got = pass_of(spark, "3 3- 3- . " + ". " * 14 + "3 7 1", patch=True)
+    assert [(r["action"], r["rest_secs"]) for r in got[:3]] == [("bisect", None), ("skip", 5), ("skip", 5)]
+    # a batch of another failure is not bisected; of sixteen reads one bad is enough
+    assert [(r["action"], r["bad_percent"], r["window_reads"]) for r in got[-3:]] == [("bisect", 0, 15), ("jump", 6, 16), ("skip", 6, 16)]
+    s = O.pass_summary(log, patch=True).first()
+    assert (s["reads_ok"], s["errors"], s["zones_entered"], s["jumps_taken"], s["marginal_recovered"]) == (15, 6, 1, 1, 1)
