@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ CUE_TEXTS, CUE_DEVIATIONS, CUE_SHARE = 4, 5.0, 0.5
 WINDOW, AT_CUES, ELSEWHERE = 24, 12, 6
 PREFIXES, SUFFIX, DIMENSIONS = (3, 4, 5, 6, 7), 3, 1 << 17
 #: Words of a block of the forward and backward passes; characters worked on at once; words remembered with their scores.
-BLOCK, SLICE, REMEMBERED = 64, 1_000_000, 200_000
+BLOCK, SLICE, REMEMBERED = 64, 1_000_000, 500_000
 SUMMARY = 5
 
 
@@ -36,14 +38,15 @@ def stems(word: str) -> list[str]:
 
 
 def word_features(word: str) -> list[str]:
-    """What the tagger sees of a word: itself, its beginnings and end, its length and whether it is in capitals or has digits."""
+    """What the tagger sees of a word: itself, its beginnings and end, its length and whether it is in capitals or of letters only."""
     low = word.lower()
-    shape = ("A" if word.isupper() else "a") + ("0" if any(c.isdigit() for c in word) else "") + str(min(len(word), 12))
-    return ["b", f"w{low}", *[f"p{low[:k]}*" for k in PREFIXES if len(low) > k], f"s{low[-SUFFIX:]}", f"h{shape}"]
+    shape = f"h{'A' if word.isupper() else 'a'}{'' if word.isalpha() else '0'}{min(len(word), 12)}"
+    return ["b", f"w{low}", *[f"p{low[:k]}*" for k in PREFIXES if len(low) > k], f"s{low[-SUFFIX:]}", shape]
 
 
 def _slots(names: list[str]) -> list[int]:
-    return [zlib.crc32(n.encode("utf-8", "replace")) % DIMENSIONS for n in names]
+    crc = zlib.crc32
+    return [crc(n.encode("utf-8", "replace")) % DIMENSIONS for n in names]
 
 
 def own_slots(word: str) -> list[int]:
@@ -164,25 +167,29 @@ class Tagger:
     """Scores of words by a model's weights, remembered word by word, and marginals of whole texts."""
 
     def __init__(self, m: dict[str, np.ndarray]) -> None:
-        self.m, self.at = m, {}
-        self.scores: list[tuple[float, float, float]] = []
-
-    def _known(self, word: str) -> int:
-        k = self.at[word] = len(self.scores)
-        w = self.m["W"]
-        self.scores.append((w[own_slots(word)].sum(), w[beside_slots(word, "<")].sum(), w[beside_slots(word, ">")].sum()))
-        return k
+        self.m, self.weights = m, m["W"].tolist()
+        self.at: dict[str, int] = {}
+        self.scores = array("d")
+
+    def _learn(self, words: set[str]) -> None:
+        """Scores of new words: their own, and what they add to the word after and the word before."""
+        w = self.weights
+        for word in words:
+            self.at[word] = len(self.scores) // 3
+            (after,), (before,) = beside_slots(word, "<"), beside_slots(word, ">")
+            self.scores.extend((sum([w[k] for k in own_slots(word)]), w[after], w[before]))
 
     def marginals(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[str]]]:
         """For each text the marginals of its words, and the words."""
-        if len(self.scores) > REMEMBERED:
-            self.at, self.scores = {}, []
+        if len(self.at) > REMEMBERED:
+            self.at, self.scores = {}, array("d")
         words = [WORD.findall(t) for t in texts]
+        self._learn({w for ws in words for w in set(ws)} - self.at.keys())
         counts = np.array([len(w) for w in words])
-        ids = np.fromiter((self.at[w] if w in self.at else self._known(w) for ws in words for w in ws), np.int64, int(counts.sum()))
+        ids = np.fromiter(map(self.at.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if not len(ids):
             return [np.zeros(0) for _ in texts], words
-        table = np.array(self.scores)
+        table = np.array(self.scores).reshape(-1, 3)
         first = np.zeros(len(ids), bool)
         first[(np.cumsum(counts) - counts)[counts > 0]] = True
         e = table[ids, 0]
