@@ -101,43 +101,58 @@ def _odds(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, block: int
     return out.T.ravel()[:n]
 
 
-def train_tagger(own: list[list[list[int]]], labels: list[list[int]], epochs: int = 60, rate: float = 0.15, decay: float = 3e-4) -> dict[str, np.ndarray]:
-    """Weights W of features, T of neighbouring tags and S of the first, by the likelihood of the windows' tags (Adam, all windows at once).
-    own: features of each word of each window, those of its neighbours included; labels: 1 where a word is toxic."""
-    n = len(own)
-    size = max((len(w) for w in own), default=1)
-    lengths = np.array([len(w) for w in own])
-    inside = np.arange(size)[:, None] < lengths[None, :]
-    tag = np.zeros((size, n), np.int64)
-    for i, y in enumerate(labels):
-        tag[: len(y), i] = y
-    place, slot = [], []
-    for i, w in enumerate(own):
-        for t, slots in enumerate(w):
-            place += [t * n + i] * len(slots)
-            slot += slots
-    place, slot = np.array(place, np.int64), np.array(slot, np.int64)
-    used, slot = np.unique(slot, return_inverse=True)
-    m = {"W": np.zeros(len(used)), "T": np.zeros((2, 2)), "S": np.zeros(2)}
+#: Windows that are gone through at once while training.
+AT_ONCE = 8192
+
+
+def train_tagger(windows: list[tuple[str, str]], epochs: int = 60, rate: float = 0.15, decay: float = 3e-4) -> dict[str, np.ndarray]:
+    """Weights W of features, T of neighbouring tags and S of the first, by the likelihood of the windows' tags (Adam, all windows a step).
+    A window: its words, parted by blanks, and as many tags, 1 where a word is toxic. Features are looked up a distinct word, so scores and slopes of the many words of windows are
+    gathered from, and summed to, the words they are."""
+    n, size = len(windows), max((len(y) for _, y in windows), default=1)
+    known: dict[str, int] = {}
+    ids, tag, inside = np.zeros((size, n), np.int32), np.zeros((size, n), bool), np.zeros((size, n), bool)
+    for i, (words, y) in enumerate(windows):
+        k = len(y)
+        ids[:k, i] = [known.setdefault(w, len(known)) for w in words.split(" ")]
+        tag[:k, i], inside[:k, i] = [c == "1" for c in y], True
+    # a word's features, filled up with one beyond all that weighs nothing
+    own = np.full((len(known), len(word_features("a")) + len(PREFIXES)), DIMENSIONS, np.int32)
+    for word, k in known.items():
+        slots = own_slots(word)
+        own[k, : len(slots)] = slots
+    after, before = (np.array([beside_slots(w, side)[0] for w in known], np.int32) for side in "<>")
+    m = {"W": np.zeros(DIMENSIONS + 1), "T": np.zeros((2, 2)), "S": np.zeros(2)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.items()}
-    total = max(1, int(inside.sum()))
-    ones = inside & (tag == 1)
+    total, v = max(1, int(inside.sum())), len(known)
     joint = inside[1:]
-    seen = np.array([[(joint & (tag[:-1] == i) & (tag[1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
-    firsts = np.array([(tag[0] == 0).sum(), (tag[0] == 1).sum()], float)
+    seen = np.array([[(joint & (tag[:-1] == i) & (tag[1:] == j)).sum() for j in (False, True)] for i in (False, True)], float)
+    firsts = np.array([(~tag[0]).sum(), tag[0].sum()], float)
     for step in range(1, epochs + 1):
-        e = np.bincount(place, m["W"][slot], minlength=size * n).reshape(size, n)
-        single, pair = _windows(e, inside, m)
-        g = {"W": np.bincount(slot, (single - ones).ravel()[place], minlength=len(used)), "T": pair - seen, "S": np.array([n - single[0].sum(), single[0].sum()]) - firsts}
-        for k in m:
-            slope = g[k] / total + decay * m[k] / 100
+        w = m["W"]
+        score, add_after, add_before = w[own].sum(1), w[after], w[before]
+        slopes, pair, begin = np.zeros((3, v)), np.zeros((2, 2)), 0.0
+        for lo in range(0, n, AT_ONCE):
+            part = slice(lo, lo + AT_ONCE)
+            words, there, both = ids[:, part], inside[:, part], inside[1:, part]
+            e = score[words]
+            e[1:] += add_after[words[:-1]]
+            e[:-1] += np.where(both, add_before[words[1:]], 0)
+            single, pairs = _windows(e, there, m)
+            wrong = single - tag[:, part]
+            slopes[0] += np.bincount(words[there], wrong[there], v)
+            slopes[1] += np.bincount(words[:-1][both], wrong[1:][both], v)
+            slopes[2] += np.bincount(words[1:][both], wrong[:-1][both], v)
+            pair, begin = pair + pairs, begin + single[0].sum()
+        by_slot = np.bincount(own.ravel(), np.repeat(slopes[0], own.shape[1]), DIMENSIONS + 1) + np.bincount(after, slopes[1], DIMENSIONS + 1) + np.bincount(before, slopes[2], DIMENSIONS + 1)
+        by_slot[DIMENSIONS] = 0
+        for k, g in {"W": by_slot, "T": pair - seen, "S": np.array([n - begin, begin]) - firsts}.items():
+            slope = g / total + decay * m[k] / 100
             one, two = moments[k]
             one += 0.1 * (slope - one)
             two += 0.01 * (slope * slope - two)
             m[k] = m[k] - rate * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-7)
-    whole = np.zeros(DIMENSIONS)
-    whole[used] = m["W"]
-    return {"W": whole, "T": m["T"], "S": m["S"]}
+    return {"W": m["W"][:DIMENSIONS], "T": m["T"], "S": m["S"]}
 
 
 def _windows(e: np.ndarray, inside: np.ndarray, m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +267,7 @@ def _cues(rows: DataFrame, toxic: int, clean: int) -> set[str]:
     return {r["stem"] for r in c.orderBy(z.desc(), "stem").limit(CUES).collect()}
 
 
-def _training_windows(rows: DataFrame, cues: set[str]) -> list[tuple[list[str], list[int]]]:
+def _training_windows(rows: DataFrame, cues: set[str]) -> list[tuple[str, str]]:
     """Windows of words with their tags: a word is toxic if the text is and the word is a mark. Around marks (in clean texts too) and at places that the text's
     hash picks; a bounded number a text."""
 
@@ -269,16 +284,11 @@ def _training_windows(rows: DataFrame, cues: set[str]) -> list[tuple[list[str],
                 for at in sorted({max(0, int(x)) // WINDOW * WINDOW if len(words) > 4 * WINDOW else 0 for x in (*near, *far)}):
                     part = slice(at, at + WINDOW)
                     if words[part]:
-                        out.append((" ".join(w[:64] for w in words[part]), [int(bool(y) and h) for h in hit[part]]))
+                        out.append((" ".join(w[:64] for w in words[part]), "".join("1" if y and h else "0" for h in hit[part])))
             yield pd.DataFrame(out, columns=["words", "tags"])
 
-    got = rows.mapInPandas(cut, "words string, tags array<int>").collect()
-    return sorted((r["words"].split(" "), list(r["tags"])) for r in got)
-
-
-def _window_slots(words: list[str]) -> list[list[int]]:
-    last = len(words) - 1
-    return [own_slots(w) + (beside_slots(words[t - 1], "<") if t else []) + (beside_slots(words[t + 1], ">") if t < last else []) for t, w in enumerate(words)]
+    got = rows.mapInPandas(cut, "words string, tags string").toArrow()
+    return sorted(zip(got["words"].to_pylist(), got["tags"].to_pylist()))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2, steps: int = 30) -> np.ndarray:
@@ -311,8 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
         return None
     tagged, scored = rows.filter("NOT second"), rows.filter("second")
     cues = _cues(tagged, toxic, clean)
-    windows = _training_windows(tagged, cues)
-    m = train_tagger([_window_slots(w) for w, _ in windows], [y for _, y in windows])
+    m = train_tagger(_training_windows(tagged, cues))
     if not of.get((True, 1)) or not of.get((True, 0)):
         scored = rows
 
