@@ -35,23 +35,41 @@ ADDED = ("account", "secret")
 LABELERS = ("shape_hex", "shape_long", "gazetteer", "assigned", "plain_number", "word_like")
 
 
-def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
-    return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+#: Items that a running fold appends to at once; results are joined block by block, so that its work is linear in the items.
+BLOCK = 128
+
+
+def let(value: Column, body) -> Column:
+    """body of value, which is worked out once however often body names it; an expression named inside a function of an array's items would be worked out for each."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(items: Column, zero: Column, step, kind: str) -> Column:
+    """The state after each of an array's items, step(state, item) from zero on; kind is the state's type. items must be a column or a bound value."""
+    none, states = F.array().cast(f"array<{kind}>"), lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        return let(step(acc["at"], x), lambda new: states(new, F.array_append(acc["out"], new)))
+
+    def block(acc: Column, k: Column) -> Column:
+        made = F.aggregate(F.slice(items, k * BLOCK + 1, F.lit(BLOCK)), states(acc["at"], none), one)
+        return let(made, lambda m: states(m["at"], F.array_append(acc["out"], m["out"])))
+
+    first = states(zero, F.array().cast(f"array<array<{kind}>>"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(items) == 0, none).otherwise(F.flatten(F.aggregate(blocks, first, block, lambda acc: acc["out"])))
 
 
 def _spans(text: Column, pattern: str, maybe: Column, fields=lambda match, left: {}) -> Column:
     """Array of start, end (code points, end exclusive), match and more fields, for each match in order."""
-    between, matches = _pieces(text, pattern)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["left"])
-        return F.struct((start + F.length(x["match"])).alias("at"), F.array_append(acc["starts"], start).alias("starts"))
+    def placed(both: Column) -> Column:
+        ends = running(both, F.lit(0), lambda at, x: at + F.length(x["left"]) + F.length(x["match"]), "int")
+        return F.zip_with(both, ends, lambda x, e: F.struct((e - F.length(x["match"])).alias("start"), e.alias("end"), x["match"].alias("match"), *[v.alias(k) for k, v in fields(x["match"], x["left"]).items()]))
 
-    both = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda a, b: F.struct(a.alias("left"), b.alias("match")))
-    starts = F.aggregate(both, first, step, lambda acc: acc["starts"])
-    out = F.zip_with(both, starts, lambda x, s: F.struct(s.alias("start"), (s + F.length(x["match"])).alias("end"), x["match"].alias("match"), *[v.alias(k) for k, v in fields(x["match"], x["left"]).items()]))
-    return F.when(maybe, out)
+    both = let(matches, lambda m: F.zip_with(F.slice(between, F.lit(1), F.size(m)), m, lambda a, b: F.struct(a.alias("left"), b.alias("match"))))
+    return F.when(maybe, let(both, placed))
 
 
 def _digits(match: Column) -> Column:
@@ -110,9 +128,32 @@ def candidate_spans(text: Column) -> Column:
 
     kind = "array<struct<start:int,end:int,match:string,length:int,letters:int,hex:boolean,cue:boolean,assigned:boolean>>"
     words = F.coalesce(F.when(text.rlike("[0-9]"), _spans(text, TOKEN, F.lit(True), fields)), F.array().cast(kind))
-    values = F.when(text.rlike(LEAD), F.transform(_spans(text, LEAD + VALUE, F.lit(True)), value))
-    both = lambda v: F.array_sort(F.concat(words, F.filter(v, lambda c: ~F.exists(words, lambda w: (w["start"] == c["start"]) & (w["end"] == c["end"])))))
-    return F.when(values.isNull(), words).otherwise(both(values.cast(kind)))
+    values = F.coalesce(F.when(text.rlike(LEAD), F.transform(_spans(text, LEAD + VALUE, F.lit(True)), value)).cast(kind), F.array().cast(kind))
+    # of a word and a value in the same place the word stays; sorted, they are neighbours
+    ranked = lambda found, rank: F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(rank).alias("rank"), c.alias("c")))
+    same = lambda a, b: F.coalesce((a["start"] == b["start"]) & (a["end"] == b["end"]), F.lit(False))
+    alone = lambda both: F.transform(F.filter(both, lambda x, i: ~same(F.get(both, i - 1), x)), lambda x: x["c"])
+    return let(F.array_sort(F.concat(ranked(words, 0), ranked(values, 1))), alone)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans, by start, that overlap none of the others: told by how far the others before a place reach, and where the next begins."""
+    mark = lambda found, other: F.transform(found, lambda s, i: F.struct(s["start"].alias("start"), F.lit(other).alias("other"), i.alias("i"), s["end"].alias("end")))
+
+    def free(both: Column) -> Column:
+        reach = running(both, F.lit(0), lambda far, x: F.greatest(far, F.when(x["other"] == 0, x["end"]).otherwise(0)), "int")
+        back = F.reverse(both)
+        begin = let(back, lambda r: F.reverse(running(r, F.lit(2**31 - 1), lambda low, x: F.least(low, F.when(x["other"] == 0, x["start"]).otherwise(2**31 - 1)), "int")))
+        told = F.zip_with(F.zip_with(both, reach, lambda x, r: F.struct(x.alias("x"), r.alias("reach"))), begin, lambda y, b: F.struct(y["x"].alias("x"), ((y["reach"] <= y["x"]["start"]) & (b >= y["x"]["end"])).alias("free")))
+        return F.transform(F.filter(told, lambda y: (y["x"]["other"] == 1) & y["free"]), lambda y: F.get(spans, y["x"]["i"]))
+
+    return F.when(F.size(others) == 0, spans).otherwise(let(F.array_sort(F.concat(mark(others, 0), mark(spans, 1))), free))
+
+
+def outermost(spans: Column) -> Column:
+    """Of spans by start, then end, no two alike, those inside no longer one: none before reaches as far, and none after begins there."""
+    reach = running(spans, F.lit(-1), lambda far, s: F.greatest(far, s["end"]), "int")
+    return let(reach, lambda r: F.filter(spans, lambda s, i: (F.coalesce(F.get(r, i - 1), F.lit(-1)) < s["end"]) & F.coalesce(F.get(spans, i + 1)["start"] != s["start"], F.lit(True))))
 
 
 def labeler_votes(c: Column) -> dict[str, Column]:
@@ -211,8 +252,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     row = [F.struct(*docs.columns).alias(carry)] if carry else []
     kept = ["doc_id", carry] if carry else ["doc_id"]
     found = docs.select(F.col(id_col).alias("doc_id"), *row, text.alias("_text")).select(*kept, *[v.alias(k) for k, v in base.items()], candidate_spans(F.col("_text")).alias("cand"))
-    bases = F.concat(*BASE)
-    free = F.filter("cand", lambda c: ~F.exists(bases, lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])))
+    free = let(F.concat(*BASE), lambda bases: let(F.col("cand"), lambda cand: apart(cand, bases)))
     found = found.withColumn("cand", F.transform(free, lambda c: c.dropFields("match")))
     found = saved(found, "pii")
     each = found.select(F.explode("cand").alias("c"))
@@ -239,10 +279,8 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
         return F.transform(spans, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
     kinds = [of_kind(k, k) for k in BASE]
-    taken = F.filter("cand", accepted)
-    holds = lambda a, b: (a["start"] <= b["start"]) & (a["end"] >= b["end"]) & (a["end"] - a["start"] > b["end"] - b["start"])
-    found = found.withColumn("cand", taken)
-    added = F.filter("cand", lambda c: ~F.exists("cand", lambda o: holds(o, c)))
+    found = found.withColumn("cand", F.filter("cand", accepted))
+    added = let(F.col("cand"), outermost)
     kinds += [of_kind("account", F.filter(added, lambda c: c["letters"] == 0)), of_kind("secret", F.filter(added, lambda c: c["letters"] > 0))]
     return found.select(*kept, F.concat(*kinds).alias("spans"))
 
@@ -258,16 +296,31 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
+#: Code points of the segments that a text is cut into before its pieces are, as finding a place takes as long as what lies before it.
+SEGMENT = 4096
+
+
 def masked(text: Column, spans: Column) -> Column:
-    """text with every span replaced by its kind in brackets; of spans that overlap, the first to start masks."""
+    """text with every span replaced by its kind in brackets; of spans that overlap, the first to start masks, and what follows the longest of them is text again."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("longest"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    at = lambda x: F.floor(x / SEGMENT).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), at(F.length(text))), lambda k: F.substring(text, k * SEGMENT + 1, F.lit(SEGMENT)))
+
+    def between(segments: Column, lo: Column, hi: Column) -> Column:
+        part = lambda k: F.substring(F.get(segments, k), F.greatest(lo - k * SEGMENT, F.lit(0)) + 1, F.least(hi, (k + 1) * SEGMENT) - F.greatest(lo, k * SEGMENT))
+        return F.when(hi > lo, F.array_join(F.transform(F.sequence(at(lo), at(hi - 1)), part), "")).otherwise("")
+
+    def pieces(found: Column, segments: Column) -> Column:
+        reach = running(found, F.lit(0), lambda far, s: F.greatest(far, s["end"]), "int")
+
+        def parts(r: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(r, i - 1), F.lit(0))
+            shown = F.transform(found, lambda s, i: F.when(s["start"] >= before(i), F.concat(between(segments, before(i), s["start"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(""))
+            return F.concat(F.array_join(shown, ""), between(segments, F.element_at(r, -1), F.length(text)))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), new.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+        return let(reach, parts)
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, lambda found: let(cut, lambda segments: pieces(found, segments))))
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

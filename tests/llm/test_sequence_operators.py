@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.llm import periodic, repair, toxicity
+from reelspark.llm import periodic, pii, repair, toxicity
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -280,3 +280,54 @@ def test_cheapest_edits_of_small_conversations():
         want = brute_repair([(i, {"s": "system", "u": "user", "a": "assistant", "-": "tool"}[c], f"{i}.") for i, c in enumerate(roles)])
         assert "".join(e for e, _ in edits) == want[6] and place in (repair.START, repair.ASSISTANT)
         assert repair.backward(codes, repair.ENDING)[repair.START] == want[5]
+
+
+# personal data in long texts
+
+
+def test_spans_by_neighbours_match_all_pairs(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(300):
+        spans = lambda n, most: sorted({(a, a + rng.randrange(1, most)) for a in (rng.randrange(200) for _ in range(rng.randrange(n)))})
+        rows.append((i, spans(12, 30), spans(9, 30)))
+    kind = "array<struct<start:int,end:int>>"
+    d = spark.createDataFrame(rows, f"i int, a {kind}, b {kind}")
+    got = d.select("i", pii.apart(F.col("a"), F.col("b")).alias("free"), pii.outermost(F.col("a")).alias("outer"), pii.running(F.col("a"), F.lit(0), lambda x, s: x + s["start"], "int").alias("sums")).collect()
+    plain = lambda spans: [(s["start"], s["end"]) for s in spans]
+    for r in got:
+        _, a, b = rows[r["i"]]
+        assert plain(r["free"]) == [s for s in a if not any(o[0] < s[1] and o[1] > s[0] for o in b)]
+        assert plain(r["outer"]) == [s for s in a if not any(o != s and o[0] <= s[0] and o[1] >= s[1] for o in a)]
+        assert r["sums"] == list(itertools.accumulate(s[0] for s in a))
+    long = spark.createDataFrame([([(k, k + 1) for k in range(1000)],)], f"a {kind}")
+    assert long.select(pii.running(F.col("a"), F.lit(0), lambda x, s: x + s["start"], "int").alias("s")).first()["s"] == list(itertools.accumulate(range(1000)))
+
+
+def test_masks_of_long_texts(spark):
+    rng, rows = random.Random(16), []
+    for i in range(40):
+        text = "".join(rng.choice("abé\U0001f600 \n") for _ in range(rng.choice([0, 5, 4095, 4096, 4097, 13_000])))
+        spans = sorted((a, min(len(text), a + rng.choice([1, 7, 5000]))) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(8)))) if text else []
+        rows.append((i, text, [("k", a, b) for a, b in spans]))
+    d = spark.createDataFrame(rows, "i int, text string, spans array<struct<kind:string,start:int,end:int>>")
+    for r in d.select("i", pii.masked(F.col("text"), F.col("spans")).alias("m")).collect():
+        _, text, spans = rows[r["i"]]
+        out, at = "", 0
+        for _, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+            if a >= at:
+                out += text[at:a] + "[k]"
+            at = max(at, b)
+        assert r["m"] == out + text[at:]
+
+
+def test_personal_data_of_a_text_with_very_many_spans(spark):
+    import time
+
+    text = " ".join(f"the password: Xk{i:06}abcdefghij{i * 7:06} ok, a{i}@b.cc" for i in range(4000))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.find_pii(d.withColumn("text", F.substring("text", 1, 2000))).collect()
+    start = time.time()
+    spans = pii.find_pii(d).collect()[0]["spans"]
+    assert len(spans) == 8000 and time.time() - start < 60
+    assert {text[s["start"] : s["end"]] for s in spans} == {w for i in range(4000) for w in (f"Xk{i:06}abcdefghij{i * 7:06}", f"a{i}@b.cc")}
