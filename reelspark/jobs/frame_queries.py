@@ -75,7 +75,7 @@ QUERIES = {
     "p6_picture_type": lambda s, d: O.picture_type(frames(s, d)),
     "p10_keyframe_start_gate": lambda s, d: O.keyframe_start_gate(frames(s, d), video()).select("title_id", "track", "idx"),
     "w7_resync_gate": lambda s, d: O.resync_gate(frames(s, d), video()).select("title_id", "track", "idx"),
-    "w8_gop_groups": lambda s, d: O.gop_groups(frames(s, d), 4).select("title_id", "track", "idx", "gop", "part"),
+    "w8_gop_groups": lambda s, d: O.gop_groups(frames(s, d), 4, 30_000).select("title_id", "track", "idx", "gop", "part"),
     "w9_display_index": lambda s, d: O.display_index(frames(s, d)),
     "w11_monotonic_ts": lambda s, d: O.monotonic_ts(frames(s, d), video()).select("title_id", "track", "idx", "ts"),
     "w12_timeline_continuity": lambda s, d: O.timeline_continuity(frames(s, d), video()),
@@ -152,7 +152,11 @@ SELECT disc_id, seq, CASE WHEN status = 255 THEN 'abort' WHEN status = 8 AND seq
     "p10_keyframe_start_gate": FR + "SELECT title_id, track, idx FROM frames f WHERE track <> 0 OR EXISTS (SELECT 1 FROM frames k WHERE k.title_id = f.title_id AND k.track = f.track AND k.idx <= f.idx AND k.keyframe)",
     "w7_resync_gate": FR + """, x AS (SELECT f.title_id, f.track, f.idx, (SELECT max(k.idx) FROM frames k WHERE k.title_id = f.title_id AND k.track = f.track AND k.idx <= f.idx AND k.keyframe) AS k,
  (SELECT max(k.idx) FROM frames k WHERE k.title_id = f.title_id AND k.track = f.track AND k.idx <= f.idx AND k.discontinuity) AS c FROM frames f) SELECT title_id, track, idx FROM x WHERE track <> 0 OR c IS NULL OR coalesce(k >= c, false)""",
-    "w8_gop_groups": FR + _GOP + "SELECT title_id, track, idx, CAST(gop AS BIGINT) AS gop, CAST(place // 4 AS BIGINT) AS part FROM h",
+    "w8_gop_groups": "WITH RECURSIVE" + FR[4:] + f""", g AS (SELECT *, sum(CAST(keyframe AS INT)) OVER ({_T} ROWS UNBOUNDED PRECEDING) AS gop, row_number() OVER ({_T}) AS i FROM frames),
+r AS (SELECT title_id, track, idx, i, gop, CAST(0 AS BIGINT) AS part, 1 AS held, size AS bytes FROM g WHERE i = 1
+UNION ALL SELECT g.title_id, g.track, g.idx, g.i, g.gop, CASE WHEN g.gop <> r.gop THEN 0 WHEN r.held >= 4 OR r.bytes >= 30000 THEN r.part + 1 ELSE r.part END, CASE WHEN g.gop <> r.gop OR r.held >= 4 OR r.bytes >= 30000 THEN 1 ELSE r.held + 1 END,
+ CASE WHEN g.gop <> r.gop OR r.held >= 4 OR r.bytes >= 30000 THEN g.size ELSE r.bytes + g.size END FROM r JOIN g ON g.title_id = r.title_id AND g.track = r.track AND g.i = r.i + 1)
+SELECT title_id, track, idx, CAST(gop AS BIGINT) AS gop, part FROM r""",
     "w9_display_index": FR + _GOP + """, p AS (SELECT *, place // 600 AS part, CAST(ctype = 'B' AS INT) AS b FROM h),
 q AS (SELECT *, sum(b) OVER w - b AS bb, sum(1 - b) OVER w - (1 - b) AS ab, sum(b) OVER (PARTITION BY title_id, track, gop, part) AS tb FROM p WINDOW w AS (PARTITION BY title_id, track, gop, part ORDER BY idx ROWS UNBOUNDED PRECEDING)),
 a AS (SELECT title_id, track, idx, coalesce(lead(bb) OVER (PARTITION BY title_id, track, gop, part ORDER BY idx), tb) AS nb FROM q WHERE b = 0)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelspark.functions import scalars as S
+from reelspark.sources.tables import written
 
 CLOCK, MOST_TIME = 45_000, (1 << 32) - 1
 
@@ -105,18 +106,36 @@ def normalise_disc_title(metadata: DataFrame) -> DataFrame:
     return best.filter((F.col("title") != "") & (F.col("title") != "Blu-ray")).groupBy("disc_id").agg(F.min_by("title", "folder").alias("title"))
 
 
-def resolve_paths(entries: DataFrame, most: int = 64) -> DataFrame:
-    """disc_id, id, is_dir and path of directory entries (disc_id, id, parent_id, name, is_dir), those of the root without a parent. One join a level, at most
-    `most` levels; what hangs on no root, or deeper, is left out."""
-    level = entries.filter("parent_id IS NULL").select("disc_id", "id", "is_dir", F.concat(F.lit("/"), "name").alias("path"))
-    out = level
-    child = entries.filter("parent_id IS NOT NULL").select("disc_id", F.col("id").alias("_id"), F.col("parent_id").alias("id"), "name", F.col("is_dir").alias("_dir"))
-    for _ in range(most):
-        level = level.filter("is_dir").join(child, ["disc_id", "id"]).select("disc_id", F.col("_id").alias("id"), F.col("_dir").alias("is_dir"), F.concat("path", F.lit("/"), "name").alias("path"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    return out
+def _doubled(rows: DataFrame, carry: Callable[[Column, Column], Column] | None, rounds: int | None = None) -> DataFrame:
+    """Rows (disc_id, id, up, path) with `up` taken to their uppermost ancestor's null, two steps then four and so on: a join and a written table a round, so a tree's depth
+    is met in its logarithm of rounds. Stops after `rounds`, or once no row has an ancestor left."""
+    done = 0
+    while (rounds is None or done < rounds) and not rows.filter("up IS NOT NULL").isEmpty():
+        above = rows.select("disc_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        path = carry(F.col("_path"), F.col("path")) if carry else F.col("path")
+        waiting = rows.filter("up IS NOT NULL").join(above, ["disc_id", "up"]).select("disc_id", "id", F.col("_up").alias("up"), path.alias("path"))
+        rows = written(rows.filter("up IS NULL").unionByName(waiting), "paths")
+        done += 1
+    return rows
+
+
+def resolve_paths(entries: DataFrame, lost: bool = False) -> DataFrame:
+    """disc_id, id, is_dir and path of directory entries (disc_id, id, parent_id, name, is_dir), those of the root without a parent, at any depth. With `lost` instead
+    disc_id, id and why of the entries that hang on no root: orphan (an ancestor is missing or no directory), cycle.
+
+    Ancestors are followed by pointer doubling. Without their paths first, so that cycles, which outlast the logarithm of the number of entries, are told and do not grow."""
+    dirs = entries.filter("is_dir").select("disc_id", F.col("id").alias("up"))
+    e = entries.select("disc_id", "id", F.col("parent_id").alias("up"), F.lit("").alias("path"))
+    held = e.filter("up IS NULL").unionByName(e.join(dirs, ["disc_id", "up"]).select(*e.columns))
+    most = held.groupBy("disc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    ends = _doubled(held, None, most.bit_length() + 1)
+    if lost:
+        on = ["disc_id", "id"]
+        left = entries.select(*on).join(ends.filter("up IS NULL").select(*on), on, "left_anti")
+        return left.join(ends.filter("up IS NOT NULL").select(*on, F.lit("cycle").alias("why")), on, "left").select(*on, F.coalesce("why", F.lit("orphan")).alias("why"))
+    rooted = entries.join(ends.filter("up IS NULL").select("disc_id", "id"), ["disc_id", "id"])
+    paths = _doubled(rooted.select("disc_id", "id", F.col("parent_id").alias("up"), F.concat(F.lit("/"), "name").alias("path")), lambda above, own: F.concat(above, own))
+    return paths.join(entries.select("disc_id", "id", "is_dir"), ["disc_id", "id"]).select("disc_id", "id", "is_dir", "path")
 
 
 def find_path(paths: DataFrame, queries: DataFrame) -> DataFrame:

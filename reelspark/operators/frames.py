@@ -47,11 +47,43 @@ def resync_gate(frames: DataFrame, video: Column) -> DataFrame:
     return f.filter(~video | F.col("_cut").isNull() | F.coalesce(F.col("_key") >= F.col("_cut"), F.lit(False))).drop("_key", "_cut")
 
 
-def gop_groups(frames: DataFrame, most: int = 600) -> DataFrame:
-    """Groups that start at key frames, and anew after `most` frames."""
+#: Frames and bytes of a group that no key frame ends.
+GROUP_FRAMES, GROUP_BYTES = 600, 64 << 20
+
+
+class _Parts:
+    """The open part of a group: its number, frames and bytes."""
+
+    def __init__(self) -> None:
+        self.part = self.frames = self.bytes = 0
+
+    def place(self, size: int, most: int, most_bytes: int) -> int:
+        if self.frames >= most or self.bytes >= most_bytes:
+            self.part, self.frames, self.bytes = self.part + 1, 0, 0
+        self.frames, self.bytes = self.frames + 1, self.bytes + size
+        return self.part
+
+
+def gop_groups(frames: DataFrame, most: int = GROUP_FRAMES, most_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Groups that start at key frames; inside one a new part starts once the last has `most` frames or `most_bytes` bytes (column size; without it, or where it is
+    null, frames count only).
+
+    Sums over each group tell which ones stay below both; they are of one part. Only the others, which a sound stream has none of, stream through a task each group, three columns
+    and a few numbers held, since where a part starts depends on the one before."""
+    keys = ["title_id", "track", "_run"]
     f = frames.withColumn("_run", F.sum(F.col("keyframe").cast("int")).over(_sofar(_track())))
-    place = F.row_number().over(W.partitionBy("title_id", "track", "_run").orderBy("idx")) - 1
-    return f.withColumn("part", F.floor(place / most)).withColumn("gop", F.col("_run")).drop("_run")
+    size = F.coalesce(F.col("size"), F.lit(0)).cast("long") if "size" in frames.columns else F.lit(0).cast("long")
+    whole = W.partitionBy(*keys)
+    f = f.withColumn("_cut", (F.count("*").over(whole) > most) | (F.sum(size).over(whole) >= most_bytes))
+
+    def step(state: _Parts, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"title_id": rows["title_id"].to_numpy(), "track": rows["track"].to_numpy(), "idx": rows["idx"].to_numpy(), "part": [state.place(x, most, most_bytes) for x in rows["_size"].tolist()]})
+
+    narrow = f.filter("_cut").select(*keys, "idx", size.alias("_size"))
+    parts = in_order(narrow, keys, ["idx"], "title_id long, track long, idx long, part long", _Parts, step)
+    long = f.filter("_cut").join(parts.withColumn("track", F.col("track").cast(frames.schema["track"].dataType)), ["title_id", "track", "idx"])
+    both = f.filter("NOT _cut").withColumn("part", F.lit(0).cast("long")).unionByName(long)
+    return both.withColumn("gop", F.col("_run")).drop("_run", "_cut")
 
 
 def display_index(frames: DataFrame) -> DataFrame:

@@ -131,13 +131,13 @@ def assemble_pes(packets: DataFrame, most: int = MOST) -> DataFrame:
     p = p.withColumn("skip", skipped)
     p = p.withColumn("bytes", F.sum(F.col("size") - F.col("skip")).over(inside.rowsBetween(W.unboundedPreceding, 0)))
     whole = W.partitionBy(*unit)
-    broken = F.max((F.col("loss") & ~F.col("pusi")) | (F.col("bytes") > most)).over(whole)
-    p = p.withColumn("done", (F.col("unit") > 0) & ~broken & (F.max("bytes").over(whole) > 0))
+    p = p.withColumn("breaks", (F.col("loss") & ~F.col("pusi")) | ((F.col("unit") > 0) & (F.col("bytes") > most)))
+    p = p.withColumn("done", (F.col("unit") > 0) & ~F.max("breaks").over(whole) & (F.max("bytes").over(whole) > 0))
     body = F.when(F.col("done"), F.expr("substring(payload, CAST(skip AS INT) + 1)"))
     start = lambda c: F.max(F.when(F.col("pusi"), F.col(c))).alias(c)
     u = p.withColumn("body", body).groupBy(*unit).agg(
         F.min("rec_no").alias("first_rec"), start("pts"), start("dts"), F.bool_or("done").alias("done"), F.expr("listagg(body) WITHIN GROUP (ORDER BY rec_no)").alias("data"),
-        F.bool_or(F.col("loss") & F.col("pusi")).cast("int").alias("at_start"), F.bool_or((F.col("loss") & ~F.col("pusi")) | (F.col("bytes") > most)).cast("int").alias("in_unit"),
+        F.bool_or(F.col("loss") & F.col("pusi")).cast("int").alias("at_start"), F.bool_or("breaks").cast("int").alias("in_unit"),
     )
     by_unit = W.partitionBy(*pid).orderBy("unit")
     u = u.withColumn("losses", F.sum(F.col("at_start") + F.col("in_unit")).over(by_unit.rowsBetween(W.unboundedPreceding, 0)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import scalars as S
 from reelspark.operators import catalog as C
 from reelspark.operators import damage as D
+from reelspark.operators import dvd as D
 from reelspark.operators import frames as O
 from reelspark.operators import ranges as R
 
@@ -309,3 +310,35 @@ def test_read_decisions_of_a_patch(spark):
     assert [(r["action"], r["bad_percent"], r["window_reads"]) for r in got[-3:]] == [("bisect", 0, 15), ("jump", 6, 16), ("skip", 6, 16)]
     s = O.pass_summary(log, patch=True).first()
     assert (s["reads_ok"], s["errors"], s["zones_entered"], s["jumps_taken"], s["marginal_recovered"]) == (15, 6, 1, 1, 1)
+
+
+def test_groups_are_cut_by_frames_and_by_bytes(spark):
+    rng = random.Random(15)
+    rows = [(t, k, i, rng.random() < 0.04, rng.choice([1, 5, 40, 900])) for t in range(3) for k in range(2) for i in range(300)]
+    got = {(r["title_id"], r["track"], r["idx"]): (r["gop"], r["part"]) for r in O.gop_groups(spark.createDataFrame(rows, "title_id long, track int, idx long, keyframe boolean, size long"), 20, 3000).collect()}
+    want, held = {}, {}
+    for t, k, i, key, size in rows:
+        gop, part, frames_held, bytes_held = held.get((t, k), (0, 0, 0, 0))
+        if key:
+            gop, part, frames_held, bytes_held = gop + 1, 0, 0, 0
+        elif frames_held >= 20 or bytes_held >= 3000:
+            part, frames_held, bytes_held = part + 1, 0, 0
+        held[t, k] = (gop, part, frames_held + 1, bytes_held + size)
+        want[t, k, i] = (gop, part)
+    assert got == want and max(p for _, p in want.values()) > 3
+
+
+def test_deep_paths_orphans_and_cycles(spark):
+    deep = [(1, f"d{k}", f"d{k - 1}" if k else None, f"n{k}", True) for k in range(100)]
+    wide = [(1, "f", "d99", "File.TXT", False), (1, "under_file", "f", "x", True), (1, "lost", "nobody", "y", True), (1, "below_lost", "lost", "z", False)]
+    round_ = [(2, "root", None, "top", True), (2, "a", "c", "a", True), (2, "b", "a", "b", True), (2, "c", "b", "c", True), (2, "tail", "a", "t", False), (2, "self", "self", "s", True), (2, "d0", "root", "same id", True)]
+    entries = spark.createDataFrame(deep + wide + round_, "disc_id long, id string, parent_id string, name string, is_dir boolean")
+    paths = D.resolve_paths(entries)
+    got = {(r["disc_id"], r["id"]): r["path"] for r in paths.collect()}
+    whole = {f"d{k}": "".join(f"/n{j}" for j in range(k + 1)) for k in range(100)}
+    assert got == {(1, k): v for k, v in whole.items()} | {(1, "f"): whole["d99"] + "/File.TXT", (2, "root"): "/top", (2, "d0"): "/top/same id"}
+    lost = {(r["disc_id"], r["id"]): r["why"] for r in D.resolve_paths(entries, lost=True).collect()}
+    assert lost == {(1, "under_file"): "orphan", (1, "lost"): "orphan", (1, "below_lost"): "orphan", **{(2, k): "cycle" for k in ("a", "b", "c", "tail", "self")}}
+    asked = spark.createDataFrame([(1, whole["d99"].upper() + "/file.txt/")], "disc_id long, query string")
+    assert D.find_path(paths, asked).first()["id"] == "f"
+    assert D.resolve_paths(entries.filter("id = ''")).count() == 0
