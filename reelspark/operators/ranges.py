@@ -46,22 +46,34 @@ def extent_offsets(extents: DataFrame, key: str = "title_id") -> DataFrame:
     return extents.withColumn("byte_offset", F.coalesce(F.sum("sector_count").over(before), F.lit(0)) * SECTOR)
 
 
-def _placed(side: DataFrame, start: str, end: str, width: int, own: tuple[str, ...], low: str) -> DataFrame:
-    """Rows of a side at the width that its interval fits and at all wider ones, by the bins that it touches there: in the
-    roles `own` at the first, in the role `low` at the others."""
-    size = F.col(end) - F.col(start)
-    level = F.lit(WIDTHS - 1)
+def _level(start: str, end: str, width: int) -> Column:
+    """The narrowest of the widths that an interval fits."""
+    size, level = F.col(end) - F.col(start), F.lit(WIDTHS - 1)
     for k in range(WIDTHS - 2, -1, -1):
         level = F.when(size <= width * WIDER**k, k).otherwise(level)
+    return level
 
-    def places(k: int) -> Column:
-        at = lambda x: F.floor(x / (width * WIDER**k))
-        roles = F.when(F.col("_level") == k, F.array(*[F.lit(r) for r in own])).when(F.col("_level") < k, F.array(F.lit(low))).otherwise(F.array().cast("array<string>"))
-        bins = F.sequence(at(F.col(start)), at(F.col(end) - 1))
-        return F.flatten(F.transform(roles, lambda r: F.transform(bins, lambda b: F.struct(F.lit(k).alias("k"), b.alias("bin"), r.alias("role")))))
 
-    placed = side.filter(size > 0).withColumn("_level", level).withColumn("_place", F.explode(F.flatten(F.array(*map(places, range(WIDTHS))))))
-    return placed.select("*", F.col("_place.k").alias("_k"), F.col("_place.bin").alias("_bin"), F.col("_place.role").alias("_role")).drop("_level", "_place")
+def _levels(side: DataFrame, key: str, start: str, end: str, width: int) -> DataFrame:
+    """Of each key the widths that a side's intervals fit, as bits: one small row a key, summed up in part before it is shuffled."""
+    bit = F.call_function("shiftleft", F.lit(1), _level(start, end, width))
+    return side.filter(F.col(end) > F.col(start)).groupBy(key).agg(F.bit_or(bit).alias("_mask"))
+
+
+def _placed(side: DataFrame, key: str, start: str, end: str, width: int, others: DataFrame, own: tuple[str, ...], low: str) -> DataFrame:
+    """Rows of a side by the bins that they touch: at the width that the interval fits, in the roles `own`, and at wider ones that the other side has intervals of (others), in
+    the role `low`. A row whose key the other side has not is dropped."""
+    at = lambda x, k: F.floor(x / (width * F.pow(F.lit(WIDER), k))).cast("long")
+    placed = side.filter(F.col(end) > F.col(start)).join(others, key).withColumn("_level", _level(start, end, width))
+    has = lambda k: F.getbit("_mask", k) == 1
+    # at its own width a row meets those that fit it (both) and narrower ones (own role); it is there only if the other side has any
+    narrower = (F.col("_mask") % F.call_function("shiftleft", F.lit(1), F.col("_level"))) != 0
+    roles = [F.when(has("_level"), F.lit(own[0])), F.when(narrower, F.lit(own[1]))]
+    mine = F.transform(F.filter(F.array(*roles), lambda r: r.isNotNull()), lambda r: F.struct(F.col("_level").alias("k"), r.alias("role")))
+    wider = [F.when((F.col("_level") < k) & has(F.lit(k)), F.struct(F.lit(k).alias("k"), F.lit(low).alias("role"))) for k in range(1, WIDTHS)]
+    places = F.concat(mine, F.filter(F.array(*wider), lambda p: p.isNotNull()))
+    bins = F.flatten(F.transform(places, lambda p: F.transform(F.sequence(at(F.col(start), p["k"]), at(F.col(end) - 1, p["k"])), lambda b: F.struct(p["k"].alias("k"), b.alias("bin"), p["role"].alias("role")))))
+    return placed.withColumn("_place", F.explode(bins)).select("*", F.col("_place.k").alias("_k"), F.col("_place.bin").alias("_bin"), F.col("_place.role").alias("_role")).drop("_level", "_place", "_mask")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int = BIN) -> DataFrame:
@@ -69,15 +81,13 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int = BIN)
 
     Bins have several widths, and an interval lies in a bin or two of the narrowest that holds it, so a whole disc is one row and not one
     a bin. Two intervals meet at the wider one's width: both fitting it, or one fitting it and the other narrower, told apart by the role, so that
-    narrow ones never meet in wide bins. A pair is kept in the bin of its later start. The join is an equi-join on key, width, bin and role."""
-    a = _placed(left, "l_start", "l_end", width, ("both", "left"), "right")
-    b = _placed(right, "r_start", "r_end", width, ("both", "right"), "left")
+    narrow ones never meet in wide bins. Which widths a key's other side has is summed up first, a few bytes a key, and rows go to those only: where all is narrow, a row
+    or two an interval. A pair is kept in the bin of its later start. The join is an equi-join on key, width, bin and role."""
+    a = _placed(left, key, "l_start", "l_end", width, _levels(right, key, "r_start", "r_end", width), ("both", "left"), "right")
+    b = _placed(right, key, "r_start", "r_end", width, _levels(left, key, "l_start", "l_end", width), ("both", "right"), "left")
     both = a.join(b, [key, "_k", "_bin", "_role"]).filter((F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")))
     later = F.greatest("l_start", "r_start")
-    here = F.lit(False)
-    for k in range(WIDTHS):
-        here = F.when(F.col("_k") == k, F.floor(later / (width * WIDER**k)) == F.col("_bin")).otherwise(here)
-    return both.filter(here).drop("_k", "_bin", "_role")
+    return both.filter(F.floor(later / (width * F.pow(F.lit(WIDER), F.col("_k")))).cast("long") == F.col("_bin")).drop("_k", "_bin", "_role")
 
 
 class _Overlay:

@@ -66,7 +66,9 @@ def test_whole_disc_ranges_and_many_passes(spark):
             assert status == max((r for r in rows if r[0] == d and r[2] <= at < r[2] + r[3]), key=lambda r: r[1])[4]
     left = spark.createDataFrame([(d, p, p + n, i) for i, (d, _, p, n, _) in enumerate(rows)], "disc_id long, l_start long, l_end long, i long")
     right = left.select("disc_id", F.col("l_start").alias("r_start"), F.col("l_end").alias("r_end"), F.col("i").alias("j"))
-    assert R._placed(left, "l_start", "l_end", R.BIN, ("both", "left"), "right").count() <= 10 * len(rows)
+    placed = lambda df, other: R._placed(df, "disc_id", "l_start", "l_end", R.BIN, R._levels(other, "disc_id", "l_start", "l_end", R.BIN), ("both", "left"), "right").count()
+    narrow = left.filter("l_end - l_start <= 102400")
+    assert placed(left, left) <= 10 * len(rows) and placed(narrow, narrow) <= 1.2 * narrow.count() and placed(narrow, left) > 3 * narrow.count()
     got = sorted((r["i"], r["j"]) for r in R.overlap_join(left, right, "disc_id").collect())
     assert got == [(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if a[0] == b[0] and a[2] < b[2] + b[3] and b[2] < a[2] + a[3]]
 
