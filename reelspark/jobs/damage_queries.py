@@ -16,6 +16,17 @@ def j8(s, d):
     return D.locate_ranges(R.ranges_with(overlaid(s, d), R.LOST), view(s, d, "extents"), view(s, d, "titles"), chapters(s, d), 2)
 
 
+def a14(s, d):
+    """Snapshots of discs with their main title, the largest; ranges located as text."""
+    t = view(s, d, "titles")
+    best = F.max_by(F.struct(*t.columns), F.struct("size_bytes", "duration_secs", -F.col("title_id")))
+    main = t.groupBy(F.col("disc_id").alias("_d")).agg(best.alias("t")).select("t.*")
+    discs = view(s, d, "discs").select("disc_id", (F.col("capacity_sectors") * R.SECTOR).alias("total_bytes"))
+    snap = D.progress_snapshot(overlaid(s, d), discs, main, view(s, d, "extents"), chapters(s, d), 2)
+    place = F.array_join(F.transform("located", lambda x: F.concat_ws(":", x["lba"].cast("string"), x["count"].cast("string"), F.coalesce(x["chapter"].cast("string"), F.lit("-")))), ",")
+    return snap.withColumn("located", place).drop("largest_gap_ms", "main_title_duration_secs")
+
+
 def j13(s, d):
     bad = view(s, d, "range_log").filter("status = '-'").select(F.col("disc_id").alias("title_id"), "pos", "size")
     return D.flag_recovered(view(s, d, "frames"), bad)
@@ -41,7 +52,7 @@ def video_rows(s, d):
 QUERIES = {
     "j8_locate_ranges": j8,
     "j13_flag_recovered": j13,
-    "a14_progress_snapshot": lambda s, d: D.progress_snapshot(overlaid(s, d), view(s, d, "extents")),
+    "a14_progress_snapshot": a14,
     "a17_skip_totals": lambda s, d: D.skip_totals(view(s, d, "frames").filter("discontinuity").select("title_id", F.col("size").alias("bytes"))),
     "a5_forced_track": lambda s, d: D.forced_track(view(s, d, "frames").select("title_id", "track", F.when(F.col("ctype") != "P", F.col("ctype") == "B").alias("forced"))),
     "r7_small_file_ranges": r7,
@@ -62,7 +73,6 @@ SELECT q.title_id, CAST(rank AS INT) AS rank, lba, size // 2048 AS count, CAST(d
  CAST(secs AS DOUBLE) AS time_offset_secs, num_ranges, greatest(num_ranges - 2, 0) AS truncated, CAST(max(duration_ms) OVER (PARTITION BY q.title_id) AS DOUBLE) AS largest_gap_ms, CAST(CASE WHEN rate > 0 THEN coalesce(bytes_bad, 0) * 1000.0 / rate ELSE 0.0 END AS DOUBLE) AS main_at_risk_ms
 FROM q LEFT JOIN hit ON hit.title_id = q.title_id""",
     "j13_flag_recovered": with_views("frames", "range_log") + "SELECT title_id, track, idx, EXISTS (SELECT 1 FROM range_log r WHERE r.disc_id = f.title_id AND r.status = '-' AND r.pos < f.src_byte + f.size AND f.src_byte < r.pos + r.size AND f.size > 0) AS recovered FROM frames f",
-    "a14_progress_snapshot": with_views("range_log", "extents") + OVERLAY + BAD + f", stats AS ({_STATS}), hit AS ({_HIT}), per AS (SELECT disc_id, max(bytes_bad) AS worst_title_bytes, CAST(sum(bytes_bad) AS BIGINT) AS titles_bytes FROM hit GROUP BY disc_id) SELECT stats.*, coalesce(worst_title_bytes, 0) AS worst_title_bytes, coalesce(titles_bytes, 0) AS titles_bytes FROM stats LEFT JOIN per USING (disc_id)",
     "a17_skip_totals": with_views("frames") + "SELECT title_id, count(*) AS skips, CAST(sum(size) AS BIGINT) AS bytes_lost FROM frames WHERE discontinuity GROUP BY ALL",
     "a5_forced_track": with_views("frames") + "SELECT title_id, track, bool_and(ctype = 'B') FILTER (ctype <> 'P') AS forced, count(*) FILTER (ctype <> 'P') AS sets FROM frames GROUP BY ALL",
     "r7_small_file_ranges": "WITH " + _PG + """, e AS (SELECT disc_id, page_id % 60 * 3 AS a, page_id % 60 * 3 + (size + 2047) // 2048 AS b, (size + 2047) // 2048 AS n FROM pg WHERE size <= 6000 AND page_id % 3 <> 0),
@@ -75,3 +85,10 @@ SELECT disc_id, seq, status = 255 AS transport, status NOT IN (0, 2, 255) AS bri
  CASE ord % 3 WHEN 1 THEN 16 WHEN 2 THEN 18 ELSE CASE pid % 5 WHEN 0 THEN 16 WHEN 1 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN 6 ELSE 2 END END AS transfer FROM stn_streams)
 SELECT title_id, ord, CAST(CASE WHEN m THEN 9 ELSE matrix END AS INT) AS matrix, CAST(CASE WHEN m THEN 14 ELSE transfer END AS INT) AS transfer, CAST(CASE WHEN m THEN 9 ELSE matrix END AS INT) AS primaries, CAST(CASE WHEN m THEN 0 ELSE 1 END AS INT) AS "range" FROM x""",
 }
+_MAIN = ORACLE["j8_locate_ranges"].replace("FROM titles t JOIN k", "FROM mt t JOIN k").replace(", c AS (SELECT *, max(time_secs)", ", mt AS (SELECT * FROM titles QUALIFY row_number() OVER (PARTITION BY disc_id ORDER BY size_bytes DESC, duration_secs DESC, title_id) = 1), c AS (SELECT *, max(time_secs)", 1)
+_HEAD, _TAIL = _MAIN.split("SELECT q.title_id, CAST(rank AS INT)")
+ORACLE["a14_progress_snapshot"] = _HEAD.rstrip() + f""", lo AS (SELECT q.title_id, CAST(rank AS INT){_TAIL}),
+la AS (SELECT title_id, string_agg(lba || ':' || count || ':' || coalesce(CAST(chapter AS VARCHAR), '-'), ',' ORDER BY rank) AS located, any_value(num_ranges) AS num_ranges, any_value(truncated) AS truncated, any_value(main_at_risk_ms) AS risk FROM lo GROUP BY title_id),
+stats AS ({_STATS}) SELECT stats.*, (SELECT capacity_sectors * 2048 FROM (SELECT s_suppkey AS disc_id, 1000000 + s_suppkey * 500000 AS capacity_sectors FROM supplier) dd WHERE dd.disc_id = stats.disc_id) AS bytes_total_disc, mt.size_bytes AS main_title_size_bytes, coalesce(hit.bytes_bad, 0) AS bytes_bad_in_main_title,
+ coalesce(num_ranges, 0) AS num_ranges, coalesce(truncated, 0) AS truncated, coalesce(risk, 0.0) AS main_at_risk_ms, coalesce(located, '') AS located
+FROM stats LEFT JOIN mt ON mt.disc_id = stats.disc_id LEFT JOIN la ON la.title_id = mt.title_id LEFT JOIN hit ON hit.title_id = mt.title_id"""

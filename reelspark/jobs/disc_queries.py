@@ -96,18 +96,44 @@ def find(s, d):
     return D.find_path(paths, asked).select("query", "id", "path")
 
 
+def models(s, d):
+    """Streams with the whole model of each, and some members left out."""
+    from reelspark.functions import scalars as S
+    from reelspark.jobs.catalog_queries import streams
+
+    v, name = F.col("pid"), S.resolution(F.col("video_format"))
+    rate, yes = S.frame_rate(F.col("video_rate")), lambda c, x: F.when(c, x)
+    return streams(s, d).select(
+        "title_id", "ord", "kind", "codec", "pid", "language", "secondary", name.alias("resolution"), S.pixels(name)["width"].alias("width"), S.pixels(name)["height"].alias("height"), S.is_interlaced(name).alias("interlaced"),
+        rate["name"].alias("frame_rate"), rate["num"].alias("frame_rate_num"), rate["den"].alias("frame_rate_den"), F.when(v % 3 == 0, "hdr10").otherwise("sdr").alias("hdr"), F.lit("bt709").alias("color_space"), (v % 5 == 0).alias("mvc_dependent"),
+        S.channels(F.col("audio_format")).alias("channels"), S.channel_count(F.col("audio_format")).alias("channel_count"), F.lit("48kHz").alias("sample_rate"), S.sample_rate_hz(v % 16).alias("sample_rate_hz"), F.when(v % 7 == 0, "commentary").otherwise("normal").alias("purpose"),
+        (v % 2 == 0).alias("forced"), F.when(v % 6 == 0, "sdh").otherwise("none").alias("qualifier"), F.when(v % 4 == 0, "Main \"x\"").otherwise("").alias("label"),
+        yes(v % 4 == 1, F.struct(F.lit(16).alias("num"), F.lit(9).alias("den"))).alias("display_aspect"), yes(v % 8 == 1, F.struct(F.lit(9).alias("matrix"), F.lit(16).alias("transfer"), F.lit(9).alias("primaries"), F.lit(0).alias("range"))).alias("measured_cicp"),
+    )
+
+
 def s11(s, d):
-    from reelspark.jobs.catalog_queries import chapters, streams
+    from reelspark.jobs.catalog_queries import chapters
+
+    t = view(s, d, "titles").select("title_id", "playlist", F.substring("playlist", 1, 5).cast("int").alias("playlist_id"), F.floor("duration_secs").cast("long").alias("duration_secs"), "size_bytes", F.when(F.col("title_id") % 2 == 0, "BdTs").otherwise("MpegPs").alias("content_format"))
+    clips = view(s, d, "play_items").join(view(s, d, "clip_info"), "clip_id", "left").select("title_id", F.col("item_no").alias("ord"), "clip_id", F.floor((F.col("out_time") - F.col("in_time")) / 45000).alias("duration_secs"), F.coalesce("source_packets", F.lit(0)).alias("source_packets"))
+    c = chapters(s, d).select("title_id", "n", F.floor("time_secs").cast("long").alias("time_secs"), F.col("n").cast("string").alias("name"))
+    return X.title_json(t, clips, models(s, d), c)
 
-    doc = X.title_json(view(s, d, "titles"), streams(s, d), chapters(s, d))
-    got = lambda p: F.get_json_object("document", p)
-    return doc.select("title_id", got("$.playlist").alias("playlist"), got("$.streams[0].codec").alias("codec"), got("$.chapters[1].name").alias("chapter"))
+
+def s6_headers(s, d):
+    t = view(s, d, "titles")
+    v = F.col("title_id")
+    pair = lambda a, b: F.struct(F.lit(a).alias("num"), F.lit(b).alias("den"))
+    colour = F.struct(F.lit(1).alias("primaries"), F.lit(1).alias("transfer"), F.lit(1).alias("matrix"), F.when(v % 2 == 0, "full").otherwise("limited").alias("range"))
+    h = t.select("title_id", F.lit("hevc").alias("codec"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), pair(16, 9).alias("dar"), pair(24000, 1001).alias("frame_rate"), F.lit("progressive").alias("scan"), colour.alias("colour"), F.lit("bd").alias("medium"), F.concat(F.lit("/d/"), F.col("disc_id").cast("string")).alias("path"),
+                 (v % 9).alias("title"), F.when(v % 3 == 0, "").otherwise(F.col("playlist")).alias("playlist"), F.when(v % 5 == 0, "VOL").alias("volume_id"), F.when(v % 4 == 0, v).alias("picture_count"))
+    return X.video_index_headers(h)
 
 
 def s6(s, d):
-    lines = X.video_index_lines(view(s, d, "frames"), F.col("track") == 0)
-    got = lambda p: F.get_json_object("line", p).cast("long")
-    return lines.select("title_id", F.col("n").cast("long").alias("n"), got("$.n").alias("number"), got("$.pts").alias("pts"), got("$.src.sector").alias("sector"), got("$.src.byte").alias("byte"))
+    f = view(s, d, "frames").withColumn("src_byte", F.when(F.col("size") % 7 != 0, F.col("src_byte"))).withColumn("nb_fields", F.when(F.col("size") % 2 == 0, F.col("size") % 3))
+    return X.video_index_lines(f, F.col("track") == 0).select("title_id", F.col("n").cast("long").alias("n"), "line")
 
 
 QUERIES = {
@@ -123,6 +149,7 @@ QUERIES = {
     "j19_find_path": find,
     "s11_title_json": s11,
     "s6_write_video_index": s6,
+    "s6_video_index_headers": s6_headers,
 }
 _PK = with_views("ts_packets") + """, pk AS (SELECT file_id, pid, rec_no, pusi, discontinuity_flag, CASE WHEN rec_no % 6 = 0 THEN rec_no * 7 % 16 ELSE 0 END AS cc FROM ts_packets),
 c AS (SELECT *, discontinuity_flag OR coalesce(cc <> (lag(cc) OVER w + 1) % 16 AND cc <> lag(cc) OVER w, false) AS gap FROM pk WINDOW w AS (PARTITION BY file_id, pid ORDER BY rec_no)),
@@ -146,14 +173,43 @@ SELECT file_id, pid, first_rec, at_start OR EXISTS (SELECT 1 FROM k b WHERE b.fi
     "w28_disc_title": "WITH " + _MD + """, b AS (SELECT * FROM md WHERE file LIKE '%.xml' QUALIFY row_number() OVER (PARTITION BY disc_id, folder ORDER BY lang = 'ENG' DESC, file) = 1) SELECT disc_id, arg_min(title, folder) AS title FROM b WHERE title NOT IN ('', 'Blu-ray') GROUP BY disc_id""",
     "j19_resolve_paths": "WITH " + _TREE + "SELECT id, path FROM t",
     "j19_find_path": "WITH " + _TREE + "SELECT upper(path) || '/' AS query, CASE WHEN id LIKE 's%' THEN id END AS id, CASE WHEN id LIKE 's%' THEN path END AS path FROM t",
-    "s6_write_video_index": with_views("frames") + "SELECT title_id, row_number() OVER (PARTITION BY title_id ORDER BY idx) - 1 AS n, row_number() OVER (PARTITION BY title_id ORDER BY idx) - 1 AS number, pts_ns AS pts, src_byte // 2048 AS sector, src_byte % 2048 AS byte FROM frames WHERE track = 0",
+    "s6_write_video_index": with_views("frames") + """, f AS (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY idx) - 1 AS n FROM frames WHERE track = 0)
+SELECT title_id, n, '{"n":' || n || ',"src":' || CASE WHEN size % 7 <> 0 THEN '{"sector":' || src_byte // 2048 || ',"byte":' || src_byte % 2048 || '}' ELSE 'null' END || ',"pts":' || pts_ns || ',"type":"' || ctype || '","key":' || keyframe || ',"size":' || size || CASE WHEN size % 2 = 0 THEN ',"nb_fields":' || size % 3 ELSE '' END || '}' AS line FROM f""",
+    "s6_video_index_headers": with_views("titles") + """ SELECT title_id, CAST(-1 AS INT) AS n, '{"format":"fvi","fvi_version":1,"generator":"reelspark","stream":{"codec":"hevc","width":1920,"height":1080,"dar":[16,9],"frame_rate":[24000,1001],"scan":"progressive","colour":{"primaries":1,"transfer":1,"matrix":1,"range":"'
+ || CASE WHEN title_id % 2 = 0 THEN 'full' ELSE 'limited' END || '"}},"source":{"medium":"bd","path":"/d/' || disc_id || '","title":' || title_id % 9 || ',"sector_size":2048' || CASE WHEN title_id % 3 = 0 THEN '' ELSE ',"playlist":"' || playlist || '"' END || CASE WHEN title_id % 5 = 0 THEN ',"volume_id":"VOL"' ELSE '' END
+ || '},"timescale":1000000000' || CASE WHEN title_id % 4 = 0 THEN ',"picture_count":' || title_id ELSE '' END || '}' AS line FROM titles""",
 }
 
 
+#: Streams of a title in order, each taking what no earlier one claimed.
+ORACLE["j16_remap_audio"] = """WITH RECURSIVE p AS (SELECT user_id AS title_id, 126 + event_id % 12 AS sub, max(1 + event_id * 7 % 6) AS ch FROM events WHERE event_id % 12 BETWEEN 2 AND 9 GROUP BY ALL),
+s AS (SELECT DISTINCT user_id AS title_id, k AS ord, 48512 + k AS pid, 1 + (user_id + k) % 6 AS ch FROM events, (VALUES (0), (1), (2)) t(k)),
+r AS (SELECT DISTINCT title_id, CAST(-1 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS pid, CAST(0 AS BIGINT) AS new_pid, CAST([] AS BIGINT[]) AS claimed FROM s
+UNION ALL SELECT title_id, ord, pid, new_pid, list_append(claimed, new_pid) FROM (SELECT s.title_id, CAST(s.ord AS BIGINT) AS ord, CAST(s.pid AS BIGINT) AS pid, r.claimed, CAST(CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.title_id = s.title_id AND p.sub = s.pid % 256 AND p.ch = s.ch) THEN s.pid
+ ELSE coalesce((SELECT min(48384 + p.sub) FROM p WHERE p.title_id = s.title_id AND p.ch = s.ch AND NOT list_contains(r.claimed, 48384 + p.sub)), s.pid) END AS BIGINT) AS new_pid FROM r JOIN s ON s.title_id = r.title_id AND s.ord = r.ord + 1))
+SELECT title_id, ord, CAST(pid AS INT) AS pid, CAST(new_pid AS INT) AS new_pid FROM r WHERE ord >= 0"""
+
+
 def _s11() -> str:
+    from reelspark.functions import scalars as S
     from reelspark.jobs.catalog_queries import _CH, _ST
 
-    return with_views("titles", "stn_streams", "marks") + _ST + _CH + "SELECT title_id, playlist, (SELECT arg_min(codec, ord) FROM st WHERE st.title_id = t.title_id) AS codec, (SELECT CAST(max(n) AS VARCHAR) FROM ch WHERE ch.title_id = t.title_id AND n = 2) AS chapter FROM titles t"
+    case = lambda v, table, other: "CASE " + v + "".join(f" WHEN {k} THEN {x}" for k, x in table.items()) + f" ELSE {other} END"
+    text = lambda table: {k: f"'{v}'" for k, v in table.items()}
+    res = case("video_format", text(S.RESOLUTIONS), "'unknown'")
+    wide, high = (case("res", {f"'{k}'": v[i] for k, v in S.PIXELS.items()}, d) for i, d in ((0, 1920), (1, 1080)))
+    rate = [case("video_rate", {k: f"'{v[i]}'" if i == 0 else v[i] for k, v in S.FRAME_RATES.items()}, d) for i, d in ((0, "'unknown'"), (1, 0), (2, 1))]
+    ch, cc, hz = case("audio_format", {k: f"'{v[0]}'" for k, v in S.CHANNELS.items()}, "'unknown'"), case("audio_format", {k: v[1] for k, v in S.CHANNELS.items()}, 6), case("pid % 16", S.SAMPLE_RATES, 48000)
+    label = """CASE WHEN pid % 4 = 0 THEN ',"label":"Main \\"x\\""' ELSE '' END"""
+    return with_views("titles", "stn_streams", "marks", "play_items", "clip_info") + _ST + _CH + f""", sm AS (SELECT *, {res} AS res FROM st), sj AS (SELECT title_id, ord, '{{"kind":"' || kind || '","codec":"' || codec || '","pid":' || pid || CASE kind
+ WHEN 'video' THEN ',"resolution":"' || res || '","width":' || {wide} || ',"height":' || {high} || ',"interlaced":' || (res IN ('480i', '576i', '1080i')) || ',"frame_rate":"' || {rate[0]} || '","frame_rate_num":' || {rate[1]} || ',"frame_rate_den":' || {rate[2]} || ',"hdr":"' || CASE WHEN pid % 3 = 0 THEN 'hdr10' ELSE 'sdr' END
+  || '","color_space":"bt709","secondary":' || secondary || ',"mvc_dependent":' || (pid % 5 = 0) || CASE WHEN pid % 4 = 1 THEN ',"display_aspect":"16:9"' ELSE '' END || CASE WHEN pid % 8 = 1 THEN ',"measured_cicp":{{"matrix":9,"transfer":16,"primaries":9,"range":0}}' ELSE '' END || {label}
+ WHEN 'audio' THEN ',"language":"' || language || '","channels":"' || {ch} || '","channel_count":' || {cc} || ',"sample_rate":"48kHz","sample_rate_hz":' || {hz} || ',"secondary":' || secondary || ',"purpose":"' || CASE WHEN pid % 7 = 0 THEN 'commentary' ELSE 'normal' END || '"' || {label}
+ ELSE ',"language":"' || language || '","forced":' || (pid % 2 = 0) || ',"qualifier":"' || CASE WHEN pid % 6 = 0 THEN 'sdh' ELSE 'none' END || '"' END || '}}' AS j FROM sm),
+sl AS (SELECT title_id, string_agg(j, ',' ORDER BY ord) AS l FROM sj GROUP BY title_id), cl AS (SELECT title_id, string_agg('{{"clip_id":"' || p.clip_id || '","duration_secs":' || (out_time - in_time) // 45000 || ',"source_packets":' || coalesce(source_packets, 0) || '}}', ',' ORDER BY item_no) AS l FROM play_items p LEFT JOIN clip_info i ON i.clip_id = p.clip_id GROUP BY title_id),
+hl AS (SELECT title_id, string_agg('{{"n":' || n || ',"start_secs":' || CAST(floor(time_secs) AS BIGINT) || ',"name":"' || n || '"}}', ',' ORDER BY n) AS l FROM ch GROUP BY title_id)
+SELECT t.title_id, '{{"playlist":"' || playlist || '","playlist_id":' || CAST(substr(playlist, 1, 5) AS INT) || ',"duration_secs":' || CAST(floor(duration_secs) AS BIGINT) || ',"size_bytes":' || size_bytes || ',"format":"' || CASE WHEN t.title_id % 2 = 0 THEN 'BdTs' ELSE 'MpegPs' END
+ || '","clips":[' || coalesce(cl.l, '') || '],"streams":[' || coalesce(sl.l, '') || '],"chapters":[' || coalesce(hl.l, '') || ']}}' AS document FROM titles t LEFT JOIN cl USING (title_id) LEFT JOIN sl USING (title_id) LEFT JOIN hl USING (title_id)"""
 
 
 ORACLE["s11_title_json"] = _s11()

@@ -45,10 +45,22 @@ def flag_recovered(pictures: DataFrame, bad: DataFrame, key: str = "title_id", w
     return pictures.select(key, "track", "idx").join(hit, [key, "track", "idx"], "left").select(key, "track", "idx", F.coalesce("_hit", F.lit(False)).alias("recovered"))
 
 
-def progress_snapshot(ranges: DataFrame, extents: DataFrame) -> DataFrame:
-    """Range statistics of each disc, and its titles' bytes in ranges that are not good (not tried ones left out)."""
-    hit = R.bytes_bad_in_title(extents, R.ranges_with(ranges, R.LOST)).groupBy("disc_id").agg(F.max("bytes_bad").alias("worst_title_bytes"), F.sum("bytes_bad").alias("titles_bytes"))
-    return R.range_stats(ranges).join(hit, "disc_id", "left").fillna(0, ["worst_title_bytes", "titles_bytes"])
+def progress_snapshot(ranges: DataFrame, discs: DataFrame, titles: DataFrame, extents: DataFrame, chapters: DataFrame, k: int = 50) -> DataFrame:
+    """What is known of each disc (disc_id, total_bytes) between passes: bytes by state, and of its title (titles: one a disc, the main one) duration, size, bytes in ranges that
+    are not good (not tried ones left out), and those ranges located (J8): `located` (lba, count, duration_ms, chapter, time_offset_secs; the k longest), how many there are and are left
+    out, the longest's play time and the time at risk. A disc without a title, or without such ranges, has none."""
+    bad = R.ranges_with(ranges, R.LOST)
+    of = extents.join(titles.select("title_id"), "title_id", "left_semi")
+    places = locate_ranges(bad, of, titles, chapters, k)
+    one = F.struct("rank", "lba", "count", "duration_ms", "chapter", "time_offset_secs")
+    located = places.groupBy("title_id").agg(F.array_sort(F.collect_list(one)).alias("_l"), *[F.first(c).alias(c) for c in ("num_ranges", "truncated", "largest_gap_ms", "main_at_risk_ms")])
+    risk = R.bytes_bad_in_title(of, bad).select("title_id", F.col("bytes_bad").alias("bytes_bad_in_main_title"))
+    t = titles.select("disc_id", "title_id", F.col("duration_secs").alias("main_title_duration_secs"), F.col("size_bytes").alias("main_title_size_bytes")).join(located, "title_id", "left").join(risk, "title_id", "left")
+    none = F.array().cast("array<struct<lba:bigint,count:bigint,duration_ms:double,chapter:int,time_offset_secs:double>>")
+    plain = F.transform("_l", lambda x: F.struct(x["lba"].alias("lba"), x["count"].alias("count"), x["duration_ms"].alias("duration_ms"), x["chapter"].cast("int").alias("chapter"), x["time_offset_secs"].alias("time_offset_secs")))
+    s = R.range_stats(ranges).join(discs.select("disc_id", F.col("total_bytes").alias("bytes_total_disc")), "disc_id", "left").join(t, "disc_id", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("bytes_bad_in_main_title", "num_ranges", "truncated", "largest_gap_ms", "main_at_risk_ms")]
+    return s.select(*R.range_stats(ranges).columns, "bytes_total_disc", "main_title_duration_secs", "main_title_size_bytes", *counts, F.coalesce(plain, none).alias("located"))
 
 
 def skip_totals(events: DataFrame) -> DataFrame:

@@ -77,25 +77,31 @@ def read_video_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return rows.filter(is_header).select("file", "section", F.col("line").alias("header")), pictures.select("file", "section", "line_no", "p.*")
 
 
-def picture_record() -> Column:
-    """The JSON record of a picture but for its number; unknown members are left out, not null."""
-    src = F.when(F.col("src_byte").isNotNull(), F.struct(F.floor(F.col("src_byte") / 2048).alias("sector"), (F.col("src_byte") % 2048).alias("byte")))
-    return F.to_json(F.struct(F.col("pts_ns").alias("pts"), F.col("ctype").alias("type"), F.col("keyframe").alias("key"), "size", src.alias("src")), {"ignoreNullFields": "true"})
+def picture_record(frames: DataFrame) -> Column:
+    """The JSON record of a picture but for its number: src is null where it is not known; members that were not measured (dts_ns, field_order, progressive,
+    nb_fields; columns that frames may have) are left out."""
+    held = set(frames.columns)
+    optional = lambda c, name: [F.col(c).alias(name)] if c in held else []
+    src = F.when(F.col("src_byte").isNotNull(), F.format_string('{"sector":%d,"byte":%d}', F.floor(F.col("src_byte") / 2048), F.col("src_byte") % 2048)).otherwise("null")
+    rest = F.to_json(F.struct(F.col("pts_ns").alias("pts"), *optional("dts_ns", "dts"), F.col("ctype").alias("type"), F.col("keyframe").alias("key"), "size", *optional("field_order", "field_order"), *optional("progressive", "progressive"), *optional("nb_fields", "nb_fields")), {"ignoreNullFields": "true"})
+    return F.concat(F.lit('"src":'), src, F.lit(","), F.substring(rest, 2, 1 << 30))
 
 
 def video_index_lines(frames: DataFrame, primary: Column) -> DataFrame:
     """title_id, n, line: a JSON record for each frame of the primary video, numbered from 0 in coded order."""
     n = F.row_number().over(W.partitionBy("title_id").orderBy("idx")) - 1
     f = frames.filter(primary).withColumn("n", n)
-    return f.select("title_id", "n", F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit(","), F.substring(picture_record(), 2, 1 << 30)).alias("line"))
+    return f.select("title_id", "n", F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit(","), picture_record(frames)).alias("line"))
 
 
 def video_index_headers(titles: DataFrame) -> DataFrame:
-    """title_id, n (-1, before all pictures) and line: the header of each title (title_id, codec, width, height, num, den, medium, path, title; playlist and
-    picture_count if known)."""
-    stream = F.struct("codec", "width", "height", F.array("num", "den").alias("frame_rate"))
-    source = F.struct("medium", "path", "title", F.lit(2048).alias("sector_size"), "playlist")
-    doc = F.struct(F.lit("fvi").alias("format"), F.lit(1).alias("fvi_version"), stream.alias("stream"), source.alias("source"), F.lit(1_000_000_000).alias("timescale"), "picture_count")
+    """title_id, n (-1, before all pictures) and line: the header of each title: codec, width, height, dar and frame_rate (struct of num, den), scan, colour (struct
+    of primaries, transfer, matrix, range), medium, path, title; playlist, volume_id and picture_count, left out where null or empty."""
+    pair = lambda c: F.array(F.col(f"{c}.num"), F.col(f"{c}.den")).alias(c)
+    told = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+    stream = F.struct("codec", "width", "height", pair("dar"), pair("frame_rate"), "scan", "colour")
+    source = F.struct("medium", "path", "title", F.lit(2048).alias("sector_size"), told("playlist"), told("volume_id"))
+    doc = F.struct(F.lit("fvi").alias("format"), F.lit(1).alias("fvi_version"), F.lit("reelspark").alias("generator"), stream.alias("stream"), source.alias("source"), F.lit(1_000_000_000).alias("timescale"), "picture_count")
     return titles.select("title_id", F.lit(-1).alias("n"), F.to_json(doc, {"ignoreNullFields": "true"}).alias("line"))
 
 
@@ -138,12 +144,52 @@ def export_chapters(chapters: DataFrame, fmt: str) -> DataFrame:
     return g.select("title_id", F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["part"]), ""), F.lit(tail)).alias("text"))
 
 
-def title_json(titles: DataFrame, streams: DataFrame, chapters: DataFrame) -> DataFrame:
-    """title_id and the nested document of each title."""
-    s = streams.groupBy("title_id").agg(F.array_sort(F.collect_list(F.struct("ord", "pid", "kind", "codec", "language"))).alias("streams"))
-    c = chapters.groupBy("title_id").agg(F.array_sort(F.collect_list(F.struct("n", "time_secs", "name"))).alias("chapters"))
-    t = titles.join(s, "title_id", "left").join(c, "title_id", "left")
-    return t.select("title_id", F.to_json(F.struct("title_id", "playlist", "duration_secs", "size_bytes", "streams", "chapters")).alias("document"))
+#: Members of a stream in a title's document, by kind, in order; those of the last are left out where they are empty or not known.
+MODEL = {
+    "video": ("resolution", "width", "height", "interlaced", "frame_rate", "frame_rate_num", "frame_rate_den", "hdr", "color_space", "secondary", "mvc_dependent"),
+    "audio": ("language", "channels", "channel_count", "sample_rate", "sample_rate_hz", "secondary", "purpose"),
+    "subtitle": ("language", "forced", "qualifier"),
+}
+EXTRA = {"video": ("display_aspect", "measured_cicp", "label"), "audio": ("label",), "subtitle": ()}
+
+
+def stream_json(streams: DataFrame) -> Column:
+    """One stream's whole model as JSON: kind, codec, pid and the members of its kind. Columns that streams lack count as unknown: null, but display_aspect (struct of
+    num, den), measured_cicp (struct of matrix, transfer, primaries, range) and label, which are left out."""
+    held = {c.lower() for c in streams.columns}
+
+    def member(name: str) -> Column:
+        if name not in held:
+            return F.lit(None).cast("string").alias(name)
+        if name == "display_aspect":
+            return F.when(F.col(name).isNotNull(), F.format_string("%d:%d", F.col(f"{name}.num"), F.col(f"{name}.den"))).alias(name)
+        return F.when(F.col(name) != "", F.col(name)).alias(name) if name == "label" else F.col(name).alias(name)
+
+    def of(kind: str) -> Column:
+        own = F.to_json(F.struct("kind", "codec", "pid", *map(member, MODEL[kind])), {"ignoreNullFields": "false"})
+        more = [F.to_json(F.struct(member(m)), {"ignoreNullFields": "true"}) for m in EXTRA[kind]]
+        # objects of the members that are known, joined into one
+        tails = [F.when(F.length(m) > 2, F.concat(F.lit(","), F.substring(m, 2, 1 << 30), F.lit(""))).otherwise("}") for m in more]
+        out = F.substring(own, F.lit(1), F.length(own) - 1)
+        for t in tails:
+            out = F.concat(out, F.substring(t, F.lit(1), F.length(t) - 1))
+        return F.concat(out, F.lit("}"))
+
+    return F.coalesce(*[F.when(F.col("kind") == k, of(k)) for k in MODEL])
+
+
+def title_json(titles: DataFrame, clips: DataFrame, streams: DataFrame, chapters: DataFrame) -> DataFrame:
+    """title_id and the whole document of each title (title_id, playlist, playlist_id, duration_secs, size_bytes, content_format): identity, duration and size, its clips (ord, clip_id,
+    duration_secs, source_packets), the models of its streams (ord and what stream_json reads), its chapters (n, time_secs, name), each in order; empty lists where it has none."""
+    listed = lambda df, order, json, name: df.select("title_id", F.col(order).alias("_o"), json.alias("_j")).groupBy("title_id").agg(F.array_sort(F.collect_list(F.struct("_o", "_j"))).alias("l")).select("title_id", F.array_join(F.transform("l", lambda x: x["_j"]), ",").alias(name))
+    plain = lambda *members: F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
+    c = listed(clips, "ord", plain("clip_id", "duration_secs", "source_packets"), "_clips")
+    s = listed(streams, "ord", stream_json(streams), "_streams")
+    h = listed(chapters, "n", plain("n", F.col("time_secs").alias("start_secs"), "name"), "_chapters")
+    t = titles.join(c, "title_id", "left").join(s, "title_id", "left").join(h, "title_id", "left")
+    head = plain("playlist", "playlist_id", "duration_secs", "size_bytes", F.col("content_format").alias("format"))
+    lists = [F.concat(F.lit(f',"{name}":['), F.coalesce(f"_{name}", F.lit("")), F.lit("]")) for name in ("clips", "streams", "chapters")]
+    return t.select("title_id", F.concat(F.substring(head, F.lit(1), F.length(head) - 1), *lists, F.lit("}")).alias("document"))
 
 
 def read_source_packets(spark: SparkSession, path: str, length: int = 192, range_bytes: int = 64 << 20) -> DataFrame:

@@ -174,9 +174,9 @@ def stream_video_index(frames: DataFrame) -> DataFrame:
 
     from reelspark.sources.files import picture_record
 
-    narrow = frames.select("title_id", "idx", picture_record().alias("record"))
+    narrow = frames.select("title_id", "idx", picture_record(frames).alias("record"))
     out = narrow.groupBy("title_id").applyInPandasWithState(number, "title_id long, n long, record string", "n long", "append", GroupStateTimeout.NoTimeout)
-    return out.select("title_id", "n", F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit(","), F.substring("record", 2, 1 << 30)).alias("line"))
+    return out.select("title_id", "n", F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit(","), F.col("record")).alias("line"))
 
 
 def on_progress(samples: DataFrame, callback, checkpoint: str):
