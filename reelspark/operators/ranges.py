@@ -94,14 +94,15 @@ class _Overlay:
     """The records open at a position, the latest first, and the range that is being made."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[int, int, str]] = []
+        self.open: list[tuple[int, int, str, int]] = []
         self.at = 0
         self.run: list | None = None
         self.out: list[tuple[int, int, str]] = []
+        self.lo = self.hi = -1
 
     def forward(self, to: int | None) -> None:
         while self.open and (to is None or self.at < to):
-            _, end, status = self.open[0]
+            _, _, status, end = self.open[0]
             if end <= self.at:
                 heapq.heappop(self.open)
                 continue
@@ -113,8 +114,9 @@ class _Overlay:
                 self.run = [self.at, stop, status]
             self.at = stop
 
-    def add(self, seq: int, end: int, status: str) -> None:
-        heapq.heappush(self.open, (-seq, end, status))
+    def add(self, seq: int, end: int, status: str, whole_end: int | None = None) -> None:
+        """A record open up to end; of the same seq the one whose own end, before it was cut, is the smaller wins."""
+        heapq.heappush(self.open, (-seq, end if whole_end is None else whole_end, status, end))
 
     def close(self) -> None:
         if self.run:
@@ -122,33 +124,69 @@ class _Overlay:
         self.run = None
 
     def taken(self, key: str, value) -> pd.DataFrame:
-        out = pd.DataFrame(self.out, columns=["pos", "size", "status"])
+        out = pd.DataFrame(self.out, columns=["pos", "size", "status"]).astype({"pos": "int64", "size": "int64"})
         out.insert(0, key, value)
         self.out = []
         return out
 
 
-def overlay_ranges(log: DataFrame, key: str = "disc_id") -> DataFrame:
+#: Records of a cell of a disc, and cells of a disc at most.
+CELL, CELLS = 1 << 20, 1024
+
+
+def _cuts(log: DataFrame, key: str, cell: int) -> DataFrame:
+    """Positions at which discs of more than `cell` records are cut, about `cell` records apart; a cut for each `cell` records of the log at most, so the table is a millionth of it."""
+    steps = F.array(*[F.lit(k / CELLS) for k in range(1, CELLS)])
+    held = log.groupBy(key).agg(F.count("*").alias("n"), F.percentile_approx("pos", steps, F.lit(10_000)).alias("q")).filter(F.col("n") > cell)
+    every = F.ceil(F.lit(CELLS) * cell / F.col("n")).cast("int")
+    picked = F.filter("q", lambda x, i: (i + 1) % every == 0)
+    return held.select(F.col(key).alias("_key"), F.array_sort(F.array_distinct(picked)).alias("_cuts"))
+
+
+def overlay_ranges(log: DataFrame, key: str = "disc_id", cell: int = CELL) -> DataFrame:
     """Replays a log of (pos, size, status) in the order of seq: the latest record wins wherever records overlap; then W1.
 
     One sweep by position over each disc's records: of the records open at a place the latest gives its status. Ties of seq go to
-    the smaller end, then status."""
-
-    def step(state: _Overlay, rows: pd.DataFrame) -> pd.DataFrame:
-        for pos, size, seq, status in zip(rows["pos"].tolist(), rows["size"].tolist(), rows["seq"].tolist(), rows["status"].tolist()):
+    the smaller end, then status. A disc of more than `cell` records is cut at quantiles of position into cells that are swept apart: records are cut with it, of those that
+    cover a cell from end to end the latest stays (picked before the shuffle), and ranges that meet at a cut are joined again, two rows a cell. So one disc that holds all
+    records runs in as many tasks as it has cells."""
+    rows = log.filter("size > 0").select(key, F.col("pos").cast("long").alias("pos"), (F.col("pos") + F.col("size")).cast("long").alias("end"), "seq", "status")
+    cut = rows.join(F.broadcast(_cuts(rows, key, cell)), F.col(key) == F.col("_key"), "left").drop("_key")
+    first, last = F.size(F.filter("_cuts", lambda c: c <= F.col("pos"))), F.size(F.filter("_cuts", lambda c: c < F.col("end")))
+    bound = lambda i, other: F.coalesce(F.get("_cuts", i), F.lit(other))
+    far = (1 << 63) - 1
+    piece = lambda i: F.struct(i.alias("cell"), F.greatest("pos", bound(i - 1, -1)).alias("pos"), F.least("end", bound(i, far)).alias("end"), bound(i - 1, -1).alias("lo"), bound(i, far).alias("hi"))
+    whole = F.array(F.struct(F.lit(0).alias("cell"), "pos", "end", F.lit(-1).cast("long").alias("lo"), F.lit(far).alias("hi")))
+    cut = cut.withColumn("_p", F.explode(F.when(F.col("_cuts").isNull(), whole).otherwise(F.transform(F.sequence(first, last), piece))))
+    cut = cut.select(key, "_p.*", "seq", "status", F.col("end").alias("whole_end"))
+    covers = "pos = lo AND end = hi"
+    over = cut.filter(covers).groupBy(key, "cell").agg(F.min(F.struct((-F.col("seq")).alias("late"), "whole_end", "status", "pos", "end")).alias("m"))
+    late = over.select(key, "cell", "m.pos", "m.end", F.col("m.pos").alias("lo"), F.col("m.end").alias("hi"), (-F.col("m.late")).cast(log.schema["seq"].dataType).alias("seq"), "m.status", "m.whole_end")
+    swept = cut.filter(f"NOT ({covers})").unionByName(late)
+
+    def made_of(state: _Overlay, held: tuple) -> pd.DataFrame:
+        """Ranges that are done, and whether they begin or end where the cell does."""
+        out = state.taken(key, held[0])
+        return out.assign(edge=(out["pos"] == state.lo) | (out["pos"] + out["size"] == state.hi))
+
+    def step(state: _Overlay, part: pd.DataFrame) -> pd.DataFrame:
+        for pos, end, seq, status, whole_end in zip(*(part[c].tolist() for c in ("pos", "end", "seq", "status", "whole_end"))):
             state.forward(pos)
             state.at = max(state.at, pos)
-            state.add(seq, pos + size, status)
-        return state.taken(key, rows[key].iloc[0])
+            state.add(seq, end, status, whole_end)
+        state.lo, state.hi = int(part["lo"].iloc[0]), int(part["hi"].iloc[0])
+        return made_of(state, (part[key].iloc[0],))
 
     def end(state: _Overlay, held: tuple) -> pd.DataFrame:
         state.forward(None)
         state.close()
-        return state.taken(key, held[0])
+        return made_of(state, held)
 
     kind = log.schema[key].dataType.simpleString()
-    rows = log.filter("size > 0").select(key, F.col("pos").cast("long").alias("pos"), F.col("size").cast("long").alias("size"), "seq", "status")
-    return in_order(rows, [key], ["pos", "seq"], f"{key} {kind}, pos long, size long, status string", _Overlay, step, end)
+    made = in_order(swept, [key, "cell"], ["pos", "seq"], f"{key} {kind}, pos long, size long, status string, edge boolean", _Overlay, step, end)
+    # only ranges that begin or end at a cut can go on beyond it
+    joined = coalesce_ranges(made.filter("edge").select(key, "pos", "size", "status"), key)
+    return made.filter("NOT edge").drop("edge").unionByName(joined.select(key, "pos", "size", "status"))
 
 
 def subtract_ranges(bad: DataFrame, recovered: DataFrame, key: str = "disc_id") -> DataFrame:

@@ -344,3 +344,14 @@ def test_deep_paths_orphans_and_cycles(spark):
     asked = spark.createDataFrame([(1, whole["d99"].upper() + "/file.txt/")], "disc_id long, query string")
     assert D.find_path(paths, asked).first()["id"] == "f"
     assert D.resolve_paths(entries.filter("id = ''")).count() == 0
+
+
+@pytest.mark.parametrize("cell", [30, 7])
+def test_one_large_disc_is_swept_in_cells(spark, cell):
+    rng = random.Random(cell)
+    rows = [(d, i, rng.randrange(0, 4000), rng.choice([1, 5, 60, 900, 4000]), rng.choice("+-*/?")) for d, n in ((1, 400), (2, 5), (3, 60)) for i in range(n)]
+    rows += [(1, 400 + k, 0, 9000, s) for k, s in enumerate("+-")] + [(1, 401, 0, 8000, "*"), (1, 402, 2000, 7000, "/")]
+    log = ranges(spark, rows)
+    key = lambda df: sorted((r["disc_id"], r["pos"], r["size"], r["status"]) for r in df.collect())
+    assert R._cuts(log, "disc_id", cell).filter("_key <> 2 AND size(_cuts) >= 1").count() == 2
+    assert key(R.overlay_ranges(log, cell=cell)) == key(R.overlay_ranges(log))
