@@ -1,6 +1,6 @@
 """Streaming forms of the operators: windowed counts, and rules with a small state per disc, title or track.
 
-The stateful ones take rows in the order of their sequence number inside a micro-batch and across batches; each key's
+The stateful ones take rows in the order of their sequence number; with `late` rows may come in any order that the watermark allows (ordered.keyed). Each key's
 state is a few numbers, kept in the state store of the query's checkpoint.
 """
 
@@ -11,9 +11,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from reelspark.operators.frames import Timeline
+from reelspark.streaming.ordered import ROCKS, STORE, Late, keyed
 
 
 def stream_event_counts(events: DataFrame, width: str = "1 minute", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -38,7 +40,7 @@ def _ordered(batches: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(by).reset_index(drop=True)
 
 
-def stream_progress_beats(samples: DataFrame, gap_us: int = 5_000_000) -> DataFrame:
+def stream_progress_beats(samples: DataFrame, gap_us: int = 5_000_000, late: Late | None = None) -> DataFrame:
     """Samples (disc_id, phase, at_us, bytes_done) at least the gap after the last that was let through."""
 
     def beat(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -52,10 +54,10 @@ def stream_progress_beats(samples: DataFrame, gap_us: int = 5_000_000) -> DataFr
         state.update((last,))
         yield rows.iloc[kept][["disc_id", "phase", "at_us", "bytes_done"]]
 
-    return samples.groupBy("disc_id", "phase").applyInPandasWithState(beat, "disc_id long, phase string, at_us long, bytes_done long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return keyed(samples, ["disc_id", "phase"], "at_us", beat, "disc_id long, phase string, at_us long, bytes_done long", "last long", "append", late)
 
 
-def stream_damage_zones(log: DataFrame, good: int = 16) -> DataFrame:
+def stream_damage_zones(log: DataFrame, good: int = 16, late: Late | None = None) -> DataFrame:
     """Errors of a read log (disc_id, seq, ok, sense_key) with their zone; the state is the reads since the last error and the zone."""
 
     def zones(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,10 +74,10 @@ def stream_damage_zones(log: DataFrame, good: int = 16) -> DataFrame:
         state.update((since, zone))
         yield pd.DataFrame(out, columns=["disc_id", "seq", "zone", "opens"])
 
-    return log.groupBy("disc_id").applyInPandasWithState(zones, "disc_id long, seq long, zone long, opens boolean", "since long, zone long", "append", GroupStateTimeout.NoTimeout)
+    return keyed(log, ["disc_id"], "seq", zones, "disc_id long, seq long, zone long, opens boolean", "since long, zone long", "append", late)
 
 
-def stream_resync(frames: DataFrame, video_track: int = 0) -> DataFrame:
+def stream_resync(frames: DataFrame, video_track: int = 0, late: Late | None = None) -> DataFrame:
     """Frames let through: from a discontinuity on, video waits for a key frame. The state is whether it waits."""
 
     def gate(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -89,10 +91,10 @@ def stream_resync(frames: DataFrame, video_track: int = 0) -> DataFrame:
         state.update((waits,))
         yield rows.iloc[kept][["title_id", "track", "idx"]]
 
-    return frames.groupBy("title_id", "track").applyInPandasWithState(gate, "title_id long, track long, idx long", "waits boolean", "append", GroupStateTimeout.NoTimeout)
+    return keyed(frames, ["title_id", "track"], "idx", gate, "title_id long, track long, idx long", "waits boolean", "append", late)
 
 
-def stream_timeline(frames: DataFrame, primary: Column) -> DataFrame:
+def stream_timeline(frames: DataFrame, primary: Column, late: Late | None = None) -> DataFrame:
     """The rule of timeline_continuity with its offsets and frontier as state."""
 
     def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -104,11 +106,11 @@ def stream_timeline(frames: DataFrame, primary: Column) -> DataFrame:
         state.update((held.offset, held.previous, held.high, held.epoch))
         yield pd.DataFrame(out, columns=["title_id", "idx", "ts", "epoch"])
 
-    narrow = frames.select("title_id", "idx", "pts_ns", primary.alias("primary"))
-    return narrow.groupBy("title_id").applyInPandasWithState(follow, "title_id long, idx long, ts long, epoch int", "offset long, previous long, high long, epoch int", "append", GroupStateTimeout.NoTimeout)
+    narrow = frames.select("title_id", "idx", "pts_ns", primary.alias("primary"), *([late.event_time] if late else []))
+    return keyed(narrow, ["title_id"], "idx", follow, "title_id long, idx long, ts long, epoch int", "offset long, previous long, high long, epoch int", "append", late)
 
 
-def stream_scores(attempts: DataFrame) -> DataFrame:
+def stream_scores(attempts: DataFrame, late: Late | None = None) -> DataFrame:
     """Each handler's score after every micro-batch, by the rule of ewma_scores."""
 
     def score(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -120,10 +122,10 @@ def stream_scores(attempts: DataFrame) -> DataFrame:
         state.update((held,))
         yield pd.DataFrame({"disc_id": [key[0]], "handler": [key[1]], "score": [held or 0.0]})
 
-    return attempts.groupBy("disc_id", "handler").applyInPandasWithState(score, "disc_id long, handler string, score double", "score double", "update", GroupStateTimeout.NoTimeout)
+    return keyed(attempts, ["disc_id", "handler"], "seq", score, "disc_id long, handler string, score double", "score double", "update", late)
 
 
-def stream_drop_tally(units: DataFrame, least: int = 200) -> DataFrame:
+def stream_drop_tally(units: DataFrame, least: int = 200, late: Late | None = None) -> DataFrame:
     """Kept, dropped and verified units so far, and whether the track is poisoned, which stays so."""
 
     def tally(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -135,35 +137,76 @@ def stream_drop_tally(units: DataFrame, least: int = 200) -> DataFrame:
         state.update((int(kept), int(dropped), int(verified), bool(poisoned)))
         yield pd.DataFrame({"title_id": [key[0]], "track": [key[1]], "kept": [int(kept)], "dropped": [int(dropped)], "verified": [int(verified)], "poisoned": [bool(poisoned)]})
 
-    return units.groupBy("title_id", "track").applyInPandasWithState(tally, "title_id long, track long, kept long, dropped long, verified long, poisoned boolean", "kept long, dropped long, verified long, poisoned boolean", "update", GroupStateTimeout.NoTimeout)
+    return keyed(units, ["title_id", "track"], "idx", tally, "title_id long, track long, kept long, dropped long, verified long, poisoned boolean", "kept long, dropped long, verified long, poisoned boolean", "update", late)
 
 
-def stream_range_map(log: DataFrame) -> DataFrame:
-    """G1: the map of each disc after every micro-batch that has records for it (disc_id, seq, pos, size, status): disc_id, version and the ranges' pos, size and
-    status as arrays. The state is the map so far; new records lie over it in the order of seq."""
+#: Bytes of a bin of a map's state.
+MAP_BIN = 1 << 26
+
+
+def laid_over(held: list[tuple[int, int, str]], new: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Ranges (pos, end, status) after new ones, in their order, lie over those held."""
     from reelspark.operators.ranges import _Overlay
 
-    def lay(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches, "seq")
-        version, *old = state.get if state.exists else (0, [], [], [])
-        held = [(p, -1, n, s) for p, n, s in zip(*old)]
-        new = [(p, k, n, s) for k, (p, n, s) in enumerate(zip(rows["pos"].tolist(), rows["size"].tolist(), rows["status"].tolist())) if n > 0]
-        over = _Overlay()
-        for pos, k, size, status in sorted(held + new):
-            over.forward(pos)
-            over.at = max(over.at, pos)
-            over.add(k, pos + size, status)
-        over.forward(None)
-        over.close()
-        pos, size, status = ([list(c) for c in zip(*over.out)] or [[], [], []])
-        state.update((version + 1, pos, size, status))
-        yield pd.DataFrame({"disc_id": [key[0]], "version": [version + 1], "pos": [pos], "size": [size], "status": [status]})
-
-    kind = "pos array<long>, size array<long>, status array<string>"
-    return log.groupBy("disc_id").applyInPandasWithState(lay, f"disc_id long, version long, {kind}", f"version long, {kind}", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_video_index(frames: DataFrame) -> DataFrame:
+    over = _Overlay()
+    for pos, k, end, status in sorted([(p, -1, e, s) for p, e, s in held] + [(p, k, e, s) for k, (p, e, s) in enumerate(new)]):
+        over.forward(pos)
+        over.at = max(over.at, pos)
+        over.add(k, end, status)
+    over.forward(None)
+    over.close()
+    return [(p, p + n, s) for p, n, s in over.out]
+
+
+class _RangeMap(StatefulProcessor):
+    """The map of a disc by bins of positions: a batch reads and writes the bins that its records touch."""
+
+    def __init__(self, width: int) -> None:
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bins = handle.getMapState("bins", "bin long", "pos array<long>, finish array<long>, status array<string>")
+        self.version = handle.getValueState("version", "version long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values("seq")
+        touched: dict[int, list[tuple[int, int, str]]] = {}
+        for pos, size, status in zip(new["pos"].tolist(), new["size"].tolist(), new["status"].tolist()):
+            for b in range(pos // self.width, -(-(pos + size) // self.width) if size > 0 else 0):
+                touched.setdefault(b, []).append((max(pos, b * self.width), min(pos + size, (b + 1) * self.width), status))
+        version = (self.version.get()[0] if self.version.exists() else 0) + 1
+        self.version.update((version,))
+        for b, laid in sorted(touched.items()):
+            held = list(zip(*self.bins.getValue((b,)))) if self.bins.containsKey((b,)) else []
+            pos, end, status = (list(c) for c in zip(*laid_over(held, laid)))
+            self.bins.updateValue((b,), (pos, end, status))
+            yield pd.DataFrame({"disc_id": [key[0]], "version": [version], "bin": [b], "pos": [pos], "size": [[e - p for p, e in zip(pos, end)]], "status": [status]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_range_map(log: DataFrame, width: int = MAP_BIN) -> DataFrame:
+    """G1: changes of each disc's map by micro-batch: for every bin of positions that new records (disc_id, seq, pos, size, status) touch, its number, the disc's version and the ranges in it as
+    arrays, cut at the bin's ends. The latest of each bin, joined by coalesce_ranges, is the map (latest_map). New records lie over the map in the order of seq; the
+    state is a map by bins, so a batch reads and writes what it touches, however large the map is. Needs the RocksDB state store, which is set if none is."""
+    conf = log.sparkSession.conf
+    if "RocksDB" not in (conf.get(STORE, "") or ""):
+        conf.set(STORE, ROCKS)
+    out = "disc_id long, version long, bin long, pos array<long>, size array<long>, status array<string>"
+    return log.groupBy("disc_id").transformWithStateInPandas(_RangeMap(width), out, "Append", "None")
+
+
+def latest_map(changes: DataFrame) -> DataFrame:
+    """The map that stream_range_map's rows come to: disc_id, pos, size, status."""
+    from reelspark.operators.ranges import coalesce_ranges
+
+    last = changes.groupBy("disc_id", "bin").agg(F.max_by(F.struct("pos", "size", "status"), "version").alias("m"))
+    r = last.select("disc_id", F.explode(F.arrays_zip("m.pos", "m.size", "m.status")).alias("r")).select("disc_id", "r.*")
+    return coalesce_ranges(r).select("disc_id", "pos", "size", "status")
+
+
+def stream_video_index(frames: DataFrame, late: Late | None = None) -> DataFrame:
     """N and record of each frame of the primary video (title_id, idx and what video_index_lines reads), in the order of idx; the state is each title's counter."""
 
     def number(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -174,8 +217,8 @@ def stream_video_index(frames: DataFrame) -> DataFrame:
 
     from reelspark.sources.files import picture_record
 
-    narrow = frames.select("title_id", "idx", picture_record(frames).alias("record"))
-    out = narrow.groupBy("title_id").applyInPandasWithState(number, "title_id long, n long, record string", "n long", "append", GroupStateTimeout.NoTimeout)
+    narrow = frames.select("title_id", "idx", picture_record(frames).alias("record"), *([late.event_time] if late else []))
+    out = keyed(narrow, ["title_id"], "idx", number, "title_id long, n long, record string", "n long", "append", late)
     return out.select("title_id", "n", F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit(","), F.col("record")).alias("line"))
 
 

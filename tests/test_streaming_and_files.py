@@ -188,11 +188,13 @@ def test_stream_maps_indexes_counts(spark, tmp_path):
     rng = random.Random(6)
     schema = "disc_id long, seq long, pos long, size long, status string"
     rows = [(d, i, rng.randrange(90), rng.randrange(0, 25), rng.choice("+-*/?")) for i in range(40) for d in range(2)]
-    got = {}
-    for r in sorted(streamed(spark, tmp_path / "a", rows, schema, lambda r: r[1], G.stream_range_map), key=lambda r: r["version"]):
-        got[r["disc_id"]] = list(zip(r["pos"], r["size"], r["status"]))
+    changes = streamed(spark, tmp_path / "a", rows, schema, lambda r: r[1], lambda s: G.stream_range_map(s, 20))
+    kind = "disc_id long, version long, bin long, pos array<long>, size array<long>, status array<string>"
     want = R.overlay_ranges(spark.createDataFrame(rows, schema)).collect()
-    assert {d: sorted((r["pos"], r["size"], r["status"]) for r in want if r["disc_id"] == d) for d in range(2)} == got
+    assert sorted(map(tuple, G.latest_map(spark.createDataFrame(changes, kind)).collect())) == sorted((r["disc_id"], r["pos"], r["size"], r["status"]) for r in want)
+    # a small record is a change of its own bins only
+    few = streamed(spark, tmp_path / "a2", [(1, 0, 0, 1000, "?"), (1, 1, 30, 20, "+")], schema, lambda r: r[1], lambda s: G.stream_range_map(s, 20), parts=2)
+    assert sorted((r["version"], r["bin"]) for r in few) == [(1, b) for b in range(50)] + [(2, 1), (2, 2)]
     frames = [(t, 0, i, i * 10, i % 3 == 0, "I" if i % 3 == 0 else "P", 5, None if i == 1 else i * 3000) for t in range(2) for i in range(7)]
     schema = "title_id long, track long, idx long, pts_ns long, keyframe boolean, ctype string, size long, src_byte long"
     got = streamed(spark, tmp_path / "b", frames, schema, lambda r: r[2], G.stream_video_index)
@@ -257,3 +259,30 @@ def test_units_match_the_rule_packet_by_packet(spark):
         got = [(*(r[c] for c in ("file_id", "pid", "first_rec", "pts", "dts", "discontinuity")), bytes(r["data"])) for r in K.assemble_pes(packets, most).collect()]
         assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 60
         assert {r[5] for r in want} == {True, False}
+
+
+def test_late_rows_wait_for_the_watermark(spark, tmp_path):
+    """Shuffled batches give what the rows in order give; a row beyond the watermark is dropped, and a key that has ended begins anew."""
+    from datetime import datetime, timedelta, timezone
+
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = [(t, i % 2, i, rng.choice([i, i - 200]) * 40_000_000, rng.random() < 0.3, rng.random() < 0.2, start + timedelta(seconds=i)) for t in range(2) for i in range(40)]
+    schema = FRAME + ", ts timestamp"
+    late = G.Late("ts", "30 seconds", 60_000)
+    # rows come up to 20 s late; the last only moves the watermark on
+    shuffled = sorted(rows, key=lambda r: r[2] + rng.randrange(20)) + [(9, 0, 0, 0, True, False, start + timedelta(seconds=500))]
+    place = {r: k for k, r in enumerate(shuffled)}
+    batch = spark.createDataFrame(rows, schema)
+    got = [r for r in streamed(spark, tmp_path / "a", shuffled, schema, lambda r: place[r], lambda s: G.stream_resync(s, late=late), parts=5) if r["title_id"] < 9]
+    want = O.resync_gate(batch, F.col("track") == 0).select("title_id", "track", "idx").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    got = [r for r in streamed(spark, tmp_path / "b", shuffled, schema, lambda r: place[r], lambda s: G.stream_timeline(s, F.col("track") == 0, late=late), parts=5) if r["title_id"] < 9]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, O.timeline_continuity(batch, F.col("track") == 0).collect()))
+    # zones count on over batches until the state has ended
+    log = "disc_id long, seq long, ok boolean, sense_key int, ts timestamp"
+    at = lambda s: start + timedelta(seconds=s)
+    reads = [(1, 0, False, 3, at(0)), (1, 20, False, 3, at(20)), (8, 0, True, 3, at(60)), (1, 30, False, 3, at(75)), (8, 1, True, 3, at(300)), (8, 2, True, 3, at(301)), (1, 50, False, 3, at(320)), (8, 3, True, 3, at(700)), (8, 4, True, 3, at(701))]
+    order = {r: k for k, r in enumerate(reads)}
+    got = streamed(spark, tmp_path / "c", reads, log, lambda r: order[r], lambda s: G.stream_damage_zones(s, late=late), parts=9)
+    assert sorted((r["seq"], r["zone"], r["opens"]) for r in got) == [(0, 1, True), (20, 1, False), (30, 1, False), (50, 1, True)]
