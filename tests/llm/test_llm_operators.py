@@ -403,9 +403,11 @@ def test_lm_scores_match_brute_force_over_all_words(spark):
 
 
 def test_license_scan_matches_brute_force(spark):
+    """Against every run of lines and every template."""
     rng = random.Random(6)
-    lines = [*licenses.TEMPLATES.values(), "licensed under the apache license version 2.0", "Released under the MIT license today.", "mit", ""]
-    texts = ["\n".join(rng.choice(lines) if rng.random() < 0.4 else prose(rng, rng.randrange(12)) for _ in range(6)) for _ in range(40)] + [None, ""]
+    notices = [t for t in licenses.TEMPLATES.values() if len(t) < 200]
+    lines = [*notices, "licensed under the apache license version 2.0", "Released under the MIT license today.", "mit", "", "Released under", "the MIT License.", "Licensed under CC", "BY 4.0. of the"]
+    texts = ["\n".join(rng.choice(lines) if rng.random() < 0.6 else prose(rng, rng.randrange(12)) for _ in range(7)) for _ in range(60)] + [None, ""]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = by_id(licenses.scan_licenses(d))
 
@@ -415,16 +417,35 @@ def test_license_scan_matches_brute_force(spark):
 
     known = {n: pairs(t) for n, t in licenses.TEMPLATES.items()}
     for i, t in enumerate(texts):
+        parts, made = (t or "").split("\n"), []
+        for a in range(len(parts)):
+            for z in range(a, len(parts)):
+                own = pairs("\n".join(parts[a : z + 1]))
+                made += [(-2 * len(own & b) / (len(own) + len(b)), z - a, a + 1, n) for n, b in known.items() if 2 * len(own & b) >= licenses.THRESHOLD * (len(own) + len(b))]
         want = []
-        for k, line in enumerate((t or "").split("\n"), 1):
-            own = pairs(line)
-            best = min(((-2 * len(own & b) / (len(own) + len(b)), n) for n, b in known.items() if own), default=(0, ""))
-            if -best[0] >= licenses.THRESHOLD:
-                want.append((k, best[1], round(-best[0], 9)))
-        assert [(s["line"], s["name"], round(s["dice"], 9)) for s in got[i]["licenses"]] == want, t
+        for dice, more, a, n in sorted(made):
+            if all(a + more < o[0] or o[1] < a for o in want):
+                want.append((a, a + more, n, round(-dice, 9)))
+        assert [(s["line"], s["last_line"], s["name"], round(s["dice"], 9)) for s in got[i]["licenses"]] == sorted(want), t
     assert licenses.scan_licenses(d.filter("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["MIT-text", "BSD-3-Clause", "ISC"])
+def test_wrapped_licenses_are_found(spark, name):
+    """Whole licenses wrapped at 78 columns, between prose, with a changed holder and comment marks."""
+    import textwrap
+
+    rng = random.Random(2)
+    body = textwrap.wrap(licenses.TEMPLATES[name].replace("COPYRIGHT HOLDERS", "EXAMPLE PEOPLE"), 78)
+    head, tail = [prose(rng, 9) for _ in range(30)], [prose(rng, 9) for _ in range(20)]
+    text = "\n".join(head + ["", "Copyright (c) 2020 Somebody", ""] + [f" * {x}" for x in body] + [""] + tail)
+    d = spark.createDataFrame([(1, text), (2, "\n".join(head + tail))], "doc_id long, text string")
+    got = by_id(licenses.scan_licenses(d))
+    (one,) = got[1]["licenses"]
+    assert one["name"] == name and one["dice"] > 0.9 and abs(one["line"] - 34) <= 1 and abs(one["last_line"] - 33 - len(body)) <= 1
+    assert got[2]["licenses"] == []
+
+
 def events(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, seq long, kind string, turn long, role string, text string")
 
