@@ -88,7 +88,7 @@ QUERIES = {
     "w22_cluster_frames": lambda s, d: O.cluster_frames(frames(s, d), video()),
     "w23_audio_delays": lambda s, d: O.audio_delays(frames(s, d), F.col("track") != 0, video()),
     "w30_rebase_to_first_video": lambda s, d: O.rebase_to_first_video(frames(s, d), video()).select("title_id", "track", "idx", "ts"),
-    "a4_track_bitrate": lambda s, d: O.track_bitrate(frames(s, d), view(s, d, "titles").filter("title_id % 2 = 0"), video()),
+    "a4_track_bitrate": lambda s, d: O.track_bitrate(frames(s, d), view(s, d, "titles").filter("duration_secs > 3000"), video()),
     "a7_drop_tally": lambda s, d: O.drop_tally(units(s, d)),
     "a11_detect_rate": lambda s, d: O.detect_rate(frames(s, d)),
     "j3_clip_time_extents": j3,
@@ -191,7 +191,7 @@ SELECT title_id, track, CAST(sign(a - v) * ((abs(a - v) + 500000) // 1000000) AS
     "w30_rebase_to_first_video": FR + ", v AS (SELECT title_id, arg_min(pts_ns, idx) AS v FROM frames WHERE track = 0 GROUP BY ALL) SELECT title_id, track, idx, pts_ns - v AS ts FROM frames JOIN v USING (title_id)",
     "a4_track_bitrate": with_views("frames", "titles") + """, s AS (SELECT title_id, min(idx) AS i, arg_min(pts_ns // 100000, idx) AS t FROM frames WHERE keyframe AND track = 0 GROUP BY ALL),
 f AS (SELECT f.title_id, track, size, greatest(pts_ns // 100000 - t, 0) AS fin FROM frames f JOIN s ON s.title_id = f.title_id AND f.idx >= s.i), m AS (SELECT title_id, max(fin) AS fin FROM f GROUP BY ALL),
-g AS (SELECT title_id, track, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY ALL), d AS (SELECT title_id, duration_secs FROM titles WHERE title_id % 2 = 0),
+g AS (SELECT title_id, track, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY ALL), d AS (SELECT title_id, duration_secs FROM titles WHERE duration_secs > 3000),
 x AS (SELECT g.*, CASE WHEN duration_secs > 0 THEN duration_secs ELSE fin * 100000 / 1e9 END AS secs FROM g JOIN m USING (title_id) LEFT JOIN d USING (title_id))
 SELECT title_id, track, bytes, CASE WHEN secs > 0 AND bytes > 0 THEN CAST(round(bytes * 8.0 / secs) AS BIGINT) END AS bitrate FROM x""",
     "a7_drop_tally": FR + _UNITS + "SELECT title_id, track, count(*) FILTER (NOT dropped) AS kept, count(*) FILTER (dropped) AS dropped, count(*) FILTER (dropped AND verified) AS verified, CAST(coalesce(sum(greatest(duration_ns, 0)) FILTER (dropped), 0) AS BIGINT) AS dropped_ns FROM u GROUP BY ALL",

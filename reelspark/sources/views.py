@@ -1,6 +1,7 @@
 """Views that give the driver's tables the shapes of disc data: range logs, titles, extents, streams, frames, read logs.
 
-Each view is one SQL text for both engines; `{name}` names another view or table.
+Each view is one SQL text for both engines; `{name}` names another view or table. Clip infos of fewer than 6,000 packets count as not parsed, and clip infos
+do not list streams without a language, so that both sides of joins have rows that the other lacks.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ FROM {orders} o LEFT JOIN (SELECT title_id, CAST(sum(sector_count) AS BIGINT) AS
         ("play_items",),
         """SELECT title_id, item_no AS mark_no, item_no % 3 AS mark_type, item_no AS play_item_ref, in_time + 45000 * (item_no + 1) AS timestamp_45k FROM {play_items}""",
     ),
-    "clip_info": (("part",), "SELECT lpad(CAST(p_partkey AS VARCHAR(5)), 5, '0') AS clip_id, CAST(p_size AS BIGINT) * 1000 AS source_packets FROM {part} WHERE p_partkey % 10 <> 0"),
+    "clip_info": (("part",), "SELECT lpad(CAST(p_partkey AS VARCHAR(5)), 5, '0') AS clip_id, CAST(p_size AS BIGINT) * 1000 AS source_packets FROM {part} WHERE p_size >= 6"),
     "clip_extents": (("clip_info",), "SELECT clip_id, CAST(0 AS BIGINT) AS ord, CAST(clip_id AS BIGINT) * 64 AS start_lba, source_packets * 192 // 2048 AS sector_count FROM {clip_info}"),
     "stn_streams": (
         ("lineitem",),
@@ -53,7 +54,7 @@ FROM {orders} o LEFT JOIN (SELECT title_id, CAST(sum(sector_count) AS BIGINT) AS
   1 + l_partkey % 8 AS video_format, 1 + l_suppkey % 8 AS video_rate,
   CASE l_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 6 WHEN 3 THEN 12 ELSE 9 END AS audio_format FROM {{lineitem}}""",
     ),
-    "clip_streams": (("stn_streams",), "SELECT title_id, ord, pid + ord % 2 AS pid, CASE WHEN ord % 5 = 0 THEN 129 ELSE coding_type END AS coding_type, language FROM {stn_streams} WHERE ord % 3 <> 0"),
+    "clip_streams": (("stn_streams",), "SELECT title_id, ord, pid + ord % 2 AS pid, CASE WHEN ord % 5 = 0 THEN 129 ELSE coding_type END AS coding_type, language FROM {stn_streams} WHERE language <> ''"),
     "frames": (
         ("events",),
         """SELECT user_id AS title_id, event_id % 3 AS track, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) - 1 AS idx,
