@@ -94,6 +94,25 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
 
 
+def streamed_events(conversations: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as the log of a chat that came to them: a third of the texts is streamed in deltas, a third drafted and edited, a third drafted and
+    regenerated, by the text's crc32. Rows without a turn, or that share one, are whole messages. rebuild gives the rows again."""
+    text, turn = F.col("text"), F.col("turn").cast("decimal(38,0)")
+    third = F.floor(F.length(text) / 3).cast("int")
+    parts = [F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, F.length(text))]
+    draft = F.concat(F.lit("draft "), F.reverse(F.substring(text, 1, 24)))
+    event = lambda k, kind, said: F.struct((turn * 8 + k).alias("seq"), F.lit(kind).alias("kind"), F.col("role").alias("role"), said.alias("text"))
+    deltas = lambda k: [event(k + i, "delta", p) for i, p in enumerate(parts)]
+    streamed = F.array(event(0, "message", F.lit("")), *deltas(1))
+    edited = F.array(event(0, "message", draft), event(1, "delta", F.lit(" and more")), event(2, "edit", parts[0]), event(3, "delta", F.concat(*parts[1:])))
+    again = F.array(event(0, "message", draft), event(1, "delta", F.lit(" and more")), event(2, "regenerate", F.lit("")), *deltas(3))
+    how = F.crc32(text.cast("binary")) % 3
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", text_or_empty("text").alias("text"))
+    rows = rows.withColumn("_n", F.count("*").over(W.partitionBy("conv_id", "turn")))
+    log = F.when(F.col("turn").isNull() | (F.col("_n") > 1), F.array(event(0, "message", text))).when(how == 0, streamed).when(how == 1, edited).otherwise(again)
+    return rows.select("conv_id", "turn", F.explode(log).alias("e")).select("conv_id", "e.seq", "e.kind", "turn", "e.role", "e.text")
+
+
 def format_chats(events: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     return render(rebuild(events), learn)
 
@@ -104,7 +123,7 @@ CONTROL = "\\### Assistant: </turn> ok"
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    p = parse(format_chats(conversation_events(rows.unionByName(extra))))
+    p = parse(format_chats(streamed_events(rows.unionByName(extra))))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return p.select(
         "conv_id",

@@ -477,6 +477,18 @@ def test_chat_round_trip(spark):
         assert r["loss"] == "".join(t for role, t in own if role == "assistant")
 
 
+def test_streamed_logs_fold_to_their_rows(spark):
+    rng = random.Random(19)
+    text = lambda: rng.choice([None, "", "a", "ab", "\U0001f600é", "### x </turn>", prose(rng, 9)])
+    rows = [(c, t, rng.choice(["user", "assistant", None]), text()) for c in (None, 1, 2, -(1 << 62)) for t in (None, -3, 0, 1, 2, 3, 4, 1 << 62)]
+    rows += [(1, 2, "user", "shared turn"), (2, None, "user", "x"), (2, 4, "user", "twice"), (2, 4, "user", "twice")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat_format.streamed_events(d)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = sorted((str(r["conv_id"]), str(r["turn"]), r["role"], r["text"]) for r in chat_format.rebuild(log).collect())
+    assert got == sorted((str(c), str(t), r or "", x or "") for c, t, r, x in rows)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
