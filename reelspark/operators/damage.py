@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reelspark.operators import catalog as C
 from reelspark.operators import ranges as R
+from reelspark.sources.tables import written
 
 
 def locate_ranges(bad: DataFrame, extents: DataFrame, titles: DataFrame, chapters: DataFrame, k: int = 50, width: int = R.BIN) -> DataFrame:
@@ -15,7 +16,8 @@ def locate_ranges(bad: DataFrame, extents: DataFrame, titles: DataFrame, chapter
     sectors, play time in ms, chapter and time where the first sector is in the title (null outside, or without chapters or bytes). Besides, of the
     title: all ranges of the disc, how many are left out, the longest's play time, and the time at risk, that of the bytes of its extents in bad ranges.
 
-    Ranges last as their sizes, at whatever rate, so the k largest of a disc are picked once, not for each title."""
+    Ranges last as their sizes, at whatever rate, so the k largest of a disc are picked once, not for each title. The ranges are written once, as three joins read them."""
+    bad = written(bad, "bad-ranges")
     by_size = W.partitionBy("disc_id").orderBy(F.desc("size"), "pos")
     by_pos = W.partitionBy("disc_id").orderBy("pos", F.desc("size"))
     ranked = bad.select("disc_id", "pos", "size", F.row_number().over(by_size).alias("_by_size"), F.row_number().over(by_pos).alias("_by_pos"), F.count("*").over(W.partitionBy("disc_id")).alias("num_ranges"))
@@ -49,6 +51,7 @@ def progress_snapshot(ranges: DataFrame, discs: DataFrame, titles: DataFrame, ex
     """What is known of each disc (disc_id, total_bytes) between passes: bytes by state, and of its title (titles: one a disc, the main one) duration, size, bytes in ranges that
     are not good (not tried ones left out), and those ranges located (J8): `located` (lba, count, duration_ms, chapter, time_offset_secs; the k longest), how many there are and are left
     out, the longest's play time and the time at risk. A disc without a title, or without such ranges, has none."""
+    ranges = written(ranges, "overlay")
     bad = R.ranges_with(ranges, R.LOST)
     of = extents.join(titles.select("title_id"), "title_id", "left_semi")
     places = locate_ranges(bad, of, titles, chapters, k)

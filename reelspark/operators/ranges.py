@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelspark.operators.ordered import in_order
+from reelspark.sources.tables import written
 
 RETRYABLE = ("*", "/")
 PENDING = ("?", "*", "/")
@@ -286,8 +287,8 @@ def patch_order(ranges: DataFrame, key: str = "disc_id") -> DataFrame:
 
 def disc_damage(log: DataFrame, extents: DataFrame, titles: DataFrame) -> DataFrame:
     """How bad is each disc, and how many of its titles are hit: R1, A1, J5 and F22 on the discs' logs. lost_ms is the play time of
-    what is lost of the main title, the disc's largest."""
-    ranges = overlay_ranges(log)
+    what is lost of the main title, the disc's largest. The overlaid ranges are written once, as statistics and join both read them."""
+    ranges = written(overlay_ranges(log), "overlay")
     bad = ranges_with(ranges, LOST)
     hits = bytes_bad_in_title(extents, bad)
     main = titles.groupBy("disc_id").agg(F.max_by(F.struct("title_id", "size_bytes", "duration_secs"), F.struct("size_bytes", "duration_secs", (-F.col("title_id")).alias("low"))).alias("m"))

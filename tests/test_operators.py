@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import scalars as S
 from reelspark.operators import catalog as C
 from reelspark.operators import damage as D
-from reelspark.operators import dvd as D
+from reelspark.operators import dvd as V
 from reelspark.operators import frames as O
 from reelspark.operators import ranges as R
 
@@ -335,15 +335,15 @@ def test_deep_paths_orphans_and_cycles(spark):
     wide = [(1, "f", "d99", "File.TXT", False), (1, "under_file", "f", "x", True), (1, "lost", "nobody", "y", True), (1, "below_lost", "lost", "z", False)]
     round_ = [(2, "root", None, "top", True), (2, "a", "c", "a", True), (2, "b", "a", "b", True), (2, "c", "b", "c", True), (2, "tail", "a", "t", False), (2, "self", "self", "s", True), (2, "d0", "root", "same id", True)]
     entries = spark.createDataFrame(deep + wide + round_, "disc_id long, id string, parent_id string, name string, is_dir boolean")
-    paths = D.resolve_paths(entries)
+    paths = V.resolve_paths(entries)
     got = {(r["disc_id"], r["id"]): r["path"] for r in paths.collect()}
     whole = {f"d{k}": "".join(f"/n{j}" for j in range(k + 1)) for k in range(100)}
     assert got == {(1, k): v for k, v in whole.items()} | {(1, "f"): whole["d99"] + "/File.TXT", (2, "root"): "/top", (2, "d0"): "/top/same id"}
-    lost = {(r["disc_id"], r["id"]): r["why"] for r in D.resolve_paths(entries, lost=True).collect()}
+    lost = {(r["disc_id"], r["id"]): r["why"] for r in V.resolve_paths(entries, lost=True).collect()}
     assert lost == {(1, "under_file"): "orphan", (1, "lost"): "orphan", (1, "below_lost"): "orphan", **{(2, k): "cycle" for k in ("a", "b", "c", "tail", "self")}}
     asked = spark.createDataFrame([(1, whole["d99"].upper() + "/file.txt/")], "disc_id long, query string")
-    assert D.find_path(paths, asked).first()["id"] == "f"
-    assert D.resolve_paths(entries.filter("id = ''")).count() == 0
+    assert V.find_path(paths, asked).first()["id"] == "f"
+    assert V.resolve_paths(entries.filter("id = ''")).count() == 0
 
 
 @pytest.mark.parametrize("cell", [30, 7])
