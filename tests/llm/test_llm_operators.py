@@ -325,14 +325,40 @@ def test_fingerprint_follows_edit_distance():
     assert few > 0.9 and few > many > turned
 
 
-def test_fingerprint_pairs(docs, texts):
-    prints = fingerprint.fingerprint_documents(docs, parts=2)
-    pairs = {(r["doc_id"], r["other_id"]) for r in fingerprint.near_pairs(prints).collect()}
-    seen = {}
-    for i, t in enumerate(texts):
-        if t and t in seen:
-            assert (i, seen[t]) in pairs
-        seen.setdefault(t, i)
+@pytest.mark.parametrize("block", [256, 5])
+def test_fingerprint_classes_against_all_pairs(spark, block):
+    """Classes against every pair of fingerprints, and against edit distance: texts that differ by a few characters are found, others are left alone."""
+    rng = random.Random(3)
+    texts = [None, "", "", "x"]
+    families = []
+    for _ in range(25):
+        t = prose(rng, rng.choice([12, 60, 200]))
+        family = [t]
+        for _ in range(rng.randrange(1, 5)):
+            v = list(t)
+            for _ in range(max(1, len(t) // 400)):
+                at = rng.randrange(len(v) // 2, len(v))
+                v[at : at + rng.randrange(2)] = rng.choice(["", "q", "zz"])
+            family.append("".join(v))
+        families.append(range(len(texts), len(texts) + len(family)))
+        texts += family
+    texts += [texts[5], texts[5]]
+    d = spark.createDataFrame([(i, len(t or ""), p) for i, (t, p) in enumerate(zip(texts, fingerprint.fingerprints([t or "" for t in texts])))], "doc_id long, n_chars long, fingerprint string")
+    prints = [r["fingerprint"] for r in d.orderBy("doc_id").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in fingerprint.near_classes(d, block=block).collect()}
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] and texts[j] and fingerprint.likeness(prints[i], prints[j]) >= 0.6]
+    parent = list(range(len(texts)))
+    for _ in texts:
+        for i, j in alike:
+            parent[i] = parent[j] = min(parent[i], parent[j])
+    assert len(alike) > 60
+    assert sum(got[i] == got[j] for i, j in alike) >= 0.98 * len(alike)
+    # nothing is joined that a chain of pairs as alike does not join
+    assert all(parent[i] == parent[got[i]] for i in range(len(texts)))
+    near = [(i, j) for f in families for i in f for j in f if j < i and texts[i] != texts[j]]
+    assert sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near)
+    assert [got[i] for i in (0, 1, 2, 3)] == [0, 1, 2, 3] and got[len(texts) - 1] == got[5]
+    assert fingerprint.near_classes(d.filter("doc_id < 0")).count() == 0
 
 
 def test_quality(spark):
