@@ -592,21 +592,22 @@ def test_near_dedup_of_repeated_ids(spark, odd):
     assert got[7, 57] == 5 and got[8, 57] == 5 and got[None, 56] is None
 
 
-def test_near_dedup_recall_on_planted_pairs(spark):
+@pytest.mark.parametrize(("percent", "node", "length", "changes"), [(85, 16, 120, 2), (85, near_dedup.NODE, 120, 2), (80, 16, 130, 3), (80, near_dedup.NODE, 130, 3)])
+def test_near_dedup_recall_on_planted_pairs(spark, percent, node, length, changes):
     """Pairs just over the threshold, in a crowd that shares a passage with all of them, so that nodes are large and branch."""
     rng = random.Random(77)
     shared = prose(rng, 12).split()
     texts = []
     for _ in range(150):
-        w = shared + prose(rng, 120).split()
+        w = shared + prose(rng, length).split()
         v = list(w)
-        for at in rng.sample(range(20, 125), 2):
+        for at in rng.sample(range(20, length + 5), changes):
             v[at] = "changed" + str(rng.randrange(10**6))
         texts += [" ".join(w), " ".join(v)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    _, component = brute_components(texts, 85)
+    _, component = brute_components(texts, percent)
     linked = [i for i in range(len(texts)) if component[i] != i]
-    got = by_id(near_dedup.near_dedup(d, 85, node=16))
+    got = by_id(near_dedup.near_dedup(d, percent, node=node))
     assert len(linked) > 100
     assert sum(got[i]["component_id"] == component[i] for i in linked) >= 0.98 * len(linked)
     assert all(got[i]["component_id"] == i for i in range(len(texts)) if component[i] == i)
