@@ -141,9 +141,11 @@ def wire_ranges(spark: SparkSession, path: str, most: int, range_bytes: int) ->
     a range's predecessors lead to tells whether the guess was right. From a wrong one frames are followed again, through the ranges behind it until one had guessed right;
     this is repeated until all are right. The first range's entry is certain and each pass makes at least one more of a file certain, two passes nearly always all. Only a row
     a range is gathered by file."""
-    held = [(file, size, k, lo, min(size, lo + range_bytes)) for file, size in files_of(path) for k, lo in enumerate(range(0, size, range_bytes))]
-    tasks = max(1, min(len(held), sum(hi - lo for *_, lo, hi in held) // TASK + 4))
-    made = written(spark.createDataFrame(held, RANGES).repartition(tasks, "file", "k").mapInPandas(_guessed(most), CHAINED), "wire-ranges")
+    found = [f for f in files_of(path) if f[1]]
+    tasks = max(1, min(sum(-(-size // range_bytes) for _, size in found), sum(size for _, size in found) // TASK + 4))
+    plan = spark.createDataFrame(found, "file string, size long").select("file", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("k", "lo"))
+    plan = plan.select("file", "size", F.col("k").cast("long").alias("k"), "lo", F.least("size", F.col("lo") + range_bytes).alias("hi"))
+    made = written(plan.repartition(tasks, "file", "k").mapInPandas(_guessed(most), CHAINED), "wire-ranges")
     while True:
         wrong = written(made.select("file", "size", "k", "lo", "hi", "entry", "exit").groupBy("file").applyInPandas(_wrong, WRONG), "wire-wrong")
         if wrong.isEmpty():
