@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import WHITE, read, saved
-from reelspark.operators.ordered import in_order
 
 #: What edits cost, and an undeleted truncated row.
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
@@ -280,18 +279,24 @@ def repaired(rows: DataFrame, most: int = CHUNK) -> DataFrame:
     body = f.select("key", *ORDER, F.lit(1).alias("what"), *none, F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("array<long>").alias("after"), F.lit(None).cast("boolean").alias("last"), F.lit(None).cast("long").alias("cost"))
     names = [c.split()[0] for c in REPAIRED.split(", ")]
 
-    def step(state: _Repair, part: pd.DataFrame) -> pd.DataFrame:
-        for known, at, role, what, text, copies, fault, codes, after, last, cost in zip(*(part[n] for n in ("known", "at", "role", "what", "text", "copies", "fault", "codes", "after", "last", "cost"))):
-            if what:
-                state.row(known, at, role, text, int(copies), fault)
-            else:
-                state.chunk(codes, [int(x) for x in after], bool(last), None if pd.isna(cost) else int(cost))
-        return pd.DataFrame(columns=names)
-
-    def end(state: _Repair, key: tuple) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *state.done())], columns=names)
-
-    return in_order(heads.unionByName(body), ["key"], [*ORDER, "what"], REPAIRED, _Repair, step, end)
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for k, known, at, role, what, text, copies, fault, codes, after, last, cost in zip(*(batch[n].tolist() for n in ("key", "known", "at", "role", "what", "text", "copies", "fault", "codes", "after", "last", "cost"))):
+                if k != key:
+                    if state is not None:
+                        out.append((key, *state.done()))
+                    key, state = k, _Repair()
+                if what:
+                    state.row(known, at, role, text, int(copies), fault)
+                else:
+                    state.chunk(codes, [int(x) for x in after], bool(last), None if pd.isna(cost) else int(cost))
+            yield pd.DataFrame(out, columns=names)
+        if state is not None:
+            yield pd.DataFrame([(key, *state.done())], columns=names)
+
+    return heads.unionByName(body).repartition("key").sortWithinPartitions("key", *ORDER, "what").mapInPandas(follow, REPAIRED)
 
 
 def repair_conversations(conversations: DataFrame, rows: DataFrame, most: int = CHUNK) -> DataFrame:
