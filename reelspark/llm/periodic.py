@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -261,10 +260,5 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def crc_of(doc_id: int) -> int:
-    """The crc32 of a decimal id, as with_planted_runs takes it."""
-    return zlib.crc32(str(doc_id).encode())
-
-
 QUERIES = {"op11_periodic_runs": op11_periodic_runs}
 ORACLE: dict[str, str] = {}
