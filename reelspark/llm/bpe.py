@@ -104,7 +104,9 @@ def _fold(word: Column, single: str, pairs: Column) -> Column:
         return F.when(n < 2, parts).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step, lambda acc: acc["parts"]))
 
     latin = "".join(map(chr, range(256)))
-    return let(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), latin, single), folded)
+    # translate takes a character 0 for none and drops what it stands for, so the byte of id 0 goes by PART
+    chars = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), latin, single.replace("\0", PART))
+    return let(F.replace(chars, F.lit(PART), F.lit("\0")) if "\0" in single else chars, folded)
 
 
 def _each(chars: Column) -> Column:

@@ -211,6 +211,15 @@ def test_bpe_round_trip(docs, texts, common):
         assert bytes(r["back"]) == t.encode()
 
 
+@pytest.mark.parametrize("common", [0, 50])
+def test_bpe_keeps_the_byte_of_id_zero(spark, common):
+    texts = ["!", "a!b !! it's done!", "!" * 40 + "\x00!", "no mark"]
+    assert bpe.read_ranks(bpe.default_ranks())[b"!"] == 0
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode(d, common=common).collect()}
+    assert got == {i: encoding().encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_bpe_long_words_marks_and_repeats(spark):
     """A text of 100,000 characters, words of 2,000, the characters that part entries, repeated rows and a null id."""
     enc, rng = encoding(), random.Random(31)
