@@ -206,7 +206,8 @@ def _s11() -> str:
   || '","color_space":"bt709","secondary":' || secondary || ',"mvc_dependent":' || (pid % 5 = 0) || CASE WHEN pid % 4 = 1 THEN ',"display_aspect":"16:9"' ELSE '' END || CASE WHEN pid % 8 = 1 THEN ',"measured_cicp":{{"matrix":9,"transfer":16,"primaries":9,"range":0}}' ELSE '' END || {label}
  WHEN 'audio' THEN ',"language":"' || language || '","channels":"' || {ch} || '","channel_count":' || {cc} || ',"sample_rate":"48kHz","sample_rate_hz":' || {hz} || ',"secondary":' || secondary || ',"purpose":"' || CASE WHEN pid % 7 = 0 THEN 'commentary' ELSE 'normal' END || '"' || {label}
  ELSE ',"language":"' || language || '","forced":' || (pid % 2 = 0) || ',"qualifier":"' || CASE WHEN pid % 6 = 0 THEN 'sdh' ELSE 'none' END || '"' END || '}}' AS j FROM sm),
-sl AS (SELECT title_id, string_agg(j, ',' ORDER BY ord) AS l FROM sj GROUP BY title_id), cl AS (SELECT title_id, string_agg('{{"clip_id":"' || p.clip_id || '","duration_secs":' || (out_time - in_time) // 45000 || ',"source_packets":' || coalesce(source_packets, 0) || '}}', ',' ORDER BY item_no) AS l FROM play_items p LEFT JOIN clip_info i ON i.clip_id = p.clip_id GROUP BY title_id),
+sl AS (SELECT title_id, string_agg(j, ',' ORDER BY ord) AS l FROM sj GROUP BY title_id), cj AS (SELECT title_id, item_no, '{{"clip_id":"' || p.clip_id || '","duration_secs":' || (out_time - in_time) // 45000 || ',"source_packets":' || coalesce(source_packets, 0) || '}}' AS j FROM play_items p LEFT JOIN clip_info i ON i.clip_id = p.clip_id),
+cl AS (SELECT title_id, string_agg(j, ',' ORDER BY item_no, j) AS l FROM cj GROUP BY title_id),
 hl AS (SELECT title_id, string_agg('{{"n":' || n || ',"start_secs":' || CAST(floor(time_secs) AS BIGINT) || ',"name":"' || n || '"}}', ',' ORDER BY n) AS l FROM ch GROUP BY title_id)
 SELECT t.title_id, '{{"playlist":"' || playlist || '","playlist_id":' || CAST(substr(playlist, 1, 5) AS INT) || ',"duration_secs":' || CAST(floor(duration_secs) AS BIGINT) || ',"size_bytes":' || size_bytes || ',"format":"' || CASE WHEN t.title_id % 2 = 0 THEN 'BdTs' ELSE 'MpegPs' END
  || '","clips":[' || coalesce(cl.l, '') || '],"streams":[' || coalesce(sl.l, '') || '],"chapters":[' || coalesce(hl.l, '') || ']}}' AS document FROM titles t LEFT JOIN cl USING (title_id) LEFT JOIN sl USING (title_id) LEFT JOIN hl USING (title_id)"""
