@@ -287,6 +287,24 @@ def pass_of(spark, reads, patch=False):
     return log, O.read_decisions(log, patch).orderBy("seq").collect()
 
 
+def test_overlay_counts_before_it_cuts(spark):
+    """Where no disc is large there are no quantiles and no second read of the log; records are laid over one another some at a time."""
+    rng = random.Random(8)
+    rows = [(d, k, rng.randrange(300), rng.randrange(1, 90), rng.choice("+-*/")) for d in range(7) for k in range(150)]
+    log = ranges(spark, rows)
+    plan = R.overlay_ranges(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "Explode" not in plan.title()
+    had, R.LAID = R.LAID, 16
+    try:
+        laid = R._Laid(["disc_id"])
+        t = log.withColumn("end", F.col("pos") + F.col("size")).withColumn("whole_end", F.col("pos") + F.col("size")).orderBy("disc_id", "pos").drop("size").toArrow()
+        got = [r for k in range(0, len(t), 10) for o in laid.add(t.slice(k, 10)) for r in o.to_pylist()] + [r for o in laid.finish() for r in o.to_pylist()]
+    finally:
+        R.LAID = had
+    whole = tuples(R.overlay_ranges(log), "disc_id", "pos", "size", "status")
+    assert whole == sorted((r["disc_id"], r["pos"], r["finish"] - r["pos"], r["status"]) for r in got)
+
+
 def test_read_decisions_of_a_sweep(spark):
     told = lambda reads, *cols: [tuple(r[c] for c in cols) for r in pass_of(spark, reads)[1]]
     # each failure that counts jumps, ever farther in one zone; the first rests longer
