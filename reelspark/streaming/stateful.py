@@ -6,16 +6,11 @@ state is a few numbers, kept in the state store of the query's checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from reelspark.operators.frames import Timeline
-from reelspark.streaming.ordered import ROCKS, STORE, Late, keyed
+from reelspark.streaming.ordered import Late, keyed
 
 
 def stream_event_counts(events: DataFrame, width: str = "1 minute", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -36,23 +31,17 @@ def stream_forced(sets: DataFrame) -> DataFrame:
     return sets.groupBy("title_id", "track").agg(F.bool_and("forced").alias("forced"), F.count("*").alias("sets"))
 
 
-def _ordered(batches: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(by).reset_index(drop=True)
-
-
 def stream_progress_beats(samples: DataFrame, gap_us: int = 5_000_000, late: Late | None = None) -> DataFrame:
     """Samples (disc_id, phase, at_us, bytes_done) at least the gap after the last that was let through."""
 
-    def beat(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches, "at_us")
-        last = state.get[0] if state.exists else None
-        kept = []
-        for i, at in enumerate(rows["at_us"].tolist()):
+    def beat(key, rows: dict[str, list], held: tuple | None) -> tuple[list[tuple], tuple]:
+        last = held[0] if held else None
+        out = []
+        for at, done in zip(rows["at_us"], rows["bytes_done"]):
             if last is None or at - last >= gap_us:
-                kept.append(i)
+                out.append((*key, at, done))
                 last = at
-        state.update((last,))
-        yield rows.iloc[kept][["disc_id", "phase", "at_us", "bytes_done"]]
+        return out, (last,)
 
     return keyed(samples, ["disc_id", "phase"], "at_us", beat, "disc_id long, phase string, at_us long, bytes_done long", "last long", "append", late)
 
@@ -60,19 +49,17 @@ def stream_progress_beats(samples: DataFrame, gap_us: int = 5_000_000, late: Lat
 def stream_damage_zones(log: DataFrame, good: int = 16, late: Late | None = None) -> DataFrame:
     """Errors of a read log (disc_id, seq, ok, sense_key) with their zone; the state is the reads since the last error and the zone."""
 
-    def zones(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches, "seq")
-        since, zone = state.get if state.exists else (-1, 0)
+    def zones(key, rows: dict[str, list], held: tuple | None) -> tuple[list[tuple], tuple]:
+        since, zone = held or (-1, 0)
         out = []
-        for seq, ok in zip(rows["seq"].tolist(), rows["ok"].tolist()):
+        for seq, ok in zip(rows["seq"], rows["ok"]):
             if ok:
                 since = since + 1 if since >= 0 else since
                 continue
             opens = since < 0 or since >= good
             zone, since = zone + opens, 0
             out.append((key[0], seq, zone, opens))
-        state.update((since, zone))
-        yield pd.DataFrame(out, columns=["disc_id", "seq", "zone", "opens"])
+        return out, (since, zone)
 
     return keyed(log, ["disc_id"], "seq", zones, "disc_id long, seq long, zone long, opens boolean", "since long, zone long", "append", late)
 
@@ -80,16 +67,14 @@ def stream_damage_zones(log: DataFrame, good: int = 16, late: Late | None = None
 def stream_resync(frames: DataFrame, video_track: int = 0, late: Late | None = None) -> DataFrame:
     """Frames let through: from a discontinuity on, video waits for a key frame. The state is whether it waits."""
 
-    def gate(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches, "idx")
-        waits = bool(state.get[0]) if state.exists else False
-        kept = []
-        for i, (cut, is_key) in enumerate(zip(rows["discontinuity"].tolist(), rows["keyframe"].tolist())):
-            waits = (waits or cut) and not is_key
+    def gate(key, rows: dict[str, list], held: tuple | None) -> tuple[list[tuple], tuple]:
+        waits = bool(held[0]) if held else False
+        out = []
+        for idx, cut, is_key in zip(rows["idx"], rows["discontinuity"], rows["keyframe"]):
+            waits = bool((waits or cut) and not is_key)
             if key[1] != video_track or not waits:
-                kept.append(i)
-        state.update((waits,))
-        yield rows.iloc[kept][["title_id", "track", "idx"]]
+                out.append((*key, idx))
+        return out, (waits,)
 
     return keyed(frames, ["title_id", "track"], "idx", gate, "title_id long, track long, idx long", "waits boolean", "append", late)
 
@@ -97,14 +82,12 @@ def stream_resync(frames: DataFrame, video_track: int = 0, late: Late | None = N
 def stream_timeline(frames: DataFrame, primary: Column, late: Late | None = None) -> DataFrame:
     """The rule of timeline_continuity with its offsets and frontier as state."""
 
-    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches, "idx")
-        held = Timeline(*state.get) if state.exists else Timeline()
+    def follow(key, rows: dict[str, list], held: tuple | None) -> tuple[list[tuple], tuple]:
+        line = Timeline(*held) if held else Timeline()
         out = []
-        for idx, pts, drives in zip(rows["idx"].tolist(), rows["pts_ns"].tolist(), rows["primary"].tolist()):
-            out.append((key[0], idx, *held.place(pts, drives)))
-        state.update((held.offset, held.previous, held.high, held.epoch))
-        yield pd.DataFrame(out, columns=["title_id", "idx", "ts", "epoch"])
+        for idx, pts, drives in zip(rows["idx"], rows["pts_ns"], rows["primary"]):
+            out.append((key[0], idx, *line.place(pts, drives)))
+        return out, (line.offset, line.previous, line.high, line.epoch)
 
     narrow = frames.select("title_id", "idx", "pts_ns", primary.alias("primary"), *([late.event_time] if late else []))
     return keyed(narrow, ["title_id"], "idx", follow, "title_id long, idx long, ts long, epoch int", "offset long, previous long, high long, epoch int", "append", late)
@@ -113,14 +96,12 @@ def stream_timeline(frames: DataFrame, primary: Column, late: Late | None = None
 def stream_scores(attempts: DataFrame, late: Late | None = None) -> DataFrame:
     """Each handler's score after every micro-batch, by the rule of ewma_scores."""
 
-    def score(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches, "seq")
-        held = state.get[0] if state.exists else None
-        for seconds, got in zip(rows["elapsed_secs"].tolist(), rows["recovered_bytes"].tolist()):
+    def score(key, rows: dict[str, list], held: tuple | None) -> tuple[list[tuple], tuple]:
+        at = held[0] if held else None
+        for seconds, got in zip(rows["elapsed_secs"], rows["recovered_bytes"]):
             if seconds > 0:
-                held = got / seconds if held is None else 0.5 * held + 0.5 * got / seconds
-        state.update((held,))
-        yield pd.DataFrame({"disc_id": [key[0]], "handler": [key[1]], "score": [held or 0.0]})
+                at = got / seconds if at is None else 0.5 * at + 0.5 * got / seconds
+        return [(*key, at or 0.0)], (at,)
 
     return keyed(attempts, ["disc_id", "handler"], "seq", score, "disc_id long, handler string, score double", "score double", "update", late)
 
@@ -128,14 +109,13 @@ def stream_scores(attempts: DataFrame, late: Late | None = None) -> DataFrame:
 def stream_drop_tally(units: DataFrame, least: int = 200, late: Late | None = None) -> DataFrame:
     """Kept, dropped and verified units so far, and whether the track is poisoned, which stays so."""
 
-    def tally(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches, "idx")
-        kept, dropped, verified, poisoned = state.get if state.exists else (0, 0, 0, False)
-        for gone, sure in zip(rows["dropped"].tolist(), rows["verified"].tolist()):
+    def tally(key, rows: dict[str, list], held: tuple | None) -> tuple[list[tuple], tuple]:
+        kept, dropped, verified, poisoned = held or (0, 0, 0, False)
+        for gone, sure in zip(rows["dropped"], rows["verified"]):
             kept, dropped, verified = kept + (not gone), dropped + gone, verified + (gone and sure)
             poisoned = poisoned or (gone and sure and kept + dropped >= least and verified * 2 > kept + dropped)
-        state.update((int(kept), int(dropped), int(verified), bool(poisoned)))
-        yield pd.DataFrame({"title_id": [key[0]], "track": [key[1]], "kept": [int(kept)], "dropped": [int(dropped)], "verified": [int(verified)], "poisoned": [bool(poisoned)]})
+        new = (int(kept), int(dropped), int(verified), bool(poisoned))
+        return [(*key, *new)], new
 
     return keyed(units, ["title_id", "track"], "idx", tally, "title_id long, track long, kept long, dropped long, verified long, poisoned boolean", "kept long, dropped long, verified long, poisoned boolean", "update", late)
 
@@ -158,43 +138,24 @@ def laid_over(held: list[tuple[int, int, str]], new: list[tuple[int, int, str]])
     return [(p, p + n, s) for p, n, s in over.out]
 
 
-class _RangeMap(StatefulProcessor):
-    """The map of a disc by bins of positions: a batch reads and writes the bins that its records touch."""
-
-    def __init__(self, width: int) -> None:
-        self.width = width
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bins = handle.getMapState("bins", "bin long", "pos array<long>, finish array<long>, status array<string>")
-        self.version = handle.getValueState("version", "version long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows)).sort_values("seq")
-        touched: dict[int, list[tuple[int, int, str]]] = {}
-        for pos, size, status in zip(new["pos"].tolist(), new["size"].tolist(), new["status"].tolist()):
-            for b in range(pos // self.width, -(-(pos + size) // self.width) if size > 0 else 0):
-                touched.setdefault(b, []).append((max(pos, b * self.width), min(pos + size, (b + 1) * self.width), status))
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((version,))
-        for b, laid in sorted(touched.items()):
-            held = list(zip(*self.bins.getValue((b,)))) if self.bins.containsKey((b,)) else []
-            pos, end, status = (list(c) for c in zip(*laid_over(held, laid)))
-            self.bins.updateValue((b,), (pos, end, status))
-            yield pd.DataFrame({"disc_id": [key[0]], "version": [version], "bin": [b], "pos": [pos], "size": [[e - p for p, e in zip(pos, end)]], "status": [status]})
-
-    def close(self) -> None:
-        pass
-
-
 def stream_range_map(log: DataFrame, width: int = MAP_BIN) -> DataFrame:
-    """G1: changes of each disc's map by micro-batch: for every bin of positions that new records (disc_id, seq, pos, size, status) touch, its number, the disc's version and the ranges in it as
-    arrays, cut at the bin's ends. The latest of each bin, joined by coalesce_ranges, is the map (latest_map). New records lie over the map in the order of seq; the
-    state is a map by bins, so a batch reads and writes what it touches, however large the map is. Needs the RocksDB state store, which is set if none is."""
-    conf = log.sparkSession.conf
-    if "RocksDB" not in (conf.get(STORE, "") or ""):
-        conf.set(STORE, ROCKS)
+    """G1: changes of each disc's map by micro-batch: for every bin of positions that new records (disc_id, seq, pos, size, status) touch, its number, the bin's version and the ranges in it as
+    arrays, cut at the bin's ends. The latest of each bin, joined by coalesce_ranges, is the map (latest_map). New records lie over the map in the order of seq; each bin of a disc is
+    a key of its own, so a disc's records are dealt over all tasks; a batch reads and writes the buckets of bins (ordered.keyed) that it touches."""
+    last = F.floor((F.col("pos") + F.col("size") - 1) / width).cast("long")
+    bins = F.explode(F.sequence(F.floor(F.col("pos") / width).cast("long"), last)).alias("bin")
+    cut = log.filter("size > 0").select("disc_id", "seq", "pos", (F.col("pos") + F.col("size")).alias("finish"), "status", bins)
+    low, high = F.col("bin") * width, (F.col("bin") + 1) * width
+    cut = cut.select("disc_id", "bin", "seq", F.greatest("pos", low).alias("pos"), F.least("finish", high).alias("finish"), "status")
+
+    def lay(key, rows: dict[str, list], held: tuple | None) -> tuple[list[tuple], tuple]:
+        version, ranges = held or (0, [])
+        ranges = laid_over(ranges, list(zip(rows["pos"], rows["finish"], rows["status"])))
+        pos, end, status = (list(c) for c in zip(*ranges))
+        return [(key[0], version + 1, key[1], pos, [e - p for p, e in zip(pos, end)], status)], (version + 1, ranges)
+
     out = "disc_id long, version long, bin long, pos array<long>, size array<long>, status array<string>"
-    return log.groupBy("disc_id").transformWithStateInPandas(_RangeMap(width), out, "Append", "None")
+    return keyed(cut, ["disc_id", "bin"], "seq", lay, out, "", "append")
 
 
 def latest_map(changes: DataFrame) -> DataFrame:
@@ -209,11 +170,10 @@ def latest_map(changes: DataFrame) -> DataFrame:
 def stream_video_index(frames: DataFrame, late: Late | None = None) -> DataFrame:
     """N and record of each frame of the primary video (title_id, idx and what video_index_lines reads), in the order of idx; the state is each title's counter."""
 
-    def number(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches, "idx")
-        start = state.get[0] if state.exists else 0
-        state.update((start + len(rows),))
-        yield pd.DataFrame({"title_id": key[0], "n": range(start, start + len(rows)), "record": rows["record"]})
+    def number(key, rows: dict[str, list], held: tuple | None) -> tuple[list[tuple], tuple]:
+        start = held[0] if held else 0
+        records = rows["record"]
+        return [(key[0], n, r) for n, r in enumerate(records, start)], (start + len(records),)
 
     from reelspark.sources.files import picture_record
 

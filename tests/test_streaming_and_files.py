@@ -286,3 +286,21 @@ def test_late_rows_wait_for_the_watermark(spark, tmp_path):
     order = {r: k for k, r in enumerate(reads)}
     got = streamed(spark, tmp_path / "c", reads, log, lambda r: order[r], lambda s: G.stream_damage_zones(s, late=late), parts=9)
     assert sorted((r["seq"], r["zone"], r["opens"]) for r in got) == [(0, 1, True), (20, 1, False), (30, 1, False), (50, 1, True)]
+
+
+def test_stream_state_is_kept_by_buckets_of_keys(spark, tmp_path):
+    """Many keys cost a call a bucket; every key keeps a state of its own over batches, null keys too."""
+    from reelspark.streaming import ordered
+
+    had, ordered.BUCKETS = ordered.BUCKETS, 3
+    try:
+        schema = "disc_id long, seq long, elapsed_secs double, recovered_bytes long, handler string"
+        rows = [(d, i, 1.0, d * 100 + i, None if d == 3 else "h") for i in range(4) for d in range(40)]
+        got = streamed(spark, tmp_path / "k", rows, schema, lambda r: r[1], G.stream_scores, mode="update")
+    finally:
+        ordered.BUCKETS = had
+    last = {}
+    for r in got:
+        last.setdefault(r["disc_id"], []).append(r["score"])
+    want = lambda d: ((d * 100 * 0.5 + (d * 100 + 1) * 0.5) * 0.5 + (d * 100 + 2) * 0.5) * 0.5 + (d * 100 + 3) * 0.5
+    assert len(last) == 40 and all(max(v) == want(d) for d, v in last.items())
