@@ -117,3 +117,14 @@ def test_one_file_a_key_in_order(spark, tmp_path, small_splits):
     disc = F.regexp_extract("file", r"disc_id=(\d+)", 1).cast("long").alias("disc_id")
     assert sorted(map(tuple, ranges.select(disc, "pos", "size", "status").collect())) == sorted(rows) and errors.count() == 0
     records.write_keyed(spark.createDataFrame([], "k long, n long, line string"), str(tmp_path / "none"), "k", ["n"], "line", "f")
+
+
+def test_many_small_ranges_share_a_task(spark, tmp_path):
+    """Tasks are not as many as ranges or files; a file is cut where the next task's ranges begin."""
+    for k in range(60):
+        (tmp_path / f"{k:02d}.bin").write_bytes(bytes([k]) * (192 * k + k % 3))
+    got = records.read_records(spark, str(tmp_path), 192, 192 * 2)
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    want = sorted((f"{k:02d}.bin", n, 192 if n < k else k % 3, "part" if n == k else None) for k in range(60) for n in range(k + (k % 3 > 0)))
+    rows = [(r["file"][-6:], r["rec_no"], len(r["bytes"]), r["error"]) for r in got.collect()]
+    assert sorted(rows, key=lambda r: r[:2]) == want
