@@ -79,7 +79,8 @@ def s16(s, d):
     m = metadata(s, d).filter("file LIKE '%.xml'")
     body = F.concat(F.lit('<d:disclib xmlns:d="u" xmlns:i="v"><i:discinfo><i:title><i:name>'), "title", F.lit("</i:name></i:title><i:description>about "), "folder", F.lit("</i:description><i:numSets>3</i:numSets><i:setNumber>2</i:setNumber></i:discinfo></d:disclib>"))
     files = m.select(F.concat_ws("/", F.col("disc_id").cast("string"), "folder", F.regexp_replace("file", r"bdmt_(...)_(\d+)\.xml", "$2/bdmt_$1.xml")).alias("path"), body.alias("content"))
-    return X.disc_metadata(files)
+    # a file's rows are small and its parse is not, so they are dealt over all tasks first
+    return X.disc_metadata(files.repartition(2 * s.sparkContext.defaultParallelism))
 
 
 def tree(s, d):

@@ -128,3 +128,21 @@ def test_many_small_ranges_share_a_task(spark, tmp_path):
     want = sorted((f"{k:02d}.bin", n, 192 if n < k else k % 3, "part" if n == k else None) for k in range(60) for n in range(k + (k % 3 > 0)))
     rows = [(r["file"][-6:], r["rec_no"], len(r["bytes"]), r["error"]) for r in got.collect()]
     assert sorted(rows, key=lambda r: r[:2]) == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_metadata_is_parsed_once_a_file(spark):
+    text = '<d:a xmlns:d="u"><d:title> <d:name> </d:name></d:title><d:name>n1</d:name><d:title>t</d:title><d:description>&lt;p</d:description><d:setNumber> 2</d:setNumber><d:numSets>x</d:numSets></d:a>'
+    rows = [("1/bdmt_eng.xml", text), ("2/bdmt_FRA.xml", "<a><tableOfContents><titleName>é</titleName></tableOfContents><description> d </description></a>"), ("3/other.xml", text)]
+    got = files.disc_metadata(spark.createDataFrame(rows, "path string, content string"))
+    assert sorted(map(tuple, got.collect())) == [("1/bdmt_eng.xml", "eng", None, None, 2, None), ("2/bdmt_FRA.xml", "fra", "é", "d", None, None)]
+    assert plan_of(got).count("XPathStringEvaluator") == 1
+
+
+def test_lines_without_numbers_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "m.map").write_text("0x1 0x2 +\nzz 1 -\n")
+    for rows in files.read_range_map(spark, str(tmp_path)):
+        assert "Join" in plan_of(rows) and "Join" not in plan_of(rows.drop("n"))
