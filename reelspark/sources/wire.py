@@ -21,8 +21,8 @@ SIZE_AT = HEAD_SIZE - 4
 NO_DURATION = (1 << 64) - 1
 #: Frames that must follow one another for a guess, and the bytes of a range in which a guess is looked for.
 FOLLOW, LOOK = 4, 1 << 20
-#: Bytes of frames handed on at once, and bytes of files for which ranges are dealt to one task.
-HELD, TASK = 16 << 20, 64 << 20
+#: Bytes of frames handed on at once, and bytes of files, and ranges, for which ranges are dealt to one task.
+HELD, TASK, TASK_RANGES = 16 << 20, 64 << 20, 4096
 RANGES = "file string, size long, k long, lo long, hi long"
 #: A range with the place where a frame begins (null: none does), the frames from there on, and where the first frame of a later range begins.
 CHAINED = f"{RANGES}, entry long, frames long, exit long"
@@ -112,20 +112,34 @@ def _mended(most: int):
     return go
 
 
-def _wrong(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _wrong(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Wrong ranges of files whose ranges come in order, file after file; the ranges of one file are held at a time."""
+    name, size, held = None, 0, []
+    for batch in batches:
+        out = []
+        for file, length, *r in zip(*(batch[c] for c in ("file", "size", "k", "lo", "hi", "entry", "exit"))):
+            if file != name:
+                out += _wrong_of(name, size, held)
+                name, size, held = file, length, []
+            held.append(r)
+        yield pd.DataFrame(out, columns=_names(WRONG))
+    yield pd.DataFrame(_wrong_of(name, size, held), columns=_names(WRONG))
+
+
+def _wrong_of(file: str, size: int, rows: list) -> list[tuple]:
     """Ranges of a file whose entry is not where the ranges before lead, with where that is and the ranges from there on. Where a wrong range leads is not
     known yet, so the next one's guess stands until the next pass."""
-    rows, at, out = rows.sort_values("k"), 0, []
-    held = [{"k": int(k), "lo": int(lo), "hi": int(hi), "entry": None if pd.isna(e) else int(e)} for k, lo, hi, e in zip(rows["k"], rows["lo"], rows["hi"], rows["entry"])]
-    for i, (r, end) in enumerate(zip(held, rows["exit"])):
+    at, out = 0, []
+    held = [{"k": int(k), "lo": int(lo), "hi": int(hi), "entry": None if pd.isna(e) else int(e)} for k, lo, hi, e, _ in rows]
+    for i, (r, (*_, end)) in enumerate(zip(held, rows)):
         known = at is not None
         want = r["entry"] if not known else at if at < r["hi"] else None
         if known and want != r["entry"]:
-            out.append((key[0], int(rows["size"].iloc[0]), r["k"], at, held[i : i + BEHIND]))
+            out.append((file, int(size), r["k"], at, held[i : i + BEHIND]))
             at = None
         elif r["entry"] is not None:
             at = int(end)
-    return pd.DataFrame(out, columns=_names(WRONG))
+    return out
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -142,12 +156,13 @@ def wire_ranges(spark: SparkSession, path: str, most: int, range_bytes: int) ->
     this is repeated until all are right. The first range's entry is certain and each pass makes at least one more of a file certain, two passes nearly always all. Only a row
     a range is gathered by file."""
     found = [f for f in files_of(path) if f[1]]
-    tasks = max(1, min(sum(-(-size // range_bytes) for _, size in found), sum(size for _, size in found) // TASK + 4))
+    ranges, size = sum(-(-size // range_bytes) for _, size in found), sum(size for _, size in found)
+    tasks = max(1, min(ranges, max(spark.sparkContext.defaultParallelism, size // TASK, ranges // TASK_RANGES)))
     plan = spark.createDataFrame(found, "file string, size long").select("file", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("k", "lo"))
     plan = plan.select("file", "size", F.col("k").cast("long").alias("k"), "lo", F.least("size", F.col("lo") + range_bytes).alias("hi"))
     made = written(plan.repartition(tasks, "file", "k").mapInPandas(_guessed(most), CHAINED), "wire-ranges")
     while True:
-        wrong = written(made.select("file", "size", "k", "lo", "hi", "entry", "exit").groupBy("file").applyInPandas(_wrong, WRONG), "wire-wrong")
+        wrong = written(made.select("file", "size", "k", "lo", "hi", "entry", "exit").repartition("file").sortWithinPartitions("file", "k").mapInPandas(_wrong, WRONG), "wire-wrong")
         if wrong.isEmpty():
             return made
         again = wrong.repartition(tasks, "file", "k").mapInPandas(_mended(most), f"{CHAINED}, source long")
@@ -167,9 +182,11 @@ def read_wire(spark: SparkSession, path: str, most: int, range_bytes: int) -> Da
     ranges = wire_ranges(spark, path, most, range_bytes).filter("frames > 0").withColumn("first", F.coalesce(F.sum("frames").over(before), F.lit(0)))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # frames of small ranges are handed on together
+        rows, held = [], 0
         for batch in batches:
             for file, size, entry, hi, first in batch.itertuples(index=False):
-                rows, held, at, error = [], 0, int(entry), None
+                at, error = int(entry), None
                 with open_file(file) as f:
                     f.seek(at)
                     while at < hi and error is None:
@@ -195,7 +212,7 @@ def read_wire(spark: SparkSession, path: str, most: int, range_bytes: int) -> Da
                         if held >= HELD or len(rows) >= 10_000:
                             yield pd.DataFrame(rows, columns=_names(FRAME), dtype=object)
                             rows, held = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=_names(FRAME), dtype=object)
+        if rows:
+            yield pd.DataFrame(rows, columns=_names(FRAME), dtype=object)
 
     return ranges.select("file", "size", "entry", "hi", "first").repartition("file", "entry").mapInPandas(read, FRAME)
