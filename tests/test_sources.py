@@ -146,3 +146,12 @@ def test_lines_without_numbers_are_not_shuffled(spark, tmp_path):
     (tmp_path / "m.map").write_text("0x1 0x2 +\nzz 1 -\n")
     for rows in files.read_range_map(spark, str(tmp_path)):
         assert "Join" in plan_of(rows) and "Join" not in plan_of(rows.drop("n"))
+
+
+def test_files_are_dealt_to_tasks_by_number(spark, tmp_path):
+    """Few bytes of many keys are written by as many tasks as there are partitions of a shuffle, not by one."""
+    assert records.file_tasks(spark) == 4
+    rows = spark.range(400).selectExpr("id AS title_id", "0 AS track", "id AS idx")
+    files.write_tracks(rows, str(tmp_path / "t"))
+    names = [p.name for p in (tmp_path / "t").rglob("*.parquet")]
+    assert len(names) == 400 and len({n.split("-")[1] for n in names}) == 4
