@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelspark.functions import scalars as S
+from reelspark.streaming.ordered import keyed
 
 #: Bytes of a unit at most.
 MOST = 64 << 20
 UNIT = "file_id long, pid long, first_rec long, pts long, dts long, discontinuity boolean, data binary"
 FIELDS = ("last_cc", "active", "skip", "pending", "first_rec", "pts", "dts", "data")
+#: Of a packet what the rule takes, in its order, and the number of the one that ends a pid.
+TAKEN = ("rec_no", "marker", "pusi", "cc", "flagged", "payload", "pts", "dts", "header")
+LAST = (1 << 63) - 1
 STATE = "last_cc int, active boolean, skip int, pending boolean, first_rec long, pts long, dts long, data binary"
 
 
@@ -93,21 +93,6 @@ def _rows(packets: DataFrame) -> DataFrame:
     return own.unionByName(lost).select(*columns)
 
 
-def _taken(held: Assembler, rows: pd.DataFrame) -> list[tuple]:
-    out = []
-    num = lambda x: None if x is None or pd.isna(x) else int(x)
-    for r in rows.itertuples(index=False):
-        done = held.take(r.rec_no, bool(r.marker), bool(r.pusi), int(r.cc), bool(r.flagged), bytes(r.payload) if r.payload is not None else b"", num(r.pts), num(r.dts), int(r.header))
-        if done:
-            out.append(done)
-    return out
-
-
-def _frame(file_id, pid, units: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame([(file_id, pid, *u) for u in units], columns=[c.split()[0] for c in UNIT.split(", ")])
-    return out.astype({"pts": "Int64", "dts": "Int64"})
-
-
 def assemble_pes(packets: DataFrame, most: int = MOST) -> DataFrame:
     """Units of packets (file_id, pid, rec_no, pusi, cc, discontinuity_flag, payload): a unit begins at each start packet, after its header, which may
     run into the next packets. A gap inside a unit drops it and flags the next one completed; a gap at a start flags the unit that starts. A start without a PES
@@ -147,21 +132,20 @@ def assemble_pes(packets: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def stream_demux(packets: DataFrame, most: int = MOST) -> DataFrame:
-    """The rule of assemble_pes with the open unit of each file and pid as state; a packet whose rec_no is the largest 64-bit number ends
+    """The rule of assemble_pes with the open unit of each file and pid as state, kept in buckets of pids (ordered.keyed); a packet whose rec_no is the largest 64-bit number ends
     its pid and completes the last unit. Packets as assemble_pes reads them; markers must name the pid that they hit."""
     h = S.pes_header(F.hex(F.substring("payload", 1, 19)))
     rows = packets.withColumn("_h", h).select("file_id", "pid", "rec_no", F.coalesce("marker", F.lit(False)).alias("marker"), "pusi", "cc", F.col("discontinuity_flag").alias("flagged"), "payload", "_h.pts", "_h.dts", F.coalesce("_h.header_len", F.lit(0)).alias("header"))
 
-    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(batches)).sort_values("rec_no")
-        held = Assembler(*state.get, most=most) if state.exists else Assembler(most=most)
-        last = new["rec_no"] == (1 << 63) - 1
-        out = _taken(held, new[~last])
-        if last.any():
-            out += [u for u in [held.close()] if u]
-            state.remove()
-        else:
-            state.update(held.state())
-        yield _frame(*key, out)
-
-    return rows.groupBy("file_id", "pid").applyInPandasWithState(follow, UNIT, STATE, "append", GroupStateTimeout.NoTimeout)
+    def follow(key, rows: dict[str, list], held: tuple | None) -> tuple[list[tuple], tuple | None]:
+        open_, out = Assembler(*held or (), most=most), []
+        for rec, marker, pusi, cc, flagged, payload, pts, dts, header in zip(*(rows[c] for c in TAKEN)):
+            if rec == LAST:
+                done = open_.close()
+                return out + ([(*key, *done)] if done else []), None
+            done = open_.take(rec, marker, pusi, cc, flagged, payload or b"", *(None if x is None else int(x) for x in (pts, dts)), header)
+            if done:
+                out.append((*key, *done))
+        return out, open_.state()
+
+    return keyed(rows, ["file_id", "pid"], "rec_no", follow, UNIT, STATE)
