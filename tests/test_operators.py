@@ -104,6 +104,28 @@ def test_bad_range_between_extents_counts_nothing(spark):
     assert R.bytes_bad_in_title(e, over, width=4096).first()["bytes_bad"] == 4 * 2048
 
 
+def test_bytes_bad_in_title_makes_no_pairs(spark):
+    """Extents and ranges that lie over each other, of many cells (width 1), equal all pairs; no join, and 400 million pairs are not made."""
+    rng = random.Random(5)
+    e = [(d, t, rng.randrange(-4, 40), rng.choice([0, 1, 3, 20])) for d in range(4) for t in range(5) for _ in range(8)]
+    b = [(d, rng.randrange(-9000, 80_000), rng.choice([0, 1, 700, 5000, 60_000])) for d in range(1, 5) for _ in range(12)]
+    want: dict[tuple[int, int], int] = {}
+    for d, t, lba, n in e:
+        for x, pos, size in b:
+            common = min((lba + n) * 2048, pos + size) - max(lba * 2048, pos)
+            if x == d and n and size and common > 0:
+                want[d, t] = want.get((d, t), 0) + common
+    extents = spark.createDataFrame(e, "disc_id long, title_id long, start_lba long, sector_count long")
+    bad = spark.createDataFrame(b, "disc_id long, pos long, size long")
+    for width in (1, R.BIN):
+        got = R.bytes_bad_in_title(extents, bad, width=width)
+        assert tuples(got, "disc_id", "title_id", "bytes_bad") == sorted((*k, v) for k, v in want.items())
+    assert "Join" not in got._jdf.queryExecution().toString()
+    many = spark.range(20_000).select(F.lit(1).alias("disc_id"), F.lit(7).alias("title_id"), F.lit(0).alias("start_lba"), F.lit(1000).alias("sector_count"))
+    all_bad = spark.range(20_000).select(F.lit(1).alias("disc_id"), F.col("id").alias("pos"), F.lit(10).alias("size"))
+    assert R.bytes_bad_in_title(many, all_bad).first()["bytes_bad"] == 20_000 * 20_000 * 10
+
+
 def test_severity(spark):
     rows = [(0, 0), (0, 40_000), (1, 5), (50, 999), (51, 0), (500, 0), (10, 1000), (10, 30_000)]
     got = spark.createDataFrame(rows, "b long, ms long").select(R.damage_severity(F.col("b"), F.col("ms")).alias("s"))
