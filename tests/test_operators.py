@@ -126,6 +126,18 @@ def test_bytes_bad_in_title_makes_no_pairs(spark):
     assert R.bytes_bad_in_title(many, all_bad).first()["bytes_bad"] == 20_000 * 20_000 * 10
 
 
+def test_locate_ranges_reads_extents_once_for_risk(spark, tmp_path):
+    """Places are written before they are joined: what is left reads extents for the bytes at risk only."""
+    spark.createDataFrame([(1, 7, 1, 10, 4), (1, 7, 2, 30, 6)], "disc_id long, title_id long, ord long, start_lba long, sector_count long").write.parquet(f"{tmp_path}/its-extents")
+    extents = spark.read.parquet(f"{tmp_path}/its-extents")
+    bad = spark.createDataFrame([(1, 32 * 2048, 4096), (1, 0, 2048)], "disc_id long, pos long, size long")
+    titles = spark.createDataFrame([(1, 7, 20_480, 10.0)], "disc_id long, title_id long, size_bytes long, duration_secs double")
+    chapters = spark.createDataFrame([(7, 1, 0.0), (7, 2, 5.0)], "title_id long, n int, time_secs double")
+    made = D.locate_ranges(bad, extents, titles, chapters, 2)
+    assert tuples(made, "rank", "lba", "count", "chapter", "time_offset_secs", "main_at_risk_ms") == [(1, 32, 2, 2, 6.0, 2000.0), (2, 0, 1, None, None, 2000.0)]
+    assert made._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("|").count("start_lba") == 1
+
+
 def test_severity(spark):
     rows = [(0, 0), (0, 40_000), (1, 5), (50, 999), (51, 0), (500, 0), (10, 1000), (10, 30_000)]
     got = spark.createDataFrame(rows, "b long, ms long").select(R.damage_severity(F.col("b"), F.col("ms")).alias("s"))
