@@ -138,6 +138,21 @@ def test_locate_ranges_reads_extents_once_for_risk(spark, tmp_path):
     assert made._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("|").count("start_lba") == 1
 
 
+def test_progress_snapshot_sums_losses_once(spark, tmp_path):
+    """Main titles, their extents and their losses are written once; what is left reads none of the extents given."""
+    spark.createDataFrame([(1, 7, 1, 10, 4), (1, 7, 2, 30, 6), (1, 8, 1, 0, 9)], "disc_id long, title_id long, ord long, start_lba long, sector_count long").write.parquet(f"{tmp_path}/its-extents")
+    extents = spark.read.parquet(f"{tmp_path}/its-extents")
+    made = spark.createDataFrame([(1, 32 * 2048, 4096, "-"), (1, 0, 2048, "*"), (1, 2048, 2048, "+")], "disc_id long, pos long, size long, status string")
+    discs = spark.createDataFrame([(1, 99 * 2048)], "disc_id long, total_bytes long")
+    main = spark.createDataFrame([(1, 7, 20_480, 10.0)], "disc_id long, title_id long, size_bytes long, duration_secs double")
+    chapters = spark.createDataFrame([(7, 1, 0.0), (7, 2, 5.0)], "title_id long, n int, time_secs double")
+    snap = D.progress_snapshot(made, discs, main, extents, chapters, 1)
+    r = snap.first()
+    assert (r["bytes_good"], r["bytes_bad_in_main_title"], r["num_ranges"], r["truncated"], r["main_at_risk_ms"]) == (2048, 4096, 2, 1, 2000.0)
+    assert [tuple(x) for x in r["located"]] == [(32, 2, 2000.0, 2, 6.0)]
+    assert "start_lba" not in snap._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("|")
+
+
 def test_severity(spark):
     rows = [(0, 0), (0, 40_000), (1, 5), (50, 999), (51, 0), (500, 0), (10, 1000), (10, 30_000)]
     got = spark.createDataFrame(rows, "b long, ms long").select(R.damage_severity(F.col("b"), F.col("ms")).alias("s"))
