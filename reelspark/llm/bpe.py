@@ -7,12 +7,13 @@ import json
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import read, text_or_empty
+from reelspark.llm.common import read, saved, text_or_empty
 
-#: Distinct words whose ids are looked up as a literal; all other words are folded where they stand.
-COMMON = 1 << 17
+#: Distinct words at most whose ids are looked up, and words of a hash slot; all other words are folded where they stand.
+COMMON, WAYS = 1 << 20, 4
 #: Buckets of the table of pairs.
 BUCKETS = 1 << 15
 #: While words are folded an id is the character of that code point; these sort as the ids do. Code points from here on are none.
@@ -128,50 +129,56 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def common_words(docs: DataFrame, rank_map: RankMap, pattern: str, size: int) -> tuple[Column, int] | None:
-    """The ids of the most frequent words of all documents, as a literal of `size` words at most: each as word, PART and ids, between
-    MARKs in hash buckets of one string each. Words of over 64 bytes or with one of these marks stay out."""
-    counted = docs.select(F.explode(words_of(text_or_empty("text"), pattern)).alias("word")).groupBy("word").count()
+def common_words(docs: DataFrame, rank_map: RankMap, pattern: str, size: int) -> tuple[Column, int]:
+    """The ids of the words that most documents hold, `size` words at most, and the number of their hash slots: a struct of three arrays by slot, `word` and `ids` of the slot's
+    first word and `more`, the next ones, each as word, PART and ids, between MARKs in one string. The words of a slot are ranked and folded where the shuffle puts
+    the slot, and written once; only the finished table, whose size is fixed, is handed to the tasks, as a scalar subquery. Words of over 64 bytes or with one of these marks stay out."""
+    n = 1 << max(0, (size // WAYS).bit_length() - 1)
+    counted = docs.select(F.explode(F.array_distinct(words_of(text_or_empty("text"), pattern))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     plain = counted.filter((F.octet_length("word") <= 64) & ~F.contains("word", F.lit(MARK)) & ~F.contains("word", F.lit(PART)))
-    top = plain.orderBy(F.desc("count"), "word").limit(size).repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    n = max(1, size // 2)
-    entries = F.collect_list("word").alias("k")
-    folded = top.groupBy(F.pmod(F.xxhash64("word"), F.lit(n)).cast("int").alias("bucket")).agg(entries)
-    joined = F.array_join(F.zip_with("k", rank_map.fold(F.col("k")), lambda w, ids: F.concat(w, F.lit(PART), ids, F.lit(MARK))), "")
-    rows = folded.select("bucket", F.concat(F.lit(MARK), joined).alias("held")).collect()
-    if not rows:
-        return None
-    buckets = [MARK] * n
-    for r in rows:
-        buckets[r["bucket"]] = r["held"]
-    return F.from_json(F.lit(json.dumps(buckets)), "array<string>"), n
+    by_slot = W.partitionBy("slot").orderBy(F.desc("n"), "word")
+    top = plain.withColumn("slot", _slot(F.col("word"), n)).withColumn("rank", F.row_number().over(by_slot)).filter(F.col("rank") <= WAYS)
+    folded = top.select("slot", "rank", "word", F.get(rank_map.fold(F.array("word")), F.lit(0)).alias("ids"))
+    held = folded.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "ids"))).alias("held"))
+    first, more = F.get("held", F.lit(0)), F.transform(F.slice("held", 2, WAYS), lambda e: F.concat(e["word"], F.lit(PART), e["ids"], F.lit(MARK)))
+    table = saved(held.select("slot", first["word"].alias("word"), first["ids"].alias("ids"), F.concat(F.lit(MARK), F.array_join(more, "")).alias("more")), "common-words")
+    none = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("slot"))
+    every = none.join(table, "slot", "left").select(F.struct("slot", *[F.coalesce(c, F.lit("")).alias(c) for c in ("word", "ids", "more")]).alias("s"))
+    rows = every.agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return rows.select(F.struct(*[F.col("s")[c].alias(c) for c in ("word", "ids", "more")])).scalar(), n
+
+
+def _slot(word: Column, n: int) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(n - 1))
 
 
 def encode_chars(docs: DataFrame, rank_map: RankMap, pattern: str | None = None, common: int = COMMON) -> DataFrame:
     """doc_id and chars of every text: its ids as characters, see encode."""
     pattern = pattern or default_pattern()
-    known = common_words(docs, rank_map, pattern, common)
     words = words_of(text_or_empty("text"), pattern)
-    if known is None:
+    if common < WAYS:
         return docs.select("doc_id", F.array_join(rank_map.fold(words), "").alias("chars"))
-    buckets, n = known
+    known, n = common_words(docs, rank_map, pattern, common)
 
     def found(w: Column, held: Column, pairs: Column) -> Column:
         after = F.call_function("substring_index", held, F.concat(F.lit(MARK), w, F.lit(PART)), F.lit(-1))
-        # the ids up to the next entry; nothing where the word is not held, as a bucket begins with MARK
+        # the ids up to the next entry; nothing where the word is not held, as a slot's string begins with MARK
         return let(F.substring_index(after, MARK, 1), lambda ids: F.when(ids != "", ids).otherwise(_fold(w, rank_map.single, pairs)))
 
-    def ids(known: Column, pairs: Column) -> Column:
-        return F.transform(words, lambda w: found(w, F.get(known, F.pmod(F.xxhash64(w), F.lit(n)).cast("int")), pairs))
+    def ids(word: Column, first: Column, more: Column, pairs: Column) -> Column:
+        of = lambda w, at: F.when(F.get(word, at) == w, F.get(first, at)).otherwise(found(w, F.get(more, at), pairs))
+        return let(words, lambda ws: F.zip_with(ws, F.transform(ws, lambda w: _slot(w, n)), of))
 
-    whole = let(buckets, lambda known: let(rank_map.pairs, lambda pairs: ids(known, pairs)))
-    return docs.select("doc_id", F.array_join(whole, "").alias("chars"))
+    parts = lambda t, pairs: let(t["word"], lambda word: let(t["ids"], lambda first: let(t["more"], lambda more: ids(word, first, more, pairs))))
+    whole = let(F.col("_known"), lambda t: let(rank_map.pairs, lambda pairs: parts(t, pairs)))
+    # a subquery may not stand in a lambda's call, so it is a column first, which Spark's optimizer takes in where it is named, once
+    return docs.select("doc_id", "text", known.alias("_known")).select("doc_id", F.array_join(whole, "").alias("chars"))
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, common: int = COMMON) -> DataFrame:
     """doc_id and ids (array of int) of every text, as a byte-level BPE encoder without special tokens gives them;
     null counts as empty, an empty text has no ids, repeated rows are encoded each, an empty table gives an empty result. Documents are not
-    shuffled: only words are, to count the distinct ones; the most frequent are folded once and looked up, others folded in place."""
+    shuffled: only words are, to count the distinct ones; those in most documents are folded once and looked up, others folded in place."""
     rank_map = RankMap(read_ranks(ranks_path or default_ranks()))
     return encode_chars(docs, rank_map, pattern, common).select("doc_id", ids_of(F.col("chars")).alias("ids"))
 

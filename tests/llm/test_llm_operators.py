@@ -231,6 +231,25 @@ def test_bpe_long_words_marks_and_repeats(spark):
     assert bpe.encode(d.filter("doc_id < 0")).count() == 0
 
 
+def test_bpe_table_of_common_words(spark):
+    """A slot's words are those of most documents, in that order, with their ids; texts whose words fill the table several times over are encoded whole."""
+    word = lambda k: f"{chr(97 + k // 26)}{chr(97 + k % 26)}q"
+    enc, rank_map = encoding(), bpe.RankMap(bpe.read_ranks(bpe.default_ranks()))
+    texts = [" ".join(word(k) for k in range(i + 1)) for i in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known, n = bpe.common_words(d, rank_map, bpe.default_pattern(), 16)
+    t = spark.range(1).select(known.alias("t")).first()["t"]
+    assert n == 4 and len(t["word"]) == len(t["ids"]) == len(t["more"]) == n
+    slots = {r["w"]: r["slot"] for r in spark.createDataFrame([(word(0),), *[(f" {word(k)}",) for k in range(1, 60)]], "w string").select("w", bpe._slot(F.col("w"), n).alias("slot")).collect()}
+    for slot in range(n):
+        more = [e.split(bpe.PART) for e in t["more"][slot].strip(bpe.MARK).split(bpe.MARK)]
+        held = [(t["word"][slot], t["ids"][slot]), *map(tuple, more)]
+        assert [w for w, _ in held] == [w for w, s in slots.items() if s == slot][: bpe.WAYS]
+        assert all([ord(c) for c in ids] == enc.encode_ordinary(w) for w, ids in held)
+    got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode(d, common=16).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_packing(docs, texts):
     Tokenizer = pytest.importorskip("tokenizers").Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
