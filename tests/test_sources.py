@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.sources import files, records, wire
+from reelspark.sources import files, records, tables, wire
 
 HEAD = struct.Struct("<BqBQI")
 
@@ -155,3 +155,32 @@ def test_files_are_dealt_to_tasks_by_number(spark, tmp_path):
     files.write_tracks(rows, str(tmp_path / "t"))
     names = [p.name for p in (tmp_path / "t").rglob("*.parquet")]
     assert len(names) == 400 and len({n.split("-")[1] for n in names}) == 4
+
+
+def test_lines_of_maps_are_split_once(spark, tmp_path):
+    """Each line is split and converted once, whatever is asked of it; odd lines are told as before."""
+    lines = ["0x1 0x2 +", "zz 1 -", "# c", "0x0 +", "1 0 *", "10 20 !", "7fffffffffffffff 1 -", "7ffffffffffffffe 1 -", "0 ffffffffffffffff ?", "\t1 2 3", "0x5 + 9", "0x5 9 /\r", "fffffffffffffffff 1 +", "ffffffffffffffff 0 +", ""]
+    (tmp_path / "m.map").write_text("\n".join(lines))
+    ranges, errors = files.read_range_map(spark, str(tmp_path))
+    assert sorted(tuple(r)[1:] for r in ranges.collect()) == [(0, 1, 2, "+"), (7, (1 << 63) - 2, 1, "-"), (11, 5, 9, "/")]
+    wrong = {1: "number", 4: "size", 5: "status", 6: "overflow", 8: "overflow", 9: "number", 12: "number", 13: "size"}
+    assert sorted(tuple(r)[1:] for r in errors.collect()) == [(n, lines[n], e) for n, e in wrong.items()]
+    for rows in (ranges, errors):
+        assert plan_of(rows).count("split(") == 1 and plan_of(rows).count("conv(") == 2
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for k in range(90):
+        (tmp_path / "m" / f"disc_id={k}").mkdir(parents=True)
+        (tmp_path / "m" / f"disc_id={k}" / "map.txt").write_text("1 2 +\n")
+    before = spark.conf.get(tables.LISTING)
+    group = f"listing-{tmp_path.name}"
+    spark.sparkContext.setJobGroup(group, "listing")
+    try:
+        files.read_range_map(spark, str(tmp_path / "m"))
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(k) for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds]
+        assert [k.numTasks for k in stages] == [4 * spark.sparkContext.defaultParallelism]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get(tables.LISTING) == before
