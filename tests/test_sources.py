@@ -2,7 +2,10 @@
 
 import random
 import struct
+from unittest import mock
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +187,37 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert spark.conf.get(tables.LISTING) == before
+
+
+def test_folders_equal_those_of_spark(spark, tmp_path):
+    """Keys that are null, empty or hold signs that no folder's name has; several row groups and tasks; rows in order; nothing else is left."""
+    rows = [(key, k % 3, k, None if k % 7 == 0 else f"v{k}", k % 2 == 0, [k], bytes([k % 256])) for key in ("a", None, "", "x=1/y", "50%") for k in range(300)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, track int, idx long, v string, b boolean, l array<long>, d binary")
+    records.write_folders(df, str(tmp_path / "ours"), ["key", "track"], ["idx"])
+    df.write.partitionBy("key", "track").parquet(str(tmp_path / "theirs"))
+    read = lambda name: sorted(map(str, spark.read.parquet(str(tmp_path / name)).select(df.columns).collect()))
+    assert read("ours") == read("theirs") and len(read("ours")) == 1500
+    names = lambda name: {p.relative_to(tmp_path / name).as_posix() for p in (tmp_path / name).rglob("*") if p.is_dir()}
+    assert names("ours") == names("theirs") and (tmp_path / "ours" / "_SUCCESS").exists()
+    one = spark.read.parquet(str(tmp_path / "ours" / "key=50%25" / "track=1"))
+    assert [r["idx"] for r in one.collect()] == list(range(1, 300, 3))
+    with pytest.raises(FileExistsError):
+        records.write_folders(df, str(tmp_path / "ours"), ["key", "track"], ["idx"])
+
+
+def test_long_folders_have_several_row_groups(spark, tmp_path):
+    writer = records.FolderWriter({"path": str(tmp_path / "t"), "keys": "title_id"})
+    batches = [pa.RecordBatch.from_arrays([pa.array(["1"] * 50 + ["2"] * 50), pa.array(range(k * 100, k * 100 + 100))], names=["_key0", "idx"]) for k in (0,)]
+    batches += [pa.RecordBatch.from_arrays([pa.array(["2"] * 100), pa.array(range(k * 100, k * 100 + 100))], names=["_key0", "idx"]) for k in (1, 2)]
+    before, records.GROUP_ROWS = records.GROUP_ROWS, 120
+    try:
+        context = mock.Mock(partitionId=lambda: 7)
+        with mock.patch.object(records.TaskContext, "get", return_value=context):
+            writer.commit([writer.write(iter(batches))])
+    finally:
+        records.GROUP_ROWS = before
+    found = {p.parent.name: p for p in (tmp_path / "t").rglob("part-00007-*.parquet")}
+    assert sorted(found) == ["title_id=1", "title_id=2"] and sorted(p.name for p in (tmp_path / "t").iterdir()) == ["_SUCCESS", "title_id=1", "title_id=2"]
+    long = pq.ParquetFile(found["title_id=2"])
+    assert long.num_row_groups == 2 and long.read()["idx"].to_pylist() == list(range(50, 300))
