@@ -14,7 +14,7 @@ from reelspark.operators import dvd as D
 from reelspark.operators import packets as K
 from reelspark.sources import files as X
 from reelspark.sources.records import write_keyed
-from reelspark.sources.tables import few_listing_tasks, shared_folder
+from reelspark.sources.tables import few_listing_tasks, shared_folder, written
 from reelspark.sources.views import spark_view as view
 from reelspark.sources.views import with_views
 from reelspark.streaming import stateful as G
@@ -22,8 +22,9 @@ from reelspark.streaming import stateful as G
 
 def drained(rows: DataFrame, order: str, make, schema: str, mode: str = "append", parts: int = 3) -> DataFrame:
     """What a stream has given once all rows went through it, with the number of the micro-batch. The rows come in `parts` by `order`: each is added to the source's folder, then
-    the query is started anew on its checkpoint and runs until nothing is left, so state goes on from run to run."""
+    the query is started anew on its checkpoint and runs until nothing is left, so state goes on from run to run. The rows are written once, as they are read for the cuts and for each part."""
     spark = rows.sparkSession
+    rows = written(rows, "stream-rows")
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     cuts = rows.select(F.percentile_approx(order, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(1000))).first()[0] or []
     part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c < F.col(order))) if cuts else F.lit(0)
@@ -201,8 +202,8 @@ def s17(s, d):
     kind = F.when(F.col("track") == 0, "video").otherwise("audio")
     X.write_tracks(frames(s, d).withColumn("kind", kind), path, kind="video")
     with few_listing_tasks(s):
-        written = s.read.parquet(path)
-    return written.select(F.col("title_id").cast("long").alias("title_id"), F.col("track").cast("long").alias("track"), "idx", "pts_ns", "kind")
+        tracks = s.read.parquet(path)
+    return tracks.select(F.col("title_id").cast("long").alias("title_id"), F.col("track").cast("long").alias("track"), "idx", "pts_ns", "kind")
 
 
 def s18(s, d):

@@ -6,6 +6,7 @@ state is a few numbers, kept in the state store of the query's checkpoint.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,6 +139,17 @@ def laid_over(held: list[tuple[int, int, str]], new: list[tuple[int, int, str]])
     return [(p, p + n, s) for p, n, s in over.out]
 
 
+def packed(ranges: list[tuple[int, int, str]]) -> tuple[bytes, list[str]]:
+    """Ranges (pos, end, status) for a state: gaps and sizes in turn, small numbers that compress well, and the states of the ranges."""
+    edges = np.array([x for r in ranges for x in r[:2]], np.int64)
+    return np.diff(edges, prepend=0).tobytes(), [r[2] for r in ranges]
+
+
+def unpacked(state: tuple[bytes, list[str]]) -> list[tuple[int, int, str]]:
+    edges = np.cumsum(np.frombuffer(state[0], np.int64)).tolist()
+    return list(zip(edges[::2], edges[1::2], state[1]))
+
+
 def stream_range_map(log: DataFrame, width: int = MAP_BIN) -> DataFrame:
     """G1: changes of each disc's map by micro-batch: for every bin of positions that new records (disc_id, seq, pos, size, status) touch, its number, the bin's version and the ranges in it as
     arrays, cut at the bin's ends. The latest of each bin, joined by coalesce_ranges, is the map (latest_map). New records lie over the map in the order of seq; each bin of a disc is
@@ -149,10 +161,10 @@ def stream_range_map(log: DataFrame, width: int = MAP_BIN) -> DataFrame:
     cut = cut.select("disc_id", "bin", "seq", F.greatest("pos", low).alias("pos"), F.least("finish", high).alias("finish"), "status")
 
     def lay(key, rows: dict[str, list], held: tuple | None) -> tuple[list[tuple], tuple]:
-        version, ranges = held or (0, [])
+        version, ranges = (held[0], unpacked(held[1:])) if held else (0, [])
         ranges = laid_over(ranges, list(zip(rows["pos"], rows["finish"], rows["status"])))
         pos, end, status = (list(c) for c in zip(*ranges))
-        return [(key[0], version + 1, key[1], pos, [e - p for p, e in zip(pos, end)], status)], (version + 1, ranges)
+        return [(key[0], version + 1, key[1], pos, [e - p for p, e in zip(pos, end)], status)], (version + 1, *packed(ranges))
 
     out = "disc_id long, version long, bin long, pos array<long>, size array<long>, status array<string>"
     return keyed(cut, ["disc_id", "bin"], "seq", lay, out, "", "append")

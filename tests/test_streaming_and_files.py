@@ -1,7 +1,9 @@
 """Streams in small batches against the batch operators, and file round trips."""
 
+import pickle
 import random
 import struct
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -304,3 +306,22 @@ def test_stream_state_is_kept_by_buckets_of_keys(spark, tmp_path):
         last.setdefault(r["disc_id"], []).append(r["score"])
     want = lambda d: ((d * 100 * 0.5 + (d * 100 + 1) * 0.5) * 0.5 + (d * 100 + 2) * 0.5) * 0.5 + (d * 100 + 3) * 0.5
     assert len(last) == 40 and all(max(v) == want(d) for d, v in last.items())
+
+
+def test_stream_state_is_small_and_not_in_the_heap(spark, tmp_path):
+    """States lie in the store on disk, with one memory of a fixed size an executor; ranges of a map take a few bytes each."""
+    from reelspark.streaming import ordered
+
+    schema = "disc_id long, seq long, pos long, size long, status string"
+    rows = [(1, i, i * 4096, 2048, "+-"[i % 2]) for i in range(3000)]
+    had, ordered.BUCKETS = ordered.BUCKETS, 1
+    try:
+        streamed(spark, tmp_path, rows, schema, lambda r: r[1], lambda s: G.stream_range_map(s, 1 << 16), parts=2)
+    finally:
+        ordered.BUCKETS = had
+    assert spark.conf.get(ordered.STORE) == ordered.ROCKS and spark.conf.get(ordered.BOUNDED) == "true"
+    # the store of a version is an archive and not a list of changes
+    assert list((tmp_path / "check" / "state").rglob("*.zip")) and not list((tmp_path / "check" / "state").rglob("*.delta"))
+    ranges = [(p, p + n, s) for _, _, p, n, s in rows]
+    state = G.packed(ranges)
+    assert G.unpacked(state) == ranges and G.unpacked(G.packed([])) == [] and len(zlib.compress(pickle.dumps(state), 1)) < 2 * len(rows)
