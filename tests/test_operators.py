@@ -12,6 +12,7 @@ from reelspark.operators import damage as D
 from reelspark.operators import dvd as V
 from reelspark.operators import frames as O
 from reelspark.operators import ranges as R
+from reelspark.sources.views import spark_view as view
 
 DATA = "/root/testdata/sf0.001"
 def video():
@@ -474,3 +475,12 @@ def test_titles_sum_items_before_they_meet_clips(spark):
     out = C.build_titles(items, info, extents)
     assert {tuple(r) for r in out.collect()} == {(1, 4.0, 3, 7 * 2048, 2), (2, 2.0, 2, 2 * 2048, 1), (3, 1.0, 1, 0, 0), (4, 1.0, 1, 0, 0)}
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_views_of_one_order_share_a_shuffle(spark):
+    """Rows are dealt by the key of their order once, as plain columns: a view's groups need no second shuffle, and two views share the first."""
+    items, streams = (view(spark, DATA, n) for n in ("play_items", "stn_streams"))
+    both = items.groupBy("title_id").agg(F.max("item_no").alias("a"), F.max("out_time").alias("t")).join(streams.groupBy("title_id").agg(F.max("ord").alias("b"), F.max("pid").alias("p")), "title_id", "full")
+    plan = items.groupBy("title_id").agg(F.max("item_no"), F.max("out_time"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert both.filter("a + 1 <> b").count() == 0 and both.count() > 0
