@@ -484,3 +484,9 @@ def test_views_of_one_order_share_a_shuffle(spark):
     plan = items.groupBy("title_id").agg(F.max("item_no"), F.max("out_time"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert both.filter("a + 1 <> b").count() == 0 and both.count() > 0
+
+
+def test_offsets_of_extents_need_one_shuffle(spark):
+    """J8's offsets run over the title that extents are dealt by already."""
+    offsets = R.extent_offsets(view(spark, DATA, "extents")).select("title_id", "ord", "byte_offset")
+    assert offsets._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
